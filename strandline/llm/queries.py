@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, sharding
+from . import decontaminate, exact_dedup, html_extract, langid, mixing, ppm, quality, sharding
 from .staging import staged, table
 
 MIX_WEIGHTS = {"domain": {"web": 5, "books": 3, "code": 2}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}}
@@ -68,9 +68,44 @@ g AS (SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM g"""
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = quality.train(docs, labels, learn_from=~langid.held_out("doc_id", 4, 2))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", langid.held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    dictionaries = langid.train(docs.where(~langid.held_out("doc_id", 5, 0)))
+    found = langid.classify(docs.select("doc_id", "text"), dictionaries)
+    return found.select("doc_id", langid.held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "lang_margin")
+
+
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), n_shards=40)
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op3_exact_dedup": op3_exact_dedup, "op9_sharding": op9_sharding}
+QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_quality": op2_quality,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op4_langid": op4_langid,
+    "op6_html": op6_html,
+    "op7_ppm": op7_ppm,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_sharding": op9_sharding,
+}
 ORACLES = {"op1_mixing": OP1_SQL, "op3_exact_dedup": OP3_SQL}
