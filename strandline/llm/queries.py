@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_extract, langid, mixing, ppm, quality, sharding
+from . import decontaminate, exact_dedup, html_extract, jaccard_join, langid, licenses, mixing, ppm, quality, sharding
 from .staging import staged, table
 
 MIX_WEIGHTS = {"domain": {"web": 5, "books": 3, "code": 2}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}}
@@ -82,6 +82,10 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "lang_margin")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=(90, 100))
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -98,14 +102,55 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), n_shards=40)
 
 
+#: Both engines: the tables have no paths, so a document's place follows from its columns.
+PATH_SQL = "concat(coalesce(source, 'none'), '/', coalesce(lang, 'none'), '/', CAST(doc_id % 16 AS {string}), '/', CAST(doc_id AS {string}), '.txt')"
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(PATH_SQL.format(string="STRING")).alias("path"))
+    return licenses.scan(docs)
+
+
+def _op10_sql() -> str:
+    rows, idf, other = licenses.template_weights()
+    weights = ", ".join(f"('{t}', '{name}', {i}, {w!r}::DOUBLE)" for t, name, i, w in rows)
+    known = ", ".join(f"('{t}', {w!r}::DOUBLE)" for t, w in sorted(idf.items()))
+    token = licenses.TOKEN
+    return f"""WITH tw(token, licence, template, weight) AS (VALUES {weights}), ti(token, idf) AS (VALUES {known}),
+d AS (SELECT doc_id, coalesce(text, '') AS t, {PATH_SQL.format(string="VARCHAR")} AS path FROM documents),
+g AS (SELECT doc_id, path, t, list_filter(string_split(regexp_replace(t, '([.;!?]) +', '\1\n', 'g'), chr(10)), lambda s: regexp_matches(s, '{licenses.CUE}')) AS cued FROM d),
+h AS (SELECT *, len(regexp_extract_all(lower(t), '{token}')) AS n_words FROM g WHERE len(cued) > 0),
+u AS (SELECT doc_id, unnest(range(len(cued))) AS unit, unnest(cued) AS seg FROM h),
+k AS (SELECT doc_id, unit, regexp_extract_all(lower(seg), '{token}') AS toks FROM u),
+tf AS (SELECT doc_id, unit, token, count(*) AS tf FROM (SELECT doc_id, unit, unnest(toks) AS token FROM k) GROUP BY ALL),
+x AS (SELECT tf.*, tf * coalesce(idf, {other!r}::DOUBLE) AS x FROM tf LEFT JOIN ti USING (token)),
+nm AS (SELECT doc_id, unit, sqrt(sum(x * x)) AS norm FROM x GROUP BY ALL),
+dt AS (SELECT doc_id, unit, licence, template, sum(x * weight) AS dot FROM x JOIN tw USING (token) GROUP BY ALL),
+sc AS (SELECT doc_id, unit, licence, round(dot / norm, 6) AS cosine FROM dt JOIN nm USING (doc_id, unit) WHERE round(dot / norm, 6) >= {licenses.LEAST}),
+bu AS (SELECT doc_id, unit, cosine, licence FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY cosine DESC, licence) = 1),
+cv AS (SELECT doc_id, sum(len(toks)) AS covered FROM bu JOIN k USING (doc_id, unit) GROUP BY doc_id),
+ow AS (SELECT doc_id, licence, cosine FROM bu QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, licence) = 1),
+fi AS (SELECT h.doc_id, regexp_replace(h.path, '/[^/]*$', '') AS dir, licence, cosine FROM ow JOIN h USING (doc_id) JOIN cv USING (doc_id) WHERE covered >= {licenses.FILE_SHARE} * n_words),
+ld AS (SELECT dir AS licence_dir, licence, cosine FROM fi QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, licence) = 1),
+ds AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS dir FROM d),
+an AS (SELECT dir, array_to_string(list_slice(string_split(dir, '/'), 1, i), '/') AS licence_dir FROM (SELECT dir, unnest(range(0, len(string_split(dir, '/')) + 1)) AS i FROM ds)),
+nr AS (SELECT an.dir, ld.* FROM an JOIN ld USING (licence_dir) QUALIFY row_number() OVER (PARTITION BY an.dir ORDER BY length(licence_dir) DESC) = 1)
+SELECT d.doc_id, d.path, coalesce(ow.licence, nr.licence) AS licence,
+  CASE WHEN ow.licence IS NOT NULL THEN 'own' WHEN nr.licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  coalesce(ow.cosine, nr.cosine) AS cosine, CASE WHEN ow.licence IS NULL THEN nr.licence_dir END AS licence_dir
+FROM d LEFT JOIN ow USING (doc_id) LEFT JOIN nr ON nr.dir = regexp_replace(d.path, '/[^/]*$', '')"""
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_langid": op4_langid,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_html": op6_html,
     "op7_ppm": op7_ppm,
     "op8_decontaminate": op8_decontaminate,
     "op9_sharding": op9_sharding,
+    "op10_licenses": op10_licenses,
 }
-ORACLES = {"op1_mixing": OP1_SQL, "op3_exact_dedup": OP3_SQL}
+ORACLES = {"op1_mixing": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op10_licenses": _op10_sql()}
