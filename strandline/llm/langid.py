@@ -26,6 +26,7 @@ import math
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -133,7 +134,7 @@ class Coder:
         return self.langs[best], score, margin
 
 
-def _classifier(dictionaries: Mapping[str, bytes], min_margin: float):
+def _classifier(dictionaries: Mapping[str, bytes], min_margin: float, margin_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(dictionaries)
         for batch in batches:
@@ -143,21 +144,23 @@ def _classifier(dictionaries: Mapping[str, bytes], min_margin: float):
                 lang.append(found)
                 score.append(s)
                 margin.append(m)
-            rejected = [f == UNDETERMINED or m < min_margin for f, m in zip(lang, margin, strict=True)]
+            enough = pc.fill_null(pc.greater_equal(pc.binary_length(batch.column(batch.num_columns - 1)), margin_bytes), False).to_pylist()
+            rejected = [f == UNDETERMINED or (e and m < min_margin) for f, m, e in zip(lang, margin, enough, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array(rejected, pa.bool_())], [*batch.schema.names, "lang_pred", "lang_score", "lang_margin", "lang_rejected"])
 
     return run
 
 
-def classify(docs: DataFrame, dictionaries: Mapping[str, bytes], text: str = "text", min_margin: float = 0.0) -> DataFrame:
+def classify(docs: DataFrame, dictionaries: Mapping[str, bytes], text: str = "text", min_margin: float = 0.0, margin_bytes: int = 0) -> DataFrame:
     """``docs`` with lang_pred, lang_score (0 to 1), lang_margin and lang_rejected.
 
-    Rejected are texts that are ``und`` and those whose margin is below ``min_margin``."""
+    Rejected are texts that are ``und`` and those of at least ``margin_bytes`` whose margin is
+    below ``min_margin``; on shorter texts a narrow margin only shows a lack of evidence."""
     new = ["lang_pred", "lang_score", "lang_margin", "lang_rejected"]
     base = docs.drop(*new)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
     out = f"{fields}, _text string, lang_pred string, lang_score double, lang_margin double, lang_rejected boolean"
-    return base.withColumn("_text", F.col(text)).mapInArrow(_classifier(dict(dictionaries), min_margin), out).drop("_text")
+    return base.withColumn("_text", F.col(text)).mapInArrow(_classifier(dict(dictionaries), min_margin, margin_bytes), out).drop("_text")
 
 
 def held_out(key: str, modulus: int, remainder: int) -> Column:
