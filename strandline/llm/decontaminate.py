@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore
+from .staging import fresh, with_fields
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -194,7 +195,10 @@ class Matcher:
         return starts[long], ends[long]
 
 
-def _scan(matcher, window: int):
+FOUND = "n_words bigint, n_hit bigint, spans array<array<bigint>>, hit_items array<string>"
+
+
+def _scan(matcher):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = matcher.value
         for batch in batches:
@@ -247,13 +251,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     """``docs`` with n_words, n_hit, spans (merged [first, end) word spans) and hit_items
     (sorted identifiers of the items with occurring windows)."""
     base = docs.drop("n_words", "n_hit", "spans", "hit_items")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
+    spare = fresh(base.columns, "_text")
     out = None
     for block in item_blocks(benchmark, item, item_text, block_words):
         matcher = docs.sparkSession.sparkContext.broadcast(Matcher(block, window))
         source = base if out is None else out.withColumnsRenamed({"n_words": "_w", "n_hit": "_h", "spans": "_s", "hit_items": "_i"})
-        more = "" if out is None else ", _w bigint, _h bigint, _s array<array<bigint>>, _i array<string>"
-        found = source.withColumn("_text", F.col(text)).mapInArrow(_scan(matcher, window), f"{fields}{more}, _text string, n_words bigint, n_hit bigint, spans array<array<bigint>>, hit_items array<string>").drop("_text")
+        wide = source.withColumn(spare, F.col(text))
+        found = wide.mapInArrow(_scan(matcher), with_fields(wide.schema, FOUND)).drop(spare)
         if out is not None:
             words = F.array_distinct(F.flatten(F.transform(F.concat("_s", "spans"), lambda s: F.sequence(s[0], s[1] - 1))))
             found = found.withColumn("spans", F.array_sort(F.concat("_s", "spans"))).withColumn("n_hit", F.size(words).cast("long"))
@@ -263,33 +267,35 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
 
 
 def _cut_text(raw: bytes, spans: list[list[int]]) -> bytes:
-    """``raw`` without the words of ``spans`` and the white space before them."""
+    """``raw`` without what lies between the first and the last word of each span."""
     data = textcore.LOWER[np.frombuffer(raw, np.uint8)]
     starts, ends, _ = textcore.word_spans(data, np.array([0, len(data)], np.int64), textcore.NOT_ALNUM)
     out, at = [], 0
     for x, y in spans:
-        out.append(raw[at : int(starts[x])])
+        out.append(raw[at : max(at, int(starts[x]))])
         at = max(at, int(ends[y - 1]))
     out.append(raw[at:])
     return b"".join(out)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        names = batch.schema.names
-        texts, spans = batch.column(names.index("_text")), batch.column(names.index("spans"))
-        done = [t.as_py() if not s.as_py() else _cut_text(t.as_py().encode(), s.as_py()).decode("utf-8", "replace") for t, s in zip(texts, spans, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(done, pa.string()) if n == "_text" else batch.column(i) for i, n in enumerate(names)], names)
+def _cut(name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            texts, spans = batch.column(names.index(name)), batch.column(names.index("spans"))
+            done = [t.as_py() if not s.as_py() else _cut_text(t.as_py().encode(), s.as_py()).decode("utf-8", "replace") for t, s in zip(texts, spans, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.string()) if n == name else batch.column(i) for i, n in enumerate(names)], names)
+
+    return run
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", max_coverage: float = 0.5, **options) -> DataFrame:
     """``docs`` without contamination, with its own columns: hit spans are cut out, and
-    documents of which more than ``max_coverage`` of the words are hit are dropped whole."""
+    documents of which more than ``max_coverage`` of the words are hit are dropped whole.
+    Columns named n_words, n_hit, spans or hit_items don't pass."""
     found = scan(docs, benchmark, text, **options)
     kept = found.where(F.col("n_hit") <= max_coverage * F.col("n_words"))
-    changed = kept.withColumn("_text", F.col(text))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in changed.schema.fields)
-    return changed.mapInArrow(_cut, fields).withColumn(text, F.col("_text")).select(*docs.columns)
+    return kept.mapInArrow(_cut(text), kept.schema).select(*[c for c in docs.columns if c not in ("n_words", "n_hit", "spans", "hit_items")])
 
 
 def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

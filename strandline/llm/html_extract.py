@@ -37,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import fresh, with_fields
+
 # Element and keyword lists of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -401,6 +403,6 @@ def extract(pages: DataFrame, html_column: str = "html", model: Model | None = N
     model = model or train()
     base = pages.drop("text", "n_chars")
     keep = [c for c in base.columns if c != html_column]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name != html_column)
     shared = pages.sparkSession.sparkContext.broadcast(model)
-    return base.select(*keep, F.col(html_column).alias("_html")).mapInArrow(_extract(shared), f"{fields}{', ' if fields else ''}text string, n_chars long")
+    out = with_fields(base.select(*keep).schema, "text string, n_chars long")
+    return base.select(*keep, F.col(html_column).alias(fresh(keep, "_html"))).mapInArrow(_extract(shared), out)

@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textcore
-from .staging import staged
+from .staging import fresh, staged
 
 WORDS = 5
 THRESHOLD = (80, 100)
@@ -135,7 +135,13 @@ def heavy_shingles(texts: DataFrame, words: int, threshold) -> np.ndarray:
     return np.sort(rows.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
-SETS = "id long, n long, sig binary, prefix binary, bitmap binary"
+
+def _self() -> Column:
+    """A row as (no key, key, text hash): the order of documents, rows without a key last."""
+    return F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("hash").alias("hash"))
+
+
+SETS = "id long, hash long, n long, sig binary, prefix binary, bitmap binary"
 
 
 def _describe(words: int, threshold, heavy):
@@ -148,7 +154,7 @@ def _describe(words: int, threshold, heavy):
                     sig.append(signature(s))
                     prefix.append(prefix_of(s, prefix_length(len(s), threshold) if len(s) else 0, heavy.value).tobytes())
                     bitmap.append(bitmap_of(s).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.binary()), pa.array(bitmap, pa.binary())], ["id", "n", "sig", "prefix", "bitmap"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.binary()), pa.array(bitmap, pa.binary())], ["id", "hash", "n", "sig", "prefix", "bitmap"])
 
     return run
 
@@ -350,16 +356,17 @@ def components(edges: DataFrame) -> DataFrame:
     return staged(out, "roots")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """One row per document: key, n_shingles, component_id (smallest key reachable by links)."""
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """(id, hash, n, first) per document: its key, text hash and set size, and as ``first`` the
+    (none, id, hash) of the document of smallest key in its component."""
     spark = docs.sparkSession
     ranges = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"))
     heavy = spark.sparkContext.broadcast(heavy_shingles(rows.select("text"), words, threshold))
     base = staged(rows.mapInArrow(_describe(words, threshold, heavy), SETS), "sets")
 
     # Nodes: distinct sets.  Groups: nodes of one size and prefix.
-    nodes = base.where(F.col("n") > 0).groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"))
+    nodes = base.where(F.col("n") > 0).groupBy("sig").agg(F.min(_self()).alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"))
     nodes = staged(nodes.withColumn("shape", F.md5(F.concat("prefix", F.col("n").cast("string").cast("binary")))), "nodes")
     groups = nodes.groupBy("shape").agg(F.min("sig").alias("gid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("m"))
     groups = staged(groups, "groups")
@@ -389,8 +396,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         side = lambda c: nodes.select(F.col("sig").alias(c), F.col("n").alias(f"{c}_n"), F.col("bitmap").alias(f"{c}_bits"))
         joined = candidates.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_n", "a_bits", "b_n", "b_bits")
         close = staged(joined.mapInArrow(_could_link(threshold), "a binary, b binary"), "close")
-        wanted = close.select(F.col("a").alias("sig")).union(close.select("b")).distinct().join(nodes.select("sig", "rep"), "sig").select("rep").distinct()
-        texts = rows.join(wanted, rows["id"].eqNullSafe(wanted["rep"]), "left_semi").select("text")
+        wanted = close.select(F.col("a").alias("sig")).union(close.select("b")).distinct().join(nodes.select("sig", "rep"), "sig").select("rep.id", "rep.hash").distinct()
+        texts = rows.join(wanted, rows["id"].eqNullSafe(wanted["id"]) & (rows["hash"] == wanted["hash"]), "left_semi").select("text")
         sets = staged(texts.mapInArrow(_full_sets(words), "sig binary, members binary").dropDuplicates(["sig"]), "full")
         full = lambda c: sets.select(F.col("sig").alias(c), F.col("members").alias(f"{c}_set"))
         loaded = close.join(full("a"), "a").join(full("b"), "b").select("a", "b", "a_set", "b_set")
@@ -408,15 +415,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
             roots = components(links)
 
     placed = nodes.select("sig", "rep").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    smallest = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    found = staged(placed.join(smallest, "root").select("sig", "component_id"), "classes")
-    out = base.select("id", "n", "sig").join(found, "sig", "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
-
-
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: Column | None = None, **options) -> DataFrame:
-    """``docs`` with one document of each component: the one of smallest key."""
-    found = near_duplicates(docs, key, text, **options)
-    kept = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_key")).distinct()
-    rows = docs.join(kept, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
-    return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))).where("_nth = 1").drop("_nth")
+    smallest = placed.groupBy("root").agg(F.min("rep").alias("first"))
+    found = staged(placed.join(smallest, "root").select("sig", "first"), "classes")
+    return base.join(found, "sig", "left").select("id", "hash", "n", F.when(F.col("n") == 0, _self()).otherwise(F.col("first")).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row per document: key, n_shingles, component_id (smallest key reachable by links)."""
+    return classes(docs, key, text, **options).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("first.id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each component: the one of smallest key (of rows that
+    repeat key and text, one)."""
+    kept = classes(docs, key, text, **options).where(_self() == F.col("first")).select(F.col("id").alias("_key"), F.col("hash").alias("_kept")).distinct()
+    mark, nth = fresh(docs.columns, "_hash"), fresh(docs.columns, "_nth")
+    rows = docs.withColumn(mark, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    rows = rows.join(kept, F.col(key).eqNullSafe(F.col("_key")) & (F.col(mark) == F.col("_kept")), "left_semi")
+    numbered = rows.withColumn(nth, F.row_number().over(Window.partitionBy(key, mark).orderBy(F.lit(0))))
+    return numbered.where(F.col(nth) == 1).drop(nth, mark)

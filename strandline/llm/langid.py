@@ -32,6 +32,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .staging import fresh, with_fields
+
 UNDETERMINED = "und"
 LETTER = regex.compile(r"\p{L}")
 NOT_LETTERS = regex.compile(r"\P{L}+")
@@ -158,9 +160,10 @@ def classify(docs: DataFrame, dictionaries: Mapping[str, bytes], text: str = "te
     below ``min_margin``; on shorter texts a narrow margin only shows a lack of evidence."""
     new = ["lang_pred", "lang_score", "lang_margin", "lang_rejected"]
     base = docs.drop(*new)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    out = f"{fields}, _text string, lang_pred string, lang_score double, lang_margin double, lang_rejected boolean"
-    return base.withColumn("_text", F.col(text)).mapInArrow(_classifier(dict(dictionaries), min_margin, margin_bytes), out).drop("_text")
+    spare = fresh(base.columns, "_text")
+    wide = base.withColumn(spare, F.col(text))
+    out = with_fields(wide.schema, "lang_pred string, lang_score double, lang_margin double, lang_rejected boolean")
+    return wide.mapInArrow(_classifier(dict(dictionaries), min_margin, margin_bytes), out).drop(spare)
 
 
 def held_out(key: str, modulus: int, remainder: int) -> Column:

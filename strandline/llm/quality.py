@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore
+from .staging import fresh, with_fields
 
 BUCKETS = 1 << 13
 DIM = 32
@@ -218,6 +219,5 @@ def _score(model):
 def score(docs: DataFrame, model: tuple[np.ndarray, Network], text: str = "text") -> DataFrame:
     """``docs`` with ``score``, the calibrated probability of label 1."""
     base = docs.drop("score")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return base.withColumn("_text", F.col(text)).mapInArrow(_score(shared), f"{fields}, score double")
+    return base.withColumn(fresh(base.columns, "_text"), F.col(text)).mapInArrow(_score(shared), with_fields(base.schema, "score double"))

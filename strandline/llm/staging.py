@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _local: dict[str, str] = {}
 
@@ -32,3 +33,15 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, or a variant of it that no column has."""
+    while name in columns:
+        name = f"_{name}"
+    return name
+
+
+def with_fields(schema: T.StructType, ddl: str) -> T.StructType:
+    """``schema`` and the fields of ``ddl``."""
+    return T.StructType(list(schema.fields) + list(T.StructType.fromDDL(ddl).fields))
