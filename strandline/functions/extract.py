@@ -23,13 +23,13 @@ def frontmatter(content: Column) -> Column:
     string attributes.  A block with neither name nor type is no entity."""
     opens = F.startswith(trim(content), F.lit("---"))
     parts = F.split(content, "---", 3)
-    block = F.when(opens & (F.size(parts) == 3), trim(F.element_at(parts, 2)))
+    block = F.when(opens & (F.size(parts) == 3), trim(F.try_element_at(parts, F.lit(2))))
     lines = F.filter(F.transform(F.split(block, "\n"), trim), lambda s: F.contains(s, F.lit(":")))
     pairs = F.transform(lines, lambda s: F.struct(trim(F.substring_index(s, ":", 1)).alias("k"), trim(F.regexp_replace(s, r"(?s)\A[^:]*:", "")).alias("v")))
     # The last pair of each key, without relying on the session's map policy.
     indexed = F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i")))
     last = F.filter(indexed, lambda p: ~F.exists(indexed, lambda q: (q["k"] == p["k"]) & (q["i"] > p["i"])))
-    of = lambda key: F.coalesce(F.element_at(F.transform(F.filter(last, lambda p: p["k"] == key), lambda p: p["v"]), 1), F.lit(""))
+    of = lambda key: F.coalesce(F.try_element_at(F.transform(F.filter(last, lambda p: p["k"] == key), lambda p: p["v"]), F.lit(1)), F.lit(""))
     rest = F.filter(last, lambda p: ~p["k"].isin("name", "type"))
     attributes = canonical_json(F.map_from_entries(F.transform(rest, lambda p: F.struct(p["k"], p["v"]))))
     found = block.isNotNull() & (block != "") & ((of("name") != "") | (of("type") != ""))

@@ -168,9 +168,27 @@ def plain_match(text: str):
 
 
 def phrases_of(node) -> list[Phrase]:
+    """All phrases in order; one that is written twice counts twice."""
     if isinstance(node, Phrase):
         return [node] if node.terms else []
-    return list(dict.fromkeys(p for part in node.parts for p in phrases_of(part)))
+    return [p for part in node.parts for p in phrases_of(part)]
+
+
+def _numbered(node, at: int = 0):
+    """The expression with (phrase, number) leaves, and the next free number."""
+    if isinstance(node, Phrase):
+        return ((node, at), at + 1) if node.terms else (None, at)
+    parts = []
+    for part in node.parts:
+        leaf, at = _numbered(part, at)
+        parts.append(leaf)
+    return Match(node.op, tuple(parts), node.distance), at
+
+
+def _nears(node) -> list[Match]:
+    if not isinstance(node, Match):
+        return []
+    return [node] if node.op == "near" else [n for part in node.parts for n in _nears(part)]
 
 
 def _selector(terms: list[str], prefixes: list[str]) -> Column:
@@ -190,7 +208,7 @@ def _starts(phrase: Phrase) -> Column:
         if i == last and phrase.prefix:
             hits = F.flatten(F.map_values(F.map_filter("at", lambda k, _: F.startswith(k, F.lit(term)))))
         else:
-            hits = F.coalesce(F.element_at("at", F.lit(term)), empty)
+            hits = F.coalesce(F.try_element_at("at", F.lit(term)), empty)
         return F.transform(hits, lambda p: p - F.lit(i))
 
     out = where(0)
@@ -199,32 +217,45 @@ def _starts(phrase: Phrase) -> Column:
     return F.filter(out, lambda p: p == 0) if phrase.initial else out
 
 
-def _within(a: Phrase, b: Phrase, index: dict[Phrase, int], distance: int) -> Column:
-    """Some occurrences of ``a`` and ``b`` have at most ``distance`` tokens between them."""
+def _near_columns(node: Match) -> dict[str, Column]:
+    """The occurrences of each phrase of a NEAR group that stand close to all its others.
+
+    A group matches around an anchor, the last of its phrases to begin, if every phrase ends
+    at most ``distance`` tokens before the anchor begins."""
+    leaves = [x for x in node.parts if x is not None]
 
-    def gap(p: Column, q: Column) -> Column:
-        return F.when(p <= q, q - p - len(a.terms)).otherwise(p - q - len(b.terms))
+    def reaches(t: Column, s: Column, phrase: Phrase) -> Column:
+        return (t <= s) & (t >= s - F.lit(len(phrase.terms) + node.distance))
 
-    def any_b(p: Column) -> Column:
-        return F.exists(F.col(f"s{index[b]}"), lambda q: gap(p, q) <= distance)
+    def is_anchor(s: Column) -> Column:
+        tests = [_any_reaching(i, phrase, s, reaches) for phrase, i in leaves]
+        out = tests[0]
+        for t in tests[1:]:
+            out = out & t
+        return out
 
-    return F.exists(F.col(f"s{index[a]}"), any_b)
+    anchors = F.array_distinct(F.flatten(F.array(*[F.filter(F.col(f"s{i}"), is_anchor) for _, i in leaves])))
+    return {f"s{i}": _close_to(anchors, i, phrase, reaches) for phrase, i in leaves}
 
 
-def _holds(node, index: dict[Phrase, int]) -> Column:
-    if isinstance(node, Phrase):
-        return F.col(f"f{index[node]}") > 0 if node.terms else F.lit(True)
+def _any_reaching(i: int, phrase: Phrase, s: Column, reaches) -> Column:
+    return F.exists(F.col(f"s{i}"), lambda t: reaches(t, s, phrase))
+
+
+def _close_to(anchors: Column, i: int, phrase: Phrase, reaches) -> Column:
+    return F.filter(F.col(f"s{i}"), lambda t: F.exists(anchors, lambda s: reaches(t, s, phrase)))
+
+
+def _holds(node) -> Column:
+    if node is None:
+        return F.lit(True)
+    if not isinstance(node, Match):
+        return F.col(f"f{node[1]}") > 0
     if node.op == "not":
-        return _holds(node.parts[0], index) & ~_holds(node.parts[1], index)
-    if node.op == "near":
-        first, *rest = node.parts
-        test = F.col(f"f{index[first]}") > 0
-        for other in rest:
-            test = test & _within(first, other, index, node.distance)
-        return test
-    out = _holds(node.parts[0], index)
+        return _holds(node.parts[0]) & ~_holds(node.parts[1])
+    out = _holds(node.parts[0])
     for part in node.parts[1:]:
-        out = out & _holds(part, index) if node.op == "and" else out | _holds(part, index)
+        out = out | _holds(part) if node.op == "or" else out & _holds(part)
     return out
 
 
@@ -234,21 +265,23 @@ def keyword_hits(index: DataFrame, stats: DataFrame, match) -> DataFrame:
     The index is read once, pruned to the expression's terms.  A phrase (or prefix) is one
     scoring unit with its own frequency and document frequency."""
     units = phrases_of(match)
-    number = {p: i for i, p in enumerate(units)}
+    tree, _ = _numbered(match)
     exact = sorted({t for p in units for i, t in enumerate(p.terms) if not (p.prefix and i == len(p.terms) - 1)})
     prefixes = sorted({p.terms[-1] for p in units if p.prefix})
     per = index.where(_selector(exact, prefixes)).groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"), F.first("dl").alias("dl"))
-    per = per.select("chunk_id", "dl", *[_starts(p).alias(f"s{i}") for p, i in number.items()])
-    per = per.select("*", *[F.size(f"s{i}").alias(f"f{i}") for i in number.values()])
-    df = per.agg(*[F.sum((F.col(f"f{i}") > 0).cast("double")).alias(f"n{i}") for i in number.values()])
+    per = per.select("chunk_id", "dl", *[_starts(p).alias(f"s{i}") for i, p in enumerate(units)])
+    df = per.agg(*[F.sum((F.size(f"s{i}") > 0).cast("double")).alias(f"n{i}") for i in range(len(units))])
+    for near in _nears(tree):
+        per = per.withColumns(_near_columns(near))
+    per = per.select("*", *[F.size(f"s{i}").alias(f"f{i}") for i in range(len(units))])
     whole = stats.select(F.col("n_chunks").cast("double").alias("_n"), F.col("avgdl").alias("_avg")).crossJoin(df)  # one row each
     score = F.lit(0.0)
-    for i in number.values():
+    for i in range(len(units)):
         raw = F.log((F.col("_n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
         idf = F.when(raw <= 0, F.lit(IDF_FLOOR)).otherwise(raw)
         f = F.col(f"f{i}").cast("double")
         score = score + idf * (f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("_avg"))))
-    return per.where(_holds(match, number)).join(F.broadcast(whole)).select("chunk_id", score.alias("score"))
+    return per.where(_holds(tree)).join(F.broadcast(whole)).select("chunk_id", score.alias("score"))
 
 
 def search_keyword(chunks: DataFrame, query: str, limit: int = 10, strict: bool = True, index: DataFrame | None = None, stats: DataFrame | None = None, digits: int | None = None) -> DataFrame:

@@ -171,22 +171,22 @@ def bm25_stats(spark, d):
     return search.corpus_stats(view(spark, d, "chunks")).withColumn("avgdl", F.round("avgdl", 6))
 
 
-def _bm25_ctes(phrases: list[tuple[list[str], bool]], holds: str) -> str:
+def _bm25_ctes(phrases: list[tuple[list[str], bool]], holds: str, freqs: list[str] | None = None) -> str:
     """``hit(doc_id, score)`` for phrases (terms, is prefix) under a condition over f0, f1, ..."""
     parts = []
     for i, (terms, prefix) in enumerate(phrases):
         test = lambda a, t, last: f"starts_with({a}.term, '{t}')" if prefix and last else f"{a}.term = '{t}'"  # noqa: E731, B023
         joins = "".join(f" JOIN pst p{k} ON p{k}.doc_id = p0.doc_id AND p{k}.pos = p0.pos + {k} AND {test(f'p{k}', t, k == len(terms) - 1)}" for k, t in enumerate(terms) if k)
         parts.append(f"ph{i} AS (SELECT p0.doc_id, count(*)::DOUBLE AS f FROM pst p0{joins} WHERE {test('p0', terms[0], len(terms) == 1)} GROUP BY p0.doc_id)")
-    cols = ", ".join(f"coalesce(ph{i}.f, 0) AS f{i}" for i in range(len(phrases)))
+    cols = ", ".join(f"{freqs[i] if freqs else f'coalesce(ph{i}.f, 0)'} AS f{i}" for i in range(len(phrases)))
     joins = "".join(f" LEFT JOIN ph{i} ON ph{i}.doc_id = tok.doc_id" for i in range(len(phrases)))
     idf = [f"(SELECT CASE WHEN ln((st.n - count(*) + 0.5) / (count(*) + 0.5)) <= 0 THEN 1e-6 ELSE ln((st.n - count(*) + 0.5) / (count(*) + 0.5)) END FROM ph{i}, st GROUP BY st.n)" for i in range(len(phrases))]
     score = " + ".join(f"coalesce({idf[i]}, 0) * (f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / st.avgdl)))" for i in range(len(phrases)))
     return f"{TOKENS}, {', '.join(parts)}, per AS (SELECT tok.doc_id, len(toks) AS dl, {cols} FROM tok{joins}), hit AS (SELECT doc_id, round({score}, 6) AS score FROM per, st WHERE {holds})"
 
 
-def _keyword_sql(phrases, holds, limit=10) -> str:
-    return f"WITH {_bm25_ctes(phrases, holds)} SELECT 'chunk:' || doc_id AS id, score FROM hit ORDER BY score DESC, 'chunk:' || doc_id LIMIT {limit}"
+def _keyword_sql(phrases, holds, limit=10, freqs=None) -> str:
+    return f"WITH {_bm25_ctes(phrases, holds, freqs)} SELECT 'chunk:' || doc_id AS id, score FROM hit ORDER BY score DESC, 'chunk:' || doc_id LIMIT {limit}"
 
 
 def _keyword(spark, d, text, limit=10):
@@ -218,10 +218,11 @@ def search_keyword_phrase(spark, d):
     return _keyword(spark, d, '"general public license"')
 
 
-@query(
-    "search_keyword_near",
-    _keyword_sql([(["released"], False), (["license"], False)], "EXISTS (SELECT 1 FROM pst a JOIN pst b ON a.doc_id = b.doc_id WHERE a.doc_id = per.doc_id AND a.term = 'released' AND b.term = 'license' AND abs(b.pos - a.pos) - 1 <= 3)"),
-)
+def _near_sql(word: str, other: str) -> str:
+    return f"(SELECT count(DISTINCT a.pos)::DOUBLE FROM pst a JOIN pst b ON a.doc_id = b.doc_id AND abs(b.pos - a.pos) - 1 <= 3 WHERE a.doc_id = tok.doc_id AND a.term = '{word}' AND b.term = '{other}')"
+
+
+@query("search_keyword_near", _keyword_sql([(["released"], False), (["license"], False)], "f0 > 0 AND f1 > 0", freqs=[_near_sql("released", "license"), _near_sql("license", "released")]))
 def search_keyword_near(spark, d):
     return _keyword(spark, d, "NEAR(released license, 3)")
 

@@ -4,21 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+_TEXT, _TIME, _TEXTS, _FLOATS = T.StringType(), T.TimestampType(), T.ArrayType(T.StringType()), T.ArrayType(T.FloatType())
+
+
+def _schema(texts: str, **others: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, _TEXT) for n in texts.split()] + [T.StructField(n, t) for n, t in others.items()])
+
+
 TABLES: dict[str, T.StructType] = {
-    "entities": T.StructType.fromDDL("id STRING, type STRING, name STRING, attributes STRING, source STRING, created_at TIMESTAMP, updated_at TIMESTAMP"),
-    "relationships": T.StructType.fromDDL("id STRING, source_id STRING, target_id STRING, type STRING, attributes STRING, source STRING, created_at TIMESTAMP"),
-    "chunks": T.StructType.fromDDL("id STRING, entity_id STRING, content STRING, metadata STRING, created_at TIMESTAMP"),
-    "memories": T.StructType.fromDDL("id STRING, content STRING, source STRING, created_at TIMESTAMP, updated_at TIMESTAMP"),
-    "memory_entities": T.StructType.fromDDL("memory_id STRING, entity_id STRING"),
-    "embeddings": T.StructType.fromDDL("id STRING, ref_id STRING, ref_type STRING, vector ARRAY<FLOAT>, created_at TIMESTAMP"),
-    "sync_state": T.StructType.fromDDL("connector STRING, state STRING, updated_at TIMESTAMP"),
+    "entities": _schema("id type name attributes source", created_at=_TIME, updated_at=_TIME),
+    "relationships": _schema("id source_id target_id type attributes source", created_at=_TIME),
+    "chunks": _schema("id entity_id content metadata", created_at=_TIME),
+    "memories": _schema("id content source", created_at=_TIME, updated_at=_TIME),
+    "memory_entities": _schema("memory_id entity_id"),
+    "embeddings": _schema("id ref_id ref_type", vector=_FLOATS, created_at=_TIME),
+    "sync_state": _schema("connector state", updated_at=_TIME),
 }
 
 #: What every retrieval operator returns.
-RESULT = T.StructType.fromDDL("result_type STRING, key STRING, content STRING, score DOUBLE, entity_ids ARRAY<STRING>, source STRING, metadata STRING")
-
-EXTRACTION = T.StructType.fromDDL(
-    "entities ARRAY<STRUCT<type: STRING, name: STRING, attributes: STRING, source: STRING>>, "
-    "relationships ARRAY<STRUCT<source: STRING, target: STRING, type: STRING, attributes: STRING>>, "
-    "memories ARRAY<STRUCT<content: STRING>>"
-)
+RESULT = _schema("result_type key content", score=T.DoubleType(), entity_ids=_TEXTS, source=_TEXT, metadata=_TEXT)
