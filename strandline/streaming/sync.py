@@ -15,7 +15,7 @@ BINARY_FILE = "path string, modificationTime timestamp, length bigint, content b
 def stream_directory(store, directory: str, checkpoint: str, max_chunk_bytes: int = 0, once: bool = True) -> StreamingQuery:
     """Ingest each file once; identifiers are stable, so a repeated micro-batch changes nothing."""
     files = store.spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", "true").load(directory)
-    docs = files.where(content_type(F.col("path")) != "").select(F.col("path").alias("doc_id"), F.decode(F.col("content"), "UTF-8").alias("content"))
+    docs = files.where(content_type(F.col("path")) != "").select(F.col("path").alias("doc_id"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
     def ingest_batch(batch, _epoch: int) -> None:
         if not batch.isEmpty():
