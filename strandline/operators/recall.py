@@ -79,7 +79,7 @@ def recall_vector(s: Sources, query, limit: int, embedder=None) -> DataFrame:
     return _chunk_result(_ranked(hits, [F.col("similarity").desc(), "id"]))
 
 
-def recall_graph(s: Sources, query: str, edge: str | None = None) -> DataFrame:
+def recall_graph(s: Sources, query: str, limit: int = LIMIT, edge: str | None = None) -> DataFrame:
     """The first entity whose name contains ``query`` and its neighbours, with the types of
     the relationships between them."""
     first = E.find_entities(s.entities, name_like=f"%{query}%").orderBy("created_at", "id").limit(1)
@@ -87,11 +87,11 @@ def recall_graph(s: Sources, query: str, edge: str | None = None) -> DataFrame:
     if not row:
         return _result(s.entities.limit(0).withColumn("rank", F.lit(0)), "entity", "entity:", F.lit(""), F.array().cast("array<string>"), F.col("source"), F.lit(None).cast("string"))
     nodes, edges = graph.traverse(s.entities, s.relationships, row[0]["id"], 1, [edge] if edge else None)
-    incident = edges.withColumn("node", F.explode(F.array_distinct(F.array("source_id", "target_id")))).groupBy("node").agg(F.array_join(F.sort_array(F.collect_list("type")), ", ").alias("rels"))
-    told = nodes.join(incident, nodes["id"] == incident["node"], "left")
-    before = Window.partitionBy("level").orderBy("id")
-    start = F.when(F.col("level") == 0, F.lit(0)).otherwise(F.lit(1))
-    ranked = told.withColumn("rank", F.row_number().over(before) - 1 + start)
+    # A result's key occurs in this list alone, so what ranks beyond the limit can't be among the fused ones.
+    near = nodes.orderBy("level", "id").limit(E.check_limit(limit))
+    ends = edges.withColumn("node", F.explode(F.array_distinct(F.array("source_id", "target_id")))).join(F.broadcast(near.select(F.col("id").alias("node"))), "node", "left_semi")
+    incident = ends.groupBy("node").agg(F.array_join(F.sort_array(F.collect_list("type")), ", ").alias("rels"))
+    ranked = _ranked(near.join(incident, near["id"] == incident["node"], "left"), ["level", "id"])
     content = F.concat(F.col("name"), F.lit(" ("), F.col("type"), F.lit(")"), F.when(F.col("rels").isNull(), F.lit("")).otherwise(F.concat(F.lit(" ["), F.col("rels"), F.lit("]"))))
     return _result(ranked, "entity", "entity:", content, F.array("id"), F.col("source"), F.lit(None).cast("string"))
 
@@ -112,7 +112,7 @@ def execute(s: Sources, sub: dict, limit: int, embedder=None) -> DataFrame | Non
             return recall_vector(s, params["vector"], limit)
         return recall_vector(s, query, limit, embedder) if embedder is not None else None
     if kind == "graph" and s.entities is not None and s.relationships is not None:
-        return recall_graph(s, query, params.get("edge"))
+        return recall_graph(s, query, limit, params.get("edge"))
     return None
 
 
