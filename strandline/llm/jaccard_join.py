@@ -6,23 +6,25 @@ every document.  The join is exact: no link between different texts is lost, and
 every link that is used was verified on the full sets.
 
 1. Documents with equal sets are one node, so copies never meet in a pair.
-2. Prefix filter.  Under one global order of all shingles, linked sets of sizes a
-   and b share a shingle among the first ``n - ceil(t n) + 1`` of each.  The order
-   is by hash, with heavy shingles last (those found too often in first prefixes:
-   shared passages).  Any order is exact; this one keeps lists short.
+2. Prefix filter.  Under one global order of all shingles, linked sets share at least
+   three shingles (or all that they need) among the first ``n - ceil(t n) + 3`` of
+   each.  The order is by hash, with heavy shingles last (those found too often in
+   first prefixes: shared passages).  Any order is exact; this one keeps lists short.
 3. Grouping.  Nodes with the same size and the same prefix are one group, and only
    groups enter the inverted lists.  Lists travel as packed arrays per shingle
    range, not as rows.
 4. Short lists give all their group pairs that pass the size and position filters;
-   these are expanded to members.  Long lists (and large groups) are expanded to
+   pairs that met often enough are expanded to members.  (A pair that also meets in a
+   long list is found there.)  Long lists (and large groups) are expanded to
    members with their parity bitmaps, a lower bound of the distance, and give a
    spanning forest of their candidate graph: a clique of m near copies costs m - 1
    pairs, not m * m / 2.
-5. Verification joins the pairs with the full sets.  If a forest edge fails, the
+5. Verification joins the pairs with the full sets, which are made again from the texts
+   that a bounded Bloom filter lets through, so texts are never shuffled.  If a forest edge fails, the
    list it came from gives, in a second round, every candidate pair that the
    verified edges have not yet connected.  Then all links are covered: a linked pair
-   is a candidate in the list of its first common shingle, where it is either inside
-   a verified component or verified itself.
+   meets in a long list, or in three short ones, and is either inside a verified
+   component or verified itself.
 6. Components by contraction to the smallest neighbour with pointer jumping.
 
 Memory: a task holds the arrays of its shingle ranges, or one long list (about
@@ -43,10 +45,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textcore
+from .ppm import pack, pack_counts, unpack, unpack_counts
 from .staging import fresh, staged
 
 WORDS = 5
@@ -54,16 +58,21 @@ THRESHOLD = (80, 100)
 HEAVY = 1 << 18
 HEAVY_LEAST = 32
 SHORT = 8
+COMMON = 3
 BITMAP_WORDS = 8
 FLUSH_TOKENS = 1 << 20
+FILTER_BITS = 1 << 28
+FILTER_BLOCKS = 16
 
 _U = np.uint64
 _FACTORS = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, size=64, dtype=np.uint64) * _U(2) + _U(1)
 
 
 def prefix_length(n, threshold):
+    """So many first shingles of a set hold at least COMMON shingles of every linked set (all
+    common ones, if they are fewer)."""
     num, den = threshold
-    return n - -(-(num * n) // den) + 1
+    return min(n, n - -(-(num * n) // den) + COMMON)
 
 
 def needed_overlap(a, b, threshold):
@@ -101,12 +110,44 @@ def prefix_of(s: np.ndarray, k: int, heavy: np.ndarray) -> np.ndarray:
 
 
 def bitmap_of(s: np.ndarray) -> np.ndarray:
-    """Bit i is the parity of the shingles that fall on it; the bitmaps of two sets
-    differ in at most as many bits as the sets in shingles."""
-    bits = np.bincount((s >> _U(20)).astype(np.int64) % (64 * BITMAP_WORDS), minlength=64 * BITMAP_WORDS) & 1
+    """Bit i is the parity of the shingles that fall on it; the bitmaps of two sets differ in
+    at most as many bits as the sets in shingles.  It has a bit a shingle (rounded up to a
+    power of two), so that long texts can be told apart as well as short ones."""
+    size = max(64 * BITMAP_WORDS, 1 << max(0, len(s) - 1).bit_length())
+    bits = np.bincount(((s >> _U(20)) % _U(size)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.uint64)
 
 
+def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap(s) at a smaller size: halves are added bit by bit."""
+    while bitmap.shape[-1] > words:
+        half = bitmap.shape[-1] // 2
+        bitmap = bitmap[..., :half] ^ bitmap[..., half:]
+    return bitmap
+
+
+class Bitmaps:
+    """Bitmaps of different sizes, by row number."""
+
+    def __init__(self, raw: list[bytes]):
+        self.words = np.array([len(x) // 8 for x in raw], np.int64)
+        self.place = np.zeros(len(raw), np.int64)
+        self.of: dict[int, np.ndarray] = {}
+        for w in np.unique(self.words).tolist():
+            rows = np.flatnonzero(self.words == w)
+            self.place[rows] = np.arange(len(rows))
+            self.of[w] = np.frombuffer(b"".join(raw[i] for i in rows.tolist()), np.uint64).reshape(-1, w)
+
+    def apart(self, x: int, others: np.ndarray) -> np.ndarray:
+        """A lower bound of the distance of row ``x`` to each of ``others``."""
+        own, out = self.of[int(self.words[x])][self.place[x]], np.zeros(len(others), np.int64)
+        for w in np.unique(self.words[others]).tolist():
+            at = self.words[others] == w
+            least = min(w, len(own))
+            out[at] = np.bitwise_count(folded(self.of[w][self.place[others[at]]], least) ^ folded(own, least)).sum(1, dtype=np.int64)
+        return out
+
+
 def signature(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
@@ -123,7 +164,7 @@ def _prefix_counts(words: int, threshold):
         often = count > 1
         yield pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(count[often].astype(np.int64))], ["token", "n"])
 
-    return run
+    return textcore.tidy(run)
 
 
 def heavy_shingles(texts: DataFrame, words: int, threshold) -> np.ndarray:
@@ -141,46 +182,50 @@ def _self() -> Column:
     return F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("hash").alias("hash"))
 
 
-SETS = "id long, hash long, n long, sig binary, prefix binary, bitmap binary"
+SETS = "id long, hash long, n long, sig binary, shape long, prefix binary, bitmap binary"
 
 
 def _describe(words: int, threshold, heavy):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in textcore.slices(batch.column(1)):
-                n, sig, prefix, bitmap = [], [], [], []
+                n, sig, shape, prefix, bitmap = [], [], [], [], []
                 for s in shingle_sets(data, offsets, words):
                     n.append(len(s))
                     sig.append(signature(s))
                     prefix.append(prefix_of(s, prefix_length(len(s), threshold) if len(s) else 0, heavy.value).tobytes())
+                    shape.append(int.from_bytes(hashlib.blake2b(prefix[-1] + len(s).to_bytes(8, "little"), digest_size=8).digest(), "little", signed=True))
                     bitmap.append(bitmap_of(s).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.binary()), pa.array(bitmap, pa.binary())], ["id", "hash", "n", "sig", "prefix", "bitmap"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(shape, pa.int64()), pa.array(prefix, pa.binary()), pa.array(bitmap, pa.binary())], ["id", "hash", "n", "sig", "shape", "prefix", "bitmap"])
 
-    return run
+    return textcore.tidy(run)
+
+
+def _row_key(id: Column, hash: Column) -> Column:
+    return F.xxhash64(id, hash).alias("key")
 
 
 def _postings(ranges: int):
-    """Inverted-list entries as arrays per shingle range."""
+    """Inverted-list entries (shingle, position, set size, group) as packed arrays per shingle range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
 
         def flush():
-            gids = np.frombuffer(b"".join(x[0] for x in held), "V16")
             tokens = [np.frombuffer(x[2], np.uint64) for x in held]
             lengths = np.array([len(t) for t in tokens])
             token, owner = np.concatenate(tokens), np.repeat(np.arange(len(held)), lengths)
-            pos = (np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
-            n = np.array([x[1] for x in held], np.int32)[owner]
+            pos = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            order = np.argsort(token, kind="stable")
+            token, pos, owner = token[order], pos[order], owner[order]
+            gid, n = np.array([x[0] for x in held], np.int64)[owner], np.array([x[1] for x in held], np.int64)[owner]
             part = ((token >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            part = part[order]
             edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-            cut = [order[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            columns = [pa.array([int(part[a]) for a in edges[:-1]], pa.int32())]
-            columns += [pa.array([x[i].tobytes() for i in cut], pa.binary()) for x in (token, pos, n, gids[owner])]
-            return pa.RecordBatch.from_arrays(columns, ["part", "tokens", "pos", "n", "gids"])
+            cuts = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+            columns = [pa.array([int(part[a]) for a, _ in cuts], pa.int32()), pa.array([pack(token[a:b]) for a, b in cuts], pa.binary())]
+            columns += [pa.array([pack_counts(x[a:b]) for a, b in cuts], pa.binary()) for x in (pos, n)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([gid[a:b].tobytes() for a, b in cuts], pa.binary())], ["part", "tokens", "pos", "n", "gids"])
 
         for batch in batches:
             for gid, n, prefix in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -192,48 +237,51 @@ def _postings(ranges: int):
         if held:
             yield flush()
 
-    return run
+    return textcore.tidy(run)
 
 
-LISTS = "kind int, list long, a binary, b binary, pos int"
+LISTS = "kind int, list long, a long, b long, pos int"
 
 
 def _candidates(n: np.ndarray, pos: np.ndarray, i, j, threshold) -> np.ndarray:
-    """Which entry pairs of a list pass the size and position filters."""
+    """Which entry pairs of a list pass the size and position filters.  Whatever common shingle
+    the list is of, at most those before it in both and those from it on can be common."""
     num, den = threshold
     small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-    return (den * small >= num * large) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= needed_overlap(n[i], n[j], threshold))
+    most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
+    return (den * small >= num * large) & (most >= needed_overlap(n[i], n[j], threshold))
 
 
 def _meet(threshold):
-    """Group pairs (kind 0) of short lists; entries (kind 1) of long ones."""
+    """Group pairs (kind 0) of short lists, with the number of lists they met in (list) and the
+    number they must meet in (pos); entries (kind 1) of long lists."""
 
     def lists(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        token = np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows])
+        token = np.concatenate([unpack(r[0]) for r in rows])
         order = np.argsort(token, kind="stable")
         token = token[order]
-        pos, n = (np.concatenate([np.frombuffer(r[k], np.int32) for r in rows])[order].astype(np.int64) for k in (1, 2))
-        gids = np.concatenate([np.frombuffer(r[3], "V16") for r in rows])[order]
+        pos, n = (np.concatenate([unpack_counts(r[k]) for r in rows])[order] for k in (1, 2))
+        gids = np.concatenate([np.frombuffer(r[3], np.int64) for r in rows])[order]
         edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
         starts, sizes = edges[:-1], np.diff(edges)
-        left, right = [], []
+        left, right, need = [], [], []
         for size in range(2, SHORT + 1):
             at = starts[sizes == size]
             for x in range(size):
                 for y in range(x + 1, size):
-                    ok = _candidates(n, pos, at + x, at + y, threshold)
-                    left.append(at[ok] + x)
-                    right.append(at[ok] + y)
-        i, j = np.concatenate(left), np.concatenate(right)
-        pairs = {(x, y) if x < y else (y, x) for x, y in zip(map(bytes, gids[i]), map(bytes, gids[j]), strict=True)}
-        if pairs:
-            a, b = zip(*pairs, strict=True)
-            k = len(a)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.nulls(k, pa.int32())], ["kind", "list", "a", "b", "pos"])
+                    ok = at[_candidates(n, pos, at + x, at + y, threshold)]
+                    left.append(gids[ok + x])
+                    right.append(gids[ok + y])
+                    need.append(np.minimum(COMMON, needed_overlap(n[ok + x], n[ok + y], threshold)))
+        i, j, need = np.concatenate(left), np.concatenate(right), np.concatenate(need)
+        pairs, times = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j), need]), axis=1, return_counts=True)
+        if pairs.shape[1]:
+            k = pairs.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), pa.array(times.astype(np.int64)), pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2].astype(np.int32))], ["kind", "list", "a", "b", "pos"])
         long = np.repeat(sizes > SHORT, sizes)
         if long.any():
             k = int(long.sum())
-            yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.array(token[long].view(np.int64)), pa.array(list(map(bytes, gids[long])), pa.binary()), pa.nulls(k, pa.binary()), pa.array(pos[long].astype(np.int32))], ["kind", "list", "a", "b", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.array(token[long].view(np.int64)), pa.array(gids[long]), pa.nulls(k, pa.int64()), pa.array(pos[long].astype(np.int32))], ["kind", "list", "a", "b", "pos"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
@@ -243,11 +291,7 @@ def _meet(threshold):
         for part in sorted(held):
             yield from lists(held.pop(part))
 
-    return run
-
-
-def _bitmaps(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITMAP_WORDS)
+    return textcore.tidy(run)
 
 
 def _spanning(threshold, all_pairs: bool):
@@ -257,17 +301,16 @@ def _spanning(threshold, all_pairs: bool):
     def run(table: pa.Table) -> pa.Table:
         n, pos = (np.array(table.column(c).to_pylist(), np.int64) for c in ("n", "pos"))
         order = np.argsort(n, kind="stable")
-        n, pos, bits = n[order], pos[order], _bitmaps(table.column("bitmap"))[order]
-        sig = [s for s in table.column("sig").to_pylist()]
-        sig = [sig[i] for i in order.tolist()]
+        n, pos = n[order], pos[order]
+        sig, raw = table.column("sig").to_pylist(), table.column("bitmap").to_pylist()
+        sig, bits = [sig[i] for i in order.tolist()], Bitmaps([raw[i] for i in order.tolist()])
         num, den = threshold
         low, high = np.searchsorted(n, -(-(num * n) // den)), np.searchsorted(n, den * n // num, side="right")
 
         def near(x: int, others: np.ndarray) -> np.ndarray:
             others = others[np.searchsorted(others, low[x]) : np.searchsorted(others, high[x])]
             others = others[_candidates(n, pos, np.full(len(others), x), others, threshold)]
-            apart = np.bitwise_count(bits[others] ^ bits[x]).sum(1, dtype=np.int64)
-            return others[apart <= n[others] + n[x] - 2 * needed_overlap(n[others], n[x], threshold)]
+            return others[bits.apart(x, others) <= n[others] + n[x] - 2 * needed_overlap(n[others], n[x], threshold)]
 
         pairs: list[tuple[int, int]] = []
         if all_pairs:
@@ -301,22 +344,71 @@ def _could_link(threshold):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = (np.array(batch.column(k).to_pylist(), np.int64) for k in (2, 4))
-            apart = np.bitwise_count(_bitmaps(batch.column(3)) ^ _bitmaps(batch.column(5))).sum(1, dtype=np.int64) if batch.num_rows else n
+            apart = np.zeros(len(n), np.int64)
+            for i, (x, y) in enumerate(zip(batch.column(3), batch.column(5), strict=True)):
+                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                least = min(len(a), len(b))
+                apart[i] = np.bitwise_count(folded(a, least) ^ folded(b, least)).sum()
             num, den = threshold
             ok = (apart <= n + m - 2 * needed_overlap(n, m, threshold)) & (den * np.minimum(n, m) >= num * np.maximum(n, m))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
 
-    return run
+    return textcore.tidy(run)
+
 
+def _filter_bits(bits: int):
+    """A Bloom filter (two bits a key) of the keys of an input partition, in blocks."""
 
-def _full_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(bits, bool)
         for batch in batches:
-            for _, _, data, offsets in textcore.slices(batch.column(0)):
+            for at in _bit_places(batch.column(0).to_numpy(zero_copy_only=False), bits):
+                held[at] = True
+        parts = np.split(np.packbits(held), FILTER_BLOCKS)
+        some = [i for i, x in enumerate(parts) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([zstandard.compress(parts[i].tobytes()) for i in some], pa.binary())], ["block", "bits"])
+
+    return textcore.tidy(run)
+
+
+def _bit_places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    h = keys.astype(np.int64).view(np.uint64)
+    return (h % _U(bits)).astype(np.int64), ((textcore.mix64(h) >> _U(7)) % _U(bits)).astype(np.int64)
+
+
+def _filter_or(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x = np.frombuffer(zstandard.decompress(raw), np.uint8)
+            held[block] = held[block] | x if block in held else x
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([zstandard.compress(x.tobytes()) for x in held.values()], pa.binary())], ["block", "bits"])
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of one long column, as booleans.  Its size follows the number of keys up to
+    FILTER_BITS, which bounds the broadcast; beyond that it only lets more rows through."""
+    bits = min(FILTER_BITS, max(1 << 16, 1 << int(16 * keys.count()).bit_length()))
+    blocks = keys.mapInArrow(_filter_bits(bits), "block int, bits binary").repartition(FILTER_BLOCKS, "block").mapInArrow(_filter_or, "block int, bits binary").collect()
+    out = np.zeros((FILTER_BLOCKS, bits // 8 // FILTER_BLOCKS), np.uint8)
+    for r in blocks:
+        out[r["block"]] = np.frombuffer(zstandard.decompress(bytes(r["bits"])), np.uint8)
+    return out.ravel()
+
+
+def _full_sets(words: int, wanted):
+    """The sets of the documents whose key passes the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(wanted.value).view(bool)
+        for batch in batches:
+            one, two = _bit_places(batch.column(0).to_numpy(zero_copy_only=False), len(bits))
+            found = batch.filter(pa.array(bits[one] & bits[two]))
+            for _, _, data, offsets in textcore.slices(found.column(1)):
                 sets = list(shingle_sets(data, offsets, words))
                 yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sig", "members"])
 
-    return run
+    return textcore.tidy(run)
 
 
 def _verify(threshold):
@@ -331,7 +423,7 @@ def _verify(threshold):
                 linked.append(den * both >= num * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    return run
+    return textcore.tidy(run)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -365,30 +457,31 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     heavy = spark.sparkContext.broadcast(heavy_shingles(rows.select("text"), words, threshold))
     base = staged(rows.mapInArrow(_describe(words, threshold, heavy), SETS), "sets")
 
-    # Nodes: distinct sets.  Groups: nodes of one size and prefix.
-    nodes = base.where(F.col("n") > 0).groupBy("sig").agg(F.min(_self()).alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"))
-    nodes = staged(nodes.withColumn("shape", F.md5(F.concat("prefix", F.col("n").cast("string").cast("binary")))), "nodes")
-    groups = nodes.groupBy("shape").agg(F.min("sig").alias("gid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("m"))
-    groups = staged(groups, "groups")
-    members = nodes.join(groups.select("shape", "gid", "m"), "shape").select("gid", "m", "sig", "n", "bitmap")
-    members = staged(members, "members")
+    # Nodes: distinct sets.  Groups: nodes of one shape (size and prefix).  Two groups whose
+    # 64-bit shapes collide only add candidates, which verification drops.
+    full = base.where(F.col("n") > 0)
+    nodes = staged(full.groupBy("sig").agg(F.min(_self()).alias("rep"), F.first("n").alias("n"), F.first("shape").alias("gid"), F.first("bitmap").alias("bitmap")), "nodes")
+    groups = staged(nodes.groupBy("gid").agg(F.count(F.lit(1)).alias("m")), "groups")
+    members = nodes.join(groups, "gid").select("gid", "m", "sig", "n", "bitmap")
 
-    posted = groups.select("gid", "n", "prefix").mapInArrow(_postings(ranges), "part int, tokens binary, pos binary, n binary, gids binary")
+    shapes = full.select("shape", "n", "prefix").distinct()
+    posted = shapes.select("shape", "n", "prefix").mapInArrow(_postings(ranges), "part int, tokens binary, pos binary, n binary, gids binary")
     met = staged(posted.repartition(ranges, "part").mapInArrow(_meet(threshold), LISTS), "lists")
 
     # Expand group pairs to member pairs, or to a list of both groups' members if they are many.
     of = lambda side: members.select(F.col("gid").alias(side), F.col("sig").alias(f"{side}_sig"), F.col("m").alias(f"{side}_m"))
     sizes = lambda side: groups.select(F.col("gid").alias(side), F.col("m").alias(f"{side}_m"))
-    pairs = met.where(F.col("kind") == 0).select("a", "b").distinct().join(sizes("a"), "a").join(sizes("b"), "b")
+    often = met.where(F.col("kind") == 0).groupBy("a", "b").agg(F.sum("list").alias("times"), F.min("pos").alias("need")).where(F.col("times") >= F.col("need"))
+    pairs = staged(often.where(F.col("a") != F.col("b")).select("a", "b"), "pairs").join(sizes("a"), "a").join(sizes("b"), "b")
     few = pairs.where(F.col("a_m") * F.col("b_m") <= SHORT * SHORT).select("a", "b")
     across = few.join(of("a").drop("a_m"), "a").join(of("b").drop("b_m"), "b").select(F.col("a_sig").alias("a"), F.col("b_sig").alias("b"))
     small = members.where((F.col("m") > 1) & (F.col("m") <= SHORT)).select("gid", "sig")
     inside = small.withColumnRenamed("sig", "a").join(small.withColumnRenamed("sig", "b"), "gid").where(F.col("a") < F.col("b")).select("a", "b")
 
-    many = pairs.where(F.col("a_m") * F.col("b_m") > SHORT * SHORT).select(F.concat(F.lit("p"), F.hex("a"), F.hex("b")).alias("list"), F.array("a", "b").alias("both"))
+    many = pairs.where(F.col("a_m") * F.col("b_m") > SHORT * SHORT).select(F.concat_ws(",", F.lit("p"), "a", "b").alias("list"), F.array("a", "b").alias("both"))
     entries = met.where(F.col("kind") == 1).select(F.concat(F.lit("t"), F.col("list").cast("string")).alias("list"), F.col("a").alias("gid"), "pos")
     entries = entries.unionByName(many.select("list", F.explode("both").alias("gid"), F.lit(0).alias("pos")))
-    entries = entries.unionByName(groups.where(F.col("m") > SHORT).select(F.concat(F.lit("g"), F.hex("gid")).alias("list"), "gid", F.lit(0).alias("pos")))
+    entries = entries.unionByName(groups.where(F.col("m") > SHORT).select(F.concat_ws(",", F.lit("g"), "gid").alias("list"), "gid", F.lit(0).alias("pos")))
     long = staged(entries.join(members.select("gid", "sig", "n", "bitmap"), "gid").select("list", "sig", "n", "pos", "bitmap"), "long")
     forest = staged(long.groupBy("list").applyInArrow(_spanning(threshold, False), "list string, a binary, b binary"), "forest")
 
@@ -396,12 +489,12 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
         side = lambda c: nodes.select(F.col("sig").alias(c), F.col("n").alias(f"{c}_n"), F.col("bitmap").alias(f"{c}_bits"))
         joined = candidates.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_n", "a_bits", "b_n", "b_bits")
         close = staged(joined.mapInArrow(_could_link(threshold), "a binary, b binary"), "close")
-        wanted = close.select(F.col("a").alias("sig")).union(close.select("b")).distinct().join(nodes.select("sig", "rep"), "sig").select("rep.id", "rep.hash").distinct()
-        texts = rows.join(wanted, rows["id"].eqNullSafe(wanted["id"]) & (rows["hash"] == wanted["hash"]), "left_semi").select("text")
-        sets = staged(texts.mapInArrow(_full_sets(words), "sig binary, members binary").dropDuplicates(["sig"]), "full")
-        full = lambda c: sets.select(F.col("sig").alias(c), F.col("members").alias(f"{c}_set"))
-        loaded = close.join(full("a"), "a").join(full("b"), "b").select("a", "b", "a_set", "b_set")
-        return staged(loaded.mapInArrow(_verify(threshold), "a binary, b binary, linked boolean").where("linked").select("a", "b"), "links")
+        ends = close.select(F.col("a").alias("sig")).union(close.select("b")).distinct()
+        wanted = spark.sparkContext.broadcast(key_filter(nodes.join(ends, "sig", "left_semi").select(_row_key(F.col("rep.id"), F.col("rep.hash")))))
+        sets = staged(rows.select(_row_key(F.col("id"), F.col("hash")), "text").mapInArrow(_full_sets(words, wanted), "sig binary, members binary"), "full")
+        whole = lambda c: sets.select(F.col("sig").alias(c), F.col("members").alias(f"{c}_set"))
+        loaded = close.join(whole("a"), "a").join(whole("b"), "b").select("a", "b", "a_set", "b_set")
+        return staged(loaded.mapInArrow(_verify(threshold), "a binary, b binary, linked boolean").where("linked").select("a", "b").distinct(), "links")
 
     links = verified(across.union(inside).union(forest.select("a", "b")))
     roots = components(links)
