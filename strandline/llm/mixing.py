@@ -16,7 +16,8 @@ integers, so shares are rounded down to whole tokens.
 Each leaf then takes a prefix of its own token stream: whole epochs first, each
 in an order seeded by (seed, epoch, document), then the part of the last epoch
 that fills its share.  Prefix sums run in two levels (order-key buckets, then
-inside the bucket), so no task ever sorts a whole leaf.
+inside the one bucket where the share ends), so no task ever sorts a whole leaf and
+texts are not shuffled.
 
 Defined results: null level values are nodes named ``(none)``; documents without
 tokens (null, empty) are never taken, for they fill nothing; equal rows are
@@ -27,14 +28,22 @@ are 1, and nodes of weight 0 get nothing; the output columns ``epoch``,
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import textcore
+from .staging import staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 NONE = "(none)"
 BIG = "decimal(38,0)"
+BROADCAST_LEAVES = 20_000
+SALTS = 64
 
 
 def count_words(text: str) -> Column:
@@ -85,6 +94,26 @@ def leaf_budgets(leaves: DataFrame, levels: Sequence[str], tokens: str, weights:
     return x.withColumnRenamed("_got", "_take").drop("_cap")
 
 
+def _counted(name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.names.index(name)
+            counts = [np.diff(textcore.word_spans(data, off, textcore.SPACE)[2]) for _, _, data, off in textcore.slices(batch.column(at))]
+            n = pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([n if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
+
+    return textcore.tidy(run)
+
+
+def _with_shares(rows: DataFrame, shares: DataFrame, path: Sequence[str], spread: Sequence[str], leaves: int) -> DataFrame:
+    """Rows with their leaf's share.  Up to BROADCAST_LEAVES leaves are broadcast; beyond
+    that, rows join by leaf and salt, for a leaf can hold a third of all rows."""
+    if leaves <= BROADCAST_LEAVES:
+        return rows.join(F.broadcast(shares), list(path))
+    salted = shares.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).join(salted, [*path, "_salt"]).drop("_salt")
+
+
 def mix(
     docs: DataFrame,
     levels: Sequence[str] = ("domain", "lang", "source"),
@@ -99,29 +128,50 @@ def mix(
     bucket_digits: int = 2,
 ) -> DataFrame:
     """The chosen documents, once per epoch, with ``epoch``, ``n_tokens`` and
-    ``take_tokens`` (less than ``n_tokens`` only where a leaf's share ends)."""
+    ``take_tokens`` (less than ``n_tokens`` only where a leaf's share ends).
+
+    ``tokens`` counts a document's tokens; by default they are the words of ``text``.  Shares and
+    cuts come from a slim table of counts; then every document knows from its leaf's row and the
+    bucket of its order key whether it is taken, and only the bucket in which a leaf's share ends
+    is put in order."""
     levels, weights = list(levels), weights or {}
-    outer = {c: f"_level_{c}" for c in levels}
-    base = docs.drop("epoch", "take_tokens").withColumn("n_tokens", tokens if tokens is not None else count_words(text))
-    base = base.withColumns({v: F.coalesce(F.col(c).cast("string"), F.lit(NONE)) for c, v in outer.items()}).where(F.col("n_tokens") > 0)
-    path = list(outer.values())
-    leaves = base.groupBy(*path).agg(F.sum("n_tokens").alias("_leaf"))
-    shares = leaf_budgets(leaves, path, "_leaf", {outer[k]: v for k, v in weights.items()}, max_epochs, share, budget).where(F.col("_take") > 0)
-    x = base.join(shares, path)
-    whole = F.expr("CAST(_take div _leaf AS int)")
-    x = x.withColumn("_whole", whole).withColumn("_rest", F.expr("CAST(_take % _leaf AS bigint)"))
-    epochs = F.sequence(F.lit(0), F.when(F.col("_rest") > 0, F.col("_whole")).otherwise(F.col("_whole") - 1))
-    x = x.withColumn("epoch", F.explode(epochs))
-    stream = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
-    last = F.col("epoch") == F.col("_whole")
-    done = x.where(~last).withColumn("take_tokens", F.col("n_tokens"))
-    part = x.where(last).withColumn("_key", stream).withColumn("_bucket", F.substring("_key", 1, bucket_digits))
-    sums = part.groupBy(*path, "_bucket").agg(F.sum("n_tokens").alias("_sum"))
-    ahead = Window.partitionBy(*path).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*path, "_bucket", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))
-    inside = Window.partitionBy(*path, "_bucket").orderBy("_key", F.col(key), "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    part = part.join(sums, [*path, "_bucket"]).where(F.col("_ahead") < F.col("_rest"))
-    part = part.withColumn("_begin", F.col("_ahead") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).where(F.col("_begin") < F.col("_rest"))
+    path = [f"_level_{c}" for c in levels]
+    named = {v: F.coalesce(F.col(c).cast("string"), F.lit(NONE)) for c, v in zip(levels, path, strict=True)}
+    base = docs.drop("epoch", "n_tokens", "take_tokens") if tokens is None else docs.withColumn("n_tokens", tokens).drop("epoch", "take_tokens")
+    base = base.withColumns(named)
+    if tokens is None:
+        plain = base.select(*path, F.col(key).alias("_id"), F.col(text).alias("_n"))
+        slim = plain.mapInArrow(_counted("_n"), T.StructType([*plain.schema.fields[:-1], T.StructField("_n", T.LongType())]))
+        base = base.where(F.col(text).rlike(WORD)).withColumn("n_tokens", count_words(text))
+    else:
+        slim = base.select(*path, F.col(key).alias("_id"), F.col("n_tokens").cast("long").alias("_n"))
+        base = base.where(F.col("n_tokens") > 0)
+    slim = staged(slim.where(F.col("_n") > 0), "counts")
+
+    leaves = staged(slim.groupBy(*path).agg(F.sum("_n").alias("_leaf")), "leaves")
+    shares = leaf_budgets(leaves, path, "_leaf", {v: weights.get(c, {}) for c, v in zip(levels, path, strict=True)}, max_epochs, share, budget).where(F.col("_take") > 0)
+    shares = staged(shares.withColumn("_whole", F.expr("CAST(_take div _leaf AS int)")).withColumn("_rest", F.expr("CAST(_take % _leaf AS bigint)")), "shares")
+    n = shares.count()
+
+    def order_key(column: Column) -> Column:
+        return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_whole").cast("string"), F.coalesce(column.cast("string"), F.lit(""))).cast("binary"))
+
+    # Where each leaf's share ends: the bucket of the order key, and the tokens before it.
+    counted = _with_shares(slim, shares.where(F.col("_rest") > 0), path, ["_id", "_n"], n)
+    sums = counted.groupBy(*path, F.substring(order_key(F.col("_id")), 1, bucket_digits).alias("_cut")).agg(F.sum("_n").alias("_sum"), F.first("_rest").alias("_rest"))
+    ahead = Window.partitionBy(*path).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_ahead", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)))
+    ends = sums.where((F.col("_ahead") < F.col("_rest")) & (F.col("_ahead") + F.col("_sum") >= F.col("_rest"))).select(*path, "_cut", "_ahead")
+    plan = staged(shares.join(ends, path, "left"), "plan")
+
+    x = _with_shares(base, plan, path, [key], n)
+    x = x.withColumn("_key", order_key(F.col(key))).withColumn("_bucket", F.substring("_key", 1, bucket_digits))
+    in_last = F.coalesce(F.col("_bucket") <= F.col("_cut"), F.lit(False))
+    x = x.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_whole")))).where((F.col("epoch") < F.col("_whole")) | in_last)
+    at_end = (F.col("epoch") == F.col("_whole")) & (F.col("_bucket") == F.col("_cut"))
+    done = x.where(~F.coalesce(at_end, F.lit(False))).withColumn("take_tokens", F.col("n_tokens"))
+    inside = Window.partitionBy(*path).orderBy("_key", F.col(key), "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    part = x.where(at_end).withColumn("_begin", F.col("_ahead") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).where(F.col("_begin") < F.col("_rest"))
     part = part.withColumn("take_tokens", F.least(F.col("n_tokens"), F.col("_rest") - F.col("_begin")))
     out = [*[c for c in docs.columns if c not in ("epoch", "n_tokens", "take_tokens")], "epoch", "n_tokens", "take_tokens"]
     return done.select(*out).unionByName(part.select(*out))
