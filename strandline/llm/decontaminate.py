@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore
-from .staging import fresh, with_fields
+from .staging import with_fields
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -198,12 +198,12 @@ class Matcher:
 FOUND = "n_words bigint, n_hit bigint, spans array<array<bigint>>, hit_items array<string>"
 
 
-def _scan(matcher):
+def _scan(matcher, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = matcher.value
         for batch in batches:
             columns = {"n_words": [], "n_hit": [], "spans": [], "hit_items": []}
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(batch.schema.names.index(text))
             for a, b, data, offsets in textcore.slices(texts):
                 hashes, first = textcore.word_hashes(data, offsets, textcore.NOT_ALNUM)
                 n_docs = b - a
@@ -232,7 +232,7 @@ def _scan(matcher):
             types = {"n_words": pa.int64(), "n_hit": pa.int64(), "spans": pa.list_(pa.list_(pa.int64())), "hit_items": pa.list_(pa.string())}
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(v, types[k]) for k, v in columns.items()]], [*batch.schema.names, *columns])
 
-    return run
+    return textcore.tidy(run)
 
 
 def item_blocks(benchmark: DataFrame, item: str, text: str, block_words: int) -> Iterator[list[tuple[object, str]]]:
@@ -251,13 +251,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     """``docs`` with n_words, n_hit, spans (merged [first, end) word spans) and hit_items
     (sorted identifiers of the items with occurring windows)."""
     base = docs.drop("n_words", "n_hit", "spans", "hit_items")
-    spare = fresh(base.columns, "_text")
     out = None
     for block in item_blocks(benchmark, item, item_text, block_words):
         matcher = docs.sparkSession.sparkContext.broadcast(Matcher(block, window))
         source = base if out is None else out.withColumnsRenamed({"n_words": "_w", "n_hit": "_h", "spans": "_s", "hit_items": "_i"})
-        wide = source.withColumn(spare, F.col(text))
-        found = wide.mapInArrow(_scan(matcher), with_fields(wide.schema, FOUND)).drop(spare)
+        found = source.mapInArrow(_scan(matcher, text), with_fields(source.schema, FOUND))
         if out is not None:
             words = F.array_distinct(F.flatten(F.transform(F.concat("_s", "spans"), lambda s: F.sequence(s[0], s[1] - 1))))
             found = found.withColumn("spans", F.array_sort(F.concat("_s", "spans"))).withColumn("n_hit", F.size(words).cast("long"))
@@ -286,7 +284,7 @@ def _cut(name: str):
             done = [t.as_py() if not s.as_py() else _cut_text(t.as_py().encode(), s.as_py()).decode("utf-8", "replace") for t, s in zip(texts, spans, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(done, pa.string()) if n == name else batch.column(i) for i, n in enumerate(names)], names)
 
-    return run
+    return textcore.tidy(run)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", max_coverage: float = 0.5, **options) -> DataFrame:

@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textcore
+
 TRIE_BYTES = 96 << 20
 NODE_BYTES = 220
 BATCH_BYTES = 2 << 20
@@ -213,7 +215,7 @@ def _local(better: Callable, limit: int):
         if rows:
             yield _flush(rows)
 
-    return run
+    return textcore.tidy(run)
 
 
 def _global(better: Callable, limit: int):
@@ -234,12 +236,13 @@ def _global(better: Callable, limit: int):
         if rows:
             yield pa.RecordBatch.from_pylist([dict(zip(("sha", "keep_id", "group_size"), r, strict=True)) for r in rows], OWNERS)
 
-    return run
+    return textcore.tidy(run)
 
 
 OWNERS = pa.schema([("sha", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
 
 
+@textcore.tidy
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sha = pa.array([hashlib.sha256(t).digest() for t in _texts(batch.column(1))], pa.binary())

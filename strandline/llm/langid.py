@@ -32,7 +32,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import fresh, with_fields
+from . import textcore
+from .staging import with_fields
 
 UNDETERMINED = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -136,21 +137,22 @@ class Coder:
         return self.langs[best], score, margin
 
 
-def _classifier(dictionaries: Mapping[str, bytes], min_margin: float, margin_bytes: int):
+def _classifier(dictionaries: Mapping[str, bytes], text: str, min_margin: float, margin_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(dictionaries)
         for batch in batches:
             lang, score, margin = [], [], []
-            for x in batch.column(batch.num_columns - 1):
+            texts = batch.column(batch.schema.names.index(text))
+            for x in texts:
                 found, s, m = coder.classify(x.as_py())
                 lang.append(found)
                 score.append(s)
                 margin.append(m)
-            enough = pc.fill_null(pc.greater_equal(pc.binary_length(batch.column(batch.num_columns - 1)), margin_bytes), False).to_pylist()
+            enough = pc.fill_null(pc.greater_equal(pc.binary_length(texts), margin_bytes), False).to_pylist()
             rejected = [f == UNDETERMINED or (e and m < min_margin) for f, m, e in zip(lang, margin, enough, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array(rejected, pa.bool_())], [*batch.schema.names, "lang_pred", "lang_score", "lang_margin", "lang_rejected"])
 
-    return run
+    return textcore.tidy(run)
 
 
 def classify(docs: DataFrame, dictionaries: Mapping[str, bytes], text: str = "text", min_margin: float = 0.0, margin_bytes: int = 0) -> DataFrame:
@@ -160,10 +162,8 @@ def classify(docs: DataFrame, dictionaries: Mapping[str, bytes], text: str = "te
     below ``min_margin``; on shorter texts a narrow margin only shows a lack of evidence."""
     new = ["lang_pred", "lang_score", "lang_margin", "lang_rejected"]
     base = docs.drop(*new)
-    spare = fresh(base.columns, "_text")
-    wide = base.withColumn(spare, F.col(text))
-    out = with_fields(wide.schema, "lang_pred string, lang_score double, lang_margin double, lang_rejected boolean")
-    return wide.mapInArrow(_classifier(dict(dictionaries), min_margin, margin_bytes), out).drop(spare)
+    out = with_fields(base.schema, "lang_pred string, lang_score double, lang_margin double, lang_rejected boolean")
+    return base.mapInArrow(_classifier(dict(dictionaries), text, min_margin, margin_bytes), out)
 
 
 def held_out(key: str, modulus: int, remainder: int) -> Column:

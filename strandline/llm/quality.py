@@ -84,6 +84,7 @@ def add_contexts(total: np.ndarray, buckets: np.ndarray, first: np.ndarray) -> N
                 total += np.bincount(a * DIM + _PLACE[b, j], _SIGN[b, j], BUCKETS * DIM).astype(np.int64)
 
 
+@textcore.tidy
 def _accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(BUCKETS * DIM, np.int64)
     for batch in batches:
@@ -186,7 +187,7 @@ def _features(vectors):
                 x = pooled(vectors.value, data, offsets).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([row.tobytes() for row in x], pa.binary())], ["label", "x"])
 
-    return run
+    return textcore.tidy(run)
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample_docs: int = SAMPLE_DOCS, learn_from=None) -> tuple[np.ndarray, Network]:
@@ -213,7 +214,7 @@ def _score(model):
             score = np.clip(np.concatenate(scores) if scores else np.zeros(0), 0, 1)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], [*batch.schema.names[:-1], "score"])
 
-    return run
+    return textcore.tidy(run)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, Network], text: str = "text") -> DataFrame:

@@ -10,6 +10,8 @@ Null texts count as empty texts.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,3 +133,25 @@ def crc32_of_ids(ids) -> np.ndarray:
     import zlib
 
     return np.fromiter((zlib.crc32(b"" if i is None else str(i).encode()) for i in ids), np.int64, len(ids))
+
+
+def release() -> None:
+    """Give freed memory back to the system; Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def tidy(run):
+    """``run`` (a generator function over batches), followed by :func:`release`."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
