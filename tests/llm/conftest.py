@@ -19,7 +19,7 @@ def rows():
         (4, "same text here", "fr", "s0"),
         (5, "123 !!! ... \t\n ", None, "s0"),
         (6, long, "en", "s2"),
-        (7, "École à Ünïcode 漢字 Released under the MIT License.", "fr", "s2"),
+        (7, "École à Ünïcode 漢字. Released under the MIT License.", "fr", "s2"),
     ]
     return [(i, t, lang, s, None if t is None else len(t)) for i, t, lang, s in texts]
 
