@@ -12,7 +12,8 @@ Only the dictionaries are learned.  They come from a bounded sample: at most
 ``sample_docs`` documents per language, chosen by a hash of their identifiers
 among all labelled rows, of each of them the bytes that the dictionary has room
 for.  The rows that reach the driver are bounded by ``sample_docs`` and the
-number of languages.
+number of languages.  A language with little text has a small dictionary, and the
+others keep theirs whole: it wins the texts that its few bytes do encode best.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
 equal sizes go to the first language in alphabetical order, with margin 0;
@@ -74,7 +75,7 @@ def sample_by_language(docs: DataFrame, key: str, text: str, lang: str, sample_d
 
 
 def build_dictionaries(samples: Mapping[str, list[str]], dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """Equal shares of each sampled text, joined; all languages get the same size."""
+    """Equal shares of each sampled text, joined; each language has as much as its own texts give."""
     pools = {}
     for lang, texts in samples.items():
         raw = [letters(t).encode() for t in texts]
@@ -84,10 +85,7 @@ def build_dictionaries(samples: Mapping[str, list[str]], dictionary_bytes: int =
             part.append(take)
             room -= len(take) + 1
         pools[lang] = b"\n".join(part)[-dictionary_bytes:]
-    if not pools:
-        return {}
-    size = max(8, min(map(len, pools.values())))
-    return {lang: pools[lang][-size:] for lang in sorted(pools)}
+    return {lang: pools[lang] for lang in sorted(pools)}
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
@@ -98,8 +96,10 @@ class Coder:
     def __init__(self, dictionaries: Mapping[str, bytes], level: int = LEVEL, block_bytes: int = BLOCK_BYTES):
         self.langs, self.block_bytes = list(dictionaries), block_bytes
         self.coders = [self._coder(raw, level, block_bytes, 4) for raw in dictionaries.values()]
-        self.prelude = b" ".join(raw[:PRELUDE_BYTES] for raw in dictionaries.values()) + b" "
-        self.fine = [self._coder(raw[PRELUDE_BYTES:], FINE_LEVEL, 2 * FINE_BYTES, 3) for raw in dictionaries.values()]
+        # A small dictionary gives the prelude half of itself, so that something of it is its own.
+        given = [min(PRELUDE_BYTES, len(raw) // 2) for raw in dictionaries.values()]
+        self.prelude = b" ".join(raw[:n] for n, raw in zip(given, dictionaries.values(), strict=True)) + b" "
+        self.fine = [self._coder(raw[n:], FINE_LEVEL, 2 * FINE_BYTES, 3) for n, raw in zip(given, dictionaries.values(), strict=True)]
         self.idle = [len(c.compress(self.prelude)) for c in self.fine]
 
     @staticmethod

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,6 +149,24 @@ def test_language_accuracy_on_held_out(spark):
     assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) / len(held) > 0.95
 
 
+@has_tables
+def test_rare_language_leaves_the_other_dictionaries_whole():
+    rows = pq.read_table(f"{SF.replace('0.001', '0.01')}/documents.parquet").to_pylist()
+    samples, held = defaultdict(list), []
+    for d in rows:
+        if d["lang"] and d["text"]:
+            (held if zlib.crc32(str(d["doc_id"]).encode()) % 5 == 0 else samples[d["lang"]]).append((d["lang"], d["text"]))
+    samples = {k: [t for _, t in v][:64] for k, v in samples.items()}
+    rare = "alpha beta gamma delta epsilon zeta eta theta"
+    plain, mixed = langid.build_dictionaries(samples), langid.build_dictionaries({**samples, "xx": [rare]})
+    assert {k: v for k, v in mixed.items() if k != "xx"} == plain and min(map(len, plain.values())) > 1000
+    coder = langid.Coder(mixed)
+    assert coder.classify(rare)[0] == "xx"
+    assert sum(coder.classify(t)[0] == lang for lang, t in held) / len(held) > 0.95
+    short = [(lang, t) for lang, t in held if len(t) <= langid.FINE_BYTES]
+    assert sum(coder.classify(t)[0] == lang for lang, t in short) / len(short) > 0.8
+
+
 def near_components(texts, words, num, den):
     sets = {}
     for i, t in texts.items():
