@@ -3,8 +3,7 @@
 The model is a byte-context trie of order ``ORDER``, counted over all training
 texts.  A byte that its longest known context has never seen escapes to the next
 shorter one: the escape share is estimated from the number of distinct
-successors (method C) and from the mass of pruned successors, and the symbols of
-the longer context are excluded below.  Under the empty context every byte that
+successors (method C), and the symbols of the longer context are excluded below.  Under the empty context every byte that
 is still possible has the same probability.  Texts are lower-cased (A-Z) and end
 in a zero byte, so the probabilities of all texts sum to one; a text's code
 length is the sum over its bytes.
@@ -12,13 +11,14 @@ length is the sum over its bytes.
 How it runs.  Counting happens per input partition on packed integers (a context
 and its byte are one 64-bit number) and leaves each task as a few sorted,
 compressed blocks per key range, not as rows.  Merging tasks add up a key range.
-Trie nodes are kept when they hold at least ``1 / NODES`` of the training
-bytes, which bounds the trie that is broadcast to ``NODES`` nodes per order
-whatever the size of the corpus, by a rule that is relative and so behaves alike
-at every size.  The unigram reference (``base_score``) needs exact counts of all
-words, which have no such bound: documents are dealt into chunks, each chunk
-asks for the counts of its distinct words by key range, and the answers come
-back to the chunk.
+No node is dropped, so the trie grows with the corpus and is never in one place:
+a key range has all grams whose contexts end in the same two bytes, thus whole
+contexts of order 2 and more.  Only orders 0 and 1 (at most 65,536 nodes) are
+broadcast.  Documents are dealt into chunks; each chunk asks for the costs of its
+distinct grams and for the counts of its distinct words (the unigram reference,
+``base_score``) by key range, and the answers come back to the chunk.  ``nodes``,
+if given, prunes nodes of less than ``1 / nodes`` of the training bytes; their
+mass goes to the escapes.
 
 Defined results: null counts as empty (its end is still scored); a byte zero
 inside a text is scored like an end; without training texts the trie is empty
@@ -43,7 +43,6 @@ from .langid import held_out
 from .staging import staged
 
 ORDER = 5
-NODES = 1 << 21
 CHUNK_BYTES = 32 << 20
 END = np.uint64(zlib.crc32(b"end of text") | 1 << 40)
 
@@ -121,9 +120,9 @@ def word_range(keys: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def gram_range(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """Key range of each gram: the same for all grams with the same last two bytes."""
+    """Key range of each gram: the same for all grams whose contexts end in the same two bytes."""
     with np.errstate(over="ignore"):
-        return ((((keys & _U(0xFFFF)) + _U(1)) * _U(0x9E3779B97F4A7C15) >> _U(40)) % _U(ranges)).astype(np.int64)
+        return ((((keys >> _U(8) & _U(0xFFFF)) + _U(1)) * _U(0x9E3779B97F4A7C15) >> _U(40)) % _U(ranges)).astype(np.int64)
 
 
 BLOCK = "kind int, part int, keys binary, counts binary"
@@ -169,34 +168,24 @@ def _count(order: int, ranges: int, held: int = 4_000_000):
     return textcore.tidy(run)
 
 
-def _merge(order: int, least: int):
-    """Sums of a key range.  Grams come back as the kept nodes of each order (kind =
-    order; order 0 whole), words as kind 100."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], tuple[list, list]] = {}
-        for batch in batches:
-            for kind, part, keys, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                store = held.setdefault((kind, part), ([], []))
-                store[0].append(unpack(keys))
-                store[1].append(unpack_counts(counts))
-                if len(store[0]) >= 16:
-                    k, c = add_up(*store)
-                    held[kind, part] = ([k], [c])
-        for kind, part in sorted(held):
-            k, c = add_up(*held.pop((kind, part)))
-            if kind == 1:
-                yield _block_batch([(100, part, pack(k), pack_counts(c))])
-                continue
-            rows = []
-            for o in range(order, -1, -1):
-                if o < order:
-                    k, c = add_up([k & _U((1 << 8 * (o + 1)) - 1)], [c])
-                keep = c >= least if o else c > 0
-                rows.append((o, part, pack(k[keep]), pack_counts(c[keep])))
-            yield _block_batch(rows)
-
-    return textcore.tidy(run)
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of a key range, of grams (kind 0) and words (kind 1), and the order 1 of its grams (kind 2)."""
+    held: dict[tuple[int, int], tuple[list, list]] = {}
+    for batch in batches:
+        for kind, part, keys, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            store = held.setdefault((kind, part), ([], []))
+            store[0].append(unpack(keys))
+            store[1].append(unpack_counts(counts))
+            if len(store[0]) >= 16:
+                k, c = add_up(*store)
+                held[kind, part] = ([k], [c])
+    for kind, part in sorted(held):
+        k, c = add_up(*held.pop((kind, part)))
+        rows = [(kind, part, pack(k), pack_counts(c))]
+        if kind == 0:
+            k, c = add_up([k & _U(0xFFFF)], [c])
+            rows.append((2, part, pack(k), pack_counts(c)))
+        yield _block_batch(rows)
 
 
 class Table:
@@ -249,30 +238,44 @@ class Table:
 
 
 class Trie:
-    """The kept nodes of each order as sorted packed grams with counts."""
+    """The nodes of each order as sorted packed grams with counts."""
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], least: int = 1):
         self.order = len(levels) - 1
-        self.levels = levels
-        self.contexts = []
+        self.levels, self.contexts = [], []
         for o, (keys, counts) in enumerate(levels):
-            context = keys >> _U(8)
-            first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), context[1:] != context[:-1]]))
-            name = context[first]
+            name, first = self._contexts(keys)
+            whole = np.add.reduceat(counts, first) if len(first) else counts
+            if o and least > 1:
+                keep, names = counts >= least, name
+                keys, counts = keys[keep], counts[keep]
+                name, first = self._contexts(keys)
+                whole = whole[np.searchsorted(names, name)]
             kept = np.add.reduceat(counts, first) if len(first) else counts
             distinct = np.diff(np.append(first, len(keys)))
-            if o == 0:
-                whole, below = kept, np.zeros(len(first), np.int64)
-            else:
-                low_keys, low_counts = levels[o - 1]
-                at = np.minimum(np.searchsorted(low_keys, name), max(0, len(low_keys) - 1))
-                same = low_keys[at] == name if len(low_keys) else np.zeros(len(name), bool)
-                whole = np.maximum(np.where(same, low_counts[at] if len(low_keys) else 0, 0), kept)
-                suffix = np.searchsorted(low_keys, keys & _U((1 << 8 * o) - 1))
-                below = np.add.reduceat(low_counts[suffix], first) if len(first) else kept
+            below = np.zeros(len(first), np.int64)
+            if o and len(first):
+                low_keys, low_counts = self.levels[o - 1]
+                below = np.add.reduceat(low_counts[np.searchsorted(low_keys, keys & _U((1 << 8 * o) - 1))], first)
+            self.levels.append((keys, counts))
             self.contexts.append((name, kept, distinct, whole - kept, below))
-        top = levels[-1][0]
-        self.cost = Table(top, self.log10(top)) if len(top) else None
+
+    @staticmethod
+    def _contexts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct contexts and where each one's nodes begin."""
+        context = keys >> _U(8)
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), context[1:] != context[:-1]]))
+        return context[first], first
+
+    @classmethod
+    def of_range(cls, low: list[tuple[np.ndarray, np.ndarray]], order: int, keys: np.ndarray, counts: np.ndarray, least: int) -> Trie:
+        """The trie of a key range: its own contexts of order 2 and more, and orders 0 and 1 of all."""
+        levels = []
+        for o in range(order, 1, -1):
+            if o < order:
+                keys, counts = add_up([keys & _U((1 << 8 * (o + 1)) - 1)], [counts])
+            levels.append((keys, counts))
+        return cls([*low[: order + 1], *levels[::-1]], least)
 
     def log10(self, g: np.ndarray) -> np.ndarray:
         """log10 of the probability of each gram's last byte after its other bytes."""
@@ -305,32 +308,24 @@ class Trie:
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         g, at = grams(data, offsets, self.order)
-        cost = np.zeros(len(g))
-        if self.cost is None:
-            missing = np.ones(len(g), bool)
-        else:
-            cost, found = self.cost.get(g)
-            missing = ~found
-        if missing.any():
-            distinct, back = np.unique(g[missing], return_inverse=True)
-            cost[missing] = self.log10(distinct)[back]
-        return np.add.reduceat(cost, at[:-1]) if len(at) > 1 else cost[:0]
-
-
-def train(docs: DataFrame, text: str, order: int, nodes: int, ranges: int) -> tuple[Trie, DataFrame, int, int]:
-    """(trie, staged word counts by key range, training tokens, distinct training tokens)."""
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 1), F.lit(0))).first()[0]
-    least = max(2, -(-size // nodes))
+        distinct, back = np.unique(g, return_inverse=True)
+        return np.add.reduceat(self.log10(distinct)[back], at[:-1]) if len(at) > 1 else np.zeros(0)
+
+
+def train(docs: DataFrame, text: str, order: int, nodes: int | None, ranges: int) -> tuple[DataFrame, list[tuple[np.ndarray, np.ndarray]], int, int, int]:
+    """(staged counts by key range, orders 0 and 1, least count of a node, training tokens, distinct training tokens)."""
+    least = 1
+    if nodes:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 1), F.lit(0))).first()[0]
+        least = max(1, -(-size // nodes))
     blocks = docs.select(F.col(text)).mapInArrow(_count(order, ranges), BLOCK)
-    merged = staged(blocks.repartition(ranges, "part").mapInArrow(_merge(order, least), BLOCK), "ppm")
-    levels: list[tuple[list, list]] = [([], []) for _ in range(order + 1)]
-    for row in merged.where(F.col("kind") < 100).toLocalIterator():
-        levels[row["kind"]][0].append(unpack(row["keys"]))
-        levels[row["kind"]][1].append(unpack_counts(row["counts"]))
-    trie = Trie([add_up(k, c) if k else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for k, c in levels])
-    words = merged.where(F.col("kind") == 100).select("part", "keys", "counts")
-    sums = words.mapInArrow(_totals, "tokens bigint, types bigint").agg(F.sum("tokens"), F.sum("types")).first()
-    return trie, words, int(sums[0] or 0), int(sums[1] or 0)
+    merged = staged(blocks.repartition(ranges, "part").mapInArrow(_merge, BLOCK), "ppm")
+    pair = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    for row in merged.where("kind = 2").toLocalIterator():
+        pair = add_up([pair[0], unpack(row["keys"])], [pair[1], unpack_counts(row["counts"])])
+    low = [add_up([pair[0] & _U(0xFF)], [pair[1]]), pair]
+    sums = merged.where("kind = 1").select("part", "keys", "counts").mapInArrow(_totals, "tokens bigint, types bigint").agg(F.sum("tokens"), F.sum("types")).first()
+    return merged.where("kind < 2"), low, least, int(sums[0] or 0), int(sums[1] or 0)
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,85 +334,129 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([int(c.sum()) for c in counts], pa.int64()), pa.array([len(c) for c in counts], pa.int64())], ["tokens", "types"])
 
 
-def _chunk_words(table_text: pa.ChunkedArray) -> np.ndarray:
-    distinct = [np.unique(tokens(data, offsets)[0]) for a in table_text.chunks for _, _, data, offsets in textcore.slices(a)]
-    return np.unique(np.concatenate(distinct)) if distinct else np.zeros(0, np.uint64)
+def _chunk_slices(texts: pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for a in texts.chunks:
+        for _, _, data, offsets in textcore.slices(a):
+            yield data, offsets
+
+
+def _chunk_distinct(texts: pa.ChunkedArray, find, held: int = 2_000_000) -> np.ndarray:
+    """Distinct keys of a chunk's texts, in order; ``find`` is ``tokens`` or gives grams."""
+    found, size = [np.zeros(0, np.uint64)], 0
+    for data, offsets in _chunk_slices(texts):
+        found.append(sorted_distinct(find(data, offsets)[0]))
+        size += len(found[-1])
+        if size > held:
+            found, size = [sorted_distinct(np.concatenate(found))], 0
+    return sorted_distinct(np.concatenate(found))
+
 
+def sorted_distinct(keys: np.ndarray) -> np.ndarray:
+    k = np.sort(keys)
+    return k[np.concatenate([np.ones(min(1, len(k)), bool), k[1:] != k[:-1]])]
 
-def _ask(ranges: int):
-    """A chunk's distinct words, by key range."""
+
+def _ask(order: int, ranges: int):
+    """A chunk's distinct grams (kind 0) and words (kind 1), by key range."""
 
     def run(table: pa.Table) -> pa.Table:
-        words = _chunk_words(table.column("_text"))
-        part = word_range(words, ranges)
-        edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-        chunk = table.column("_chunk")[0].as_py()
-        rows = [(int(part[a]), chunk, pack(words[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "chunk": pa.array([r[1] for r in rows], pa.int32()), "keys": pa.array([r[2] for r in rows], pa.binary()), "counts": pa.array([b""] * len(rows), pa.binary())})
+        chunk, rows = table.column("_chunk")[0].as_py(), []
+        for kind, find, place in ((0, lambda d, o: grams(d, o, order), gram_range), (1, tokens, word_range)):
+            keys = _chunk_distinct(table.column("_text"), find)
+            part = place(keys, ranges)
+            rank = np.argsort(part, kind="stable")
+            keys, part = keys[rank], part[rank]
+            edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+            rows += [(kind, int(part[a]), chunk, pack(keys[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        kinds, parts, chunks, keys = zip(*rows, strict=True)
+        return pa.table({"kind": pa.array(kinds, pa.int32()), "part": pa.array(parts, pa.int32()), "chunk": pa.array(chunks, pa.int32()), "keys": pa.array(keys, pa.binary()), "counts": pa.array([b""] * len(rows), pa.binary())})
 
     return run
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Within each key range the counts (chunk -1) come first, then the chunks that ask."""
-    now, keys, counts = None, None, None
-    for batch in batches:
-        chunks, parts, answers = [], [], []
-        for part, chunk, k, c in zip(*[x.to_pylist() for x in batch.columns], strict=True):
-            if part != now:
-                now, keys, counts = part, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            if chunk < 0:
-                keys, counts = unpack(k), unpack_counts(c)
-                continue
-            asked = unpack(k)
-            found = np.zeros(len(asked), np.int64)
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-                found = np.where(keys[at] == asked, counts[at], 0)
-            chunks.append(chunk)
-            parts.append(part)
-            answers.append(pack_counts(found))
-        yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array(parts, pa.int32()), pa.array(answers, pa.binary())], ["chunk", "part", "counts"])
+ANSWER = "chunk int, kind int, part int, keys binary, found binary"
+ANSWER_BYTES = 8 << 20
+
+
+def _answer(low, order: int, least: int):
+    """Costs of grams (with their keys) and counts of words (in the order of their hashes).
+    Within each key range and kind the counts (chunk -1) come first, then the chunks that ask."""
+
+    def answers(rows: list[tuple]) -> pa.RecordBatch:
+        chunk, kind, part, keys, found = zip(*rows, strict=True) if rows else [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(chunk, pa.int32()), pa.array(kind, pa.int32()), pa.array(part, pa.int32()), pa.array(keys, pa.binary()), pa.array(found, pa.binary())], ["chunk", "kind", "part", "keys", "found"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, counts, trie = None, None, None, None
+        for batch in batches:
+            rows, size = [], 0
+            for kind, part, chunk, k, c in zip(*[batch.column(i) for i in range(5)], strict=True):
+                kind, part, chunk, k, c = kind.as_py(), part.as_py(), chunk.as_py(), k.as_py(), c.as_py()
+                if (kind, part) != now:
+                    now, keys, counts, trie = (kind, part), np.zeros(0, np.uint64), np.zeros(0, np.int64), None
+                if chunk < 0:
+                    keys, counts = unpack(k), unpack_counts(c)
+                    continue
+                asked = unpack(k)
+                if kind == 0:
+                    if trie is None:
+                        trie = Trie.of_range(low.value, order, keys, counts, least)
+                    rows.append((chunk, kind, part, k, pack_counts(trie.log10(asked).view(np.uint64))))
+                else:
+                    found = np.zeros(len(asked), np.int64)
+                    if len(keys):
+                        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                        found = np.where(keys[at] == asked, counts[at], 0)
+                    rows.append((chunk, kind, part, b"", pack_counts(found)))
+                size += len(rows[-1][3]) + len(rows[-1][4])
+                if size > ANSWER_BYTES:
+                    yield answers(rows)
+                    rows, size = [], 0
+            yield answers(rows)
+
+    return textcore.tidy(run)
 
 
 SCORES = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _score(trie, total: int, types: int):
+def _score(order: int, total: int, types: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        model = trie.value
-        words = _chunk_words(docs.column("_text"))
-        parts = sorted(zip(answers.column("part").to_pylist(), answers.column("counts").to_pylist(), strict=True))
-        counts = np.concatenate([unpack_counts(c) for _, c in parts]) if parts else np.zeros(0, np.int64)
-        lookup = Table(words, counts)
+        words = _chunk_distinct(docs.column("_text"), tokens)
+        told = sorted(zip(*[answers.column(c).to_pylist() for c in ("kind", "part", "keys", "found")], strict=True))
+        counts = [unpack_counts(found) for kind, _, _, found in told if kind == 1]
+        lookup = Table(words, np.concatenate(counts) if counts else np.zeros(0, np.int64))
+        known = [(unpack(keys), unpack_counts(found).view(np.float64)) for kind, _, keys, found in told if kind == 0]
+        costs = Table(*[np.concatenate(x) for x in zip(*known, strict=True)]) if known else Table(np.zeros(0, np.uint64), np.zeros(0))
+        del told, counts, known
         columns = [[], [], [], []]
-        for array in docs.column("_text").chunks:
-            for _, _, data, offsets in textcore.slices(array):
-                hashes, at = tokens(data, offsets)
-                c, _ = lookup.get(hashes)
-                base = np.log10((c + 0.5) / (total + 0.5 * (types + 1)))
-                columns[0].append(np.diff(at))
-                columns[1].append(np.add.reduceat((c > 0).astype(np.int64), at[:-1]))
-                columns[2].append(np.add.reduceat(base, at[:-1]))
-                columns[3].append(model.scores(data, offsets))
+        for data, offsets in _chunk_slices(docs.column("_text")):
+            hashes, at = tokens(data, offsets)
+            c, _ = lookup.get(hashes)
+            base = np.log10((c + 0.5) / (total + 0.5 * (types + 1)))
+            columns[0].append(np.diff(at))
+            columns[1].append(np.add.reduceat((c > 0).astype(np.int64), at[:-1]))
+            columns[2].append(np.add.reduceat(base, at[:-1]))
+            g, at = grams(data, offsets, order)
+            columns[3].append(np.add.reduceat(costs.get(g)[0], at[:-1]))
         return pa.table([docs.column("_id").combine_chunks(), *[pa.array(np.concatenate(x) if x else []) for x in columns]], schema=SCORES)
 
     return run
 
 
-def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = 5, remainder: int = 1, order: int = ORDER, nodes: int = NODES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = 5, remainder: int = 1, order: int = ORDER, nodes: int | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row per document: key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     ranges = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
-    trie, words, total, types = train(rows.where(~held_out("_id", modulus, remainder)), "_text", order, nodes, ranges)
+    counts, low, least, total, types = train(rows.where(~held_out("_id", modulus, remainder)), "_text", order, nodes, ranges)
     size = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
     chunks = max(1, -(-size // chunk_bytes))
     chunk = F.pmod(F.xxhash64("_id", F.crc32(F.coalesce(F.col("_text"), F.lit("")).cast("binary"))), F.lit(chunks)).cast("int")
     dealt = rows.withColumn("_chunk", chunk)
-    asked = dealt.groupBy("_chunk").applyInArrow(_ask(ranges), "part int, chunk int, keys binary, counts binary")
-    known = words.select("part", F.lit(-1).cast("int").alias("chunk"), "keys", "counts")
-    answers = known.unionByName(asked).repartition(ranges, "part").sortWithinPartitions("part", "chunk").mapInArrow(_answer, "chunk int, part int, counts binary")
-    model = spark.sparkContext.broadcast(trie)
-    found = dealt.groupBy("_chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(model, total, types), "id long, n_tokens long, n_known long, base_score double, score double")
+    asked = dealt.groupBy("_chunk").applyInArrow(_ask(order, ranges), "kind int, part int, chunk int, keys binary, counts binary")
+    known = counts.select("kind", "part", F.lit(-1).cast("int").alias("chunk"), "keys", "counts")
+    told = _answer(spark.sparkContext.broadcast(low), order, least)
+    answers = known.unionByName(asked).repartition(ranges, "part").sortWithinPartitions("kind", "part", "chunk").mapInArrow(told, ANSWER)
+    found = dealt.groupBy("_chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(order, total, types), "id long, n_tokens long, n_known long, base_score double, score double")
     return found.select(F.col("id").alias(key), held_out("id", modulus, remainder).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -319,6 +319,15 @@ def test_ppm_equals_brute_force(spark):
         assert (10 ** low.log10(g)).sum() == pytest.approx(1.0)
 
 
+def test_ppm_keeps_every_node_by_default(spark):
+    r = random.Random(8)
+    texts = ["".join(r.choice("abcA é\n") for _ in range(r.randrange(80))) for _ in range(60)] + ["the only text with these words", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    learned = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    for r in ppm.score_documents(df).collect():
+        assert r["score"] == pytest.approx(brute_ppm(learned, texts[r["doc_id"]], ppm.ORDER))
+
+
 def test_packed_integers_round_trip():
     r = np.random.Generator(np.random.PCG64(2))
     keys, counts = np.unique(r.integers(0, 1 << 63, 5000, dtype=np.uint64)), r.integers(0, 1 << 40, 77)
