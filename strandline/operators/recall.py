@@ -51,6 +51,19 @@ def _ranked(df: DataFrame, order: list) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1)
 
 
+def _ranked_whole(df: DataFrame, parts: int = 64) -> DataFrame:
+    """0-based ranks by level and id of any number of rows: each id range is ranked by itself and
+    starts after those before it.  About ``parts`` ids, chosen by hash, bound the ranges."""
+    step = max(1, -(-df.count() // parts))
+    marks = [r["id"] for r in df.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("id").distinct().collect()]
+    part = F.size(F.filter(F.array(*[F.lit(m) for m in marks]), lambda m: m <= F.col("id"))) if marks else F.lit(0)
+    placed = df.withColumn("_part", part)
+    before = Window.partitionBy(F.lit(0)).orderBy("level", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("level", "_part").count().select("level", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("level", "_part").orderBy("id")) - 1
+    return placed.withColumn("_own", own).join(F.broadcast(starts), ["level", "_part"]).withColumn("rank", F.col("_start") + F.col("_own")).drop("_part", "_own", "_start")
+
+
 def _result(df: DataFrame, kind: str, prefix: str, content, ids, source, metadata) -> DataFrame:
     return df.select(F.lit(kind).alias("result_type"), F.concat(F.lit(prefix), F.col("id")).alias("key"), content.alias("content"), ids.alias("entity_ids"), source.alias("source"), metadata.alias("metadata"), "rank")
 
@@ -87,11 +100,12 @@ def recall_graph(s: Sources, query: str, limit: int = LIMIT, edge: str | None =
     if not row:
         return _result(s.entities.limit(0).withColumn("rank", F.lit(0)), "entity", "entity:", F.lit(""), F.array().cast("array<string>"), F.col("source"), F.lit(None).cast("string"))
     nodes, edges = graph.traverse(s.entities, s.relationships, row[0]["id"], 1, [edge] if edge else None)
-    # A result's key occurs in this list alone, so what ranks beyond the limit can't be among the fused ones.
-    near = nodes.orderBy("level", "id").limit(E.check_limit(limit))
-    ends = edges.withColumn("node", F.explode(F.array_distinct(F.array("source_id", "target_id")))).join(F.broadcast(near.select(F.col("id").alias("node"))), "node", "left_semi")
+    # The whole neighbourhood is ranked: a source filter and other graph lists come after it.
+    E.check_limit(limit)
+    ends = edges.withColumn("node", F.explode(F.array_distinct(F.array("source_id", "target_id"))))
     incident = ends.groupBy("node").agg(F.array_join(F.sort_array(F.collect_list("type")), ", ").alias("rels"))
-    ranked = _ranked(near.join(incident, near["id"] == incident["node"], "left"), ["level", "id"])
+    near = _ranked_whole(nodes)
+    ranked = near.join(incident, near["id"] == incident["node"], "left")
     content = F.concat(F.col("name"), F.lit(" ("), F.col("type"), F.lit(")"), F.when(F.col("rels").isNull(), F.lit("")).otherwise(F.concat(F.lit(" ["), F.col("rels"), F.lit("]"))))
     return _result(ranked, "entity", "entity:", content, F.array("id"), F.col("source"), F.lit(None).cast("string"))
 

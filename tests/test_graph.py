@@ -119,3 +119,20 @@ def test_forget_source_default_and_strict(relations):
 def test_forget_needs_a_filter(relations):
     with pytest.raises(ValueError):
         forget.forget(relations)
+
+
+def test_recall_ranks_whole_neighbourhood(spark):
+    leaves = [f"c{i:03}" for i in range(150)]
+    hubs = [("h", "place", "Hub One", "x"), ("k", "place", "Other Two", "x")]
+    entities = _entities(spark, *hubs, *[(i, "leaf", i, "x") for i in leaves], ("z", "leaf", "zed", "geo"))
+    rels = _rels(spark, *[("h", "near", i) for i in [*leaves, "z"]], *[("k", "near", i) for i in [*leaves[100:], "z"]])
+    sources = recall.Sources(spark, entities=entities, relationships=rels)
+    one = {"type": "graph", "params": {"entity": "Hub One"}}
+    two = {"type": "graph", "params": {"entity": "Other Two"}}
+    ranks = {r["key"]: r["rank"] for r in recall.recall_graph(sources, "Hub One").collect()}
+    assert ranks == {f"entity:{i}": n for n, i in enumerate(["h", *leaves, "z"])}
+    geo = recall.recall(sources, "", subqueries=[one], source="geo").collect()
+    assert [(r["key"], r["score"]) for r in geo] == [("entity:z", round(1 / (60 + 151 + 1), 9))]
+    both = {r["key"]: r["score"] for r in recall.recall(sources, "", limit=200, subqueries=[one, two]).collect()}
+    assert both["entity:c100"] == round(1 / (60 + 101 + 1) + 1 / (60 + 1 + 1), 9)
+    assert recall.recall(sources, "", limit=1, subqueries=[one, two]).first()["key"] == "entity:c100"
