@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import canonical_json, trim
 
+# Field names of entities, relationships and memories, and the wikilink pattern below.
 ENTITY = "struct<type: string, name: string, attributes: string, source: string>"
 NO_ENTITIES = f"array<{ENTITY}>"
 
@@ -25,15 +26,19 @@ def frontmatter(content: Column) -> Column:
     parts = F.split(content, "---", 3)
     block = F.when(opens & (F.size(parts) == 3), trim(F.try_element_at(parts, F.lit(2))))
     lines = F.filter(F.transform(F.split(block, "\n"), trim), lambda s: F.contains(s, F.lit(":")))
-    pairs = F.transform(lines, lambda s: F.struct(trim(F.substring_index(s, ":", 1)).alias("k"), trim(F.regexp_replace(s, r"(?s)\A[^:]*:", "")).alias("v")))
-    # The last pair of each key, without relying on the session's map policy.
-    indexed = F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i")))
-    last = F.filter(indexed, lambda p: ~F.exists(indexed, lambda q: (q["k"] == p["k"]) & (q["i"] > p["i"])))
-    of = lambda key: F.coalesce(F.try_element_at(F.transform(F.filter(last, lambda p: p["k"] == key), lambda p: p["v"]), F.lit(1)), F.lit(""))
-    rest = F.filter(last, lambda p: ~p["k"].isin("name", "type"))
-    attributes = canonical_json(F.map_from_entries(F.transform(rest, lambda p: F.struct(p["k"], p["v"]))))
-    found = block.isNotNull() & (block != "") & ((of("name") != "") | (of("type") != ""))
-    return F.when(found, _entity(of("type"), of("name"), attributes, "frontmatter"))
+    pair = lambda s: F.struct(trim(F.substring_index(s, ":", 1)).alias("k"), trim(F.regexp_replace(s, r"(?s)\A[^:]*:", "")).alias("v"))
+    # Folded from the left: a later pair replaces the earlier one of its key.
+    empty = F.array().cast("array<struct<k: string, v: string>>")
+    last = F.aggregate(F.transform(lines, pair), empty, lambda kept, p: F.concat(F.filter(kept, lambda q: q["k"] != p["k"]), F.array(p)))
+    of = lambda kept, key: F.coalesce(F.try_element_at(F.transform(F.filter(kept, lambda p: p["k"] == key), lambda p: p["v"]), F.lit(1)), F.lit(""))
+
+    def entity(kept: Column) -> Column:
+        rest = F.filter(kept, lambda p: ~p["k"].isin("name", "type"))
+        attributes = canonical_json(F.map_from_entries(F.transform(rest, lambda p: F.struct(p["k"], p["v"]))))
+        return F.when((of(kept, "name") != "") | (of(kept, "type") != ""), _entity(of(kept, "type"), of(kept, "name"), attributes, "frontmatter"))
+
+    # One element: a lambda's variable holds the pairs, so they are computed once.
+    return F.get(F.transform(F.array(last), entity), 0)
 
 
 def wikilinks(content: Column) -> Column:
@@ -44,8 +49,8 @@ def wikilinks(content: Column) -> Column:
 
 def deterministic(content: Column) -> Column:
     """Frontmatter's entity and the wikilinks."""
-    first = frontmatter(content)
-    return F.concat(F.when(first.isNull(), F.array().cast(NO_ENTITIES)).otherwise(F.array(first)).cast(NO_ENTITIES), F.coalesce(wikilinks(content), F.array().cast(NO_ENTITIES)).cast(NO_ENTITIES))
+    first = F.filter(F.array(frontmatter(content)), lambda e: e.isNotNull()).cast(NO_ENTITIES)
+    return F.concat(first, F.coalesce(wikilinks(content), F.array().cast(NO_ENTITIES)).cast(NO_ENTITIES))
 
 
 def strip_fence(raw: Column) -> Column:
@@ -88,7 +93,10 @@ def model_json(raw: Column) -> Column:
     return F.when(broken, F.lit(None)).otherwise(whole)
 
 
-def hybrid(content: Column, answer: Column) -> Column:
+def joined(own: Column, model: Column) -> Column:
     """The deterministic entities, then the model's; nothing is merged."""
-    model = model_json(answer)
-    return F.struct(F.concat(deterministic(content), F.coalesce(model["entities"], F.array().cast(NO_ENTITIES))).alias("entities"), model["relationships"].alias("relationships"), model["memories"].alias("memories"))
+    return F.struct(F.concat(own, F.coalesce(model["entities"], F.array().cast(NO_ENTITIES))).alias("entities"), model["relationships"].alias("relationships"), model["memories"].alias("memories"))
+
+
+def hybrid(content: Column, answer: Column) -> Column:
+    return joined(deterministic(content), model_json(answer))

@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,14 +36,32 @@ def trim(column: Column) -> Column:
     return F.regexp_replace(column, r"(?U)\A\s+|\s+\z", "")
 
 
+# The combining marks that the search tokenizer drops, as ranges of a pattern.
+MARKS = "\u0300-\u0304\u0306-\u030c\u030f\u0311\u031b\u0323-\u0328\u032d\u032e\u0330\u0331"
+_IS_MARK = regex.compile(f"[{MARKS}]")
+
+
+def fold_char(c: str) -> str:
+    """A lower-case character as the index keeps it: case variants (final sigma, long s) become
+    one, and a letter a-z loses its mark if it carries a single one.  Marks of other scripts, and
+    letters with two marks, are letters of their own."""
+    plain = unicodedata.normalize("NFD", c.casefold())
+    if len(plain) == 2 and plain[0].isascii() and _IS_MARK.match(plain[1]):
+        return plain[0]
+    return c.casefold() if len(c.casefold()) == 1 else c
+
+
 def _folds() -> tuple[str, str]:
-    """Latin letters with marks (U+00C0 to U+024F) and the letters without, then the marks alone."""
-    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1]
-    marks = "".join(chr(c) for c in range(0x300, 0x370))
-    return "".join(a for a, _ in pairs) + marks, "".join(b for _, b in pairs)
+    """All lower-case characters that ``fold_char`` changes and what becomes of them, then the marks alone."""
+    pairs = [(c, fold_char(c)) for c in map(chr, range(0x80, 0x3000)) if c.lower() == c and fold_char(c) != c]
+    return "".join(a for a, _ in pairs) + "".join(c for c in map(chr, range(0x300, 0x370)) if _IS_MARK.match(c)), "".join(b for _, b in pairs)
 
 
 FOLD_FROM, FOLD_TO = _folds()
+_FOLD = {ord(c): FOLD_TO[i] if i < len(FOLD_TO) else None for i, c in enumerate(FOLD_FROM)}
+_LETTERS = r"\p{L}\p{N}\p{Co}"
+TOKEN = rf"[{_LETTERS}][{_LETTERS}{MARKS}]*"
+_TOKEN = regex.compile(TOKEN)
 
 
 def fold(column: Column) -> Column:
@@ -50,14 +69,13 @@ def fold(column: Column) -> Column:
 
 
 def search_tokens(column: Column) -> Column:
-    """Runs of letters and digits, lower-cased (marks still on; ``fold`` each token)."""
-    return F.regexp_extract_all(F.lower(column), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Runs of letters and digits, lower-cased and folded."""
+    return F.transform(F.regexp_extract_all(F.lower(column), F.lit(TOKEN), F.lit(0)), fold)
 
 
 def tokens_of(text: str) -> list[str]:
-    """The driver-side twin of ``search_tokens`` and ``fold``, for query strings."""
-    plain = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
-    return re.findall(r"[^\W_]+", plain)
+    """The driver-side twin of ``search_tokens``, for query strings."""
+    return [t.translate(_FOLD) for t in _TOKEN.findall(text.lower())]
 
 
 def sentences(column: Column) -> Column:

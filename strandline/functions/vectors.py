@@ -48,3 +48,14 @@ def embed_text(text: str | None) -> np.ndarray:
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def embed(texts: pd.Series) -> pd.Series:
     return texts.map(embed_text)
+
+
+def embed_with(embedder):
+    """``embedder`` as a function of a text column; it gets whole Arrow batches."""
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def embedded(texts: pd.Series) -> pd.Series:
+        found = embedder.embed([t or "" for t in texts]) if len(texts) else []
+        return pd.Series([np.asarray(v, np.float32) for v in found], dtype=object)
+
+    return embedded

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Relations = dict[str, DataFrame]
+RELATIONS = ("entities", "relationships", "chunks", "memories", "memory_entities", "embeddings")
 
 
 def _without(df: DataFrame, column: str, doomed: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import staged
+
 
 def _typed(relationships: DataFrame, types: list[str] | None) -> DataFrame:
     return relationships.where(F.col("type").isin(types)) if types else relationships
@@ -13,31 +15,23 @@ def _typed(relationships: DataFrame, types: list[str] | None) -> DataFrame:
 def levels(relationships: DataFrame, start: str, depth: int = 1, types: list[str] | None = None) -> DataFrame:
     """(id, level) of everything within ``depth`` hops of ``start``.
 
-    Each level joins the frontier to the edges, drops what was seen and goes on.  Lineage
-    is cut every second level where a checkpoint folder is set, so deep walks stay cheap to
-    recover."""
+    Each level joins the frontier to the edges and drops what was seen.  A frontier is written
+    before it is used again, so plans don't grow with the depth and its size is known to the planner."""
     if depth < 0:
         raise ValueError("depth must not be negative")
     spark = relationships.sparkSession
     rel = _typed(relationships, types).select("source_id", "target_id")
     edges = rel.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).union(rel.select("target_id", "source_id"))
-    seen = spark.createDataFrame([(start, 0)], "id string, level int")
-    frontier = seen
+    seen = frontier = spark.createDataFrame([(start, 0)], "id string, level int")
     for level in range(1, depth + 1):
         reached = edges.join(frontier.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        frontier = reached.join(seen, "id", "left_anti").withColumn("level", F.lit(level))
-        if level % 2 == 0 and level < depth:
-            frontier = frontier.checkpoint() if _has_checkpoint_folder(spark) else frontier
-            if frontier.isEmpty():
-                break
+        frontier = staged(reached.join(seen, "id", "left_anti").withColumn("level", F.lit(level)), "frontier")
+        if frontier.isEmpty():
+            break
         seen = seen.union(frontier)
     return seen
 
 
-def _has_checkpoint_folder(spark) -> bool:
-    return spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-
-
 def traverse(entities: DataFrame, relationships: DataFrame, start: str, depth: int = 1, types: list[str] | None = None, edge_multiplicity: str = "set") -> tuple[DataFrame, DataFrame]:
     """(nodes, edges).  Nodes carry their ``level``.  An edge is returned if one of its ends
     was explored (level < depth): once, or with ``edge_multiplicity='reference'`` once per

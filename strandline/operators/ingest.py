@@ -6,6 +6,7 @@ ingesting the same document again changes nothing."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,25 +16,43 @@ from pyspark.sql import functions as F
 from ..functions import extract, vectors
 from ..functions.text import chunked, stable_id
 from ..providers import EXTRACTION_PROMPT
+from ..staging import staged
 
 
-def ask_model(docs: DataFrame, model, content: str = "content") -> DataFrame:
+def ask_model(docs: DataFrame, model, content: str = "content", prompt: str = EXTRACTION_PROMPT) -> DataFrame:
     """``docs`` with ``answer``, the model's raw reply (Arrow batches; one call per document)."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(answer=[model.extract(t or "", EXTRACTION_PROMPT) for t in batch[content]])
+            yield batch.assign(answer=[model.extract(t or "", prompt) for t in batch[content]])
 
     return docs.mapInPandas(run, f"{fields}, answer string")
 
 
-def extraction_of(docs: DataFrame, model=None, content: str = "content") -> DataFrame:
-    """``docs`` with ``extraction``: deterministic, or hybrid when there is a model or a column ``answer``."""
+def ask_extractor(docs: DataFrame, extractor, content: str = "content", content_type: str = "") -> DataFrame:
+    """``docs`` with ``extraction``, what the given extractor alone finds (one call per document)."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(answer=[json.dumps(extractor.extract(t or "", content_type)) for t in batch[content]])
+
+    found = docs.mapInPandas(run, f"{fields}, answer string")
+    return found.withColumn("extraction", extract.model_json(F.col("answer"))).drop("answer")
+
+
+def extraction_of(docs: DataFrame, model=None, content: str = "content", extractor=None) -> DataFrame:
+    """``docs`` with ``extraction``: deterministic, hybrid when there is a model or a column
+    ``answer``, or what an ``extractor`` finds."""
+    if extractor is not None:
+        return ask_extractor(docs, extractor, content)
     if model is not None:
         docs = ask_model(docs, model, content)
     if "answer" in docs.columns:
-        return docs.withColumn("extraction", extract.hybrid(F.col(content), F.col("answer")))
+        # The answer is parsed once, in a projection of its own.
+        parsed = docs.withColumn("_own", extract.deterministic(F.col(content))).withColumn("_model", extract.model_json(F.col("answer")))
+        return parsed.withColumn("extraction", extract.joined(F.col("_own"), F.col("_model"))).drop("_own", "_model")
     none = F.struct(extract.deterministic(F.col(content)).alias("entities"), F.array().cast("array<struct<source: string, target: string, type: string, attributes: string>>").alias("relationships"), F.array().cast("array<struct<content: string>>").alias("memories"))
     return docs.withColumn("extraction", none)
 
@@ -69,14 +88,28 @@ def split_chunks(docs: DataFrame, limit: int, key: str = "doc_id", content: str
     return rows.select(key, (F.col("i") + 1).alias("part"), "parts", "content")
 
 
-def remember(docs: DataFrame, key: str = "doc_id", content: str = "content", source: str | None = None, max_chunk_bytes: int = 0, model=None, embed: bool = True, link_wikilinks: bool = False) -> dict[str, DataFrame]:
-    """The rows that a batch of documents adds to each relation (lazy).
+def with_known_ids(found: DataFrame, known: DataFrame) -> DataFrame:
+    """Extracted entities with the identifiers that the store already has for their (type, name)."""
+    wanted = found.select("type", "name").distinct()
+    stored = known.join(wanted, ["type", "name"], "left_semi").groupBy("type", "name").agg(F.min("id").alias("_stored"))
+    return found.join(stored, ["type", "name"], "left").withColumn("id", F.coalesce("_stored", "id")).drop("_stored")
+
+
+def remember(docs: DataFrame, key: str = "doc_id", content: str = "content", source: str | None = None, max_chunk_bytes: int = 0, model=None, embed=None, link_wikilinks: bool = False, extractor=None, known: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The rows that a batch of documents adds to each relation.
 
+    The extraction is written once, so a model is asked once per document and all relations
+    come from the same answer; the rest is lazy.  ``embed`` is an embedder (True: the offline one;
+    None or False: no vectors).  Names resolve to the ids of ``known`` entities where there are any.
     Wikilinks become entities; with ``link_wikilinks`` the frontmatter entity also gets a
-    ``mentions`` edge to each.  Memories are linked to all entities of their document."""
+    ``mentions`` edge to each.  Memories are linked to all entities of their document.
+    ``documents`` (doc) and ``origins`` (doc, relation, id) say which document a row came from."""
     now = F.current_timestamp()
-    done = extraction_of(docs, model, content)
+    own = F.lit(source or "")
+    rows = docs.select(F.col(key), F.col(content), *(["answer"] if "answer" in docs.columns else []))
+    done = staged(extraction_of(rows, model, content, extractor).select(key, F.col(content), "extraction"), "extraction")
     found = extracted_entities(done, key, source)
+    found = found if known is None else staged(with_known_ids(found, known), "found")
     names = names_of(found, key)
     entities = found.groupBy("name", "type").agg(F.first("id").alias("id"), F.max_by("attributes", F.struct(key, "pos")).alias("attributes"), F.max_by("source", F.struct(key, "pos")).alias("source"))
     entities = entities.select("id", "type", "name", "attributes", "source", now.alias("created_at"), now.alias("updated_at"))
@@ -87,18 +120,24 @@ def remember(docs: DataFrame, key: str = "doc_id", content: str = "content", sou
         links = found.where("source = 'markdown'").select(key, F.col("id").alias("target_id"))
         more = fm.join(links, key).select(key, F.lit(-1).alias("pos"), F.lit("").alias("source_name"), F.lit("").alias("target_name"), F.lit("mentions").alias("type"), F.lit("{}").alias("attributes"), "source_id", "target_id")
         rel = rel.unionByName(more)
-    relationships = rel.select(stable_id("rel", F.col(key), F.col("pos"), F.col("source_id"), F.col("target_id"), F.col("type")).alias("id"), "source_id", "target_id", "type", "attributes", F.lit(source or "").alias("source"), now.alias("created_at"))
+    doc = stable_id("doc", F.col(key), own).alias("doc")
+    rel = rel.select(doc, stable_id("rel", F.col(key), own, F.col("pos"), F.col("source_id"), F.col("target_id"), F.col("type")).alias("id"), "source_id", "target_id", "type", "attributes", own.alias("source"), now.alias("created_at")).dropDuplicates(["id"])
 
     parts = split_chunks(done, max_chunk_bytes, key, content)
     meta = F.to_json(F.struct(F.when(F.col("parts") > 1, F.col("part")).alias("part"), F.when(F.col("parts") > 1, F.col("parts")).alias("parts"), F.lit(source or None).cast("string").alias("source")))
-    chunks = parts.select(stable_id("chunk", F.col(key), F.lit(source or ""), F.col("part")).alias("id"), F.lit(None).cast("string").alias("entity_id"), "content", meta.alias("metadata"), now.alias("created_at"))
+    pieces = parts.select(doc, stable_id("chunk", F.col(key), own, F.col("part")).alias("id"), F.lit(None).cast("string").alias("entity_id"), "content", meta.alias("metadata"), now.alias("created_at"))
+    chunks = pieces.drop("doc")
 
-    facts = done.select(key, F.posexplode("extraction.memories").alias("pos", "m")).select(key, "pos", F.col("m.content").alias("content"), stable_id("memory", F.col(key), F.lit(source or ""), F.col("pos")).alias("id"))
-    memories = facts.select("id", "content", F.lit(source or "").alias("source"), now.alias("created_at"), now.alias("updated_at"))
+    facts = done.select(key, F.posexplode("extraction.memories").alias("pos", "m")).select(key, doc, F.col("m.content").alias("content"), stable_id("memory", F.col(key), own, F.col("pos")).alias("id"))
+    memories = facts.select("id", "content", own.alias("source"), now.alias("created_at"), now.alias("updated_at"))
     memory_entities = facts.select(key, F.col("id").alias("memory_id")).join(names.select(key, F.col("id").alias("entity_id")), key).select("memory_id", "entity_id").distinct()
 
-    out = {"entities": entities, "relationships": relationships, "chunks": chunks, "memories": memories, "memory_entities": memory_entities}
+    came = lambda df, relation: df.select("doc", F.lit(relation).alias("relation"), "id")
+    out = {"entities": entities, "relationships": rel.drop("doc"), "chunks": chunks, "memories": memories, "memory_entities": memory_entities}
+    out["documents"] = done.select(doc).distinct()
+    out["origins"] = came(pieces, "chunks").unionByName(came(facts, "memories")).unionByName(came(rel, "relationships"))
     if embed:
+        vector = vectors.embed if embed is True else vectors.embed_with(embed)
         refs = chunks.select(F.col("id").alias("ref_id"), F.lit("chunk").alias("ref_type"), "content").union(memories.select("id", F.lit("memory"), "content"))
-        out["embeddings"] = refs.select(stable_id("emb", F.col("ref_type"), F.col("ref_id")).alias("id"), "ref_id", "ref_type", vectors.embed("content").alias("vector"), now.alias("created_at"))
+        out["embeddings"] = refs.select(stable_id("emb", F.col("ref_type"), F.col("ref_id")).alias("id"), "ref_id", "ref_type", vector(F.col("content")).alias("vector"), now.alias("created_at"))
     return out

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..staging import staged
 from . import entities as E
 from . import graph, search
 
@@ -51,17 +52,14 @@ def _ranked(df: DataFrame, order: list) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1)
 
 
-def _ranked_whole(df: DataFrame, parts: int = 64) -> DataFrame:
-    """0-based ranks by level and id of any number of rows: each id range is ranked by itself and
-    starts after those before it.  About ``parts`` ids, chosen by hash, bound the ranges."""
-    step = max(1, -(-df.count() // parts))
-    marks = [r["id"] for r in df.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("id").distinct().collect()]
-    part = F.size(F.filter(F.array(*[F.lit(m) for m in marks]), lambda m: m <= F.col("id"))) if marks else F.lit(0)
-    placed = df.withColumn("_part", part)
-    before = Window.partitionBy(F.lit(0)).orderBy("level", "_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("level", "_part").count().select("level", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    own = F.row_number().over(Window.partitionBy("level", "_part").orderBy("id")) - 1
-    return placed.withColumn("_own", own).join(F.broadcast(starts), ["level", "_part"]).withColumn("rank", F.col("_start") + F.col("_own")).drop("_part", "_own", "_start")
+def ranked_whole(df: DataFrame, order: list) -> DataFrame:
+    """0-based ranks of any number of rows: ranges of the order are sorted apart, and each starts
+    after the rows of those before it (one row per range)."""
+    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = staged(sorted_rows, "ranked").withColumn("_part", F.shiftright("_at", 33))
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    return placed.join(F.broadcast(starts), "_part").withColumn("rank", F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_at", "_start")
 
 
 def _result(df: DataFrame, kind: str, prefix: str, content, ids, source, metadata) -> DataFrame:
@@ -104,7 +102,7 @@ def recall_graph(s: Sources, query: str, limit: int = LIMIT, edge: str | None =
     E.check_limit(limit)
     ends = edges.withColumn("node", F.explode(F.array_distinct(F.array("source_id", "target_id"))))
     incident = ends.groupBy("node").agg(F.array_join(F.sort_array(F.collect_list("type")), ", ").alias("rels"))
-    near = _ranked_whole(nodes)
+    near = ranked_whole(nodes.select("id", "type", "name", "source", "level"), ["level", "id"])
     ranked = near.join(incident, near["id"] == incident["node"], "left")
     content = F.concat(F.col("name"), F.lit(" ("), F.col("type"), F.lit(")"), F.when(F.col("rels").isNull(), F.lit("")).otherwise(F.concat(F.lit(" ["), F.col("rels"), F.lit("]"))))
     return _result(ranked, "entity", "entity:", content, F.array("id"), F.col("source"), F.lit(None).cast("string"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..functions.text import fold, search_tokens, tokens_of
+from ..functions.text import search_tokens, tokens_of
 from .entities import check_limit
 
 K1, B = 1.2, 0.75
@@ -21,16 +22,43 @@ class MatchSyntaxError(ValueError):
 
 
 def postings(chunks: DataFrame, id: str = "id", content: str = "content") -> DataFrame:
-    """The inverted index: (term, chunk_id, tf, dl, positions)."""
-    toks = chunks.select(F.col(id).alias("chunk_id"), search_tokens(F.col(content)).alias("toks"))
-    words = toks.select("chunk_id", F.size("toks").alias("dl"), F.posexplode("toks").alias("pos", "raw")).withColumn("term", fold(F.col("raw")))
-    return words.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    """The inverted index: (term, chunk_id, tf, dl, positions).
 
+    Everything is built inside each row: tokens are sorted with their positions, and every run of
+    equal terms is a slice of that array.  So the scan gives postings without a shuffle."""
+    words = F.array_sort(F.transform(search_tokens(F.col(content)), lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
 
-def corpus_stats(chunks: DataFrame, content: str = "content") -> DataFrame:
+    def runs(toks: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(toks) - 1), lambda i: (i == 0) | (F.get(toks, i)["term"] != F.get(toks, i - 1)["term"]))
+        return _once(starts, lambda at: F.transform(at, lambda s, k: entry(toks, s, F.coalesce(F.get(at, k + 1), F.size(toks)) - s)))
+
+    def entry(toks: Column, first: Column, tf: Column) -> Column:
+        places = F.transform(F.slice(toks, first + 1, tf), lambda t: t["pos"])
+        return F.struct(F.get(toks, first)["term"].alias("term"), tf.cast("long").alias("tf"), F.size(toks).alias("dl"), places.alias("positions"))
+
+    entries = _once(words, lambda toks: F.when(F.size(toks) > 0, runs(toks)))
+    return chunks.select(F.col(id).alias("chunk_id"), F.explode(entries).alias("p")).select("p.term", "chunk_id", "p.tf", "p.dl", "p.positions")
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once: a lambda's variable is a value, while the
+    planner would copy an expression into every place (and every element) that refers to it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def lengths(chunks: DataFrame, id: str = "id", content: str = "content") -> DataFrame:
+    """(chunk_id, dl): the number of tokens of every chunk."""
+    return chunks.select(F.col(id).alias("chunk_id"), F.greatest(F.size(search_tokens(F.col(content))), F.lit(0)).alias("dl"))
+
+
+def stats_of(lengths: DataFrame) -> DataFrame:
     """One row: n_chunks, n_tokens, avgdl."""
-    size = F.greatest(F.size(search_tokens(F.col(content))), F.lit(0))
-    return chunks.agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(size).alias("n_tokens"), F.avg(size.cast("double")).alias("avgdl"))
+    return lengths.agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("dl").alias("n_tokens"), F.avg(F.col("dl").cast("double")).alias("avgdl"))
+
+
+def corpus_stats(chunks: DataFrame, content: str = "content") -> DataFrame:
+    """One row: n_chunks, n_tokens, avgdl, from the texts."""
+    return stats_of(lengths(chunks, chunks.columns[0], content))
 
 
 @dataclass(frozen=True)
@@ -55,7 +83,9 @@ _LEX = re.compile(r'\s*(?:("(?:[^"]|"")*")|(NEAR\s*\()|([()+*^,:])|([^\s"()+*^,:
 
 
 class _Parser:
-    """Grammar: or := not (OR not)*; not := and (NOT and)*; and := unit ((AND)? unit)*."""
+    """Grammar, loosest first: or := and (OR and)*; and := not (AND not)*; not := list (NOT list)*;
+    list := "(" or ")" | near+ (neighbours are all required); near := phrase | NEAR(phrase+, n).
+    ``content:`` may stand before a list's member or a parenthesis."""
 
     def __init__(self, query: str):
         self.tokens: list[tuple[str, str]] = []
@@ -99,46 +129,52 @@ class _Parser:
             raise MatchSyntaxError(f"syntax error near {self.peek()[1]!r}")
         return out
 
+    def _chain(self, word: str, part, join):
+        parts = [part()]
+        while self.take("op", word):
+            parts.append(part())
+        return parts[0] if len(parts) == 1 else join(parts)
+
     def either(self):
-        parts = [self.without()]
-        while self.take("op", "OR"):
-            parts.append(self.without())
-        return parts[0] if len(parts) == 1 else Match("or", tuple(parts))
+        return self._chain("OR", self.every, lambda parts: Match("or", tuple(parts)))
+
+    def every(self):
+        return self._chain("AND", self.without, lambda parts: Match("and", tuple(parts)))
 
     def without(self):
-        out = self.every()
-        while self.take("op", "NOT"):
-            out = Match("not", (out, self.every()))
-        return out
+        return self._chain("NOT", self.listed, lambda parts: reduce(lambda a, b: Match("not", (a, b)), parts))
 
-    def every(self):
-        parts = [self.unit()]
-        while self.take("op", "AND") or self.peek()[0] in ("word", "string", "near") or self.peek() in (("mark", "("), ("mark", "^")):
-            parts.append(self.unit())
-        return parts[0] if len(parts) == 1 else Match("and", tuple(parts))
+    def _column(self) -> None:
+        if self.peek()[0] in ("word", "string") and self.at + 1 < len(self.tokens) and self.tokens[self.at + 1] == ("mark", ":"):
+            if (self.take("word") or self.take("string")).lower() != "content":
+                raise MatchSyntaxError("no such column")
+            self.take("mark", ":")
 
-    def unit(self):
+    def listed(self):
+        self._column()
         if self.take("mark", "("):
             inner = self.either()
             if not self.take("mark", ")"):
                 raise MatchSyntaxError("missing )")
             return inner
-        if self.take("near"):
-            parts = [self.phrase()]
-            while self.peek()[0] in ("word", "string"):
-                parts.append(self.phrase())
-            distance = 10
-            if self.take("mark", ","):
-                distance = int(self.take("word") or "x") if self.peek()[1].isdigit() else self._fail()
-            if not self.take("mark", ")"):
-                raise MatchSyntaxError("missing )")
-            return Match("near", tuple(parts), distance)
-        if self.peek()[0] == "word" and self.at + 1 < len(self.tokens) and self.tokens[self.at + 1] == ("mark", ":"):
-            if self.take("word").lower() != "content":
-                raise MatchSyntaxError("no such column")
-            self.take("mark", ":")
-            return self.unit()
-        return self.phrase()
+        parts = [self.near()]
+        while self.peek()[0] in ("word", "string", "near") or self.peek() == ("mark", "^"):
+            self._column()
+            parts.append(self.near())
+        return parts[0] if len(parts) == 1 else Match("and", tuple(parts))
+
+    def near(self):
+        if not self.take("near"):
+            return self.phrase()
+        parts = [self.phrase()]
+        while self.peek()[0] in ("word", "string"):
+            parts.append(self.phrase())
+        distance = 10
+        if self.take("mark", ","):
+            distance = int(self.take("word") or "x") if self.peek()[1].isdigit() else self._fail()
+        if not self.take("mark", ")"):
+            raise MatchSyntaxError("missing )")
+        return Match("near", tuple(parts), distance)
 
     def _fail(self):
         raise MatchSyntaxError(f"syntax error near {self.peek()[1]!r}")
@@ -259,6 +295,18 @@ def _holds(node) -> Column:
     return out
 
 
+def _counting(node, holds: Column | None = None) -> dict[int, Column | None]:
+    """Under which condition each phrase counts for the score: every group around it must hold.
+    What stands to the right of NOT never counts."""
+    if node is None:
+        return {}
+    if not isinstance(node, Match):
+        return {node[1]: holds}
+    own = _holds(node) if holds is None else holds & _holds(node)
+    parts = node.parts[:1] if node.op == "not" else node.parts
+    return {i: c for part in parts for i, c in _counting(part, own).items()}
+
+
 def keyword_hits(index: DataFrame, stats: DataFrame, match) -> DataFrame:
     """(chunk_id, score) of all chunks that match; higher is better.
 
@@ -276,10 +324,10 @@ def keyword_hits(index: DataFrame, stats: DataFrame, match) -> DataFrame:
     per = per.select("*", *[F.size(f"s{i}").alias(f"f{i}") for i in range(len(units))])
     whole = stats.select(F.col("n_chunks").cast("double").alias("_n"), F.col("avgdl").alias("_avg")).crossJoin(df)  # one row each
     score = F.lit(0.0)
-    for i in range(len(units)):
+    for i, counts in sorted(_counting(tree).items()):
         raw = F.log((F.col("_n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
         idf = F.when(raw <= 0, F.lit(IDF_FLOOR)).otherwise(raw)
-        f = F.col(f"f{i}").cast("double")
+        f = F.col(f"f{i}").cast("double") if counts is None else F.when(counts, F.col(f"f{i}")).otherwise(0).cast("double")
         score = score + idf * (f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("_avg"))))
     return per.where(_holds(tree)).join(F.broadcast(whole)).select("chunk_id", score.alias("score"))
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract, vectors
@@ -12,6 +13,8 @@ from ..functions.text import sentences
 from ..operators import entities as E
 from ..operators import forget, graph, ingest, recall, search
 from ..sources import connectors
+from ..sources.store import KnowledgeStore
+from ..staging import shared_folder
 from . import fixtures as X
 from .fixtures import view, with_sql
 
@@ -208,6 +211,17 @@ def search_keyword_not(spark, d):
     return _keyword(spark, d, "licensed NOT apache")
 
 
+@query("search_keyword_mixed", _keyword_sql([(["licensed"], False), (["apache"], False), (["the"], False)], "f0 > 0 AND NOT f1 > 0 AND f2 > 0", 20))
+def search_keyword_mixed(spark, d):
+    return _keyword(spark, d, "licensed NOT apache AND the", 20)
+
+
+@query("search_keyword_scripts", with_sql("scripts") + " SELECT id FROM scripts WHERE kind IN (0, 1, 2, 4, 5)")
+def search_keyword_scripts(spark, d):
+    found = search.search_keyword(view(spark, d, "scripts"), '"việt nam" OR 한국 OR ЙОД OR cafe OR "η οδοσ"', 1_000_000)
+    return found.select("id")
+
+
 @query("search_keyword_prefix", _keyword_sql([(["licens"], True), (["work"], False)], "f0 > 0 AND f1 > 0"))
 def search_keyword_prefix(spark, d):
     return _keyword(spark, d, "licens* work")
@@ -260,9 +274,22 @@ def search_vector(spark, d):
     return search.search_vector(X.embeddings(spark, d), view(spark, d, "chunks"), _vector(spark, d, 3), 10, digits=6).select("id", "entity_id", "similarity")
 
 
-@query("embed_chunks")
+BYTES = "SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS h FROM documents"
+
+
+@query(
+    "embed_chunks",
+    f"WITH b AS ({BYTES}), u AS (SELECT doc_id, unnest(h) AS x, unnest(range(len(h))) % 8 AS k FROM b), s AS (SELECT doc_id, k, sum(CAST('0x' || x AS INTEGER))::DOUBLE AS v FROM u GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM s GROUP BY doc_id), "
+    "g AS (SELECT doc_id, k FROM documents, range(8) r(k)) SELECT doc_id, string_agg(CAST(CAST(floor(CAST(CAST(coalesce(v / norm, 0) AS FLOAT) AS DOUBLE) * 1e6) AS BIGINT) AS VARCHAR), ' ' ORDER BY k) AS vector FROM g LEFT JOIN s USING (doc_id, k) LEFT JOIN n USING (doc_id) GROUP BY doc_id",
+)
 def embed_chunks(spark, d):
-    return X.load(spark, d, "documents").select("doc_id", F.array_join(F.transform(vectors.embed("text"), lambda x: F.format_number(x, 5)), " ").alias("vector"))
+    return X.load(spark, d, "documents").select("doc_id", F.array_join(F.transform(vectors.embed("text"), lambda x: F.floor(x.cast("double") * 1e6).cast("string")), " ").alias("vector"))
+
+
+@query("vector_codec", "SELECT vec_id, CAST(4 * len(embedding) AS INTEGER) AS n_bytes, true AS same FROM embeddings")
+def vector_codec(spark, d):
+    raw = X.load(spark, d, "embeddings").withColumn("raw", vectors.encode_floats("embedding"))
+    return raw.select("vec_id", F.length("raw").alias("n_bytes"), (vectors.decode_floats(F.concat("raw", F.unhex(F.lit("00FF")))) == F.col("embedding")).alias("same"))
 
 
 # Memories
@@ -299,12 +326,12 @@ def orphan_memories(spark, d):
 RANKED = "SELECT c_custkey AS id, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS rank, 0 AS list_id FROM customer UNION ALL SELECT o_custkey, row_number() OVER (ORDER BY sum(CAST(round(o_totalprice * 100) AS BIGINT)) DESC, o_custkey) - 1, 1 FROM orders GROUP BY o_custkey"
 
 
-@query("rrf_merge", f"SELECT id, round(sum(1.0::DOUBLE / (60 + rank + 1)), 9) AS score FROM ({RANKED}) r WHERE rank < 100 GROUP BY id")
+@query("rrf_merge", f"SELECT id, round(sum(1.0::DOUBLE / (60 + rank + 1)), 9) AS score FROM ({RANKED}) r GROUP BY id")
 def rrf_merge(spark, d):
-    top = lambda df, i: df.limit(100).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("x").desc(), "id")) - 1).select("id", "rank", F.lit(i).alias("list_id"))
-    rich = X.load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x")).orderBy(F.col("x").desc(), "id")
-    busy = X.load(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("x")).orderBy(F.col("x").desc(), "id")
-    return recall.rrf_merge(top(rich, 0).unionByName(top(busy, 1))).withColumn("score", F.round("score", 9))
+    ranked = lambda df, i: recall.ranked_whole(df, [F.col("x").desc(), F.col("id")]).select("id", "rank", F.lit(i).alias("list_id"))
+    rich = X.load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"))
+    busy = X.load(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("x"))
+    return recall.rrf_merge(ranked(rich, 0).unionByName(ranked(busy, 1))).withColumn("score", F.round("score", 9))
 
 
 def _sources(spark, d) -> recall.Sources:
@@ -420,7 +447,7 @@ JSON = "js AS (SELECT doc_id, content, json(regexp_replace(regexp_replace(answer
 )
 def extract_hybrid(spark, d):
     docs = view(spark, d, "notes").join(view(spark, d, "answers").select("doc_id", "answer"), "doc_id")
-    found = docs.select("doc_id", extract.hybrid(F.col("content"), F.col("answer"))["entities"].alias("e"))
+    found = ingest.extraction_of(docs).select("doc_id", F.col("extraction.entities").alias("e"))
     return found.select("doc_id", F.array_join(F.transform("e", lambda x: F.concat(x["type"], F.lit(":"), x["name"])), "|").alias("entities"))
 
 
@@ -466,22 +493,105 @@ def upsert_entities(spark, d):
     return E.upsert_entities(log).select("name", "type", "id", "attributes", "source", F.to_date("created_at").cast("string").alias("created_on"), F.to_date("updated_at").cast("string").alias("updated_on"))
 
 
+NAME0, NAME1, NOTE_NAME = "(j->>'$.entities[0].name')", "(j->>'$.entities[1].name')", "regexp_extract(content, 'name: ([^\\n]*)', 1)"
+
+
 @query(
     "remember_pipeline",
-    f"{with_sql('notes', 'answers')}, {JSON}, ent AS (SELECT 'customer' AS t, regexp_extract(content, 'name: ([^\\n]*)', 1) AS n FROM notes UNION SELECT 'document', name FROM ({LINKS}) l UNION SELECT j->>'$.entities[0].type', j->>'$.entities[0].name' FROM js UNION SELECT j->>'$.entities[1].type', j->>'$.entities[1].name' FROM js) "
-    "SELECT 'entities' AS relation, count(*) AS n_rows FROM ent UNION ALL SELECT 'relationships', count(*) FROM js UNION ALL SELECT 'chunks', count(*) FROM notes UNION ALL SELECT 'memories', 2 * count(*) FROM js "
-    "UNION ALL SELECT 'memory_entities', 2 * (SELECT count(*) FROM (SELECT DISTINCT doc_id, name FROM (SELECT doc_id, regexp_extract(content, 'name: ([^\\n]*)', 1) AS name FROM notes UNION ALL SELECT doc_id, name FROM (" + LINKS + ") l UNION ALL SELECT doc_id, j->>'$.entities[0].name' FROM js UNION ALL SELECT doc_id, j->>'$.entities[1].name' FROM js) q) z)",
+    f"{with_sql('notes', 'answers')}, {JSON}, lnk AS ({LINKS}), ent AS (SELECT 'customer' AS t, {NOTE_NAME} AS n FROM notes UNION SELECT 'document', name FROM lnk UNION SELECT j->>'$.entities[0].type', {NAME0} FROM js UNION SELECT j->>'$.entities[1].type', {NAME1} FROM js), "
+    f"named AS (SELECT doc_id, name, arg_max(id, ord) AS id FROM (SELECT doc_id, name, {_eid(chr(39) + 'document' + chr(39), 'name')} AS id, 1 AS ord FROM lnk UNION ALL SELECT doc_id, {NAME0}, {_eid(chr(39) + 'customer' + chr(39), NAME0)}, 2 FROM js UNION ALL SELECT doc_id, {NAME1}, {_eid(chr(39) + 'nation' + chr(39), NAME1)}, 3 FROM js) q GROUP BY doc_id, name), "
+    "mem AS (SELECT doc_id, 'memory:' || substr(sha256(concat_ws(chr(31), doc_id, 'talk', pos)), 1, 32) AS id, CASE pos WHEN 0 THEN j->>'$.memories[0].content' ELSE j->>'$.memories[1]' END AS content FROM js, range(2) r(pos)) "
+    f"SELECT 'entities' AS relation, {_eid('t', 'n')} AS a, t AS b, n AS c FROM ent "
+    f"UNION ALL SELECT 'relationships', {_eid(chr(39) + 'customer' + chr(39), NAME0)}, {_eid(chr(39) + 'nation' + chr(39), NAME1)}, j->>'$.relationships[0].type' FROM js "
+    "UNION ALL SELECT 'chunks', 'chunk:' || substr(sha256(concat_ws(chr(31), doc_id, 'talk', 1)), 1, 32), content, '{\"source\":\"talk\"}' FROM notes "
+    "UNION ALL SELECT 'memories', id, content, 'talk' FROM mem UNION ALL SELECT 'memory_entities', mem.id, named.id, '' FROM mem JOIN named USING (doc_id)",
 )
 def remember_pipeline(spark, d):
     docs = view(spark, d, "notes").join(view(spark, d, "answers").select("doc_id", "answer"), "doc_id")
-    made = ingest.remember(docs, source="talk", embed=False)
+    made = ingest.remember(docs, source="talk")
+    columns = {"entities": ["id", "type", "name"], "relationships": ["source_id", "target_id", "type"], "chunks": ["id", "content", "metadata"], "memories": ["id", "content", "source"], "memory_entities": ["memory_id", "entity_id", None]}
     out = None
-    for name in ("entities", "relationships", "chunks", "memories", "memory_entities"):
-        n = made[name].agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("relation"), "n_rows")
-        out = n if out is None else out.unionByName(n)
+    for relation, names in columns.items():
+        rows = made[relation].select(F.lit(relation).alias("relation"), *[(F.col(c) if c else F.lit("")).alias(x) for c, x in zip(names, "abc", strict=True)])
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
+# The store
+
+
+def _store(spark) -> KnowledgeStore:
+    return KnowledgeStore(spark, f"{shared_folder(spark)}/strandline/store-{uuid.uuid4().hex}")
+
+
+def _old_new(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """All rows, then again those of even keys: what a second put replaces."""
+    return df, df.where(F.col(key) % 2 == 0)
+
+
+@query("store_entities", "SELECT 'a:' || c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE 'old' END AS source, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '{}' END AS attributes FROM customer")
+def store_entities(spark, d):
+    """A second put of the same (name, type) keeps the first id and takes the later attributes."""
+    store, now = _store(spark), F.timestamp_seconds(F.lit(0))
+    old, new = _old_new(X.load(spark, d, "customer"), "c_custkey")
+    row = lambda df, mark, attributes, source: df.select(F.concat(F.lit(mark), F.col("c_custkey").cast("string")).alias("id"), F.lit("customer").alias("type"), F.col("c_name").alias("name"), attributes.alias("attributes"), F.lit(source).alias("source"), now.alias("created_at"), now.alias("updated_at"))
+    store.put_entities(row(old, "a:", F.lit("{}"), "old"))
+    store.put_entities(row(new, "b:", F.col("c_mktsegment"), "new"))
+    return store.find_entities(type="customer").select("id", "name", "source", "attributes")
+
+
+@query("store_relationships", "SELECT 'r:' || c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'moved_to' ELSE 'located_in' END AS type FROM customer WHERE c_nationkey = 3")
+def store_relationships(spark, d):
+    store = _store(spark)
+    store.put_entities(view(spark, d, "entities").where("type IN ('customer', 'nation')"))
+    old, new = _old_new(X.load(spark, d, "customer"), "c_custkey")
+    row = lambda df, kind: df.select(F.concat(F.lit("r:"), F.col("c_custkey").cast("string")).alias("id"), F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("source_id"), F.concat(F.lit("nation:"), F.col("c_nationkey").cast("string")).alias("target_id"), F.lit(kind).alias("type"), F.lit("{}").alias("attributes"), F.lit("").alias("source"), F.timestamp_seconds(F.lit(0)).alias("created_at"))
+    store.put_relationships(row(old, "located_in"))
+    store.put_relationships(row(new, "moved_to"))
+    return store.get_relationships("nation:3").select("id", "type")
+
+
+@query("store_search", _keyword_sql([(["licensed"], False), (["apache"], False)], "f0 > 0 AND f1 > 0"))
+def store_search(spark, d):
+    """Chunks put twice are one chunk in the stored index."""
+    store = _store(spark)
+    old, new = _old_new(view(spark, d, "chunks").withColumn("n", F.xxhash64("id")), "n")
+    store.put_chunks(old.drop("n", "source"))
+    store.put_chunks(new.drop("n", "source"))
+    return store.search_keyword("licensed apache").select("id", F.round("score", 6).alias("score"))
+
+
+@query("store_memories", "SELECT 'memory:' || conv_id || ':' || turn AS id, 'conversation:' || conv_id AS entity_ids FROM conversations WHERE conv_id = 5")
+def store_memories(spark, d):
+    store = _store(spark)
+    store.put_memories(E.with_links(view(spark, d, "memories"), view(spark, d, "memory_entities")))
+    return store.memories_by_entity("conversation:5").select("id", F.array_join("entity_ids", ",").alias("entity_ids"))
+
+
+@query("store_vectors", _topk_sql(0, 10))
+def store_vectors(spark, d):
+    store = _store(spark)
+    store.put_embeddings(X.embeddings(spark, d).withColumn("created_at", F.timestamp_seconds(F.lit(0))))
+    return search.vector_topk(store.table("embeddings"), _vector(spark, d, 0), 10, digits=6)
+
+
+@query("store_forget", with_sql("entities", "relationships") + " SELECT id FROM relationships WHERE type IN ('part_of', 'located_in') AND source_id <> 'nation:3' AND target_id <> 'nation:3'")
+def store_forget(spark, d):
+    store = _store(spark)
+    store.put_entities(view(spark, d, "entities").where("type IN ('customer', 'supplier', 'nation', 'region')"))
+    store.put_relationships(view(spark, d, "relationships").where("type IN ('part_of', 'located_in')"))
+    store.forget(entity_id="nation:3")
+    return store.table("relationships").select("id")
+
+
+@query("store_sync_state", "SELECT 'dir' AS connector, 'third' AS state")
+def store_sync_state(spark, d):
+    store = _store(spark)
+    for mark in ("first", "second", "third"):
+        store.set_sync_state("dir", mark)
+    return store.table("sync_state").select("connector", "state")
+
+
 @query("sentence_split", "SELECT doc_id, len(s) AS n_sentences, md5(array_to_string(s, '|')) AS digest FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \\n]', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(10) || chr(9) || chr(13))), lambda x: x <> '') AS s FROM documents) q")
 def sentence_split(spark, d):
     cut = X.load(spark, d, "documents").select("doc_id", sentences(F.col("text")).alias("s"))

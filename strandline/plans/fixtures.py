@@ -45,6 +45,7 @@ SQL = {
     "refs": "SELECT 'emb:' || CAST(vec_id AS STRING) AS id, 'chunk:' || CAST(vec_id AS STRING) AS ref_id, 'chunk' AS ref_type FROM {embeddings} UNION ALL SELECT 'emb:m:' || CAST(conv_id AS STRING) || ':' || CAST(turn AS STRING), 'memory:' || CAST(conv_id AS STRING) || ':' || CAST(turn AS STRING), 'memory' FROM {conversations}",
     "notes": "SELECT c_custkey AS doc_id, '---' || chr(10) || 'type: customer' || chr(10) || 'name: ' || c_name || chr(10) || 'segment: ' || c_mktsegment || chr(10) || 'balance: ' || CAST(CAST(floor(c_acctbal) AS INT) AS STRING) || chr(10) || '---' || chr(10) || 'In [[' || n_name || ']] with [[ ' || c_mktsegment || ' ]] and [[' || n_name || ']].' AS content FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey",
     "answers": "SELECT c_custkey AS doc_id, 'note ' || CAST(c_custkey AS STRING) AS content, CASE WHEN c_custkey % 2 = 0 THEN '```json' || chr(10) ELSE '' END || '{{\"entities\":[{{\"type\":\"customer\",\"name\":\"' || c_name || '\"}},{{\"type\":\"nation\",\"name\":\"' || n_name || '\"}}],\"relationships\":[{{\"source\":\"' || c_name || '\",\"target\":\"' || n_name || '\",\"type\":\"located_in\"}},{{\"source\":\"' || c_name || '\",\"target\":\"Nowhere\",\"type\":\"lost\"}}],\"memories\":[{{\"content\":\"' || c_name || ' lives in ' || n_name || '\"}},\"segment ' || c_mktsegment || '\",\"\"]}}' || CASE WHEN c_custkey % 2 = 0 THEN chr(10) || '```' ELSE '' END AS answer FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey",
+    "scripts": "SELECT 'chunk:' || CAST(c_custkey AS STRING) AS id, c_custkey % 7 AS kind, CASE c_custkey % 7 WHEN 0 THEN 'Đường Việt Nam' WHEN 1 THEN '한국 사람' WHEN 2 THEN 'Йод и йод' WHEN 3 THEN 'かな カナ' WHEN 4 THEN 'Café' WHEN 5 THEN 'Η ΟΔΟΣ' ELSE 'иод viet οδός' END AS content FROM {customer}",
     "files": "SELECT doc_id, 'dir/' || source || '/f' || CAST(doc_id AS STRING) || CASE doc_id % 13 WHEN 0 THEN '.md' WHEN 1 THEN '.CSV' WHEN 2 THEN '.tsv' WHEN 3 THEN '.yaml' WHEN 4 THEN '.yml' WHEN 5 THEN '.Json' WHEN 6 THEN '.txt' WHEN 7 THEN '.xml' WHEN 8 THEN '.toml' WHEN 9 THEN '.log' WHEN 10 THEN '.png' WHEN 11 THEN '.tar.exe' ELSE '' END AS path FROM {documents}",
 }
 SQL["entities"] = SQL["entities"].replace("'{}'", "'{{}}'")

@@ -21,6 +21,11 @@ class Embedder(Protocol):
     def embed(self, texts: Sequence[str]) -> list[Sequence[float]]: ...
 
 
+class Extractor(Protocol):
+    def extract(self, text: str, content_type: str) -> dict:
+        """``entities``, ``relationships`` and ``memories`` in the JSON shape of a model's answer."""
+
+
 class Connector(Protocol):
     def sync(self, store) -> None: ...
 

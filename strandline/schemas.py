@@ -19,6 +19,10 @@ TABLES: dict[str, T.StructType] = {
     "memory_entities": _schema("memory_id entity_id"),
     "embeddings": _schema("id ref_id ref_type", vector=_FLOATS, created_at=_TIME),
     "sync_state": _schema("connector state", updated_at=_TIME),
+    # The search index, and which document (of which source) a row came from.
+    "postings": _schema("term chunk_id", tf=T.LongType(), dl=T.IntegerType(), positions=T.ArrayType(T.IntegerType())),
+    "lengths": _schema("chunk_id", dl=T.IntegerType()),
+    "origins": _schema("doc relation id"),
 }
 
 #: What every retrieval operator returns.

@@ -1,33 +1,69 @@
-"""The knowledge store: immutable Parquet tables and an atomic manifest per commit.
+"""The knowledge store: immutable Parquet segments and an atomic manifest per commit.
 
-A commit writes new table versions, then a manifest that names the version of every
-table.  Manifests are numbered and created without overwriting, so of two concurrent
-writers one fails and can retry; readers always see a whole snapshot."""
+A relation is a list of operations: ``add`` names a segment of rows, ``del`` a segment of
+keys that what came before loses.  A commit writes only its own segments, then a manifest
+with the longer lists; manifests are numbered and created exclusively, and a writer commits
+against the version it read, so of two concurrent writers one fails and can retry and readers
+always see a whole snapshot.  A relation of many operations is written as one segment again.
+
+The search index is stored with the chunks: ``postings`` (each segment sorted by term, so a
+search reads the row groups of its terms) and ``lengths``."""
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators import entities as E
 from ..operators import forget as forgetting
 from ..operators import graph, ingest, recall, search
+from ..staging import staged
 
 #: Rows with the same key: the later one replaces the earlier.
-KEYS = {"relationships": ["id"], "chunks": ["id"], "memories": ["id"], "memory_entities": ["memory_id", "entity_id"], "embeddings": ["id"], "sync_state": ["connector"]}
+KEYS = {"relationships": ["id"], "chunks": ["id"], "memories": ["id"], "memory_entities": ["memory_id", "entity_id"], "embeddings": ["id"], "sync_state": ["connector"], "entities": ["id"], "origins": ["doc", "relation", "id"]}
+#: Reads of a relation join one anti-join per ``del``; beyond so many operations it is compacted.
+COMPACT_AT = 24
+WRITERS = 8
+
+Changes = list[tuple[str, str, DataFrame]]
 
 
 class ConcurrentCommit(RuntimeError):
     """Another writer committed first."""
 
 
+class Snapshot:
+    """One version of the store; everything that is read and committed refers to it."""
+
+    def __init__(self, store: KnowledgeStore, version: int):
+        self.store, self.version, self.operations = store, version, store.manifest(version)
+
+    def table(self, name: str) -> DataFrame:
+        spark, schema = self.store.spark, schemas.TABLES[name]
+        out = None
+        for op in self.operations.get(name, []):
+            at = f"{self.store.path}/{op['at']}"
+            if "del" in op:
+                if out is not None:
+                    out = out.join(spark.read.parquet(at), op["del"], "left_anti").select(*schema.names)
+            else:
+                rows = spark.read.schema(schema).parquet(at)
+                out = rows if out is None else out.unionByName(rows)
+        return spark.createDataFrame([], schema) if out is None else out
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {name: self.table(name) for name in schemas.TABLES}
+
+
 class KnowledgeStore:
-    def __init__(self, spark: SparkSession, path: str, model=None, embedder=None):
-        self.spark, self.path, self.model, self.embedder = spark, path.rstrip("/"), model, embedder
+    def __init__(self, spark: SparkSession, path: str, model=None, embedder=None, extractor=None):
+        self.spark, self.path, self.model, self.embedder, self.extractor = spark, path.rstrip("/"), model, embedder, extractor
         self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._at("manifests"))
 
@@ -41,9 +77,9 @@ class KnowledgeStore:
 
     def version(self) -> int:
         names = [s.getPath().getName() for s in self._fs.listStatus(self._at("manifests"))]
-        return max((int(n.split(".")[0]) for n in names if n.endswith(".json")), default=0)
+        return max((int(n.split(".")[0]) for n in names if n.endswith(".json") and n[0] != "_"), default=0)
 
-    def manifest(self, version: int | None = None) -> dict[str, str]:
+    def manifest(self, version: int | None = None) -> dict[str, list[dict]]:
         version = self.version() if version is None else version
         if not version:
             return {}
@@ -53,74 +89,157 @@ class KnowledgeStore:
         finally:
             stream.close()
 
+    def snapshot(self) -> Snapshot:
+        return Snapshot(self, self.version())
+
     def table(self, name: str) -> DataFrame:
-        at = self.manifest().get(name)
-        if at is None:
-            return self.spark.createDataFrame([], schemas.TABLES[name])
-        return self.spark.read.schema(schemas.TABLES[name]).parquet(f"{self.path}/{at}")
+        return self.snapshot().table(name)
 
     def tables(self) -> dict[str, DataFrame]:
-        return {name: self.table(name) for name in schemas.TABLES}
-
-    def commit(self, changed: dict[str, DataFrame]) -> int:
-        """Write new versions of the given tables; all of them become visible at once."""
-        base = self.version()
-        manifest = self.manifest(base)
-        for name, df in changed.items():
-            at = f"{name}/{uuid.uuid4().hex}"
-            df.select(*[F.col(f.name).cast(f.dataType) for f in schemas.TABLES[name].fields]).write.parquet(f"{self.path}/{at}")
-            manifest[name] = at
-        target, temporary = self._at("manifests", f"{base + 1:012d}.json"), self._at("manifests", f"_{uuid.uuid4().hex}")
-        out = self._fs.create(temporary, True)
+        return self.snapshot().tables()
+
+    def _segment(self, name: str, df: DataFrame) -> str | None:
+        """Where the rows were written; None without rows."""
+        at = f"{name}/{uuid.uuid4().hex}"
+        if name == "postings" and "term" in df.columns:
+            df = df.repartitionByRange("term").sortWithinPartitions("term", "chunk_id")
+        writer = df.write.partitionBy("ref_type") if name == "embeddings" and "vector" in df.columns else df.write
+        writer.parquet(f"{self.path}/{at}")
+        return None if self.spark.read.schema(df.schema).parquet(f"{self.path}/{at}").isEmpty() else at
+
+    def commit(self, base: Snapshot, changes: Changes) -> int:
+        """Write ``changes`` to ``base``, a list of ("add" or "del", relation, rows or keys); all of
+        them become visible at once, if no other commit followed ``base``."""
+        operations = {name: list(ops) for name, ops in base.operations.items()}
+
+        def write(change: tuple[str, str, DataFrame]) -> str | None:
+            kind, name, df = change
+            if kind == "del":
+                return self._segment(name, df) if base.operations.get(name) else None
+            return self._segment(name, df.select(*[F.col(f.name).cast(f.dataType) for f in schemas.TABLES[name].fields]))
+
+        with ThreadPoolExecutor(WRITERS) as pool:  # segments don't depend on each other
+            written = list(pool.map(write, changes))
+        for (kind, name, df), at in zip(changes, written, strict=True):
+            if at:
+                operations.setdefault(name, []).append({"del": df.columns, "at": at} if kind == "del" else {"at": at})
+        manifest = {name: ops if len(ops) <= COMPACT_AT else self._compacted(base, name, ops) for name, ops in operations.items()}
+        self._publish(base.version + 1, manifest)
+        return base.version + 1
+
+    def _compacted(self, base: Snapshot, name: str, operations: list[dict]) -> list[dict]:
+        whole = Snapshot(self, base.version)
+        whole.operations = {name: operations}
+        at = self._segment(name, whole.table(name))
+        return [{"at": at}] if at else []
+
+    def compact(self) -> int:
+        """Write every relation as one segment."""
+        base = self.snapshot()
+        self._publish(base.version + 1, {name: self._compacted(base, name, ops) for name, ops in base.operations.items()})
+        return base.version + 1
+
+    def _publish(self, version: int, manifest: dict) -> None:
+        """Create the manifest of ``version``; it is an error if another writer did."""
+        jvm = self.spark._jvm
+        target, temporary = self._at("manifests", f"{version:012d}.json"), self._at("manifests", f"_{uuid.uuid4().hex}")
+        out = self._fs.create(temporary, False)
         out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
         out.close()
-        if self._fs.exists(target) or not self._fs.rename(temporary, target):
+        try:
+            if self._fs.getUri().getScheme() == "file":
+                # A hard link is an exclusive create on one machine; renames there overwrite.
+                os.link(temporary.toUri().getPath(), target.toUri().getPath())
+            else:
+                none = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration()).rename(temporary, target, none)
+        except Exception as e:
+            if self._fs.exists(target):
+                raise ConcurrentCommit(f"version {version} exists") from e
+            raise
+        finally:
             self._fs.delete(temporary, False)
-            raise ConcurrentCommit(f"version {base + 1} exists")
-        return base + 1
-
-    def _replaced(self, name: str, new: DataFrame) -> DataFrame:
-        """The table with ``new`` rows in place of old ones of the same key."""
-        keys = KEYS[name]
-        latest = new.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))).where("_n = 1").drop("_n")
-        return self.table(name).join(latest.select(*keys), keys, "left_anti").select(*schemas.TABLES[name].names).unionByName(latest.select(*schemas.TABLES[name].names))
-
-    def _upserted(self, new: DataFrame) -> DataFrame:
-        old = self.table("entities").withColumn("seq", F.lit(0))
-        return E.upsert_entities(old.unionByName(new.withColumn("seq", F.lit(1)))).select(*schemas.TABLES["entities"].names)
 
     # Writes
 
+    def _put(self, base: Snapshot, name: str, new: DataFrame) -> Changes:
+        """``new`` rows (staged: they are read several times) in place of old ones of the same key."""
+        keys = KEYS[name]
+        latest = new.withColumn("_at", F.monotonically_increasing_id()).groupBy(*keys).agg(F.max_by(F.struct(*new.columns), "_at").alias("_r")).select("_r.*")
+        old = base.table(name).select(*keys).join(latest.select(*keys), keys, "left_semi").distinct()
+        changes = [("del", name, old), ("add", name, latest)]
+        if name == "chunks":
+            gone = old.withColumnRenamed("id", "chunk_id")
+            changes += [("del", "postings", gone), ("add", "postings", search.postings(latest)), ("del", "lengths", gone), ("add", "lengths", search.lengths(latest))]
+        return changes
+
+    def _put_entities(self, base: Snapshot, new: DataFrame) -> Changes:
+        """Upsert by (name, type): a known entity keeps its id and created_at."""
+        names = schemas.TABLES["entities"].names
+        known = base.table("entities").join(new.select("name", "type").distinct(), ["name", "type"], "left_semi").withColumn("seq", F.lit(-1).cast("long"))
+        merged = E.upsert_entities(known.unionByName(new.select(*names).withColumn("seq", F.monotonically_increasing_id()))).select(*names)
+        return [("del", "entities", known.select("id")), ("add", "entities", merged)]
+
     def put_entities(self, rows: DataFrame) -> int:
-        return self.commit({"entities": self._upserted(rows)})
+        base = self.snapshot()
+        return self.commit(base, self._put_entities(base, staged(rows, "put")))
 
     def put_relationships(self, rows: DataFrame) -> int:
-        if not E.dangling_relationships(rows, self.table("entities")).isEmpty():
+        base, rows = self.snapshot(), staged(rows, "put")
+        if not E.dangling_relationships(rows, base.table("entities")).isEmpty():
             raise ValueError("a relationship refers to no entity")
-        return self.commit({"relationships": self._replaced("relationships", rows)})
+        return self.commit(base, self._put(base, "relationships", rows))
 
     def put_chunks(self, rows: DataFrame) -> int:
-        return self.commit({"chunks": self._replaced("chunks", rows)})
+        base = self.snapshot()
+        return self.commit(base, self._put(base, "chunks", staged(rows, "put")))
 
     def put_memories(self, rows: DataFrame) -> int:
         """``rows`` carry ``entity_ids``; memories and links are committed together."""
+        base, rows = self.snapshot(), staged(rows, "put")
         links = rows.select(F.col("id").alias("memory_id"), F.explode("entity_ids").alias("entity_id")).distinct()
-        return self.commit({"memories": self._replaced("memories", rows.drop("entity_ids")), "memory_entities": self._replaced("memory_entities", links)})
+        return self.commit(base, self._put(base, "memories", rows.drop("entity_ids")) + self._put(base, "memory_entities", links))
 
     def put_embeddings(self, rows: DataFrame) -> int:
-        return self.commit({"embeddings": self._replaced("embeddings", rows)})
+        base = self.snapshot()
+        return self.commit(base, self._put(base, "embeddings", staged(rows, "put")))
 
     def remember(self, docs: DataFrame | str, source: str | None = None, max_chunk_bytes: int = 0, model=None, **options) -> int:
-        """Ingest documents (doc_id, content) in one commit."""
+        """Ingest documents (doc_id, content) in one commit.
+
+        What the same document of the same source had before (chunks, memories, links, vectors,
+        relationships) is replaced.  Entities stay, for other documents may speak of them."""
         if isinstance(docs, str):
             docs = self.spark.createDataFrame([(uuid.uuid5(uuid.NAMESPACE_OID, docs).hex, docs)], "doc_id string, content string")
-        new = ingest.remember(docs, source=source, max_chunk_bytes=max_chunk_bytes, model=model or self.model, embed=self.embedder is not None, **options)
-        changed = {name: self._upserted(df) if name == "entities" else self._replaced(name, df) for name, df in new.items()}
-        return self.commit(changed)
+        base = self.snapshot()
+        new = ingest.remember(docs, source=source, max_chunk_bytes=max_chunk_bytes, model=model or self.model, extractor=self.extractor, embed=self.embedder, known=base.table("entities"), **options)
+        origins = new.pop("origins")
+        before = staged(base.table("origins").join(new.pop("documents"), "doc", "left_semi"), "before")
+        gone = lambda relation, name="id": before.where(F.col("relation") == relation).select(F.col("id").alias(name)).distinct()
+        refs = before.where("relation IN ('chunks', 'memories')").select(F.col("id").alias("ref_id"), F.when(F.col("relation") == "chunks", "chunk").otherwise("memory").alias("ref_type")).distinct()
+        changes: Changes = []
+        if not before.isEmpty():
+            changes += [("del", r, gone(r)) for r in ("relationships", "chunks", "memories")]
+            changes += [("del", r, gone("chunks", "chunk_id")) for r in ("postings", "lengths")]
+            changes += [("del", "memory_entities", gone("memories", "memory_id")), ("del", "embeddings", refs), ("del", "origins", before.select("doc").distinct())]
+        changes += self._put_entities(base, new.pop("entities"))
+        changes += [("add", "postings", search.postings(new["chunks"])), ("add", "lengths", search.lengths(new["chunks"])), ("add", "origins", origins)]
+        changes += [("add", name, rows) for name, rows in new.items()]
+        return self.commit(base, changes)
 
     def forget(self, entity_id: str | None = None, source: str | None = None, strict_source: bool = False) -> int:
-        before = {k: v for k, v in self.tables().items() if k != "sync_state"}
-        return self.commit(forgetting.forget(before, entity_id, source, strict_source))
+        base = self.snapshot()
+        before = {name: base.table(name) for name in forgetting.RELATIONS}
+        after = forgetting.forget(before, entity_id, source, strict_source)
+        changes: Changes = []
+        for name, rows in before.items():
+            keys = KEYS[name]
+            gone = rows.select(*keys).distinct().join(after[name].select(*keys), keys, "left_anti")
+            if name == "chunks":
+                gone = staged(gone, "forgotten")
+                changes += [("del", r, gone.withColumnRenamed("id", "chunk_id")) for r in ("postings", "lengths")]
+            changes.append(("del", name, gone))
+        return self.commit(base, changes)
 
     # Sync state
 
@@ -129,8 +248,9 @@ class KnowledgeStore:
         return row["state"] if row else ""
 
     def set_sync_state(self, connector: str, state: str) -> int:
+        base = self.snapshot()
         row = self.spark.range(1).select(F.lit(connector).alias("connector"), F.lit(state).alias("state"), F.current_timestamp().alias("updated_at"))
-        return self.commit({"sync_state": self._replaced("sync_state", row)})
+        return self.commit(base, [("del", "sync_state", row.select("connector")), ("add", "sync_state", row)])
 
     # Reads
 
@@ -147,20 +267,26 @@ class KnowledgeStore:
         return E.relationships_of(self.table("relationships"), entity_id, types)
 
     def traverse(self, start: str, depth: int = 1, types: list[str] | None = None, **options) -> tuple[DataFrame, DataFrame]:
-        return graph.traverse(self.table("entities"), self.table("relationships"), start, depth, types, **options)
+        at = self.snapshot()
+        return graph.traverse(at.table("entities"), at.table("relationships"), start, depth, types, **options)
 
     def search_keyword(self, query: str, limit: int = 10, strict: bool = True) -> DataFrame:
-        return search.search_keyword(self.table("chunks"), query, limit, strict)
+        at = self.snapshot()
+        return search.search_keyword(at.table("chunks"), query, limit, strict, at.table("postings"), search.stats_of(at.table("lengths")))
 
     def search_vector(self, query, limit: int = 10, ref_type: str = "chunk") -> DataFrame:
-        return search.search_vector(self.table("embeddings"), self.table("chunks"), query, limit, self.embedder, ref_type)
+        at = self.snapshot()
+        return search.search_vector(at.table("embeddings"), at.table("chunks"), query, limit, self.embedder, ref_type)
 
     def search_memories(self, query: str, limit: int = 10) -> DataFrame:
-        return E.with_links(E.search_memories(self.table("memories"), query, limit), self.table("memory_entities"))
+        at = self.snapshot()
+        return E.with_links(E.search_memories(at.table("memories"), query, limit), at.table("memory_entities"))
 
     def memories_by_entity(self, entity_id: str) -> DataFrame:
-        return E.memories_by_entity(self.table("memories"), self.table("memory_entities"), entity_id)
+        at = self.snapshot()
+        return E.memories_by_entity(at.table("memories"), at.table("memory_entities"), entity_id)
 
     def recall(self, query: str, limit: int = recall.LIMIT, **options) -> DataFrame:
         t = self.tables()
-        return recall.recall(recall.Sources(self.spark, t["entities"], t["relationships"], t["chunks"], t["memories"], t["memory_entities"], t["embeddings"]), query, limit, self.model, self.embedder, **options)
+        sources = recall.Sources(self.spark, t["entities"], t["relationships"], t["chunks"], t["memories"], t["memory_entities"], t["embeddings"], t["postings"], search.stats_of(t["lengths"]))
+        return recall.recall(sources, query, limit, self.model, self.embedder, **options)

@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from strandline import cli, owner
+from strandline import api, cli, owner, remote
 from strandline.functions import extract
 from strandline.operators import ingest
 from strandline.providers import OfflineEmbedder, ScriptedModel
@@ -13,8 +13,8 @@ from strandline.sources import connectors
 from strandline.sources.store import ConcurrentCommit, KnowledgeStore
 from strandline.streaming.sync import stream_directory
 
-NOTE = "---\nname: Alice\ntype: person\nrole: engineer: lead\nrole: boss\nbad line\n---\nSee [[Bob]] and [[ Bob ]] and [[Acme|x]] [[ ]]."
-ANSWER = '```json\n{"entities":[{"type":"person","name":"Alice"},{"type":"company","name":"Stripe"}],"relationships":[{"source":"Alice","target":"Stripe","type":"works_at"},{"source_id":"Alice","target_id":"Stripe","type":"owns"},{"source":"Alice","target":"Nobody","type":"lost"}],"memories":[{"content":"Alice works at Stripe"},"a string",{"content":""},""]}\n```'
+NOTE = "---\nname: Ilse Moor\ntype: sailor\nrank: mate: first\nrank: captain\nbad line\n---\nSee [[Ketch]] and [[ Ketch ]] and [[Harbour|north]] [[ ]]."
+ANSWER = '```json\n{"entities":[{"type":"sailor","name":"Ilse Moor"},{"type":"ship","name":"Windrose"}],"relationships":[{"source":"Ilse Moor","target":"Windrose","type":"commands"},{"source_id":"Ilse Moor","target_id":"Windrose","type":"repaired"},{"source":"Ilse Moor","target":"Missing","type":"lost"}],"memories":[{"content":"Ilse Moor commands the Windrose"},"a bare string",{"content":""},""]}\n```'
 
 
 def _one(spark, text, column):
@@ -23,8 +23,8 @@ def _one(spark, text, column):
 
 def test_frontmatter(spark):
     e = _one(spark, NOTE, extract.frontmatter)
-    assert (e["type"], e["name"], e["source"]) == ("person", "Alice", "frontmatter")
-    assert json.loads(e["attributes"]) == {"role": "boss"}
+    assert (e["type"], e["name"], e["source"]) == ("sailor", "Ilse Moor", "frontmatter")
+    assert json.loads(e["attributes"]) == {"rank": "captain"}
 
 
 @pytest.mark.parametrize("text", ["no block", "---\nname: x", "---\n\n---\nbody", "---\ncolor: red\n---\n", "", None])
@@ -33,31 +33,31 @@ def test_no_frontmatter(spark, text):
 
 
 def test_wikilinks_once_in_order(spark):
-    assert [e["name"] for e in _one(spark, NOTE, extract.wikilinks)] == ["Bob", "Acme|x"]
+    assert [e["name"] for e in _one(spark, NOTE, extract.wikilinks)] == ["Ketch", "Harbour|north"]
     assert _one(spark, "none", extract.wikilinks) == []
     assert _one(spark, None, extract.deterministic) == []
 
 
 def test_model_json(spark):
     x = _one(spark, ANSWER, extract.model_json)
-    assert [(e["type"], e["name"]) for e in x["entities"]] == [("person", "Alice"), ("company", "Stripe")]
-    assert [(r["source"], r["target"], r["type"]) for r in x["relationships"]][1] == ("Alice", "Stripe", "owns")
-    assert [m["content"] for m in x["memories"]] == ["Alice works at Stripe", "a string"]
+    assert [(e["type"], e["name"]) for e in x["entities"]] == [("sailor", "Ilse Moor"), ("ship", "Windrose")]
+    assert [(r["source"], r["target"], r["type"]) for r in x["relationships"]][1] == ("Ilse Moor", "Windrose", "repaired")
+    assert [m["content"] for m in x["memories"]] == ["Ilse Moor commands the Windrose", "a bare string"]
     assert _one(spark, "not json", extract.model_json) is None
     assert _one(spark, "{}", extract.model_json)["entities"] == []
 
 
 def test_hybrid_concatenates(spark):
     row = spark.createDataFrame([(NOTE, ANSWER)], "c string, a string").select(extract.hybrid(F.col("c"), F.col("a"))["entities"]).first()[0]
-    assert [e["name"] for e in row] == ["Alice", "Bob", "Acme|x", "Alice", "Stripe"]
+    assert [e["name"] for e in row] == ["Ilse Moor", "Ketch", "Harbour|north", "Ilse Moor", "Windrose"]
 
 
 def test_remember_resolves_names_and_links(spark):
     docs = spark.createDataFrame([("d1", NOTE)], "doc_id string, content string")
-    made = ingest.remember(docs, source="notes", model=ScriptedModel({NOTE: ANSWER}))
-    assert {(r["type"], r["name"]) for r in made["entities"].collect()} == {("person", "Alice"), ("document", "Bob"), ("document", "Acme|x"), ("company", "Stripe")}
+    made = ingest.remember(docs, source="notes", model=ScriptedModel({NOTE: ANSWER}), embed=True)
+    assert {(r["type"], r["name"]) for r in made["entities"].collect()} == {("sailor", "Ilse Moor"), ("document", "Ketch"), ("document", "Harbour|north"), ("ship", "Windrose")}
     ids = {r["name"]: r["id"] for r in made["entities"].collect()}
-    assert {(r["source_id"], r["target_id"], r["type"]) for r in made["relationships"].collect()} == {(ids["Alice"], ids["Stripe"], "works_at"), (ids["Alice"], ids["Stripe"], "owns")}
+    assert {(r["source_id"], r["target_id"], r["type"]) for r in made["relationships"].collect()} == {(ids["Ilse Moor"], ids["Windrose"], "commands"), (ids["Ilse Moor"], ids["Windrose"], "repaired")}
     links = made["memory_entities"].groupBy("memory_id").count().collect()
     assert [r["count"] for r in links] == [4, 4]
     assert made["embeddings"].groupBy("ref_type").count().count() == 2
@@ -91,16 +91,16 @@ def test_store_round_trip_and_reopen(spark, store):
     assert store.version() == 0 and store.table("entities").isEmpty()
     store.remember(NOTE, source="notes")
     again = KnowledgeStore(spark, store.path, embedder=OfflineEmbedder())
-    alice = again.find_entities(name_like="alice").first()
-    assert alice["source"] == "frontmatter" and again.get_entity(alice["id"])["name"] == "Alice"
+    ilse = again.find_entities(name_like="ilse%").first()
+    assert ilse["source"] == "frontmatter" and again.get_entity(ilse["id"])["name"] == "Ilse Moor"
     with pytest.raises(LookupError):
         again.get_entity("nobody")
     before = {n: t.count() for n, t in again.tables().items()}
     again.remember(NOTE, source="notes")
     assert {n: t.count() for n, t in again.tables().items()} == before  # identifiers are stable
-    assert again.search_keyword("see").count() == 1 and again.recall("see bob").count() == 1
+    assert again.search_keyword("see").count() == 1 and again.recall("see ketch").count() == 1
     again.forget(source="frontmatter")
-    assert again.find_entities(name_like="alice").isEmpty() and not again.table("chunks").isEmpty()
+    assert again.find_entities(name_like="ilse%").isEmpty() and not again.table("chunks").isEmpty()
     again.close()
 
 
@@ -108,15 +108,18 @@ def test_store_checks_references_and_versions(spark, store):
     rel = spark.createDataFrame([("r", "x", "y", "t", "{}", "")], "id string, source_id string, target_id string, type string, attributes string, source string").withColumn("created_at", F.current_timestamp())
     with pytest.raises(ValueError):
         store.put_relationships(rel)
-    store.set_sync_state("c", "cursor-1")
-    old = store.version
-    store.version = lambda: 0  # a writer that started from an old snapshot
-    with pytest.raises(ConcurrentCommit):
-        store.set_sync_state("c", "cursor-2")
-    store.version = old
-    assert store.get_sync_state("c") == "cursor-1" and store.get_sync_state("d") == ""
-    store.set_sync_state("c", "cursor-3")
-    assert store.get_sync_state("c") == "cursor-3"
+    store.set_sync_state("c", "mark one")
+    stale = store.snapshot()
+    state = lambda text: spark.createDataFrame([("c", text, None)], "connector string, state string, updated_at timestamp")
+    store.set_sync_state("d", "x")
+    with pytest.raises(ConcurrentCommit):  # a plan made on an older version can't be committed
+        store.commit(stale, [("add", "sync_state", state("mark two"))])
+    assert store.get_sync_state("d") == "x"
+    store.commit(store.snapshot(), [("del", "sync_state", state("x").select("connector"))])
+    store.set_sync_state("c", "mark one")
+    assert store.get_sync_state("c") == "mark one" and store.get_sync_state("e") == ""
+    store.set_sync_state("c", "mark three")
+    assert store.get_sync_state("c") == "mark three"
 
 
 def test_store_memories(spark, store):
@@ -165,13 +168,138 @@ def test_stream_sync(store, tmp_path):
     assert store.table("chunks").count() == 2 and {r["name"] for r in store.find_entities().collect()} == {"A", "B"}
 
 
+def test_names_resolve_to_stored_ids(spark, store):
+    now = {"created_at": F.timestamp_seconds(F.lit(7)), "updated_at": F.timestamp_seconds(F.lit(7))}
+    store.put_entities(spark.createDataFrame([("my-ilse", "sailor", "Ilse Moor", "{}", "hand")], "id string, type string, name string, attributes string, source string").withColumns(now))
+    store.model = ScriptedModel({NOTE: ANSWER})
+    store.remember(NOTE, source="notes")
+    rels = store.table("relationships").collect()
+    assert {r["source_id"] for r in rels} == {"my-ilse"} and len(rels) == 2
+    kept = store.get_entity("my-ilse")
+    assert kept["created_at"].timestamp() == 7 and kept["updated_at"] > kept["created_at"] and store.find_entities(name_like="ilse%").count() == 1
+    entities = {r["id"] for r in store.table("entities").collect()}
+    assert {r["target_id"] for r in rels} | {r["entity_id"] for r in store.table("memory_entities").collect()} <= entities
+
+
+def test_reingesting_replaces(spark, store):
+    doc = lambda text: spark.createDataFrame([("d", text)], "doc_id string, content string")
+    long = "first part here.\n\nsecond part here.\n\nthird part here."
+    store.model = ScriptedModel({long: '{"entities":[{"type":"t","name":"N"}],"memories":["one","two"]}', "first part here.": '{"entities":[{"type":"t","name":"N"}],"memories":["one"]}'})
+    store.remember(doc(long), source="s", max_chunk_bytes=20)
+    store.remember(doc("another second"), source="other")
+    count = lambda name: store.table(name).count()
+    assert count("chunks") == 4 and count("memories") == 2 and count("embeddings") == 6 and store.search_keyword("second").count() == 2
+    store.remember(doc("first part here."), source="s", max_chunk_bytes=20)
+    assert count("chunks") == 2 and count("memories") == 1 and count("memory_entities") == 1 and count("embeddings") == 3
+    assert [r["content"] for r in store.search_keyword("second").collect()] == ["another second"] and count("lengths") == 2
+
+
+class CountingModel(ScriptedModel):
+    def __init__(self, folder):
+        super().__init__()
+        self.folder = folder
+
+    def extract(self, text, prompt=""):
+        with open(os.path.join(self.folder, "calls"), "a") as f:
+            f.write("x")
+        return ANSWER
+
+
+def test_one_model_call_per_document(store, tmp_path):
+    store.model = CountingModel(str(tmp_path))
+    store.remember(NOTE, source="s")
+    assert (tmp_path / "calls").read_text() == "x"
+
+
+class FixedEmbedder:
+    dimensions = 3
+
+    def embed(self, texts):
+        return [[1.0, float("ketch" in t.lower()), 0.0] for t in texts]
+
+
+class FixedExtractor:
+    def extract(self, text, content_type):
+        return {"entities": [{"type": "word", "name": text.split()[0]}], "memories": ["noted " + text.split()[0]]}
+
+
+def test_given_embedder_and_extractor_are_used(spark, tmp_path):
+    store = KnowledgeStore(spark, str(tmp_path / "own"), embedder=FixedEmbedder(), extractor=FixedExtractor())
+    store.remember("Ketch and [[Link]]")
+    store.remember("plain words")
+    assert {len(r["vector"]) for r in store.table("embeddings").collect()} == {3}
+    assert store.search_vector("a ketch", 1).first()["similarity"] == pytest.approx(1.0)
+    assert {r["name"] for r in store.find_entities().collect()} == {"Ketch", "plain"} and store.search_memories("noted").count() == 2
+
+
+def test_puts_write_segments_and_compaction_keeps_rows(spark, store):
+    row = lambda i, text: spark.createDataFrame([(f"c{i}", None, text, "{}", None)], "id string, entity_id string, content string, metadata string, created_at timestamp")
+    for i in range(3):
+        store.put_chunks(row(i, f"word{i} shared"))
+    first = store.manifest()["chunks"]
+    store.put_chunks(row(1, "changed shared"))
+    ops = store.manifest()["chunks"]
+    assert ops[:3] == first and [sorted(o) for o in ops[3:]] == [["at", "del"], ["at"]]  # nothing was rewritten
+    want = {r["id"]: r["score"] for r in store.search_keyword("shared").collect()}
+    assert set(want) == {"c0", "c1", "c2"} and store.search_keyword("word1").isEmpty() and store.search_keyword("changed").count() == 1
+    store.compact()
+    assert [sorted(o) for o in store.manifest()["chunks"]] == [["at"]]
+    assert {r["id"]: r["score"] for r in store.search_keyword("shared").collect()} == want
+    plan = store.search_keyword("shared")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(term,shared)" in plan and "regexp_extract_all" not in plan  # only the term's postings, no text
+
+
 def test_owner_and_cli(spark, store, capsys):
     owner.store_owner(store, "Ann Lee", "ann", ["a@x.org"])
-    owner.store_owner(store, "Ann Lee", "annie", owner.add_email(["a@x.org"], "A@X.org"))
+    assert owner.update_owner(store, nickname="annie", emails=["A@X.org", "b@x.org"]) == {"name": "Ann Lee", "nickname": "annie", "emails": ["a@x.org", "b@x.org"]}
     row = store.find_entities(type="person").collect()
-    assert len(row) == 1 and json.loads(row[0]["attributes"]) == {"emails": "a@x.org", "nickname": "annie"}
-    assert store.table("chunks").count() == 1
+    assert len(row) == 1 and json.loads(row[0]["attributes"]) == {"emails": "a@x.org, b@x.org", "nickname": "annie"}
+    assert [r["content"] for r in store.table("chunks").collect()] == ["My name is Ann Lee. My nickname is annie. My email addresses are a@x.org, b@x.org."]
     assert cli.main(["--db", store.path, "recall", "annie"], spark) == 0
-    assert "also known as annie" in capsys.readouterr().out
+    assert "nickname is annie" in capsys.readouterr().out
     assert cli.main(["--db", store.path, "entity", "get", row[0]["id"]], spark) == 0
     assert json.loads(capsys.readouterr().out)["name"] == "Ann Lee"
+    assert cli.main(["--db", store.path, "config", "--name", "Bo"], spark) == 0 and cli.main(["--db", store.path, "config"], spark) == 0
+    assert [json.loads(x)["name"] for x in capsys.readouterr().out.splitlines()] == ["Bo", "Bo"]
+    answers = iter(["Cy", "", "c@x.org", ""])
+    assert cli.main(["--db", store.path, "init"], spark, lambda _: next(answers)) == 0
+    assert owner.load_owner(store) == {"name": "Cy", "nickname": "", "emails": ["c@x.org"]}
+    with pytest.raises(ValueError):
+        owner.update_owner(KnowledgeStore(spark, store.path + "-new"), nickname="x")
+
+
+def test_operations_by_name(store):
+    api.call(store, "remember", content="See [[Ketch]]", source="notes")
+    found = api.call(store, "find_entities", name="ketch").first()
+    assert api.call(store, "get_entity", id=found["id"])["name"] == "Ketch" and api.call(store, "get_relationships", entity_id=found["id"]).isEmpty()
+    assert api.call(store, "search", query="see").count() == 1 and api.call(store, "recall", query="see ketch").count() == 1
+    assert api.call(store, "traverse", start_id=found["id"])[0].count() == 1
+    api.call(store, "forget", entity_id=found["id"])
+    assert api.call(store, "find_entities").isEmpty()
+    with pytest.raises(LookupError):
+        api.call(store, "drop")
+
+
+def test_remote_providers_over_a_given_transport():
+    sent = []
+
+    def transport(url, headers, body):
+        sent.append((url, headers, body))
+        if url.endswith("/embeddings"):
+            return {"data": [{"index": 1, "embedding": [2.0]}, {"index": 0, "embedding": [1.0]}]}
+        plan = '{"queries": [{"type": "keyword", "params": {"query": "q"}}]}'
+        return {"choices": [{"message": {"content": plan}}]} if "completions" in url else {"content": [{"type": "text", "text": plan}, {"type": "other"}]}
+
+    env = {"STRANDLINE_KEY": "k", "STRANDLINE_URL": "http://x/v1/", "STRANDLINE_MODEL": "m", "STRANDLINE_EMBEDDING_MODEL": "e", "STRANDLINE_EMBEDDING_DIMS": "1"}
+    model, embedder = remote.providers_from(env, transport)
+    assert model.decompose("q?") == [{"type": "keyword", "params": {"query": "q"}}] and model.extract("t", "p").startswith("{") and model.summarize(["a", "b"])
+    assert sent[0][0] == "http://x/v1/chat/completions" and sent[0][2]["response_format"] and "response_format" not in sent[2][2] and sent[1][2]["messages"][0]["content"] == "p"
+    assert embedder.embed(["a", "b"]) == [[1.0], [2.0]] and embedder.dimensions == 1
+    other, offline = remote.providers_from({**env, "STRANDLINE_PROVIDER": "messages", "STRANDLINE_EMBEDDING_MODEL": ""}, transport)
+    assert other.decompose("q?")[0]["type"] == "keyword" and sent[-1][2]["max_tokens"] == 4096 and offline.dimensions == 8
+    assert remote.providers_from({}, transport)[0] is None
+    for bad in ({"STRANDLINE_PROVIDER": "messages"}, {"STRANDLINE_PROVIDER": "x"}, {"STRANDLINE_KEY": "k"}, {**env, "STRANDLINE_PROVIDER": "messages"}):
+        with pytest.raises(ValueError):
+            remote.providers_from(bad, transport)
+    with pytest.raises(ValueError):
+        remote.CompletionsModel("k", "http://x", "m", lambda *a: {}).extract("t")

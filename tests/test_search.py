@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import sqlite3
 
@@ -49,6 +50,46 @@ def test_bad_syntax(chunks, query):
         search.search_keyword(chunks, query)
 
 
+WORDS = ["a", "b", "c", "d", "Việt", "한국", "йод", "Ελλάδα", "ελλαδα", "かな", "café", "cafe\u0301", "ΟΔΟΣ", "οδος", "naïve", "ſs", "İx", "x2", "straße", "ệ"]
+
+
+def _expression(r, depth):
+    word = lambda: r.choice(WORDS[:4] if r.random() < 0.7 else WORDS)
+    kind = r.random()
+    if depth == 0 or kind < 0.35:
+        w = word()
+        return r.choice([w, w, w, f'"{w}"', w + "*", f'"{w} {word()}"', f"^{w}", f"{w} + {word()}", f"NEAR({w} {word()}, {r.randrange(4)})", f"content: {w}", f"{w} {word()}", f"({w}) {word()}"])
+    if kind < 0.9:
+        return f"{_expression(r, depth - 1)} {r.choice(['AND', 'OR', 'NOT'])} {_expression(r, depth - 1)}"
+    return f"({_expression(r, depth - 1)})"
+
+
+def test_random_expressions_and_scripts_equal_sqlite(spark):
+    """Operators in any order and nesting, over several scripts; errors are errors in both."""
+    r = random.Random(11)
+    texts = [" ".join(r.choice(WORDS[:4] if r.random() < 0.6 else WORDS) for _ in range(r.randrange(1, 9))) for _ in range(60)]
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE f USING fts5(content)")
+    db.executemany("INSERT INTO f(rowid, content) VALUES (?, ?)", list(enumerate(texts)))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    index, stats = search.postings(df).cache(), search.corpus_stats(df).cache()
+    for _ in range(40):
+        query = _expression(r, r.randrange(4))
+        try:
+            want = {i: -s for i, s in db.execute("SELECT rowid, rank FROM f WHERE f MATCH ?", (query,))}
+        except sqlite3.OperationalError:
+            with pytest.raises(search.MatchSyntaxError):
+                search.search_keyword(df, query)
+            continue
+        got = {x["id"]: x["score"] for x in search.search_keyword(df, query, 1000, index=index, stats=stats).collect()}
+        assert got.keys() == want.keys(), query
+        assert all(got[k] == pytest.approx(v, rel=1e-6, abs=1e-9) for k, v in want.items()), query
+
+
+def test_postings_need_no_shuffle(chunks):
+    assert "Exchange" not in search.postings(chunks.select("id", "content"))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lenient_reading_and_limits(chunks):
     assert {r["id"] for r in search.search_keyword(chunks, "programming, language?", strict=False).collect()} == {"c0", "c1", "c2"}
     assert search.search_keyword(chunks, "?!", strict=False).isEmpty()
