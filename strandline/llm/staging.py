@@ -1,34 +1,13 @@
-"""Lineage cuts that survive lost executors.
-
-Intermediate tables go to the shared folder the cluster names in
-``spark.checkpoint.dir``.  Only where that is unset (tests on one machine) a
-temporary folder is used instead.
-"""
+"""Tables, column names and schemas; lineage cuts are those of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-_local: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = _local.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="strandline-"))
-    return folder.rstrip("/")
-
+from ..staging import shared_folder, staged
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it again."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/strandline/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["fresh", "shared_folder", "staged", "table", "with_fields"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
