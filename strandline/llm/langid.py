@@ -3,31 +3,38 @@
 For each language a zstandard raw-content dictionary is made from labelled
 texts.  A text is encoded with every dictionary; the language whose dictionary
 gives the smallest output wins, and a narrow margin between the two smallest
-outputs can be rejected.  What is encoded is the lower-cased words of a text; its
+outputs is rejected.  What is encoded is the lower-cased words of a text; its
 other characters carry no language.  Texts are encoded whole, in blocks of ``block_bytes``
 that start at character boundaries, each block against a fresh dictionary, so a
-long text can't outgrow the dictionaries by matching itself.
+long text can't outgrow the dictionaries by matching itself.  Each block is encoded twice and
+the sizes are added: plainly, and by a finer search behind a prelude (a few bytes of every
+language, whose own size is taken off), which tells short blocks apart that would be stored.
+
+All texts, short and long, go the same way and are held to the same margin (bytes saved
+over the second language, per byte of words); a tie is below every margin.
 
 Only the dictionaries are learned.  They come from a bounded sample: at most
 ``sample_docs`` documents per language, chosen by a hash of their identifiers
-among all labelled rows, of each of them the bytes that the dictionary has room
-for.  The rows that reach the driver are bounded by ``sample_docs`` and the
-number of languages.  A language with little text has a small dictionary, and the
-others keep theirs whole: it wins the texts that its few bytes do encode best.
+among all labelled rows, of each of them a span at a place that its hash chooses, as
+long as the dictionary has room for.  What reaches the driver and is broadcast is bounded by
+``sample_docs``, ``dictionary_bytes`` and ``MAX_LANGS``; more distinct labels are an error, for
+such a column doesn't name languages.  A language with little text has a small dictionary, and
+the others keep theirs whole: it wins the texts that its few bytes do encode best.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
-equal sizes go to the first language in alphabetical order, with margin 0;
+equal sizes go to the first language in alphabetical order, with margin 0, and are
+rejected; with a single language everything is that one, with margin 1;
 without any labelled text everything is ``und``; an empty table gives an empty
-result; null labels are not learned from.
+result; null labels are not learned from; columns named like a result are replaced.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -44,11 +51,10 @@ DICTIONARY_BYTES = 96 << 10
 SAMPLE_DOCS = 256
 BLOCK_BYTES = 1 << 12
 LEVEL = 3
-#: Texts of at most so many bytes are encoded at a finer level, after a prelude (a piece of every
-#: language) whose size is taken off again; alone they would be stored, not compressed.
-FINE_BYTES = 512
-FINE_LEVEL = 16
-PRELUDE_BYTES = 256
+FINE_LEVEL = 6
+PRELUDE_BYTES = 64
+MIN_MARGIN = 0.001
+MAX_LANGS = 512
 #: Nats of score per byte saved.
 SCALE = 1.0
 
@@ -58,15 +64,18 @@ def letters(text: str) -> str:
     return NOT_LETTERS.sub(" ", text.lower()).strip()
 
 
-def sample_by_language(docs: DataFrame, key: str, text: str, lang: str, sample_docs: int) -> dict[str, list[str]]:
-    """At most ``sample_docs`` texts of each language, those of smallest key hash."""
+def sample_by_language(docs: DataFrame, key: str, text: str, lang: str, sample_docs: int, span: int = DICTIONARY_BYTES) -> dict[str, list[str]]:
+    """Of each language a span of at most ``sample_docs`` texts, those of smallest key hash."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
-    counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
+    counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().limit(MAX_LANGS + 1).collect()}
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"{lang} has more than {MAX_LANGS} values")
     if not counts:
         return {}
     draw = F.shiftrightunsigned(F.xxhash64(F.lit("langid"), F.col(key)), 11) / float(1 << 53)
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 2.0 * sample_docs / n)))])
-    rows = labelled.where(draw < share[F.col(lang)]).select(F.col(lang), draw.alias("draw"), F.left(F.col(text), F.lit(DICTIONARY_BYTES)).alias("text")).collect()
+    begin = F.pmod(F.xxhash64(F.lit("span"), F.col(text)), F.greatest(F.lit(1), F.length(text) - span + 1)).cast("int") + 1
+    rows = labelled.where(draw < share[F.col(lang)]).select(F.col(lang), draw.alias("draw"), F.substring(F.col(text), begin, F.lit(span)).alias("text")).collect()
     found: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r[0], r["draw"], r["text"])):
         if len(found.setdefault(r[0], [])) < sample_docs:
@@ -77,15 +86,16 @@ def sample_by_language(docs: DataFrame, key: str, text: str, lang: str, sample_d
 def build_dictionaries(samples: Mapping[str, list[str]], dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """Equal shares of each sampled text, joined; each language has as much as its own texts give."""
     pools = {}
-    for lang, texts in samples.items():
-        raw = [letters(t).encode() for t in texts]
+    for lang, texts in sorted(samples.items()):
+        raw = sorted((letters(t).encode() for t in texts), key=len)
         room, part = dictionary_bytes, []
-        for i, t in enumerate(sorted(raw, key=len)):
-            take = t[: max(1, room // (len(raw) - i))].decode("utf-8", "ignore").encode()
-            part.append(take)
-            room -= len(take) + 1
+        for i, t in enumerate(raw):
+            size = max(1, room // (len(raw) - i))
+            begin = zlib.crc32(t) % (len(t) - size + 1) if len(t) > size else 0
+            part.append(t[begin : begin + size].decode("utf-8", "ignore").encode())
+            room -= len(part[-1]) + 1
         pools[lang] = b"\n".join(part)[-dictionary_bytes:]
-    return {lang: pools[lang] for lang in sorted(pools)}
+    return pools
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
@@ -94,12 +104,12 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 class Coder:
     def __init__(self, dictionaries: Mapping[str, bytes], level: int = LEVEL, block_bytes: int = BLOCK_BYTES):
-        self.langs, self.block_bytes = list(dictionaries), block_bytes
-        self.coders = [self._coder(raw, level, block_bytes, 4) for raw in dictionaries.values()]
-        # A small dictionary gives the prelude half of itself, so that something of it is its own.
-        given = [min(PRELUDE_BYTES, len(raw) // 2) for raw in dictionaries.values()]
-        self.prelude = b" ".join(raw[:n] for n, raw in zip(given, dictionaries.values(), strict=True)) + b" "
-        self.fine = [self._coder(raw[n:], FINE_LEVEL, 2 * FINE_BYTES, 3) for n, raw in zip(given, dictionaries.values(), strict=True)]
+        self.langs, self.block_bytes = sorted(dictionaries), block_bytes
+        raw = [dictionaries[lang] for lang in self.langs]
+        given = [min(PRELUDE_BYTES, len(x) // 2) for x in raw]  # something stays in a small dictionary
+        self.prelude = b" ".join(x[:n] for n, x in zip(given, raw, strict=True)) + b" "
+        self.plain = [self._coder(x, level, block_bytes, 4) for x in raw]
+        self.fine = [self._coder(x[n:], FINE_LEVEL, block_bytes + len(self.prelude), 3) for n, x in zip(given, raw, strict=True)]
         self.idle = [len(c.compress(self.prelude)) for c in self.fine]
 
     @staticmethod
@@ -119,10 +129,8 @@ class Coder:
             a = b
 
     def sizes(self, raw: bytes) -> list[int]:
-        if len(raw) <= FINE_BYTES:
-            return [len(c.compress(self.prelude + raw)) - i for c, i in zip(self.fine, self.idle, strict=True)]
-        parts = list(self.blocks(raw))
-        return [sum(len(c.compress(p)) for p in parts) for c in self.coders]
+        parts = [(p, self.prelude + p) for p in self.blocks(raw)]
+        return [sum(len(c.compress(p)) + len(f.compress(q)) - i for p, q in parts) for c, f, i in zip(self.plain, self.fine, self.idle, strict=True)]
 
     def classify(self, text: str | None) -> tuple[str, float, float]:
         """(language, score, margin): margin is the saving over the second best, per byte of text."""
@@ -137,33 +145,24 @@ class Coder:
         return self.langs[best], score, margin
 
 
-def _classifier(dictionaries: Mapping[str, bytes], text: str, min_margin: float, margin_bytes: int):
+def _classifier(dictionaries: Mapping[str, bytes], text: str, min_margin: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(dictionaries)
         for batch in batches:
-            lang, score, margin = [], [], []
-            texts = batch.column(batch.schema.names.index(text))
-            for x in texts:
-                found, s, m = coder.classify(x.as_py())
-                lang.append(found)
-                score.append(s)
-                margin.append(m)
-            enough = pc.fill_null(pc.greater_equal(pc.binary_length(texts), margin_bytes), False).to_pylist()
-            rejected = [f == UNDETERMINED or (e and m < min_margin) for f, m, e in zip(lang, margin, enough, strict=True)]
+            found = [coder.classify(x.as_py()) for x in batch.column(batch.schema.names.index(text))]
+            lang, score, margin = zip(*found, strict=True) if found else ((), (), ())
+            rejected = [f == UNDETERMINED or m < min_margin for f, _, m in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array(rejected, pa.bool_())], [*batch.schema.names, "lang_pred", "lang_score", "lang_margin", "lang_rejected"])
 
     return textcore.tidy(run)
 
 
-def classify(docs: DataFrame, dictionaries: Mapping[str, bytes], text: str = "text", min_margin: float = 0.0, margin_bytes: int = 0) -> DataFrame:
-    """``docs`` with lang_pred, lang_score (0 to 1), lang_margin and lang_rejected.
-
-    Rejected are texts that are ``und`` and those of at least ``margin_bytes`` whose margin is
-    below ``min_margin``; on shorter texts a narrow margin only shows a lack of evidence."""
-    new = ["lang_pred", "lang_score", "lang_margin", "lang_rejected"]
-    base = docs.drop(*new)
+def classify(docs: DataFrame, dictionaries: Mapping[str, bytes], text: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
+    """``docs`` with lang_pred, lang_score (0 to 1), lang_margin and lang_rejected: ``und``, or a
+    margin below ``min_margin``."""
+    base = docs.drop("lang_pred", "lang_score", "lang_margin", "lang_rejected")
     out = with_fields(base.schema, "lang_pred string, lang_score double, lang_margin double, lang_rejected boolean")
-    return base.mapInArrow(_classifier(dict(dictionaries), text, min_margin, margin_bytes), out)
+    return base.mapInArrow(_classifier(dict(dictionaries), text, min_margin), out)
 
 
 def held_out(key: str, modulus: int, remainder: int) -> Column:
