@@ -7,10 +7,12 @@ text that makes up a third of all rows leaves each task once.  The survivors are
 dealt by (length, content hash) and inserted into tries again; their terminals
 are the owners of the whole table.
 
-A trie over its memory limit spills by subtree: the largest subtree goes to a
-run file in the task's own temporary folder (before the shuffle: straight
-downstream, as partial terminals); at the end each spilled subtree is
-rebuilt from its runs alone, and splits again on the next byte if need be.
+A trie over its memory limit spills by subtree.  It goes down to the fork below which more
+than half of it hangs and spills the largest subtrees of that fork until half is gone: to run
+files in the task's own temporary folder (a lost task makes them again), or, before the shuffle,
+straight downstream as partial terminals.  At the end each spilled subtree is rebuilt from its
+runs alone, without the bytes that lead to it, and spills again if need be; so a prefix that many
+texts share is passed once, however long it is.  A single text is never spilled from a trie of its own.
 
 Pass 2 joins each row to its owner by content hash.  Only the rows
 (identifier, hash) are shuffled, only owners of more than one row are joined,
@@ -70,10 +72,9 @@ class PatriciaTrie:
 
     def __init__(self, better: Callable, limit: int = TRIE_BYTES, spill: Callable | None = None):
         self.better, self.limit, self.spill = better, limit, spill
-        self.root, self.bytes, self.held = Node(b""), 0, {}
+        self.root, self.bytes, self.leaves = Node(b""), 0, 0
 
     def insert(self, key: bytes, best, count: int) -> None:
-        top = key[:1]
         node, at, grown = self.root, 0, 0
         while at < len(key):
             branch = key[at]
@@ -84,6 +85,7 @@ class PatriciaTrie:
                     node.children = {}
                 node.children[branch] = child
                 grown += len(child.label) + NODE_BYTES
+                self.leaves += 1
             elif not key.startswith(child.label, at):
                 same = common_prefix(child.label, key, at)
                 fork = Node(child.label[:same])
@@ -95,15 +97,51 @@ class PatriciaTrie:
         node.best = best if node.count == 0 else self.better(node.best, best)
         node.count += count
         self.bytes += grown
-        self.held[top] = self.held.get(top, 0) + grown
-        if self.bytes > self.limit and self.spill:
-            self.spill_largest()
+        if self.bytes > self.limit and self.spill and self.leaves > 1:
+            self.spill_half()
 
-    def spill_largest(self) -> None:
-        top = max(self.held, key=self.held.get)
-        self.bytes -= self.held.pop(top)
-        if top:
-            self.spill(top, self.walk(self.root.children.pop(top[0]), b""))
+    def _sizes(self) -> dict[int, tuple[int, int]]:
+        """(bytes, leaves) of the subtree of every node, by the node's id."""
+        order, stack = [], [self.root]
+        while stack:
+            node = stack.pop()
+            order.append(node)
+            stack.extend((node.children or {}).values())
+        out: dict[int, tuple[int, int]] = {}
+        for node in reversed(order):
+            below = [out[id(c)] for c in (node.children or {}).values()]
+            out[id(node)] = (len(node.label) + NODE_BYTES + sum(b for b, _ in below), sum(n for _, n in below) if below else 1)
+        return out
+
+    def spill_half(self) -> None:
+        sizes = self._sizes()
+        of = lambda branch: sizes[id(node.children[branch])][0]
+        node, path = self.root, b""
+        while len(node.children) == 1 or of(max(node.children, key=of)) > self.bytes // 2:
+            child = node.children[max(node.children, key=of)]
+            if not child.children:
+                break
+            node, path = child, path + child.label
+        goal = self.bytes // 2
+        for branch in sorted(node.children, key=of, reverse=True):
+            if self.bytes <= goal:
+                break
+            child = node.children.pop(branch)
+            self.bytes -= sizes[id(child)][0]
+            self.leaves -= sizes[id(child)][1]
+            self.spill(path + bytes([branch]), self.walk(child, path))
+
+    def detach(self, prefix: bytes) -> Iterator[tuple[bytes, object, int]]:
+        """Take out all texts that begin with ``prefix``."""
+        node, at = self.root, 0
+        while node.children and prefix[at] in node.children:
+            child = node.children[prefix[at]]
+            if child.label.startswith(prefix[at:]):
+                return self.walk(node.children.pop(prefix[at]), prefix[:at])
+            if not prefix.startswith(child.label, at):
+                break
+            node, at = child, at + len(child.label)
+        return iter(())
 
     def walk(self, node: Node, prefix: bytes) -> Iterator[tuple[bytes, object, int]]:
         stack = [(node, prefix)]
@@ -121,30 +159,41 @@ class PatriciaTrie:
 def owners(entries: Iterator[tuple[bytes, object, int]], better: Callable, limit: int = TRIE_BYTES) -> Iterator[tuple[bytes, object, int]]:
     """All owners among ``entries``, in bounded memory: (text, identifier, count)."""
     with tempfile.TemporaryDirectory() as folder:
-        pending = [(entries, 0, b"")]
+        pending: list[tuple[Iterator, bytes]] = [(entries, b"")]
         serial = 0
         while pending:
-            source, depth, lead = pending.pop()
+            source, lead = pending.pop()
             runs: dict[bytes, str] = {}
 
-            def spill(top: bytes, rows, runs=runs):
+            def spill(prefix: bytes, rows, runs=runs):
                 nonlocal serial
-                if top not in runs:
+                if prefix not in runs:
                     serial += 1
-                    runs[top] = os.path.join(folder, str(serial))
-                with open(runs[top], "ab") as f:
+                    runs[prefix] = os.path.join(folder, str(serial))
+                with open(runs[prefix], "ab") as f:
                     for row in rows:
                         pickle.dump(row, f)
 
             trie = PatriciaTrie(better, limit, spill)
             for text, best, count in source:
                 trie.insert(text, best, count)
-            for top in [t for t in runs if t and trie.root.children and t[0] in trie.root.children]:
-                spill(top, trie.walk(trie.root.children.pop(top[0]), b""))
+            # A prefix below another one that was spilled later belongs to that one's run.
+            heads: list[bytes] = []
+            for prefix in sorted(runs):
+                if not heads or not prefix.startswith(heads[-1]):
+                    heads.append(prefix)
+            for prefix in heads:
+                spill(prefix, trie.detach(prefix))
             for text, best, count in trie.terminals():
                 yield lead + text, best, count
-            for top, path in runs.items():
-                pending.append((_reread(path, 1), depth + 1, lead + top))
+            for head in heads:
+                parts = [path for prefix, path in runs.items() if prefix.startswith(head)]
+                pending.append((_reread_all(parts, len(head)), lead + head))
+
+
+def _reread_all(paths: list[str], skip: int) -> Iterator[tuple[bytes, object, int]]:
+    for path in paths:
+        yield from _reread(path, skip)
 
 
 def _reread(path: str, skip: int) -> Iterator[tuple[bytes, object, int]]:
