@@ -107,12 +107,13 @@ def word_features(attributes: str) -> tuple[int, ...]:
 class Page:
     """Elements (parent, depth, tag, attributes) and text runs (block, element, text)."""
 
-    __slots__ = ("attributes", "depth", "in_link", "parent", "runs", "tags")
+    __slots__ = ("attributes", "depth", "in_link", "open", "parent", "runs", "tags")
 
     def __init__(self, source: str):
         self.parent, self.depth, self.tags, self.attributes = [-1], [0], ["html"], [""]
         self.in_link: list[bool] = [False]
         self.runs: list[tuple[int, int, str]] = []
+        self.open: dict[str, list[int]] = {}
         self._parse(source)
 
     def _open(self, at: int, tag: str, attributes: str) -> int:
@@ -124,12 +125,16 @@ class Page:
         return len(self.parent) - 1
 
     def _close(self, at: int, names, stop) -> int:
-        """The open element left when the nearest of ``names`` above ``at`` is closed."""
-        x = at
-        while x > 0 and self.tags[x] not in stop:
-            if self.tags[x] in names:
-                return self.parent[x]
-            x = self.parent[x]
+        """The open element left when the nearest of ``names`` above ``at`` is closed, unless a
+        ``stop`` is nearer.  The open elements of each name are at hand, so that an end tag without
+        a start costs nothing and every element is left once."""
+        nearest = lambda tags: max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
+        found = nearest(names)
+        if found <= nearest(stop):
+            return at
+        while at >= found:
+            self.open[self.tags[at]].pop()
+            at = self.parent[at]
         return at
 
     def _parse(self, s: str) -> None:
@@ -144,7 +149,9 @@ class Page:
                 break
             follow = s[lt + 1 : lt + 2]
             if follow in ("!", "?"):
-                if s.startswith("<!--", lt):
+                if s.startswith(("<!-->", "<!--->"), lt):  # a comment that ends where it begins
+                    pos = s.index(">", lt) + 1
+                elif s.startswith("<!--", lt):
                     close = s.find("-->", lt + 4)
                     pos = end if close < 0 else close + 3
                 elif s.startswith("<![CDATA[", lt):
@@ -186,10 +193,9 @@ class Page:
                 after = s.find(">", pos)
                 pos = end if after < 0 else after + 1
                 block += tag in BLOCK
-            elif tag not in VOID and not m[3].endswith("/"):
+            elif tag not in VOID:  # a slash does not close such an element
                 at = node
-            elif m[3].endswith("/") and tag not in VOID:
-                at = node  # a slash does not close such an element
+                self.open.setdefault(tag, []).append(node)
 
 
 class Forest:
@@ -281,7 +287,7 @@ class Model:
 LABEL = re.compile(r'\s*data-content="([01])"')
 
 
-def labelled_pages(n: int = 400, seed: int = 5) -> list[str]:
+def labelled_pages(n: int = 700, seed: int = 5) -> list[str]:
     """Pages whose elements carry ``data-content="1"`` or ``"0"`` where their label
     differs from their parent's."""
     r = random.Random(seed)
@@ -330,7 +336,7 @@ def labelled_pages(n: int = 400, seed: int = 5) -> list[str]:
 
     pages = []
     for _ in range(n):
-        body = f"<h1>{say(3, 9)}</h1>" * (r.random() < 0.8) + "".join(piece() if r.random() < 0.85 else junk() for _ in range(r.randint(2, 14)))
+        body = f"<h1>{say(3, 9)}</h1>" * (r.random() < 0.8) + "".join(piece() if r.random() < 0.85 else junk() for _ in range(r.randint(1, 14)))
         if r.random() < 0.2:
             body = f'<header data-content="0"><p>{say(2, 8)}</p></header>' + body
         if r.random() < 0.2:
@@ -350,7 +356,9 @@ def labelled_pages(n: int = 400, seed: int = 5) -> list[str]:
         after = "".join(junk() for _ in range(r.randint(0, 4))) + f"<footer{attr('footer', 'x3')}><p>{say(2, 12)}</p><ul>{links(2)}</ul></footer>" * (r.random() < 0.8)
         if r.random() < 0.25:
             before, after = f'<div class="{r.choice(["page", "wrap", "layout"])}">{before}', f"{after}</div>"
-        pages.append(f"<!DOCTYPE html><html><head><title>{say(2, 6)}</title><style>p{{}}</style></head><body>{before}{core}{after}</body></html>")
+        head = f"<head><title>{say(2, 6)}</title><style>p{{}}</style></head>" * (r.random() < 0.7)
+        whole = r.random() < 0.85
+        pages.append(f"<!DOCTYPE html><html>{head}<body>{before}{core}{after}</body></html>" if whole else f"{before}{core}{after}<script>var a;</script>")
     return pages
 
 
@@ -363,7 +371,7 @@ def labels_of(page: Page) -> np.ndarray:
     return out
 
 
-def train(sources: list[str] | None = None, steps: int = 150, rate: float = 0.3, decay: float = 2e-3) -> Model:
+def train(sources: list[str] | None = None, steps: int = 250, rate: float = 0.3, decay: float = 5e-4) -> Model:
     """Maximum likelihood by Adam over the exact gradient."""
     pages = [Page(s) for s in (sources or labelled_pages())]
     truth = np.concatenate([labels_of(p) for p in pages])
