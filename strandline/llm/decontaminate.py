@@ -12,10 +12,10 @@ are found for a whole slice of text at once with numpy, and the automaton walks
 only through the runs between them that are long enough to hold the shortest
 window; no match of that length can lie outside such a run.
 
-The items are read in blocks of at most ``block_words`` words, one automaton per
-block and one pass over the texts for each, so the broadcast automaton has a
-bounded size (an automaton has fewer than two states per word) whatever the size
-of the benchmark.
+The items are read in blocks of at most ``block_words`` words (some 0.5 kB of memory each,
+on the driver and in every worker) or one item, one automaton per block and one pass over the
+texts for each; a pass is written before the next one's automaton is made, so one block is
+in memory at a time whatever the size of the benchmark.  Items of equal words are one sequence.
 
 Words are runs of a-z, 0-9 and non-ASCII characters after lower-casing A-Z.
 Defined results: null texts have no words, null or wordless items never occur;
@@ -35,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore
-from .staging import with_fields
+from .staging import fresh, staged, with_fields
 
 WINDOW = 10
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 200_000
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -53,15 +53,13 @@ class SuffixAutomaton:
     def __init__(self):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.items: list[set] = [set()]
-        self.shorts: list[list[tuple[int, object]]] = [[]]
+        self.items: dict[int, set[int]] = {}
+        self.shorts: dict[int, list[tuple[int, int]]] = {}
 
     def _state(self, length: int) -> int:
         self.next.append({})
         self.link.append(-1)
         self.length.append(length)
-        self.items.append(set())
-        self.shorts.append([])
         return len(self.next) - 1
 
     def _extend(self, last: int, word: int) -> int:
@@ -95,24 +93,28 @@ class SuffixAutomaton:
         for w in words:
             last = self._extend(last, w)
 
-    def finish(self, sequences: list[tuple[object, list[int]]], window: int) -> None:
-        """Mark, for each state of strings of ``window`` words, the items that hold them,
-        and for each state the short items it ends with."""
+    def finish(self, sequences: list[list[int]], window: int) -> None:
+        """Mark, for each state of strings of ``window`` words, the sequences that hold them, and
+        for each state the short sequences it ends with, longest first."""
         self.window = window
-        for item, words in sequences:
+        for number, words in enumerate(sequences):
             state = length = 0
             for w in words:
                 state, length = self.step(state, length, w)
                 if length >= window:
-                    at = state
-                    while self.length[self.link[at]] >= window:
-                        at = self.link[at]
-                    self.items[at].add(item)
-            if 0 < len(words) < window:
-                self.shorts[state].append((len(words), item))
-        self.chain: list[list[tuple[int, object]]] = [[] for _ in self.next]
+                    self.items.setdefault(self._window_state(state), set()).add(number)
+            if len(words) < window:
+                self.shorts.setdefault(state, []).append((len(words), number))
+        ends = dict(self.shorts)
         for s in sorted(range(1, len(self.next)), key=self.length.__getitem__):
-            self.chain[s] = self.shorts[s] + self.chain[self.link[s]]
+            if self.link[s] in ends:
+                ends[s] = ends.get(s, []) + ends[self.link[s]]
+        self.ends = {s: sorted(found, reverse=True) for s, found in ends.items()}
+
+    def _window_state(self, state: int) -> int:
+        while self.length[self.link[state]] >= self.window:
+            state = self.link[state]
+        return state
 
     def step(self, state: int, length: int, word: int) -> tuple[int, int]:
         while state and word not in self.next[state]:
@@ -122,35 +124,57 @@ class SuffixAutomaton:
             return self.next[state][word], length + 1
         return 0, 0
 
-    def hits(self, words: list[int]) -> Iterator[tuple[int, int, object]]:
-        """(first word, end word, item) of each occurrence of a window in ``words``."""
+    def hits(self, words: list[int], found: set[int]) -> list[list[int]]:
+        """Merged [first, end) spans of all occurrences of windows in ``words``; the numbers of the
+        sequences they come from are added to ``found``.  A position adds one span, the longest."""
+        spans: list[list[int]] = []
         state = length = 0
+        seen: set[tuple[int, int]] = set()
         for i, w in enumerate(words):
             state, length = self.step(state, length, w)
+            longest = 0
             if length >= self.window:
-                at = state
-                while self.length[self.link[at]] >= self.window:
-                    at = self.link[at]
-                for item in self.items[at]:
-                    yield i + 1 - self.window, i + 1, item
-            for k, item in self.chain[state]:
+                at = self._window_state(state)
+                if (at, -1) not in seen:
+                    seen.add((at, -1))
+                    found |= self.items[at]
+                longest = self.window
+            for k, number in self.ends.get(state, ()):
                 if k <= length:
-                    yield i + 1 - k, i + 1, item
+                    longest = max(longest, k)
+                    if (state, length) in seen:
+                        break
+                    found.add(number)
+            seen.add((state, length))
+            if longest:
+                if spans and i + 1 - longest <= spans[-1][1]:
+                    spans[-1][0], spans[-1][1] = min(spans[-1][0], i + 1 - longest), i + 1
+                    while len(spans) > 1 and spans[-1][0] <= spans[-2][1]:
+                        spans[-2:] = [[min(spans[-2][0], spans[-1][0]), spans[-1][1]]]
+                else:
+                    spans.append([i + 1 - longest, i + 1])
+        return spans
 
 
 class Matcher:
     """The automaton of one block of items with its word numbers and adjacent pairs."""
 
     def __init__(self, items: list[tuple[object, str]], window: int = WINDOW):
-        split = [(i, item_words(t)) for i, t in items if i is not None]
-        split = [(i, w) for i, w in split if w]
+        self.names: list[list] = []  # the items of each sequence
         vocabulary: dict[str, int] = {}
-        sequences = [(i, [vocabulary.setdefault(x, len(vocabulary)) for x in w]) for i, w in split]
+        place: dict[tuple[int, ...], int] = {}
+        for item, text in items:
+            words = tuple(vocabulary.setdefault(x, len(vocabulary)) for x in item_words(text)) if item is not None else ()
+            if words:
+                if place.setdefault(words, len(self.names)) == len(self.names):
+                    self.names.append([])
+                self.names[place[words]].append(item)
+        sequences = [list(w) for w in place]
         self.automaton = SuffixAutomaton()
-        for _, w in sequences:
+        for w in sequences:
             self.automaton.add(w)
         self.automaton.finish(sequences, window)
-        self.shortest = min((min(len(w), window) for _, w in sequences), default=0)
+        self.shortest = min((min(len(w), window) for w in sequences), default=0)
         words = [w.encode() for w in vocabulary]
         data, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words]).astype(np.int64)
         starts = np.concatenate([np.zeros(1, np.int64), ends[:-1]]) if words else ends
@@ -158,7 +182,7 @@ class Matcher:
         order = np.argsort(hashes)
         self.hashes, self.numbers = hashes[order], order.astype(np.int64)
         self.size = len(words)
-        pairs = {a * self.size + b for _, w in sequences for a, b in zip(w, w[1:], strict=False)}
+        pairs = {a * self.size + b for w in sequences for a, b in zip(w, w[1:], strict=False)}
         self.pairs = np.array(sorted(pairs), np.int64)
         self.first = np.zeros(1 << 16, bool)
         self.first[(self.hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
@@ -195,6 +219,7 @@ class Matcher:
         return starts[long], ends[long]
 
 
+RESULTS = ["n_words", "n_hit", "spans", "hit_items"]
 FOUND = "n_words bigint, n_hit bigint, spans array<array<bigint>>, hit_items array<string>"
 
 
@@ -214,10 +239,8 @@ def _scan(matcher, text: str):
                     starts, ends = m.runs(numbers, first)
                     owner = np.searchsorted(first, starts, side="right") - 1
                     for s, e, d in zip(starts.tolist(), ends.tolist(), owner.tolist(), strict=True):
-                        for x, y, item in m.automaton.hits(numbers[s:e].tolist()):
-                            x, y = x + s - int(first[d]), y + s - int(first[d])
-                            items.setdefault(d, set()).add(item)
-                            spans.setdefault(d, []).append([x, y])
+                        begin = s - int(first[d])
+                        spans.setdefault(d, []).extend([x + begin, y + begin] for x, y in m.automaton.hits(numbers[s:e].tolist(), items.setdefault(d, set())))
                 columns["n_words"] += np.diff(first).tolist()
                 for d in range(n_docs):
                     merged: list[list[int]] = []
@@ -228,7 +251,7 @@ def _scan(matcher, text: str):
                             merged.append([x, y])
                     columns["n_hit"].append(sum(y - x for x, y in merged))
                     columns["spans"].append(merged)
-                    columns["hit_items"].append(sorted(map(str, items.get(d, ()))))
+                    columns["hit_items"].append(sorted({str(i) for k in items.get(d, ()) for i in m.names[k]}))
             types = {"n_words": pa.int64(), "n_hit": pa.int64(), "spans": pa.list_(pa.list_(pa.int64())), "hit_items": pa.list_(pa.string())}
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(v, types[k]) for k, v in columns.items()]], [*batch.schema.names, *columns])
 
@@ -238,8 +261,8 @@ def _scan(matcher, text: str):
 def item_blocks(benchmark: DataFrame, item: str, text: str, block_words: int) -> Iterator[list[tuple[object, str]]]:
     block, size = [], 0
     for row in benchmark.select(item, text).where(F.col(text).isNotNull()).orderBy(item, text).toLocalIterator():
-        n = len(row[1])
-        if block and size + n > 4 * block_words:
+        n = len(WORD.findall(row[1].translate(UPPER)))
+        if block and size + n > block_words:
             yield block
             block, size = [], 0
         block.append((row[0], row[1]))
@@ -250,16 +273,17 @@ def item_blocks(benchmark: DataFrame, item: str, text: str, block_words: int) ->
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with n_words, n_hit, spans (merged [first, end) word spans) and hit_items
     (sorted identifiers of the items with occurring windows)."""
-    base = docs.drop("n_words", "n_hit", "spans", "hit_items")
+    base = docs.drop(*RESULTS)
+    old = {name: fresh(base.columns, f"_{name}") for name in RESULTS}
     out = None
     for block in item_blocks(benchmark, item, item_text, block_words):
         matcher = docs.sparkSession.sparkContext.broadcast(Matcher(block, window))
-        source = base if out is None else out.withColumnsRenamed({"n_words": "_w", "n_hit": "_h", "spans": "_s", "hit_items": "_i"})
+        source = base if out is None else staged(out, "scanned").withColumnsRenamed(old)
         found = source.mapInArrow(_scan(matcher, text), with_fields(source.schema, FOUND))
         if out is not None:
-            words = F.array_distinct(F.flatten(F.transform(F.concat("_s", "spans"), lambda s: F.sequence(s[0], s[1] - 1))))
-            found = found.withColumn("spans", F.array_sort(F.concat("_s", "spans"))).withColumn("n_hit", F.size(words).cast("long"))
-            found = found.withColumn("hit_items", F.array_sort(F.array_distinct(F.concat("_i", "hit_items")))).drop("_w", "_h", "_s", "_i")
+            words = F.array_distinct(F.flatten(F.transform(F.concat(old["spans"], "spans"), lambda s: F.sequence(s[0], s[1] - 1))))
+            found = found.withColumn("n_hit", F.size(words).cast("long")).withColumn("spans", F.array_sort(F.concat(old["spans"], "spans")))
+            found = found.withColumn("hit_items", F.array_sort(F.array_distinct(F.concat(old["hit_items"], "hit_items")))).drop(*old.values())
         out = found
     return out
 
@@ -289,11 +313,12 @@ def _cut(name: str):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", max_coverage: float = 0.5, **options) -> DataFrame:
     """``docs`` without contamination, with its own columns: hit spans are cut out, and
-    documents of which more than ``max_coverage`` of the words are hit are dropped whole.
-    Columns named n_words, n_hit, spans or hit_items don't pass."""
-    found = scan(docs, benchmark, text, **options)
+    documents of which more than ``max_coverage`` of the words are hit are dropped whole."""
+    own = {name: fresh(docs.columns, f"_own_{name}") for name in RESULTS if name in docs.columns}
+    found = scan(docs.withColumnsRenamed(own), benchmark, text, **options)
     kept = found.where(F.col("n_hit") <= max_coverage * F.col("n_words"))
-    return kept.mapInArrow(_cut(text), kept.schema).select(*[c for c in docs.columns if c not in ("n_words", "n_hit", "spans", "hit_items")])
+    cut = kept.mapInArrow(_cut(text), kept.schema).drop(*RESULTS)
+    return cut.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
