@@ -15,9 +15,10 @@ integers, so shares are rounded down to whole tokens.
 
 Each leaf then takes a prefix of its own token stream: whole epochs first, each
 in an order seeded by (seed, epoch, document), then the part of the last epoch
-that fills its share.  Prefix sums run in two levels (order-key buckets, then
-inside the one bucket where the share ends), so no task ever sorts a whole leaf and
-texts are not shuffled.
+that fills its share.  Where that part ends is found on a slim table of counts: prefix sums
+over buckets of the order key (as many as keep a bucket small in the largest leaf), then inside
+the one bucket where the share ends.  Every document compares its order key with that one row
+of its leaf, so no task ever sorts a whole leaf and texts are not shuffled.
 
 Defined results: null level values are nodes named ``(none)``; documents without
 tokens (null, empty) are never taken, for they fill nothing; equal rows are
@@ -28,6 +29,7 @@ are 1, and nodes of weight 0 get nothing; the output columns ``epoch``,
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -44,6 +46,7 @@ NONE = "(none)"
 BIG = "decimal(38,0)"
 BROADCAST_LEAVES = 20_000
 SALTS = 64
+BUCKET_ROWS = 100_000
 
 
 def count_words(text: str) -> Column:
@@ -81,10 +84,9 @@ def leaf_budgets(leaves: DataFrame, levels: Sequence[str], tokens: str, weights:
     """``leaves`` (a row per leaf with its tokens) with ``_take``, the tokens it is to give.
 
     The budget is ``budget`` tokens, or the fraction ``share`` = (a, b) of all tokens."""
-    x = leaves.withColumn("_cap", F.col(tokens) * max_epochs)
-    total = F.sum(tokens).over(Window.partitionBy(F.lit(0)))
-    whole = F.lit(int(budget)).cast("long") if budget is not None else F.expr(f"CAST(_total * {int(share[0])} div {int(share[1])} AS bigint)")
-    x = x.withColumn("_total", total).withColumn("_got", whole).drop("_total")
+    if budget is None:
+        budget = int(leaves.agg(F.sum(tokens)).first()[0] or 0) * int(share[0]) // int(share[1])
+    x = leaves.withColumn("_cap", F.col(tokens) * max_epochs).withColumn("_got", F.lit(int(budget)).cast("long"))
     for depth, level in enumerate(levels):
         above, path = list(levels[:depth]), list(levels[: depth + 1])
         nodes = x.groupBy(*path).agg(F.sum("_cap").alias("_ncap"), F.first("_got").alias("_nbudget"))
@@ -125,7 +127,7 @@ def mix(
     key: str = "doc_id",
     text: str = "text",
     tokens: Column | None = None,
-    bucket_digits: int = 2,
+    bucket_digits: int | None = None,
 ) -> DataFrame:
     """The chosen documents, once per epoch, with ``epoch``, ``n_tokens`` and
     ``take_tokens`` (less than ``n_tokens`` only where a leaf's share ends).
@@ -148,7 +150,10 @@ def mix(
         base = base.where(F.col("n_tokens") > 0)
     slim = staged(slim.where(F.col("_n") > 0), "counts")
 
-    leaves = staged(slim.groupBy(*path).agg(F.sum("_n").alias("_leaf")), "leaves")
+    leaves = staged(slim.groupBy(*path).agg(F.sum("_n").alias("_leaf"), F.count(F.lit(1)).alias("_rows")), "leaves")
+    if bucket_digits is None:
+        rows = leaves.agg(F.max("_rows")).first()[0] or 1
+        bucket_digits = max(2, math.ceil(math.log(max(1, rows / BUCKET_ROWS), 16)))
     shares = leaf_budgets(leaves, path, "_leaf", {v: weights.get(c, {}) for c, v in zip(levels, path, strict=True)}, max_epochs, share, budget).where(F.col("_take") > 0)
     shares = staged(shares.withColumn("_whole", F.expr("CAST(_take div _leaf AS int)")).withColumn("_rest", F.expr("CAST(_take % _leaf AS bigint)")), "shares")
     n = shares.count()
@@ -161,17 +166,26 @@ def mix(
     sums = counted.groupBy(*path, F.substring(order_key(F.col("_id")), 1, bucket_digits).alias("_cut")).agg(F.sum("_n").alias("_sum"), F.first("_rest").alias("_rest"))
     ahead = Window.partitionBy(*path).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_ahead", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)))
-    ends = sums.where((F.col("_ahead") < F.col("_rest")) & (F.col("_ahead") + F.col("_sum") >= F.col("_rest"))).select(*path, "_cut", "_ahead")
-    plan = staged(shares.join(ends, path, "left"), "plan")
+    ends = sums.where((F.col("_ahead") < F.col("_rest")) & (F.col("_ahead") + F.col("_sum") >= F.col("_rest"))).select(*path, "_cut", "_ahead", "_rest")
+    inside = _with_shares(slim, staged(ends.join(shares.select(*path, "_whole"), path), "ends"), path, ["_id", "_n"], n).withColumn("_key", order_key(F.col("_id")))
+    inside = inside.where(F.substring("_key", 1, bucket_digits) == F.col("_cut"))
+    upto = Window.partitionBy(*path).orderBy("_key", "_id", "_n").rowsBetween(Window.unboundedPreceding, -1)
+    last = inside.withColumn("_begin", F.col("_ahead") + F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+    # The row in which the share ends; equal rows before it are told apart by their number below.
+    same = Window.partitionBy(*path, "_key", "_id", "_n")
+    last = last.withColumn("_first", F.min("_begin").over(same)).where((F.col("_begin") < F.col("_rest")) & (F.col("_begin") + F.col("_n") >= F.col("_rest")))
+    last = last.select(*path, F.struct(F.col("_key").alias("k"), F.col("_id").alias("i"), F.col("_n").alias("n")).alias("_last"), F.col("_first"))
+    plan = staged(shares.join(last, path, "left"), "plan")
 
     x = _with_shares(base, plan, path, [key], n)
-    x = x.withColumn("_key", order_key(F.col(key))).withColumn("_bucket", F.substring("_key", 1, bucket_digits))
-    in_last = F.coalesce(F.col("_bucket") <= F.col("_cut"), F.lit(False))
+    x = x.withColumn("_here", F.struct(order_key(F.col(key)).alias("k"), F.col(key).alias("i"), F.col("n_tokens").cast("long").alias("n")))
+    in_last = F.coalesce(F.col("_here") <= F.col("_last"), F.lit(False))
     x = x.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_whole")))).where((F.col("epoch") < F.col("_whole")) | in_last)
-    at_end = (F.col("epoch") == F.col("_whole")) & (F.col("_bucket") == F.col("_cut"))
-    done = x.where(~F.coalesce(at_end, F.lit(False))).withColumn("take_tokens", F.col("n_tokens"))
-    inside = Window.partitionBy(*path).orderBy("_key", F.col(key), "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    part = x.where(at_end).withColumn("_begin", F.col("_ahead") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).where(F.col("_begin") < F.col("_rest"))
+    at_end = (F.col("epoch") == F.col("_whole")) & F.coalesce(F.col("_here") == F.col("_last"), F.lit(False))
+    done = x.where(~at_end).withColumn("take_tokens", F.col("n_tokens"))
+    # One row of each leaf, or equal rows: the first ones fill the rest.
+    nth = F.row_number().over(Window.partitionBy(*path).orderBy(F.lit(0))) - 1
+    part = x.where(at_end).withColumn("_begin", F.col("_first") + nth * F.col("n_tokens")).where(F.col("_begin") < F.col("_rest"))
     part = part.withColumn("take_tokens", F.least(F.col("n_tokens"), F.col("_rest") - F.col("_begin")))
     out = [*[c for c in docs.columns if c not in ("epoch", "n_tokens", "take_tokens")], "epoch", "n_tokens", "take_tokens"]
     return done.select(*out).unionByName(part.select(*out))
