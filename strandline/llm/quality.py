@@ -1,12 +1,12 @@
 """Quality classification: random-indexing word vectors, a two-layer network, temperature.
 
 Words are runs of letters, of digits or of other marks; runs of capitals are
-words of their own.  Each word falls into one of ``BUCKETS`` hash buckets, so the
-vocabulary has a fixed size.  Random indexing: every bucket has a fixed sparse
-ternary index vector, and a bucket's word vector is the sum, over all its
-occurrences in all documents, of the index vectors of the words up to
-``WINDOW`` places away.  Tasks add these up in integers and send one matrix
-each (in blocks), so the sums do not depend on the order of tasks.
+words of their own.  Random indexing: every word has a sparse ternary index vector of its own,
+made from its hash, and its word vector is the sum, over all its occurrences in all documents,
+of the index vectors of the words up to ``WINDOW`` places away.  The sums are kept in ``BUCKETS``
+hash buckets, which bounds the table that is broadcast (16 MB): words that fall into one bucket
+share a word vector, though not an index vector.  Tasks add up in integers and send the buckets
+that they met, compressed, by key range, so the sums do not depend on the order of tasks.
 
 A document is the mean and the spread of its unit word vectors and the mean cosine
 of neighbours.  A network with
@@ -28,35 +28,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore
 from .staging import fresh, with_fields
 
-BUCKETS = 1 << 13
+BUCKETS = 1 << 17
 DIM = 32
 NONZERO = 2
 WINDOW = 2
 SAMPLE_DOCS = 20_000
 HIDDEN = 32
 FEATURES = 2 * DIM + 1
-BLOCKS = 16
+BLOCKS = 32
 
 _CLASS = np.full(256, 3, np.uint8)
 _CLASS[textcore.SPACE] = 0
 _CLASS[65:91] = _CLASS[97:123] = _CLASS[128:] = 1
 _CLASS[48:58] = 2
 
-_rng = np.random.Generator(np.random.PCG64(7))
-_PLACE = np.stack([_rng.permutation(DIM)[:NONZERO] for _ in range(BUCKETS)])
-_SIGN = np.where(_rng.random((BUCKETS, NONZERO)) < 0.5, -1, 1).astype(np.int64)
+_U = np.uint64
 
 
-def word_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each word and the index of each document's first word."""
+def index_vectors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the nonzero entries of each word's index vector."""
+    bits = textcore.mix64(hashes)
+    place, sign = np.empty((NONZERO, len(bits)), np.int64), np.empty((NONZERO, len(bits)), np.int64)
+    for j in range(NONZERO):
+        part = (bits >> _U(16 * j)) & _U(0xFFFF)
+        place[j], sign[j] = (part >> _U(1)) % _U(DIM), (part & _U(1)).astype(np.int64) * 2 - 1
+    return place, sign
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word (capitals told apart) and the index of each document's first word."""
     if len(data) == 0:
-        return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     kind = _CLASS[data]
     change = np.ones(len(data) + 1, bool)
     change[1:-1] = kind[1:] != kind[:-1]
@@ -68,59 +77,83 @@ def word_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     capitals = np.concatenate([[0], np.cumsum((data >= 65) & (data <= 90))])
     shout = (ends - starts > 1) & (capitals[ends] - capitals[starts] == ends - starts)
     hashes = textcore.span_hashes(textcore.LOWER[data], starts, ends)
-    return ((hashes >> np.uint64(40)).astype(np.int64) * 2 + shout) % BUCKETS, np.searchsorted(starts, offsets)
+    return np.where(shout, textcore.mix64(hashes), hashes), np.searchsorted(starts, offsets)
+
 
+def buckets_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> _U(20)).astype(np.int64) % BUCKETS
 
-def add_contexts(total: np.ndarray, buckets: np.ndarray, first: np.ndarray) -> None:
+
+def add_contexts(total: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> None:
     """Add each word's neighbours' index vectors to ``total`` (BUCKETS * DIM integers)."""
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    rows, (place, sign) = buckets_of(hashes) * DIM, index_vectors(hashes)
     for gap in range(1, WINDOW + 1):
-        if len(buckets) <= gap:
+        if len(rows) <= gap:
             break
         same = owner[gap:] == owner[:-gap]
-        left, right = buckets[:-gap][same], buckets[gap:][same]
-        for a, b in ((left, right), (right, left)):
-            for j in range(NONZERO):
-                total += np.bincount(a * DIM + _PLACE[b, j], _SIGN[b, j], BUCKETS * DIM).astype(np.int64)
+        left, right = np.flatnonzero(same), np.flatnonzero(same) + gap
+        at = np.concatenate([rows[a] + place[j][b] for a, b in ((left, right), (right, left)) for j in range(NONZERO)])
+        way = np.concatenate([sign[j][b] for b in (right, left) for j in range(NONZERO)])
+        total += np.bincount(at, way, len(total)).astype(total.dtype)
 
 
 @textcore.tidy
 def _accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BUCKETS * DIM, np.int64)
+    total = np.zeros(BUCKETS * DIM, np.int32)
     for batch in batches:
         for _, _, data, offsets in textcore.slices(batch.column(0), 4 << 20):
-            add_contexts(total, *word_buckets(data, offsets))
+            add_contexts(total, *words_of(data, offsets))
+            if np.abs(total).max(initial=0) > 1 << 29:  # far from an overflow by one slice more
+                yield _blocks(total)
+                total[:] = 0
     yield _blocks(total)
 
 
+BLOCK = "block int, sums binary"
+
+
 def _blocks(total: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([x.tobytes() for x in np.split(total, BLOCKS)], pa.binary())], ["block", "sums"])
+    """Key ranges of the sums as compressed byte planes; ranges without a word are left out."""
+    parts = [(i, x) for i, x in enumerate(np.split(total, BLOCKS)) if x.any()]
+    packed = [zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1) for _, x in parts]
+    return pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array(packed, pa.binary())], ["block", "sums"])
+
 
+def _unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8)
+    size = len(planes) // (BUCKETS * DIM // BLOCKS)
+    return np.ascontiguousarray(planes.reshape(size, -1).T).view(np.int32 if size == 4 else np.int64).ravel().astype(np.int64)
 
+
+@textcore.tidy
 def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Unit word vectors of each key range."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(raw, np.int64)
-            sums[block] = sums[block] + x if block in sums else x
-    if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "sums"])
+        for block, raw in zip(batch.column(0), batch.column(1), strict=True):
+            x = _unpacked(raw.as_py())
+            sums[block.as_py()] = sums[block.as_py()] + x if block.as_py() in sums else x
+    for block, x in sums.items():
+        rows = x.reshape(-1, DIM).astype(np.float64)
+        unit = (rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zstandard.compress(unit.tobytes())], pa.binary())], ["block", "sums"])
 
 
 def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Unit word vectors by bucket, from all documents."""
-    parts = docs.select(F.col(text)).mapInArrow(_accumulate, "block int, sums binary")
-    rows = parts.repartition(BLOCKS, "block").mapInArrow(_add_blocks, "block int, sums binary").collect()
-    total = np.zeros((BLOCKS, BUCKETS * DIM // BLOCKS))
+    parts = docs.select(F.col(text)).mapInArrow(_accumulate, BLOCK)
+    rows = parts.repartition(BLOCKS, "block").mapInArrow(_add_blocks, BLOCK).collect()  # 16 MB at most
+    out = np.zeros((BLOCKS, BUCKETS // BLOCKS, DIM), np.float32)
     for r in rows:
-        total[r["block"]] = np.frombuffer(r["sums"], np.int64)
-    total = total.reshape(BUCKETS, DIM)
-    return (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        out[r["block"]] = np.frombuffer(zstandard.decompress(bytes(r["sums"])), np.float32).reshape(-1, DIM)
+    return out.reshape(BUCKETS, DIM)
 
 
 def pooled(vectors: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Mean, spread and mean neighbour cosine of each document's word vectors."""
-    buckets, first = word_buckets(data, offsets)
+    hashes, first = words_of(data, offsets)
+    buckets = buckets_of(hashes)
     out = np.zeros((len(first) - 1, FEATURES))
     for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
         if a == b:
