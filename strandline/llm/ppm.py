@@ -14,11 +14,11 @@ compressed blocks per key range, not as rows.  Merging tasks add up a key range.
 No node is dropped, so the trie grows with the corpus and is never in one place:
 a key range has all grams whose contexts end in the same two bytes, thus whole
 contexts of order 2 and more.  Only orders 0 and 1 (at most 65,536 nodes) are
-broadcast.  Documents are dealt into chunks; each chunk asks for the costs of its
+broadcast.  The commonest pair of bytes has some fortieth of all distinct grams, which is the
+largest share of a range.  Documents are dealt into chunks; each chunk asks for the costs of its
 distinct grams and for the counts of its distinct words (the unigram reference,
-``base_score``) by key range, and the answers come back to the chunk.  ``nodes``,
-if given, prunes nodes of less than ``1 / nodes`` of the training bytes; their
-mass goes to the escapes.
+``base_score``) by key range, and the answers come back to the chunk.  Chunks and key ranges
+follow the input: as many as keep the bytes (and rows) behind each below a fixed size.
 
 Defined results: null counts as empty (its end is still scored); a byte zero
 inside a text is scored like an end; without training texts the trie is empty
@@ -44,6 +44,9 @@ from .staging import staged
 
 ORDER = 5
 CHUNK_BYTES = 32 << 20
+#: A row without text still costs something; texts behind one key range of counts.
+ROW_BYTES = 64
+RANGE_BYTES = 64 << 20
 END = np.uint64(zlib.crc32(b"end of text") | 1 << 40)
 
 _U = np.uint64
@@ -240,25 +243,19 @@ class Table:
 class Trie:
     """The nodes of each order as sorted packed grams with counts."""
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], least: int = 1):
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
         self.order = len(levels) - 1
         self.levels, self.contexts = [], []
         for o, (keys, counts) in enumerate(levels):
             name, first = self._contexts(keys)
             whole = np.add.reduceat(counts, first) if len(first) else counts
-            if o and least > 1:
-                keep, names = counts >= least, name
-                keys, counts = keys[keep], counts[keep]
-                name, first = self._contexts(keys)
-                whole = whole[np.searchsorted(names, name)]
-            kept = np.add.reduceat(counts, first) if len(first) else counts
             distinct = np.diff(np.append(first, len(keys)))
             below = np.zeros(len(first), np.int64)
             if o and len(first):
                 low_keys, low_counts = self.levels[o - 1]
                 below = np.add.reduceat(low_counts[np.searchsorted(low_keys, keys & _U((1 << 8 * o) - 1))], first)
             self.levels.append((keys, counts))
-            self.contexts.append((name, kept, distinct, whole - kept, below))
+            self.contexts.append((name, whole, distinct, below))
 
     @staticmethod
     def _contexts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -268,14 +265,14 @@ class Trie:
         return context[first], first
 
     @classmethod
-    def of_range(cls, low: list[tuple[np.ndarray, np.ndarray]], order: int, keys: np.ndarray, counts: np.ndarray, least: int) -> Trie:
+    def of_range(cls, low: list[tuple[np.ndarray, np.ndarray]], order: int, keys: np.ndarray, counts: np.ndarray) -> Trie:
         """The trie of a key range: its own contexts of order 2 and more, and orders 0 and 1 of all."""
         levels = []
         for o in range(order, 1, -1):
             if o < order:
                 keys, counts = add_up([keys & _U((1 << 8 * (o + 1)) - 1)], [counts])
             levels.append((keys, counts))
-        return cls([*low[: order + 1], *levels[::-1]], least)
+        return cls([*low[: order + 1], *levels[::-1]])
 
     def log10(self, g: np.ndarray) -> np.ndarray:
         """log10 of the probability of each gram's last byte after its other bytes."""
@@ -286,7 +283,7 @@ class Trie:
             if not len(left):
                 break
             keys, counts = self.levels[o]
-            name, kept, distinct, pruned, below = self.contexts[o]
+            name, whole, distinct, below = self.contexts[o]
             if not len(keys):
                 continue
             k = g[left] & _U((1 << 8 * (o + 1)) - 1)
@@ -294,8 +291,8 @@ class Trie:
             known = name[c] == k >> _U(8)
             at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
             hit = known & (keys[at] == k)
-            novel = (distinct[c] - seen[left]) + pruned[c]
-            total = kept[c] - mass[left] + novel
+            novel = distinct[c] - seen[left]
+            total = whole[c] - mass[left] + novel
             with np.errstate(divide="ignore", invalid="ignore"):
                 out[left[hit]] += np.log10(counts[at[hit]] / total[hit])
                 escape = known & ~hit & (novel > 0) & (total > 0)
@@ -312,12 +309,8 @@ class Trie:
         return np.add.reduceat(self.log10(distinct)[back], at[:-1]) if len(at) > 1 else np.zeros(0)
 
 
-def train(docs: DataFrame, text: str, order: int, nodes: int | None, ranges: int) -> tuple[DataFrame, list[tuple[np.ndarray, np.ndarray]], int, int, int]:
-    """(staged counts by key range, orders 0 and 1, least count of a node, training tokens, distinct training tokens)."""
-    least = 1
-    if nodes:
-        size = docs.agg(F.coalesce(F.sum(F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 1), F.lit(0))).first()[0]
-        least = max(1, -(-size // nodes))
+def train(docs: DataFrame, text: str, order: int, ranges: int) -> tuple[DataFrame, list[tuple[np.ndarray, np.ndarray]], int, int]:
+    """(staged counts by key range, orders 0 and 1, training tokens, distinct training tokens)."""
     blocks = docs.select(F.col(text)).mapInArrow(_count(order, ranges), BLOCK)
     merged = staged(blocks.repartition(ranges, "part").mapInArrow(_merge, BLOCK), "ppm")
     pair = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -325,7 +318,7 @@ def train(docs: DataFrame, text: str, order: int, nodes: int | None, ranges: int
         pair = add_up([pair[0], unpack(row["keys"])], [pair[1], unpack_counts(row["counts"])])
     low = [add_up([pair[0] & _U(0xFF)], [pair[1]]), pair]
     sums = merged.where("kind = 1").select("part", "keys", "counts").mapInArrow(_totals, "tokens bigint, types bigint").agg(F.sum("tokens"), F.sum("types")).first()
-    return merged.where("kind < 2"), low, least, int(sums[0] or 0), int(sums[1] or 0)
+    return merged.where("kind < 2"), low, int(sums[0] or 0), int(sums[1] or 0)
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,7 +371,7 @@ ANSWER = "chunk int, kind int, part int, keys binary, found binary"
 ANSWER_BYTES = 8 << 20
 
 
-def _answer(low, order: int, least: int):
+def _answer(low, order: int):
     """Costs of grams (with their keys) and counts of words (in the order of their hashes).
     Within each key range and kind the counts (chunk -1) come first, then the chunks that ask."""
 
@@ -400,7 +393,7 @@ def _answer(low, order: int, least: int):
                 asked = unpack(k)
                 if kind == 0:
                     if trie is None:
-                        trie = Trie.of_range(low.value, order, keys, counts, least)
+                        trie = Trie.of_range(low.value, order, keys, counts)
                     rows.append((chunk, kind, part, k, pack_counts(trie.log10(asked).view(np.uint64))))
                 else:
                     found = np.zeros(len(asked), np.int64)
@@ -444,19 +437,20 @@ def _score(order: int, total: int, types: int):
     return run
 
 
-def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = 5, remainder: int = 1, order: int = ORDER, nodes: int | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """One row per document: key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = 5, remainder: int = 1, order: int = ORDER, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """One row per document: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    ``key`` is an integer."""
     spark = docs.sparkSession
-    ranges = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
-    counts, low, least, total, types = train(rows.where(~held_out("_id", modulus, remainder)), "_text", order, nodes, ranges)
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
+    size = rows.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("_text"), F.lit(0)) + ROW_BYTES), F.lit(0))).first()[0]
     chunks = max(1, -(-size // chunk_bytes))
+    ranges = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    counts, low, total, types = train(rows.where(~held_out("_id", modulus, remainder)), "_text", order, ranges)
     chunk = F.pmod(F.xxhash64("_id", F.crc32(F.coalesce(F.col("_text"), F.lit("")).cast("binary"))), F.lit(chunks)).cast("int")
     dealt = rows.withColumn("_chunk", chunk)
     asked = dealt.groupBy("_chunk").applyInArrow(_ask(order, ranges), "kind int, part int, chunk int, keys binary, counts binary")
     known = counts.select("kind", "part", F.lit(-1).cast("int").alias("chunk"), "keys", "counts")
-    told = _answer(spark.sparkContext.broadcast(low), order, least)
+    told = _answer(spark.sparkContext.broadcast(low), order)
     answers = known.unionByName(asked).repartition(ranges, "part").sortWithinPartitions("kind", "part", "chunk").mapInArrow(told, ANSWER)
     found = dealt.groupBy("_chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(order, total, types), "id long, n_tokens long, n_known long, base_score double, score double")
     return found.select(F.col("id").alias(key), held_out("id", modulus, remainder).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
