@@ -18,18 +18,24 @@ every link that is used was verified on the full sets.
    long list is found there.)  Long lists (and large groups) are expanded to
    members with their parity bitmaps, a lower bound of the distance, and give a
    spanning forest of their candidate graph: a clique of m near copies costs m - 1
-   pairs, not m * m / 2.
+   pairs, not m * m / 2.  A list of more than ``BLOCK_MEMBERS`` members is dealt into blocks:
+   first each block gives its forest, then each pair of blocks gives a forest between the
+   components that the verified links have made.
 5. Verification joins the pairs with the full sets, which are made again from the texts
    that a bounded Bloom filter lets through, so texts are never shuffled.  If a forest edge fails, the
-   list it came from gives, in a second round, every candidate pair that the
+   block (or pair of blocks) it came from gives, in a further round, every candidate pair that the
    verified edges have not yet connected.  Then all links are covered: a linked pair
-   meets in a long list, or in three short ones, and is either inside a verified
-   component or verified itself.
+   meets in one pair of blocks of a long list, or in three short ones, and is either inside a
+   verified component or verified itself.
 6. Components by contraction to the smallest neighbour with pointer jumping.
 
-Memory: a task holds the arrays of its shingle ranges, or one long list (about
-100 bytes a member).  Nothing that grows with the input goes to the driver; the
-heavy shingles that do are at most ``HEAVY`` by the choice of their threshold.
+Memory: a task holds the arrays of one shingle range (ranges follow the bytes of the
+prefixes) or two blocks of a long list (a bitmap has about a bit a shingle).  Nothing that
+grows with the input goes to the driver; the heavy shingles that do are at most ``HEAVY`` by the
+choice of their threshold, and they only decide the order of shingles.
+
+"Exact" is up to equal 64-bit hashes of different shingles and equal 128-bit hashes of
+different sets.  Keys are integers.
 
 Defined results: null or wordless texts have the empty set, link with nothing and
 are their own component; documents with fewer words than a shingle have one
@@ -42,6 +48,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +70,8 @@ BITMAP_WORDS = 8
 FLUSH_TOKENS = 1 << 20
 FILTER_BITS = 1 << 28
 FILTER_BLOCKS = 16
+BLOCK_MEMBERS = 1024
+RANGE_BYTES = 32 << 20
 
 _U = np.uint64
 _FACTORS = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, size=64, dtype=np.uint64) * _U(2) + _U(1)
@@ -294,33 +303,34 @@ def _meet(threshold):
     return textcore.tidy(run)
 
 
-def _spanning(threshold, all_pairs: bool):
-    """One long list: a spanning forest of its candidate graph, or (second round) all
-    candidate pairs whose ends the verified links have not connected."""
+FOREST = "list string, x int, y int, a binary, b binary"
+
+
+def _spanning(threshold, mode: str):
+    """Candidate pairs of one block (x = y) or between two blocks (x < y) of a long list:
+    ``forest``, a spanning forest of the candidate graph; ``bridge``, a forest between the
+    components (``root``) that the verified links have made; ``all``, every pair whose ends
+    are in different components."""
+    num, den = threshold
 
     def run(table: pa.Table) -> pa.Table:
-        n, pos = (np.array(table.column(c).to_pylist(), np.int64) for c in ("n", "pos"))
+        n, pos, block = (np.array(table.column(c).to_pylist(), np.int64) for c in ("n", "pos", "block"))
         order = np.argsort(n, kind="stable")
-        n, pos = n[order], pos[order]
+        n, pos, block = n[order], pos[order], block[order]
         sig, raw = table.column("sig").to_pylist(), table.column("bitmap").to_pylist()
         sig, bits = [sig[i] for i in order.tolist()], Bitmaps([raw[i] for i in order.tolist()])
-        num, den = threshold
+        key, x_block, y_block = (table.column(c)[0].as_py() for c in ("list", "x", "y"))
         low, high = np.searchsorted(n, -(-(num * n) // den)), np.searchsorted(n, den * n // num, side="right")
 
         def near(x: int, others: np.ndarray) -> np.ndarray:
             others = others[np.searchsorted(others, low[x]) : np.searchsorted(others, high[x])]
+            if x_block != y_block:
+                others = others[block[others] != block[x]]
             others = others[_candidates(n, pos, np.full(len(others), x), others, threshold)]
             return others[bits.apart(x, others) <= n[others] + n[x] - 2 * needed_overlap(n[others], n[x], threshold)]
 
         pairs: list[tuple[int, int]] = []
-        if all_pairs:
-            root = table.column("root").to_pylist()
-            names = {r: k for k, r in enumerate(dict.fromkeys(root))}
-            group = np.array([names[root[i]] for i in order.tolist()])
-            for x in range(len(n)):
-                others = near(x, np.arange(x + 1, int(high[x])))
-                pairs += [(x, int(y)) for y in others[group[others] != group[x]]]
-        else:
+        if mode == "forest":
             left = np.arange(len(n))
             while len(left):
                 queue, left = [int(left[0])], left[1:]
@@ -331,9 +341,27 @@ def _spanning(threshold, all_pairs: bool):
                         pairs += [(x, int(y)) for y in found]
                         queue += found.tolist()
                         left = np.setdiff1d(left, found, assume_unique=True)
+        else:
+            root = table.column("root").to_pylist()
+            names = {r: k for k, r in enumerate(dict.fromkeys(root))}
+            group = np.array([names[root[i]] for i in order.tolist()])
+            apart = len(names)
+            for x in range(len(n)):
+                if apart == 1:
+                    break
+                others = np.arange(x + 1, int(high[x]))
+                others = near(x, others[group[others] != group[x]])
+                if mode == "all":
+                    pairs += [(x, int(y)) for y in others]
+                    continue
+                for y in others.tolist():
+                    if group[x] != group[y]:
+                        pairs.append((x, y))
+                        group[group == group[y]] = group[x]
+                        apart -= 1
         a, b = [min(sig[x], sig[y]) for x, y in pairs], [max(sig[x], sig[y]) for x, y in pairs]
-        key = table.column("list")[0].as_py()
-        return pa.table({"list": pa.array([key] * len(a), pa.string()), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+        k = len(pairs)
+        return pa.table({"list": pa.array([key] * k, pa.string()), "x": pa.array([x_block] * k, pa.int32()), "y": pa.array([y_block] * k, pa.int32()), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return run
 
@@ -360,11 +388,14 @@ def _filter_bits(bits: int):
     """A Bloom filter (two bits a key) of the keys of an input partition, in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(bits, bool)
+        held = np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            for at in _bit_places(batch.column(0).to_numpy(zero_copy_only=False), bits):
-                held[at] = True
-        parts = np.split(np.packbits(held), FILTER_BLOCKS)
+            at = np.unique(np.concatenate(_bit_places(batch.column(0).to_numpy(zero_copy_only=False), bits)))
+            if len(at):
+                byte, bit = at >> 3, (128 >> (at & 7)).astype(np.uint8)
+                first = np.flatnonzero(np.concatenate([[True], byte[1:] != byte[:-1]]))
+                held[byte[first]] |= np.bitwise_or.reduceat(bit, first)
+        parts = np.split(held, FILTER_BLOCKS)
         some = [i for i, x in enumerate(parts) if x.any()]
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([zstandard.compress(parts[i].tobytes()) for i in some], pa.binary())], ["block", "bits"])
 
@@ -386,7 +417,7 @@ def _filter_or(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def key_filter(keys: DataFrame) -> np.ndarray:
-    """A Bloom filter of one long column, as booleans.  Its size follows the number of keys up to
+    """A Bloom filter of one long column, eight places a byte.  Its size follows the number of keys up to
     FILTER_BITS, which bounds the broadcast; beyond that it only lets more rows through."""
     bits = min(FILTER_BITS, max(1 << 16, 1 << int(16 * keys.count()).bit_length()))
     blocks = keys.mapInArrow(_filter_bits(bits), "block int, bits binary").repartition(FILTER_BLOCKS, "block").mapInArrow(_filter_or, "block int, bits binary").collect()
@@ -400,10 +431,10 @@ def _full_sets(words: int, wanted):
     """The sets of the documents whose key passes the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(wanted.value).view(bool)
+        held = wanted.value
         for batch in batches:
-            one, two = _bit_places(batch.column(0).to_numpy(zero_copy_only=False), len(bits))
-            found = batch.filter(pa.array(bits[one] & bits[two]))
+            one, two = (held[at >> 3] & (128 >> (at & 7)) > 0 for at in _bit_places(batch.column(0).to_numpy(zero_copy_only=False), 8 * len(held)))
+            found = batch.filter(pa.array(one & two))
             for _, _, data, offsets in textcore.slices(found.column(1)):
                 sets = list(shingle_sets(data, offsets, words))
                 yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sig", "members"])
@@ -448,15 +479,17 @@ def components(edges: DataFrame) -> DataFrame:
     return staged(out, "roots")
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: tuple[int, int] = THRESHOLD, block_members: int = BLOCK_MEMBERS) -> DataFrame:
     """(id, hash, n, first) per document: its key, text hash and set size, and as ``first`` the
     (none, id, hash) of the document of smallest key in its component."""
     spark = docs.sparkSession
-    ranges = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"))
     heavy = spark.sparkContext.broadcast(heavy_shingles(rows.select("text"), words, threshold))
     base = staged(rows.mapInArrow(_describe(words, threshold, heavy), SETS), "sets")
 
+    prefixes = base.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
+    ranges = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-prefixes // RANGE_BYTES))
+
     # Nodes: distinct sets.  Groups: nodes of one shape (size and prefix).  Two groups whose
     # 64-bit shapes collide only add candidates, which verification drops.
     full = base.where(F.col("n") > 0)
@@ -483,7 +516,12 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     entries = entries.unionByName(many.select("list", F.explode("both").alias("gid"), F.lit(0).alias("pos")))
     entries = entries.unionByName(groups.where(F.col("m") > SHORT).select(F.concat_ws(",", F.lit("g"), "gid").alias("list"), "gid", F.lit(0).alias("pos")))
     long = staged(entries.join(members.select("gid", "sig", "n", "bitmap"), "gid").select("list", "sig", "n", "pos", "bitmap"), "long")
-    forest = staged(long.groupBy("list").applyInArrow(_spanning(threshold, False), "list string, a binary, b binary"), "forest")
+    # Long lists in blocks.  Only lists of more than one block are in the (small) table of sizes.
+    dealt = staged(long.groupBy("list").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > block_members).select("list", F.ceil(F.col("m") / block_members).cast("int").alias("k")), "dealt")
+    long = long.join(dealt, "list", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("k")).cast("int"))
+    alone = long.withColumn("x", F.col("block")).withColumn("y", F.col("block"))
+    spread = lambda mode: lambda df: df.groupBy("list", "x", "y").applyInArrow(_spanning(threshold, mode), FOREST)
+    forest = staged(spread("forest")(alone), "forest")
 
     def verified(candidates: DataFrame) -> DataFrame:
         side = lambda c: nodes.select(F.col("sig").alias(c), F.col("n").alias(f"{c}_n"), F.col("bitmap").alias(f"{c}_bits"))
@@ -496,16 +534,39 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
         loaded = close.join(whole("a"), "a").join(whole("b"), "b").select("a", "b", "a_set", "b_set")
         return staged(loaded.mapInArrow(_verify(threshold), "a binary, b binary, linked boolean").where("linked").select("a", "b").distinct(), "links")
 
+    def open_in(tried: DataFrame, links: DataFrame) -> DataFrame:
+        """The blocks and pairs of blocks of which a candidate failed."""
+        return staged(tried.join(links, ["a", "b"], "left_anti").select("list", "x", "y").distinct(), "failed")
+
+    def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        return rows.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+
     links = verified(across.union(inside).union(forest.select("a", "b")))
     roots = components(links)
-    failed = staged(forest.join(links, ["a", "b"], "left_anti").select("list").distinct(), "failed")
-    if not failed.isEmpty():
-        again = long.join(failed, "list", "left_semi").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-        open_pairs = again.groupBy("list").applyInArrow(_spanning(threshold, True), "list string, a binary, b binary").select("a", "b").distinct()
-        more = verified(open_pairs.join(forest.select("a", "b").distinct(), ["a", "b"], "left_anti"))
+    # Second round: between the blocks of a list, and blocks of which an edge failed.  Third: pairs of blocks of which one did.
+    failed = open_in(forest, links)
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda j: j != F.col("block"))).alias("other")
+    paired = long.where("k > 1").select("*", other).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("other")
+    first = not failed.isEmpty()
+    second = not dealt.isEmpty()
+    tried = forest.select("a", "b")
+    for round_ in range(2):
+        found = []
+        if round_ == 0 and first:
+            found.append(spread("all")(with_roots(alone.join(failed, ["list", "x", "y"], "left_semi"), roots)))
+        if round_ == 0 and second:
+            found.append(spread("bridge")(with_roots(paired, roots)))
+        if round_ == 1 and second and not failed.isEmpty():
+            found.append(spread("all")(with_roots(paired.join(failed, ["list", "x", "y"], "left_semi"), roots)))
+        if not found:
+            break
+        open_pairs = staged(reduce(DataFrame.unionByName, found), "open")
+        more = verified(open_pairs.select("a", "b").distinct().join(tried.distinct(), ["a", "b"], "left_anti"))
+        tried = tried.union(open_pairs.select("a", "b"))
         if not more.isEmpty():
-            links = links.union(more)
+            links = staged(links.union(more), "links")
             roots = components(links)
+        failed = open_in(open_pairs, links)
 
     placed = nodes.select("sig", "rep").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     smallest = placed.groupBy("root").agg(F.min("rep").alias("first"))
