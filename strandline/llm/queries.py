@@ -79,7 +79,7 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     dictionaries = langid.train(docs.where(~langid.held_out("doc_id", 5, 0)))
     found = langid.classify(docs.select("doc_id", "text"), dictionaries)
-    return found.select("doc_id", langid.held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "lang_margin")
+    return found.select("doc_id", langid.held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "lang_margin", "lang_rejected")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,8 @@ numbered inside their bucket.
 
 Defined results: a null key is a key of its own (all its rows share a shard but
 not a bucket); a null text has no bytes; equal rows get different slots in no
-particular order; an empty table gives an empty result; other columns pass
-through, except those named like an output column, which are replaced.
+particular order; an empty table gives an empty result; other columns are left
+out, or with ``keep`` come along whatever they are called.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import fresh, staged
+
 ROW_OVERHEAD = 16
 
 
@@ -49,6 +51,10 @@ def with_shards(df: DataFrame, key: str, weights: Sequence[float], into: str = "
     return df.withColumn(into, rendezvous(F.col(key), weights))
 
 
+#: Columns that ``with_slots`` makes and drops again.
+INNER = ["_bucket", "_shard", "_b", "_n", "_offset", "_rank"]
+
+
 def with_slots(df: DataFrame, shard: str, order: Sequence[str], n_shards: int, into: str = "slot", buckets: int = 64) -> DataFrame:
     """Number the rows of each shard from 0 without gaps.  ``order`` makes the
     numbering repeatable.  The offsets are a table of at most
@@ -66,20 +72,29 @@ def with_slots(df: DataFrame, shard: str, order: Sequence[str], n_shards: int, i
     return joined.withColumn(into, (F.col("_offset") + F.col("_rank") - 1).cast("long")).drop("_shard", "_b", "_bucket", "_offset", "_rank")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 40, weights: Sequence[float] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+RESULTS = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+
+
+def shard_documents(docs: DataFrame, n_shards: int = 40, weights: Sequence[float] | None = None, key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
     """One row per document: key, size, text_crc32, law, shard, slot and grown_shard
-    (its shard once another shard of mean weight joins)."""
-    from .staging import staged
+    (its shard once another shard of mean weight joins).
 
+    With ``keep`` the documents' other columns follow, and the rows go to their shards with
+    them; a result whose name the documents have is called ``out_<name>``."""
     weights = list(weights or [1.0] * n_shards)
     extra = sum(weights) / len(weights)
+    late = {name: fresh(docs.columns, f"_own_{name}") for name in [*RESULTS, *INNER] if name in docs.columns and name != key}
+    others = [c for c in docs.columns if c != key] if keep else []
     placed = docs.select(
         F.col(key),
         (text_bytes(text) + ROW_OVERHEAD).alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).cast("long").alias("text_crc32"),
         F.lit("key").alias("law"),
         rendezvous(F.col(key), weights).alias("shard"),
+        *[F.col(c).alias(late.get(c, c)) for c in others],
     )
-    late, own = _cost(F.col(key), F.lit(len(weights)), F.lit(extra)), F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("shard") + 1)
-    grown = placed.withColumn("grown_shard", F.when(late < _cost(F.col(key), F.col("shard"), own), F.lit(len(weights))).otherwise(F.col("shard")))
-    return with_slots(staged(grown, "shards"), "shard", [key, "text_crc32", "size"], len(weights))
+    late_cost, own = _cost(F.col(key), F.lit(len(weights)), F.lit(extra)), F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("shard") + 1)
+    grown = placed.withColumn("grown_shard", F.when(late_cost < _cost(F.col(key), F.col("shard"), own), F.lit(len(weights))).otherwise(F.col("shard")))
+    numbered = with_slots(staged(grown, "shards"), "shard", [key, "text_crc32", "size"], len(weights))
+    clash = lambda name: f"out_{name}" if keep and name in late else name
+    return numbered.select(F.col(key), *[F.col(name).alias(clash(name)) for name in RESULTS], *[F.col(late.get(c, c)).alias(c) for c in others])

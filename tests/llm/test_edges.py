@@ -24,6 +24,9 @@ def test_mixing(edge_docs, no_docs):
     assert sum(r["take_tokens"] for r in got) <= 60_000
     assert sorted(r["epoch"] for r in got if r["doc_id"] == 4) == [0, 0, 1, 1]  # both repeated rows, both epochs
     assert mixing.mix(placed(no_docs)).isEmpty()
+    twins = edge_docs.where("doc_id = 4").drop("domain").withColumn("domain", F.lit("d"))  # equal order keys, three tokens each
+    for budget, want in ((4, [1, 3]), (3, [3]), (8, [2, 3, 3])):
+        assert sorted(r["take_tokens"] for r in mixing.mix(twins, budget=budget).collect()) == want
 
 
 def test_quality(edge_docs, no_docs, spark):
@@ -56,6 +59,10 @@ def test_langid(edge_docs, no_docs):
     assert all(0 <= r["lang_score"] <= 1 for rows in got.values() for r in rows)
     assert langid.classify(no_docs, dictionaries).isEmpty() and langid.train(no_docs) == {}
     assert {r["lang_pred"] for r in langid.classify(edge_docs, {}).collect()} == {"und"}
+    tie = _by_id(langid.classify(edge_docs, {"b": b"xx", "a": b"xx"}))[3][0]
+    assert tie["lang_pred"] == "a" and tie["lang_margin"] == 0 and tie["lang_rejected"]
+    one = _by_id(langid.classify(edge_docs, {"b": b"xx"}))[3][0]
+    assert one["lang_pred"] == "b" and one["lang_margin"] == 1 and not one["lang_rejected"]
 
 
 def test_near_duplicates_and_keep_one(edge_docs, no_docs):
@@ -124,14 +131,19 @@ def test_licenses(edge_docs, no_docs):
 
 def test_pipeline_stages(edge_docs, no_docs, spark, tmp_path):
     spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    base = ["doc_id", "text", "lang", "source", "n_chars"]
-    for docs in (edge_docs.select(base), no_docs.select(base)):
+    base = edge_docs.columns  # with every clashing column, which must come through unchanged
+    marked = edge_docs.withColumns({"n_words": F.lit("kept"), "domain": F.lit("own"), "shard": F.lit("mine"), "epoch": F.lit(7), "lang_pred": F.lit(5)})
+    for docs in (marked, no_docs):
         for name, stage in corpus_pipeline.STAGES:
             new = stage(spark, docs, str(tmp_path))
             path = str(tmp_path / f"{name}-{docs.count()}")
             new.write.parquet(path)
             if name != "shard":
                 assert new.columns == base
+            else:
+                assert set(base) <= set(new.columns) and {"size", "text_crc32", "law", "out_shard", "out_slot", "grown_shard"} <= set(new.columns)
             docs = spark.read.parquet(path)
+            rows = docs.collect()
+            assert {(r["n_words"], r["domain"], r["shard"], r["epoch"], r["lang_pred"]) for r in rows} <= {("kept", "own", "mine", 7, 5)}
             if name == "language_id":
-                assert not {1, 2, 5} & {r["doc_id"] for r in docs.collect()}
+                assert not {1, 2, 5} & {r["doc_id"] for r in rows}

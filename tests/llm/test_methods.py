@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -141,6 +142,19 @@ def test_patricia_owners_with_spills():
         assert len(got) == len(want) and {t: (b, n) for t, b, n in got} == want
 
 
+def test_spills_pass_a_shared_prefix_once(monkeypatch):
+    """Texts that begin alike are read again a few times, not once per shared byte."""
+    reread = []
+    monkeypatch.setattr(exact_dedup, "_reread", lambda path, skip, real=exact_dedup._reread: reread.append(skip) or real(path, skip))
+    for shared in (50, 1600):
+        reread.clear()
+        texts = [b"x" * shared + str(i % 1500).encode() * 20 for i in range(3000)]
+        got = {t: (best, n) for t, best, n in exact_dedup.owners(((t, i, 1) for i, t in enumerate(texts)), max, limit=100_000)}
+        assert got == {t: (i + 1500, 2) for i, t in enumerate(texts[:1500])} and len(reread) < 200
+    giant = [(b"a" * 500_000, 1, 1), (b"a" * 500_000 + b"b", 2, 1), (b"a" * 500_000, 3, 1)]
+    assert sorted((len(t), b, n) for t, b, n in exact_dedup.owners(iter(giant), max, limit=1000)) == [(500_000, 3, 2), (500_001, 2, 1)]
+
+
 @has_tables
 def test_language_accuracy_on_held_out(spark):
     sf = SF.replace("0.001", "0.01")
@@ -163,7 +177,7 @@ def test_rare_language_leaves_the_other_dictionaries_whole():
     coder = langid.Coder(mixed)
     assert coder.classify(rare)[0] == "xx"
     assert sum(coder.classify(t)[0] == lang for lang, t in held) / len(held) > 0.95
-    short = [(lang, t) for lang, t in held if len(t) <= langid.FINE_BYTES]
+    short = [(lang, t) for lang, t in held if len(t) <= 512]
     assert sum(coder.classify(t)[0] == lang for lang, t in short) / len(short) > 0.8
 
 
@@ -187,8 +201,8 @@ def near_components(texts, words, num, den):
     return {i: (len(sets[i]), find(i)) for i in texts}
 
 
-@pytest.mark.parametrize(("words", "threshold"), [(3, (90, 100)), (5, (80, 100))])
-def test_near_duplicates_equal_brute_force(spark, words, threshold):
+@pytest.mark.parametrize(("words", "threshold", "block"), [(3, (90, 100), 1024), (5, (80, 100), 7)])
+def test_near_duplicates_equal_brute_force(spark, words, threshold, block):
     """Near copies at all distances around the threshold, in groups longer than short lists,
     shared passages, copies of copies, and short texts."""
     r = random.Random(8)
@@ -212,7 +226,7 @@ def test_near_duplicates_equal_brute_force(spark, words, threshold):
     texts += [say(30) + passage for _ in range(60)] + [say(r.randrange(6)) for _ in range(40)] + [passage] * 3
     docs = dict(enumerate(" ".join(t) for t in texts))
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
-    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join.near_duplicates(df, words=words, threshold=threshold).collect()}
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join.near_duplicates(df, words=words, threshold=threshold, block_members=block).collect()}
     assert got == near_components(docs, words, *threshold)
 
 
@@ -251,6 +265,50 @@ def test_html_blocks():
     assert ((marginals > 0.5) == truth).mean() > 0.97
 
 
+@pytest.mark.parametrize("comment", ["<!-->", "<!--->", "<!-- x -->", "<!-- > -->"])
+def test_comments_end_where_html_says(comment):
+    model = html_extract.train()
+    assert model.extract([f"<article><p>one two three</p>{comment}<p>kept text here</p></article>"]) == ["one two three\n\nkept text here"]
+
+
+#: Written by hand, unlike the generator's: (page, main text).
+HAND = [
+    ("<html><body><div id=top><a href=/>Home</a> | <a href=/a>About</a></div><div id=main-content><h2>On bees</h2><p>Bees dance.<p>They count to four.</div><div class='site-footer footer'>All rights</div></body></html>", "On bees\n\nBees dance.\n\nThey count to four."),
+    ("<body><nav><a href=1>x</a></nav><main><h1>Rain</h1><p>It rained &eacute;very day &#8212; again.</p><table><tr><td>Mon</td><td>3 mm</td></tr></table><form><input><button>Send</button></form></main><aside class=related><p>More on snow</p></aside></body>", "Rain\n\nIt rained \u00e9very day \u2014 again.\n\nMon\n\n3 mm"),
+    ("<body><header><h1>Daily</h1><p>since 1900</p></header><article class=post><p>First  thing.<br>Second\n thing.</p><div class=advert>Buy!</div><ul><li>a<li>b</ul></article><section id=comments><p>nice</p></section><footer><p>bye</p></footer></body>", "First thing. Second thing.\n\na\n\nb"),
+    ("<div class=cookie-banner>We use cookies</div><div class='entry-content'><p>Kept <i>whole</i> and <a href=q>linked</a> text.</p><script>var x = '<p>no</p>'</script><style>p{}</style></div>", "Kept whole and linked text."),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), HAND)
+def test_pages_written_by_hand(page, text):
+    assert html_extract.train().extract([page]) == [text]
+
+
+def test_end_tags_without_start_take_linear_time():
+    """Opening and closing tags at random depth give the same tree as a plain walk up."""
+    began = time.process_time()
+    html_extract.Page("<div>" * 20_000 + "</span>" * 20_000 + "<table>" + "<span>" * 20_000 + "<div></div></b>" * 20_000)
+    assert time.process_time() - began < 10
+    r = random.Random(4)
+    for _ in range(60):
+        source = "".join(r.choice(["<p>", "</p>", "<div>", "</div>", "<b>", "</b>", "<li>", "<ul>", "</ul>", "<table>", "</table>", "<td>", "<tr>", "x", "<button>", "</i>"]) for _ in range(60))
+        page = html_extract.Page(source)
+        plain = html_extract.Page.__new__(PlainPage)
+        PlainPage.__init__(plain, source)
+        assert (page.parent, page.tags, page.runs) == (plain.parent, plain.tags, plain.runs)
+
+
+class PlainPage(html_extract.Page):
+    def _close(self, at, names, stop):
+        x = at
+        while x > 0 and self.tags[x] not in stop:
+            if self.tags[x] in names:
+                return self.parent[x]
+            x = self.parent[x]
+        return at
+
+
 def test_sum_product_equals_enumeration():
     page = html_extract.Page("<div><p>a<b>x</b></p><nav>b</nav></div>")
     forest = html_extract.Forest([page])
@@ -300,7 +358,7 @@ def test_ppm_equals_brute_force(spark):
     r = random.Random(6)
     texts = ["".join(r.choice("abA é\n") for _ in range(r.randrange(60))) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {x["doc_id"]: x for x in ppm.score_documents(df, order=3, nodes=1 << 40, chunk_bytes=500).collect()}
+    got = {x["doc_id"]: x for x in ppm.score_documents(df, order=3, chunk_bytes=5000).collect()}
     learned = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
     words = Counter(w for t in learned for w in [*SPACE.findall(lower(t)), None])
     total, types = sum(words.values()), len(words)
@@ -308,8 +366,7 @@ def test_ppm_equals_brute_force(spark):
         own = [*SPACE.findall(lower(t)), None]
         assert got[i]["train_tokens"] == total and got[i]["n_tokens"] == len(own) and got[i]["n_known"] == sum(words[w] > 0 for w in own)
         assert got[i]["base_score"] == pytest.approx(sum(math.log10((words[w] + 0.5) / (total + 0.5 * (types + 1))) for w in own))
-        # Nodes that occur once are pruned; their mass moves to the escape, so only texts whose
-        # grams all occur twice must equal the unpruned version.
+        assert got[i]["score"] == pytest.approx(brute_ppm(learned, t, 3))
     low = ppm.Trie([ppm.add_up([ppm.grams(d, o, 3)[0] & np.uint64((1 << 8 * (k + 1)) - 1)], [np.ones(len(d) + len(o) - 1, np.int64)]) for k in range(4) for d, o in [(np.frombuffer("".join(learned).encode(), np.uint8), np.cumsum([0, *[len(t.encode()) for t in learned]]))]])
     for t in [*texts[:20], "zzz new ñ", ""]:
         raw = np.frombuffer(t.encode(), np.uint8)
@@ -366,6 +423,20 @@ def test_decontamination_equals_brute_force(spark):
         assert got[i]["items_sha256"] == decontaminate.digest(sorted(found))
 
 
+def test_many_equal_items_and_short_items(spark):
+    """Equal items are one sequence; a position adds one span whatever the number of items."""
+    passage = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(passage)) for i in range(2000)] + [(5000 + k, " ".join(passage[k : k + 3])) for k in range(30)]
+    matcher = decontaminate.Matcher(items)
+    assert len(matcher.names) == 31
+    numbers = matcher.numbered(textcore.word_hashes(np.frombuffer(" ".join(passage * 20).encode(), np.uint8), np.array([0, len(" ".join(passage * 20))]), textcore.NOT_ALNUM)[0])
+    found = set()
+    assert matcher.automaton.hits(numbers.tolist(), found) == [[0, 800]] and len(found) == 31
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    row = decontaminate.report(spark.createDataFrame([(1, "x " + " ".join(passage[5:16]))], "doc_id long, text string"), bench).first()
+    assert (row["n_words"], row["n_hit"], row["n_items"]) == (12, 11, 2000 + 9)
+
+
 def test_rendezvous_moves_rows_only_into_the_new_shard(spark):
     keys = spark.range(20_000).withColumnRenamed("id", "k")
     both = keys.select(sharding.rendezvous(F.col("k"), [1.0] * 10).alias("a"), sharding.rendezvous(F.col("k"), [1.0] * 11).alias("b"))
