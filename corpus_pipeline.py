@@ -4,15 +4,17 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 Parquet and read again as the next stage's ``docs``.  Every stage works on all that
 its predecessor kept, and all but the last return the columns of ``documents``.
 
-* ``language_id`` drops documents without a letter and those of at least
-  ``MARGIN_BYTES`` that no language compresses clearly best; a null ``lang`` gets the
-  predicted one.
+* ``language_id`` drops documents without a letter and those that no language compresses clearly
+  best, by one margin for all lengths; a null ``lang`` gets the predicted one.
 * ``near_duplicates`` keeps the smallest doc_id of every class of near duplicates (five-word
   shingles, similarity 0.8).
 * ``decontaminate`` cuts benchmark passages out of texts and drops documents that are mostly
   such passages; ``n_chars`` follows the text.
 * ``mix`` takes whole documents from each source's seeded order up to its share.
-* ``shard`` deals the rest to shards and numbers them.
+* ``shard`` deals the rest to shards and numbers them; the corpus' own columns come with it.
+
+Columns of ``documents`` that are named like a result of an operator pass through unchanged; beside
+them the last stage's result of that name is called ``out_<name>``.
 """
 
 from __future__ import annotations
@@ -23,18 +25,23 @@ from pyspark.sql import functions as F
 from strandline.llm import decontaminate as decontamination
 from strandline.llm import jaccard_join, langid, mixing, sharding
 from strandline.llm.queries import DOMAIN_SQL, MIX_SEED, MIX_WEIGHTS
-from strandline.llm.staging import staged, table
+from strandline.llm.staging import fresh, staged, table
 
-MIN_MARGIN = 0.002
-MARGIN_BYTES = 512
 SHARE = (4, 5)
 SHARDS = 40
 
 
+def _aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns of these names renamed, and how to name them back."""
+    away = {name: fresh(docs.columns, f"_own_{name}") for name in names if name in docs.columns}
+    return docs.withColumnsRenamed(away), {v: k for k, v in away.items()}
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.classify(docs, langid.train(docs), min_margin=MIN_MARGIN, margin_bytes=MARGIN_BYTES)
-    kept = found.where(~F.col("lang_rejected"))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    rows, back = _aside(docs, ["lang_pred", "lang_score", "lang_margin", "lang_rejected"])
+    kept = langid.classify(rows, langid.train(docs)).where(~F.col("lang_rejected"))
+    named = kept.withColumn("lang", F.coalesce("lang", "lang_pred")).drop("lang_pred", "lang_score", "lang_margin", "lang_rejected")
+    return named.withColumnsRenamed(back).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,12 +56,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    placed = docs.withColumn("domain", F.expr(DOMAIN_SQL))
-    return mixing.mix(placed, weights=MIX_WEIGHTS, share=SHARE, max_epochs=1, seed=MIX_SEED).select(*docs.columns)
+    rows, back = _aside(docs, ["domain", "epoch", "n_tokens", "take_tokens"])
+    placed = rows.withColumn("domain", F.expr(DOMAIN_SQL))
+    mixed = mixing.mix(placed, weights=MIX_WEIGHTS, share=SHARE, max_epochs=1, seed=MIX_SEED)
+    return mixed.drop("domain", "epoch", "n_tokens", "take_tokens").withColumnsRenamed(back).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(docs, n_shards=SHARDS)
+    return sharding.shard_documents(docs, n_shards=SHARDS, keep=True)
 
 
 STAGES = [
