@@ -1,14 +1,19 @@
 """Licence scans (DataFrame functions only).
 
-Texts are cut into segments at line and sentence ends.  Segments that hold a
-licence cue become sparse TF-IDF vectors and are compared by cosine with licence
-templates; the templates are a constant of this module, so the table of their
-weights has a fixed size.  A document's own licence is the template of its best
-segment, if the cosine reaches ``least``.
+Templates are public licence texts and notices: every paragraph, and every text of several
+paragraphs as a whole, is a unit vector of TF-IDF weights.  They are a constant of this module,
+so the table of their weights has a fixed size.
+
+Texts are cut into segments at line and sentence ends.  A segment that holds a gate word
+becomes a sparse TF-IDF vector, and so does a header: the run of such segments, with up to
+``GAP`` others between two of them.  They are compared by cosine with the templates.  Gate words are
+derived from the templates (:func:`gate_words`): what is left of any template without them is
+shorter than ``LEAST``, so no segment that reaches it is missed.  A document's own licence is the
+template of its best unit, if the cosine reaches ``least``.
 
 A licence file covers its directory and everything below.  Licence files are
 documents named like one (LICENSE, COPYING, ...), compared as a whole as well,
-and documents of whose words the licence segments make up at least
+and documents of whose words the licence segments, or one licence header, make up at least
 ``file_share``.  A document without a licence of its own inherits from the nearest
 ancestor directory that has a licence file.  The search runs once per distinct
 directory (its ancestors joined to the licensed ones by path); documents then join
@@ -17,7 +22,8 @@ their directory, a join whose hot side Spark's skew join can split.
 Defined results: null or empty texts have no licence of their own; a null path is
 in no directory and inherits nothing; equal cosines go to the first licence in
 alphabetical order, in a directory as in a document; repeated rows give repeated
-results; an empty table gives an empty result.
+results; texts of any length are read whole; other columns don't pass; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -29,42 +35,89 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Usual wordings by licence identifier.
+# Public licence texts and their usual notices, by licence identifier.
+_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n"
+_BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+_BSD_AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name}General Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name}General Public License for more details."
 TEMPLATES = {
-    "AGPL-3.0": ["This program is licensed under the GNU Affero General Public License, version 3.", "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation."],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "You may obtain a copy of the License at http www.apache.org licenses LICENSE-2.0.", "SPDX-License-Identifier: Apache-2.0."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "SPDX-License-Identifier: BSD-3-Clause."],
+    "AGPL-3.0": [_GNU.format(name="Affero ", version=3), "This program is licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0."],
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http www.apache.org licenses LICENSE-2.0.\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "Licensed under the Apache License, Version 2.0.", "You may obtain a copy of the License at http www.apache.org licenses LICENSE-2.0.", "Apache License Version 2.0, January 2004 TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION", "SPDX-License-Identifier: Apache-2.0.",
+    ],
+    "BSD-2-Clause": [_BSD + _BSD_AS_IS, "SPDX-License-Identifier: BSD-2-Clause."],
+    "BSD-3-Clause": [_BSD + _BSD_THIRD + _BSD_AS_IS, "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "SPDX-License-Identifier: BSD-3-Clause."],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0.", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:", "SPDX-License-Identifier: BSL-1.0."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC0-1.0": ["Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights to this work."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.", "SPDX-License-Identifier: GPL-3.0."],
-    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3."],
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.", "SPDX-License-Identifier: MIT."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0."],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https www.eclipse.org legal epl-2.0", "THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE (\"AGREEMENT\"). ANY USE, REPRODUCTION OR DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT.", "SPDX-License-Identifier: EPL-2.0."],
+    "GPL-2.0": [_GNU.format(name="", version=2), "This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0."],
+    "GPL-3.0": [_GNU.format(name="", version=3), "This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0."],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.", "SPDX-License-Identifier: ISC."],
+    "LGPL-3.0": [_GNU.format(name="Lesser ", version=3), "This library is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0."],
+    "MIT": [_GRANT + "\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n" + _AS_IS, "Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.", "SPDX-License-Identifier: MIT."],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https mozilla.org MPL 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0."],
     "Proprietary": ["Copyright. All rights reserved."],
-    "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", "SPDX-License-Identifier: Unlicense."],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n\n3. This notice may not be removed or altered from any source distribution.", "SPDX-License-Identifier: Zlib."],
 }
+# Everyday words, the last to become gate words.
+COMMON = frozenset("a all an and any are as at be by can do for from has i if in is it its may more must no not of on one or out so such that the them then this to under use was which will with without you your http https www 1 2 3".split())
 
-CUE = "(?i)licen[sc]e|copyright|spdx|permission is hereby|redistribut|public domain|CC0|CC BY"
 TOKEN = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 FILE_NAME = r"(?i)(^|/)(licen[sc]e|copying|notice|unlicense)([._-][^/]*)?$"
 LEAST = 0.6
 FILE_SHARE = 0.25
+GAP = 3
+#: Words that most templates have keep this little of a weight.
+SMOOTH = 0.1
+
+
+def template_texts(templates: dict[str, list[str]] = TEMPLATES) -> list[tuple[str, int, list[str]]]:
+    """(licence, number, words): every paragraph, and texts of several paragraphs as a whole."""
+    out = []
+    for name, many in sorted(templates.items()):
+        units = [u for t in many for u in dict.fromkeys([t, *t.split("\n\n")])]
+        out += [(name, i, re.findall(TOKEN, u.lower())) for i, u in enumerate(units)]
+    return out
 
 
 def template_weights(templates: dict[str, list[str]] = TEMPLATES) -> tuple[list[tuple[str, str, int, float]], dict[str, float], float]:
     """(token, licence, template, unit weight) rows, idf by token, idf of other tokens."""
-    texts = [(name, i, re.findall(TOKEN, t.lower())) for name, many in sorted(templates.items()) for i, t in enumerate(many)]
+    texts = template_texts(templates)
     df = Counter(w for _, _, words in texts for w in set(words))
-    idf = {w: math.log((1 + len(texts)) / (1 + n)) + 1 for w, n in df.items()}
+    idf = {w: math.log((1 + len(texts)) / (1 + n)) + SMOOTH for w, n in df.items()}
     rows = []
     for name, i, words in texts:
         tf = Counter(words)
         norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in tf.items()))
         rows += [(w, name, i, n * idf[w] / norm) for w, n in sorted(tf.items())]
-    return rows, idf, math.log(1 + len(texts)) + 1
+    return rows, idf, math.log(1 + len(texts)) + SMOOTH
+
+
+def gate_words(templates: dict[str, list[str]] = TEMPLATES, least: float = LEAST) -> list[str]:
+    """Words of which every unit with a cosine of ``least`` or more holds one.
+
+    A unit without them meets only the rest of a template, and its cosine is at most that
+    rest's length.  Of each template words are taken, everyday ones last, until that is below ``least``."""
+    vectors: dict[tuple[str, int], dict[str, float]] = {}
+    for word, name, i, weight in template_weights(templates)[0]:
+        vectors.setdefault((name, i), {})[word] = weight
+    gate: set[str] = set()
+    for vector in vectors.values():
+        rest = sum(x * x for w, x in vector.items() if w not in gate)
+        for word in sorted(vector, key=lambda w: (w in COMMON, -vector[w], w)):
+            if rest < least * least:
+                break
+            if word not in gate:
+                gate.add(word)
+                rest -= vector[word] ** 2
+    return sorted(gate)
 
 
 def segments(text: str) -> Column:
@@ -89,19 +142,42 @@ def best_template(units: DataFrame, keys: list[str], tokens: str, least: float)
     return scored.groupBy(*keys).agg(F.min(F.struct(-F.col("cosine"), F.col("licence"))).alias("best")).select(*keys, F.col("best.licence").alias("licence"), (-F.col("best.col1")).alias("cosine"))
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, as the variable of a lambda."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def units_of(text: str, gate: list[str]) -> Column:
+    """(unit, tokens) of the gated segments (numbered from 0) and headers (from -2 downwards) of a text."""
+    words = F.array(*[F.lit(w) for w in gate])
+
+    def headers(toks: Column, at: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(at) - 1), lambda k: (k == 0) | (F.get(at, k) - F.get(at, k - 1) > GAP))
+        ends = lambda k, j: F.struct(F.get(at, k).alias("a"), F.get(at, j - 1).alias("b"))
+        runs = _once(heads, lambda h: F.transform(h, lambda k, n: ends(k, F.coalesce(F.get(h, n + 1), F.size(at)))))
+        long = F.filter(runs, lambda r: r["a"] < r["b"])
+        return F.transform(long, lambda r: F.struct((-r["a"] - 2).alias("unit"), F.flatten(F.slice(toks, r["a"] + 1, r["b"] - r["a"] + 1)).alias("tokens")))
+
+    def gated(toks: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(toks) - 1), lambda i: F.arrays_overlap(F.get(toks, i), words))
+        return _once(at, lambda x: F.when(F.size(x) > 0, F.concat(F.transform(x, lambda i: F.struct(i.alias("unit"), F.get(toks, i).alias("tokens"))), headers(toks, x))))
+
+    return _once(F.transform(segments(text), words_of), lambda toks: F.struct(F.size(F.flatten(toks)).alias("n_words"), gated(toks).alias("units")))
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "path", least: float = LEAST, file_share: float = FILE_SHARE) -> DataFrame:
     """One row per document: key, path, licence, origin (own, inherited, none), cosine,
     licence_dir (the directory that it inherits from)."""
     from .staging import staged
 
     named = F.coalesce(F.col(path).rlike(FILE_NAME), F.lit(False))
-    cued = F.filter(segments(text), lambda s: s.rlike(CUE))
-    base = docs.select(F.col(key).alias("key"), F.col(path).alias("path"), cued.alias("cued"), named.alias("named"), F.when(named | (F.size(cued) > 0), F.size(words_of(F.coalesce(F.col(text), F.lit(""))))).alias("n_words"), F.when(named, words_of(F.col(text))).alias("whole"))
-    slim = staged(base.withColumn("row", F.when(F.col("named") | (F.size("cued") > 0), F.xxhash64("key", "path", "n_words", "cued"))), "licences")
+    base = docs.select(F.col(key).alias("key"), F.col(path).alias("path"), units_of(text, gate_words(least=least)).alias("found"), named.alias("named"), F.when(named, words_of(F.coalesce(F.col(text), F.lit("")))).alias("whole"), F.xxhash64(key, path, text).alias("hash"))
+    base = base.select("key", "path", "named", "whole", F.col("found.n_words").alias("n_words"), F.col("found.units").alias("units"), F.when(named | F.col("found.units").isNotNull(), F.col("hash")).alias("row"))
+    slim = staged(base, "licences")
     held = slim.where(F.col("row").isNotNull()).dropDuplicates(["row"])
-    lines = held.select("row", "path", "named", "n_words", F.posexplode("cued").alias("unit", "segment")).withColumn("tokens", words_of(F.col("segment"))).withColumn("size", F.size("tokens"))
-    whole = held.where("named").select("row", "path", "named", "n_words", F.lit(-1).alias("unit"), F.lit("").alias("segment"), F.col("whole").alias("tokens"), F.coalesce(F.size("whole"), F.lit(0)).alias("size"))
-    units = lines.unionByName(whole)
+    parts = held.select("row", "path", "named", "n_words", F.explode("units").alias("u")).select("row", "path", "named", "n_words", "u.unit", "u.tokens")
+    whole = held.where("named").select("row", "path", "named", "n_words", F.lit(-1).alias("unit"), F.col("whole").alias("tokens"))
+    units = parts.unionByName(whole).withColumn("size", F.size("tokens"))
     found = best_template(units.select("row", "unit", "tokens"), ["row", "unit"], "tokens", least)
     hits = found.join(units.select("row", "unit", "path", "named", "n_words", "size"), ["row", "unit"])
     own = hits.groupBy("row").agg(
@@ -109,7 +185,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "
         F.first("path").alias("file"),
         F.first("named").alias("is_named"),
         F.first("n_words").alias("words"),
-        F.sum(F.when(F.col("unit") >= 0, F.col("size")).otherwise(0)).alias("covered"),
+        F.greatest(F.sum(F.when(F.col("unit") >= 0, F.col("size")).otherwise(0)), F.max(F.when(F.col("unit") < -1, F.col("size")).otherwise(0))).alias("covered"),
     )
     own = staged(own.select("row", F.col("best.licence").alias("own"), (-F.col("best.col1")).alias("own_cosine"), "file", (F.col("is_named") | (F.col("covered") >= file_share * F.col("words"))).alias("is_file")), "own")
 

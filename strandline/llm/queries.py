@@ -116,21 +116,25 @@ def _op10_sql() -> str:
     weights = ", ".join(f"('{t}', '{name}', {i}, {w!r}::DOUBLE)" for t, name, i, w in rows)
     known = ", ".join(f"('{t}', {w!r}::DOUBLE)" for t, w in sorted(idf.items()))
     token = licenses.TOKEN
+    gate = ", ".join(f"'{w}'" for w in licenses.gate_words())
     return f"""WITH tw(token, licence, template, weight) AS (VALUES {weights}), ti(token, idf) AS (VALUES {known}),
 d AS (SELECT doc_id, coalesce(text, '') AS t, {PATH_SQL.format(string="VARCHAR")} AS path FROM documents),
-g AS (SELECT doc_id, path, t, list_filter(string_split(regexp_replace(t, '([.;!?]) +', '\1\n', 'g'), chr(10)), lambda s: regexp_matches(s, '{licenses.CUE}')) AS cued FROM d),
-h AS (SELECT *, len(regexp_extract_all(lower(t), '{token}')) AS n_words FROM g WHERE len(cued) > 0),
-u AS (SELECT doc_id, unnest(range(len(cued))) AS unit, unnest(cued) AS seg FROM h),
-k AS (SELECT doc_id, unit, regexp_extract_all(lower(seg), '{token}') AS toks FROM u),
+sp AS (SELECT doc_id, string_split(regexp_replace(t, '([.;!?]) +', '\\1' || chr(10), 'g'), chr(10)) AS s FROM d),
+sg AS (SELECT doc_id, i, regexp_extract_all(lower(seg), '{token}') AS toks FROM (SELECT doc_id, unnest(range(len(s))) AS i, unnest(s) AS seg FROM sp)),
+h AS (SELECT doc_id, sum(len(toks)) AS n_words FROM sg GROUP BY doc_id),
+cu AS (SELECT * FROM sg WHERE list_has_any(toks, [{gate}])),
+rn AS (SELECT *, sum(CASE WHEN i - prev <= {licenses.GAP} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM cu)),
+rr AS (SELECT doc_id, min(i) AS a, max(i) AS b FROM rn GROUP BY doc_id, r HAVING min(i) < max(i)),
+k AS (SELECT doc_id, i AS unit, toks FROM cu UNION ALL SELECT rr.doc_id, -(a + 2), flatten(list(toks ORDER BY i)) FROM rr JOIN sg ON sg.doc_id = rr.doc_id AND i BETWEEN a AND b GROUP BY rr.doc_id, a),
 tf AS (SELECT doc_id, unit, token, count(*) AS tf FROM (SELECT doc_id, unit, unnest(toks) AS token FROM k) GROUP BY ALL),
 x AS (SELECT tf.*, tf * coalesce(idf, {other!r}::DOUBLE) AS x FROM tf LEFT JOIN ti USING (token)),
 nm AS (SELECT doc_id, unit, sqrt(sum(x * x)) AS norm FROM x GROUP BY ALL),
 dt AS (SELECT doc_id, unit, licence, template, sum(x * weight) AS dot FROM x JOIN tw USING (token) GROUP BY ALL),
 sc AS (SELECT doc_id, unit, licence, round(dot / norm, 6) AS cosine FROM dt JOIN nm USING (doc_id, unit) WHERE round(dot / norm, 6) >= {licenses.LEAST}),
 bu AS (SELECT doc_id, unit, cosine, licence FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY cosine DESC, licence) = 1),
-cv AS (SELECT doc_id, sum(len(toks)) AS covered FROM bu JOIN k USING (doc_id, unit) GROUP BY doc_id),
+cv AS (SELECT doc_id, greatest(sum(CASE WHEN unit >= 0 THEN len(toks) ELSE 0 END), max(CASE WHEN unit < 0 THEN len(toks) ELSE 0 END)) AS covered FROM bu JOIN k USING (doc_id, unit) GROUP BY doc_id),
 ow AS (SELECT doc_id, licence, cosine FROM bu QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, licence) = 1),
-fi AS (SELECT h.doc_id, regexp_replace(h.path, '/[^/]*$', '') AS dir, licence, cosine FROM ow JOIN h USING (doc_id) JOIN cv USING (doc_id) WHERE covered >= {licenses.FILE_SHARE} * n_words),
+fi AS (SELECT h.doc_id, regexp_replace(d.path, '/[^/]*$', '') AS dir, licence, cosine FROM ow JOIN h USING (doc_id) JOIN d USING (doc_id) JOIN cv USING (doc_id) WHERE covered >= {licenses.FILE_SHARE} * n_words),
 ld AS (SELECT dir AS licence_dir, licence, cosine FROM fi QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, licence) = 1),
 ds AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS dir FROM d),
 an AS (SELECT dir, array_to_string(list_slice(string_split(dir, '/'), 1, i), '/') AS licence_dir FROM (SELECT dir, unnest(range(0, len(string_split(dir, '/')) + 1)) AS i FROM ds)),

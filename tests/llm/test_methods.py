@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import textwrap
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -472,3 +473,45 @@ def test_licence_files_cover_nearest_directories(spark):
     assert got[1] == ("MIT", "own", None) and got[2] == ("MIT", "inherited", "repo") and got[8] == ("MIT", "inherited", "repo")
     assert got[4] == ("Apache-2.0", "inherited", "repo/src/vendor") and got[5] == ("Apache-2.0", "own", None)
     assert got[6] == (None, "none", None) and got[7] == (None, "none", None)
+
+
+def _cosine(words, vector, idf, other):
+    tf = Counter(words)
+    norm = math.sqrt(sum((n * idf.get(w, other)) ** 2 for w, n in tf.items()))
+    return sum(n * idf.get(w, other) * vector.get(w, 0) for w, n in tf.items()) / norm if norm else 0.0
+
+
+def test_gate_loses_nothing():
+    """Whatever a segment without gate words holds, its cosine to every template is too small."""
+    rows, idf, other = licenses.template_weights()
+    gate, vectors = set(licenses.gate_words()), defaultdict(dict)
+    for w, name, i, x in rows:
+        vectors[name, i][w] = x
+    for vector in vectors.values():
+        assert math.sqrt(sum(x * x for w, x in vector.items() if w not in gate)) < licenses.LEAST
+        best = [w for w in vector if w not in gate]  # the direction in which a cosine could be largest
+        assert _cosine([w for w in best for _ in range(max(1, round(10 * vector[w] / idf[w])))], vector, idf, other) < licenses.LEAST
+
+
+def test_whole_licence_texts_and_wrapped_headers(spark):
+    wrap = lambda t, lead="": "\n".join(lead + line for part in t.split("\n\n") for line in [*textwrap.wrap(part, 60), ""])
+    body = "\ndef f(x):\n    return x + 1\n" * 20
+    files, want = [], {}
+    for name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "EPL-2.0", "Unlicense", "GPL-2.0", "GPL-3.0", "AGPL-3.0", "LGPL-3.0", "Apache-2.0", "MPL-2.0"):
+        text = licenses.TEMPLATES[name][0]
+        for kind, path, content in (("file", f"{name}/a/LICENSE", "Copyright 2020 Some Body\n\n" + wrap(text)), ("header", f"{name}/b/x.py", wrap(text, "# ") + body), ("below", f"{name}/a/deep/y.py", body)):
+            files.append((f"{name}-{kind}", path, content))
+            want[f"{name}-{kind}"] = (name, "inherited" if kind == "below" else "own")
+    gpl2 = "This program is free software; you can redistribute it and/or\nmodify it under the terms of the GNU General Public License\nas published by the Free Software Foundation; either version 2\nof the License, or (at your option) any later version."
+    files.append(("old-gpl", "old/x.c", gpl2 + body))
+    want["old-gpl"] = ("GPL-2.0", "own")
+    files += [("two", "tie/a.txt", "Released under the MIT License.\n" * 2 + body), ("long", "long/LICENSE", wrap(licenses.TEMPLATES["MIT"][0]) + "\n" + "word " * 200_000)]
+    want["two"], want["long"] = ("MIT", "own"), ("MIT", "own")
+    df = spark.createDataFrame(files, "doc_id string, path string, text string").withColumns({"licence": F.lit(1), "row": F.lit("x"), "tokens": F.lit(2), "unit": F.lit(0)})
+    assert {r["doc_id"]: (r["licence"], r["origin"]) for r in licenses.scan(df).collect()} == want
+
+
+def test_equal_cosines_go_to_the_first_name(spark):
+    tie = spark.createDataFrame([(1, "t/a", "SPDX-License-Identifier: MIT.\n\n\n\n\n\nSPDX-License-Identifier: ISC."), (2, "t/b", "x"), (2, "t/b", "x")], "doc_id long, path string, text string")
+    got = sorted((r["doc_id"], r["licence"], r["origin"]) for r in licenses.scan(tie).collect())
+    assert got == [(1, "ISC", "own"), (2, "ISC", "inherited"), (2, "ISC", "inherited")]
