@@ -1,15 +1,17 @@
 """Licence scans (DataFrame functions only).
 
-Templates are public licence texts and notices: every paragraph, and every text of several
-paragraphs as a whole, is a unit vector of TF-IDF weights.  They are a constant of this module,
+Templates are public licence texts and notices: every text as a whole, and every paragraph of
+one that no other licence has, is a unit vector of TF-IDF weights.  They are a constant of this module,
 so the table of their weights has a fixed size.
 
 Texts are cut into segments at line and sentence ends.  A segment that holds a gate word
-becomes a sparse TF-IDF vector, and so does a header: the run of such segments, with up to
-``GAP`` others between two of them.  They are compared by cosine with the templates.  Gate words are
-derived from the templates (:func:`gate_words`): what is left of any template without them is
-shorter than ``LEAST``, so no segment that reaches it is missed.  A document's own licence is the
-template of its best unit, if the cosine reaches ``least``.
+becomes a sparse TF-IDF vector, and so does a header: the run of segments with a gate word that
+is no everyday word, with up to ``GAP`` others between two of them.  They are compared by cosine
+with the templates.  Gate words are derived from the templates (:func:`gate_words`): what is left of
+any template without them is shorter than ``LEAST``, so no segment that reaches it is missed.
+A unit is only taken apart into tokens if a bound of its cosine, from the numbers of its
+distinct words inside and outside of all templates, reaches ``least`` (:func:`could_reach`).
+A document's own licence is the template of its best unit, if the cosine reaches ``least``.
 
 A licence file covers its directory and everything below.  Licence files are
 documents named like one (LICENSE, COPYING, ...), compared as a whole as well,
@@ -73,16 +75,17 @@ TOKEN = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 FILE_NAME = r"(?i)(^|/)(licen[sc]e|copying|notice|unlicense)([._-][^/]*)?$"
 LEAST = 0.6
 FILE_SHARE = 0.25
-GAP = 3
+GAP = 1
 #: Words that most templates have keep this little of a weight.
 SMOOTH = 0.1
 
 
 def template_texts(templates: dict[str, list[str]] = TEMPLATES) -> list[tuple[str, int, list[str]]]:
-    """(licence, number, words): every paragraph, and texts of several paragraphs as a whole."""
+    """(licence, number, words): every text as a whole, and every paragraph that no other licence has."""
     out = []
+    owners = Counter(u for many in templates.values() for u in {u for t in many for u in t.split("\n\n")})
     for name, many in sorted(templates.items()):
-        units = [u for t in many for u in dict.fromkeys([t, *t.split("\n\n")])]
+        units = [u for t in many for u in dict.fromkeys([t, *[x for x in t.split("\n\n") if owners[x] == 1]])]
         out += [(name, i, re.findall(TOKEN, u.lower())) for i, u in enumerate(units)]
     return out
 
@@ -95,8 +98,8 @@ def template_weights(templates: dict[str, list[str]] = TEMPLATES) -> tuple[list[
     rows = []
     for name, i, words in texts:
         tf = Counter(words)
-        norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in tf.items()))
-        rows += [(w, name, i, n * idf[w] / norm) for w, n in sorted(tf.items())]
+        norm = math.sqrt(sum(((1 + math.log(n)) * idf[w]) ** 2 for w, n in tf.items()))
+        rows += [(w, name, i, (1 + math.log(n)) * idf[w] / norm) for w, n in sorted(tf.items())]
     return rows, idf, math.log(1 + len(texts)) + SMOOTH
 
 
@@ -135,7 +138,7 @@ def best_template(units: DataFrame, keys: list[str], tokens: str, least: float)
     weights = spark.createDataFrame(rows, "token string, licence string, template int, weight double")
     known = spark.createDataFrame(list(idf.items()), "token string, idf double")
     tf = units.select(*keys, F.explode(tokens).alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("tf"))
-    tf = tf.join(F.broadcast(known), "token", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(other)))
+    tf = tf.join(F.broadcast(known), "token", "left").withColumn("x", (1 + F.log(F.col("tf").cast("double"))) * F.coalesce("idf", F.lit(other)))
     norms = tf.groupBy(*keys).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dots = tf.join(F.broadcast(weights), "token").groupBy(*keys, "licence", "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
     scored = dots.join(norms, keys).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= least)
@@ -147,12 +150,32 @@ def _once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def units_of(text: str, gate: list[str]) -> Column:
+def could_reach(tokens: Column, least: float) -> Column:
+    """False only if no template's cosine can be ``least``: what the unit has in common with
+    all templates together is too short beside the rest of it.
+
+    The rest has at least the weight of each distinct other word once.  (1 + ln tf) squared is concave,
+    so the common part is longest if its occurrences are spread evenly over its distinct words;
+    words are bounded by the largest idf of their class (frequent in templates, or not)."""
+    _, idf, other = template_weights()
+    many = sorted(w for w, x in idf.items() if x <= other / 2)
+    words = lambda some: F.array(*[F.lit(w) for w in some])
+    strangers = F.size(F.array_except(tokens, words(sorted(idf))))
+    common = F.size(F.array_intersect(tokens, words(many)))
+    rare = F.size(F.array_intersect(tokens, words(sorted(set(idf) - set(many)))))
+    seen = (F.size(tokens) - strangers).cast("double")
+    part = lambda distinct, top: F.when(distinct > 0, top * top * distinct * F.pow(1 + F.log(seen / distinct), F.lit(2.0))).otherwise(0.0)
+    known = part(common, max((idf[w] for w in many), default=0.0)) + part(rare, max(idf.values()))
+    return known >= strangers * (other * other * least * least / (1 - least * least) * 0.999)
+
+
+def units_of(text: str, gate: list[str], least: float) -> Column:
     """(unit, tokens) of the gated segments (numbered from 0) and headers (from -2 downwards) of a text."""
     words = F.array(*[F.lit(w) for w in gate])
+    strong = F.array(*[F.lit(w) for w in gate if w not in COMMON])
 
     def headers(toks: Column, at: Column) -> Column:
-        heads = F.filter(F.sequence(F.lit(0), F.size(at) - 1), lambda k: (k == 0) | (F.get(at, k) - F.get(at, k - 1) > GAP))
+        heads = F.filter(F.sequence(F.lit(0), F.size(at) - 1), lambda k: (k == 0) | (F.get(at, k) - F.get(at, k - 1) > GAP + 1))
         ends = lambda k, j: F.struct(F.get(at, k).alias("a"), F.get(at, j - 1).alias("b"))
         runs = _once(heads, lambda h: F.transform(h, lambda k, n: ends(k, F.coalesce(F.get(h, n + 1), F.size(at)))))
         long = F.filter(runs, lambda r: r["a"] < r["b"])
@@ -160,7 +183,11 @@ def units_of(text: str, gate: list[str]) -> Column:
 
     def gated(toks: Column) -> Column:
         at = F.filter(F.sequence(F.lit(0), F.size(toks) - 1), lambda i: F.arrays_overlap(F.get(toks, i), words))
-        return _once(at, lambda x: F.when(F.size(x) > 0, F.concat(F.transform(x, lambda i: F.struct(i.alias("unit"), F.get(toks, i).alias("tokens"))), headers(toks, x))))
+        lines = F.transform(at, lambda i: F.struct(i.alias("unit"), F.get(toks, i).alias("tokens")))
+        leads = F.filter(F.sequence(F.lit(0), F.size(toks) - 1), lambda i: F.arrays_overlap(F.get(toks, i), strong))
+        found = F.concat(lines, _once(leads, lambda x: F.when(F.size(x) > 0, headers(toks, x)).otherwise(F.array().cast("array<struct<unit: int, tokens: array<string>>>"))))
+        close = F.filter(found, lambda u: could_reach(u["tokens"], least))
+        return _once(close, lambda x: F.when(F.size(x) > 0, x))
 
     return _once(F.transform(segments(text), words_of), lambda toks: F.struct(F.size(F.flatten(toks)).alias("n_words"), gated(toks).alias("units")))
 
@@ -171,7 +198,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "
     from .staging import staged
 
     named = F.coalesce(F.col(path).rlike(FILE_NAME), F.lit(False))
-    base = docs.select(F.col(key).alias("key"), F.col(path).alias("path"), units_of(text, gate_words(least=least)).alias("found"), named.alias("named"), F.when(named, words_of(F.coalesce(F.col(text), F.lit("")))).alias("whole"), F.xxhash64(key, path, text).alias("hash"))
+    base = docs.select(F.col(key).alias("key"), F.col(path).alias("path"), units_of(text, gate_words(least=least), least).alias("found"), named.alias("named"), F.when(named, words_of(F.coalesce(F.col(text), F.lit("")))).alias("whole"), F.xxhash64(key, path, text).alias("hash"))
     base = base.select("key", "path", "named", "whole", F.col("found.n_words").alias("n_words"), F.col("found.units").alias("units"), F.when(named | F.col("found.units").isNotNull(), F.col("hash")).alias("row"))
     slim = staged(base, "licences")
     held = slim.where(F.col("row").isNotNull()).dropDuplicates(["row"])

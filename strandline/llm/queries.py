@@ -117,17 +117,18 @@ def _op10_sql() -> str:
     known = ", ".join(f"('{t}', {w!r}::DOUBLE)" for t, w in sorted(idf.items()))
     token = licenses.TOKEN
     gate = ", ".join(f"'{w}'" for w in licenses.gate_words())
+    strong = ", ".join(f"'{w}'" for w in licenses.gate_words() if w not in licenses.COMMON)
     return f"""WITH tw(token, licence, template, weight) AS (VALUES {weights}), ti(token, idf) AS (VALUES {known}),
 d AS (SELECT doc_id, coalesce(text, '') AS t, {PATH_SQL.format(string="VARCHAR")} AS path FROM documents),
 sp AS (SELECT doc_id, string_split(regexp_replace(t, '([.;!?]) +', '\\1' || chr(10), 'g'), chr(10)) AS s FROM d),
 sg AS (SELECT doc_id, i, regexp_extract_all(lower(seg), '{token}') AS toks FROM (SELECT doc_id, unnest(range(len(s))) AS i, unnest(s) AS seg FROM sp)),
 h AS (SELECT doc_id, sum(len(toks)) AS n_words FROM sg GROUP BY doc_id),
 cu AS (SELECT * FROM sg WHERE list_has_any(toks, [{gate}])),
-rn AS (SELECT *, sum(CASE WHEN i - prev <= {licenses.GAP} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM cu)),
+rn AS (SELECT *, sum(CASE WHEN i - prev <= {licenses.GAP + 1} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM sg WHERE list_has_any(toks, [{strong}]))),
 rr AS (SELECT doc_id, min(i) AS a, max(i) AS b FROM rn GROUP BY doc_id, r HAVING min(i) < max(i)),
 k AS (SELECT doc_id, i AS unit, toks FROM cu UNION ALL SELECT rr.doc_id, -(a + 2), flatten(list(toks ORDER BY i)) FROM rr JOIN sg ON sg.doc_id = rr.doc_id AND i BETWEEN a AND b GROUP BY rr.doc_id, a),
 tf AS (SELECT doc_id, unit, token, count(*) AS tf FROM (SELECT doc_id, unit, unnest(toks) AS token FROM k) GROUP BY ALL),
-x AS (SELECT tf.*, tf * coalesce(idf, {other!r}::DOUBLE) AS x FROM tf LEFT JOIN ti USING (token)),
+x AS (SELECT tf.*, (1 + ln(tf::DOUBLE)) * coalesce(idf, {other!r}::DOUBLE) AS x FROM tf LEFT JOIN ti USING (token)),
 nm AS (SELECT doc_id, unit, sqrt(sum(x * x)) AS norm FROM x GROUP BY ALL),
 dt AS (SELECT doc_id, unit, licence, template, sum(x * weight) AS dot FROM x JOIN tw USING (token) GROUP BY ALL),
 sc AS (SELECT doc_id, unit, licence, round(dot / norm, 6) AS cosine FROM dt JOIN nm USING (doc_id, unit) WHERE round(dot / norm, 6) >= {licenses.LEAST}),

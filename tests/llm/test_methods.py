@@ -476,9 +476,9 @@ def test_licence_files_cover_nearest_directories(spark):
 
 
 def _cosine(words, vector, idf, other):
-    tf = Counter(words)
-    norm = math.sqrt(sum((n * idf.get(w, other)) ** 2 for w, n in tf.items()))
-    return sum(n * idf.get(w, other) * vector.get(w, 0) for w, n in tf.items()) / norm if norm else 0.0
+    x = {w: (1 + math.log(n)) * idf.get(w, other) for w, n in Counter(words).items()}
+    norm = math.sqrt(sum(v * v for v in x.values()))
+    return sum(v * vector.get(w, 0) for w, v in x.items()) / norm if norm else 0.0
 
 
 def test_gate_loses_nothing():
@@ -493,6 +493,22 @@ def test_gate_loses_nothing():
         assert _cosine([w for w in best for _ in range(max(1, round(10 * vector[w] / idf[w])))], vector, idf, other) < licenses.LEAST
 
 
+def test_bound_drops_no_unit_that_reaches(spark):
+    rows, idf, other = licenses.template_weights()
+    vectors = defaultdict(dict)
+    for w, name, i, x in rows:
+        vectors[name, i][w] = x
+    r, units = random.Random(3), []
+    for _, _, words in licenses.template_texts():
+        for _ in range(6):
+            some = [w for w in words if r.random() < r.choice([0.3, 0.7, 1.0])] or words[:1]
+            units.append([*some, *[f"x{r.randrange(50)}" for _ in range(r.randrange(len(some) + 2))], *[r.choice(some)] * r.randrange(9)])
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(units)], "i int, tokens array<string>")
+    passed = {x["i"] for x in df.where(licenses.could_reach(F.col("tokens"), licenses.LEAST)).collect()}
+    reach = {i for i, u in enumerate(units) if max(_cosine(u, v, idf, other) for v in vectors.values()) >= licenses.LEAST}
+    assert reach <= passed and len(reach) > 50 and len(passed) < len(units)
+
+
 def test_whole_licence_texts_and_wrapped_headers(spark):
     wrap = lambda t, lead="": "\n".join(lead + line for part in t.split("\n\n") for line in [*textwrap.wrap(part, 60), ""])
     body = "\ndef f(x):\n    return x + 1\n" * 20
