@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import struct
 import textwrap
 import time
 import zlib
@@ -15,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from strandline.llm import decontaminate, exact_dedup, html_extract, jaccard_join, langid, licenses, mixing, ppm, quality, sharding, textcore
@@ -531,3 +534,98 @@ def test_equal_cosines_go_to_the_first_name(spark):
     tie = spark.createDataFrame([(1, "t/a", "SPDX-License-Identifier: MIT.\n\n\n\n\n\nSPDX-License-Identifier: ISC."), (2, "t/b", "x"), (2, "t/b", "x")], "doc_id long, path string, text string")
     got = sorted((r["doc_id"], r["licence"], r["origin"]) for r in licenses.scan(tie).collect())
     assert got == [(1, "ISC", "own"), (2, "ISC", "inherited"), (2, "ISC", "inherited")]
+
+
+@has_tables
+def test_sharding_query_equals_plain_hashing(spark):
+    """Every shard, grown shard, size and checksum again, with the public xxHash of the bytes."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+    def cost(key, shard):
+        h = xxhash.xxh64_intdigest(struct.pack("<i", shard), xxhash.xxh64_intdigest(struct.pack("<q", key), 42))
+        return -math.log(((h >> 11) + 0.5) / 2**53)
+
+    for r in Q.op9_sharding(spark, SF).collect():
+        raw = (texts[r["doc_id"]] or "").encode()
+        costs = [cost(r["doc_id"], k) for k in range(41)]
+        assert (r["size"], r["text_crc32"], r["shard"], r["grown_shard"]) == (len(raw) + 16, zlib.crc32(raw), costs.index(min(costs[:40])), costs.index(min(costs)))
+
+
+@has_tables
+def test_language_query_equals_plain_compression(spark):
+    """Every row of the query again: one compressor a text, block and language, made from scratch."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    dictionaries = langid.train(docs.where(~langid.held_out("doc_id", 5, 0)))
+    prelude = b" ".join(dictionaries[k][:64] for k in sorted(dictionaries)) + b" "
+
+    def size(raw, dictionary, level, match, source):
+        params = zstandard.ZstdCompressionParameters.from_level(level, source_size=source, dict_size=len(dictionary), min_match=match, write_content_size=False, write_checksum=False, write_dict_id=False)
+        whole = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        whole.precompute_compress(compression_params=params)
+        return len(zstandard.ZstdCompressor(dict_data=whole, compression_params=params).compress(raw))
+
+    got = {r["doc_id"]: r for r in Q.op4_langid(spark, SF).collect()}
+    for d in docs.collect():
+        row, words = got[d["doc_id"]], " ".join(re.findall(r"[^\W\d_]+", (d["text"] or "").lower()))
+        assert row["held_out"] == (zlib.crc32(str(d["doc_id"]).encode()) % 5 == 0)
+        if not words:
+            assert (row["lang_pred"], row["score"], row["lang_rejected"]) == ("und", 0.0, True)
+            continue
+        if len(words) > 3000 or words != langid.letters(d["text"]):  # one block; the two patterns differ in rare letters
+            continue
+        raw = words.encode()
+        if len(raw) > langid.BLOCK_BYTES:
+            continue
+        sizes = {}
+        for lang, x in dictionaries.items():
+            fine = [size(y, x[64:], 6, 3, langid.BLOCK_BYTES + len(prelude)) for y in (prelude + raw, prelude)]
+            sizes[lang] = size(raw, x, 3, 4, langid.BLOCK_BYTES) + fine[0] - fine[1]
+        best = min(sorted(sizes), key=sizes.get)
+        second = min(v for k, v in sizes.items() if k != best)
+        assert row["lang_pred"] == best and row["lang_margin"] == pytest.approx((second - sizes[best]) / len(raw))
+        assert row["lang_rejected"] == (row["lang_margin"] < langid.MIN_MARGIN)
+        assert row["score"] == pytest.approx(1 / sum(math.exp(sizes[best] - v) for v in sizes.values()))
+
+
+def test_word_vectors_and_pooling_equal_plain_loops(spark):
+    r = random.Random(12)
+    words = ["alpha", "BETA", "beta", "Gamma", "x1", "42", "!!", "été"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(15))) for _ in range(30)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    vectors = quality.word_vectors(df)
+    split = [re.findall(r"[A-Za-z\x80-\U0010ffff]+|[0-9]+|[^A-Za-z0-9\x80-\U0010ffff\s]+", t or "") for t in texts]
+
+    def of(word):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        return quality.words_of(raw, np.array([0, len(raw)]))[0]
+
+    def index(word):
+        place, sign = quality.index_vectors(of(word))
+        v = np.zeros(quality.DIM)
+        for p, s in zip(place[:, 0], sign[:, 0], strict=True):
+            v[p] += s
+        return v
+
+    known = {w: index(w) for doc in split for w in doc}
+    bucket = {w: int(quality.buckets_of(of(w))[0]) for w in known}
+    sums = defaultdict(lambda: np.zeros(quality.DIM))
+    for doc in split:
+        for i, w in enumerate(doc):
+            for j in range(max(0, i - quality.WINDOW), min(len(doc), i + quality.WINDOW + 1)):
+                if i != j:
+                    sums[bucket[w]] += known[doc[j]]
+    unit = {b: v / max(np.linalg.norm(v), 1e-9) for b, v in sums.items()}
+    for b, v in unit.items():
+        assert np.allclose(vectors[b], v, atol=1e-6)
+    assert of("BETA")[0] != of("beta")[0] and np.count_nonzero(np.abs(vectors).sum(1)) == sum(v.any() for v in unit.values())
+    raw = [(t or "").encode() for t in texts]
+    got = quality.pooled(vectors, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for row, doc in zip(got, split, strict=True):
+        x = np.array([unit.get(bucket[w], np.zeros(quality.DIM)) for w in doc])
+        want = np.zeros(quality.FEATURES) if not doc else np.concatenate([x.mean(0), np.sqrt(np.maximum((x**2).mean(0) - x.mean(0) ** 2, 0)), [(x[1:] * x[:-1]).sum() / max(1, len(doc) - 1)]])
+        assert np.allclose(row, want, atol=1e-4)
+
+
+@has_tables
+def test_prediction_is_one_from_the_edge_on(spark):
+    assert all(r["predicted"] == int(r["score"] >= 0.7) and 0 <= r["score"] <= 1 for r in Q.op2_quality(spark, SF).collect())
