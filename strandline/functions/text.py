@@ -69,8 +69,13 @@ def fold(column: Column) -> Column:
 
 
 def search_tokens(column: Column) -> Column:
-    """Runs of letters and digits, lower-cased and folded."""
-    return F.transform(F.regexp_extract_all(F.lower(column), F.lit(TOKEN), F.lit(0)), fold)
+    """Runs of letters and digits, lower-cased and folded.
+
+    Folding comes first: a mark never begins a token, so without it the tokens are the same.
+    Texts of single bytes have nothing to fold."""
+    low = F.lower(column)
+    plain = F.when(F.octet_length(low) == F.char_length(low), low).otherwise(fold(low))
+    return F.regexp_extract_all(plain, F.lit(f"[{_LETTERS}]+"), F.lit(0))
 
 
 def tokens_of(text: str) -> list[str]:

@@ -21,22 +21,24 @@ class MatchSyntaxError(ValueError):
     """The match expression can't be parsed."""
 
 
-def postings(chunks: DataFrame, id: str = "id", content: str = "content") -> DataFrame:
-    """The inverted index: (term, chunk_id, tf, dl, positions).
+def postings(chunks: DataFrame, id: str = "id", content: str = "content", wanted=None) -> DataFrame:
+    """The inverted index: (term, chunk_id, tf, dl, positions); of the ``wanted`` terms (a test), if given.
 
     Everything is built inside each row: tokens are sorted with their positions, and every run of
     equal terms is a slice of that array.  So the scan gives postings without a shuffle."""
-    words = F.array_sort(F.transform(search_tokens(F.col(content)), lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
-
-    def runs(toks: Column) -> Column:
+    def runs(toks: Column, dl: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(toks) - 1), lambda i: (i == 0) | (F.get(toks, i)["term"] != F.get(toks, i - 1)["term"]))
-        return _once(starts, lambda at: F.transform(at, lambda s, k: entry(toks, s, F.coalesce(F.get(at, k + 1), F.size(toks)) - s)))
+        return _once(starts, lambda at: F.transform(at, lambda s, k: entry(toks, dl, s, F.coalesce(F.get(at, k + 1), F.size(toks)) - s)))
 
-    def entry(toks: Column, first: Column, tf: Column) -> Column:
+    def entry(toks: Column, dl: Column, first: Column, tf: Column) -> Column:
         places = F.transform(F.slice(toks, first + 1, tf), lambda t: t["pos"])
-        return F.struct(F.get(toks, first)["term"].alias("term"), tf.cast("long").alias("tf"), F.size(toks).alias("dl"), places.alias("positions"))
+        return F.struct(F.get(toks, first)["term"].alias("term"), tf.cast("long").alias("tf"), dl.alias("dl"), places.alias("positions"))
+
+    def sorted_words(tokens: Column) -> Column:
+        words = F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
+        return F.array_sort(words if wanted is None else F.filter(words, lambda w: wanted(w["term"])))
 
-    entries = _once(words, lambda toks: F.when(F.size(toks) > 0, runs(toks)))
+    entries = _once(search_tokens(F.col(content)), lambda tokens: _once(sorted_words(tokens), lambda toks: F.when(F.size(toks) > 0, runs(toks, F.size(tokens)))))
     return chunks.select(F.col(id).alias("chunk_id"), F.explode(entries).alias("p")).select("p.term", "chunk_id", "p.tf", "p.dl", "p.positions")
 
 
@@ -227,10 +229,18 @@ def _nears(node) -> list[Match]:
     return [node] if node.op == "near" else [n for part in node.parts for n in _nears(part)]
 
 
-def _selector(terms: list[str], prefixes: list[str]) -> Column:
-    test = F.col("term").isin(terms) if terms else F.lit(False)
+def _needed(match) -> tuple[list[str], list[str]]:
+    """The terms and the prefixes that an expression asks for."""
+    units = phrases_of(match)
+    exact = sorted({t for p in units for i, t in enumerate(p.terms) if not (p.prefix and i == len(p.terms) - 1)})
+    return exact, sorted({p.terms[-1] for p in units if p.prefix})
+
+
+def _selector(term: Column, match) -> Column:
+    terms, prefixes = _needed(match)
+    test = term.isin(terms) if terms else F.lit(False)
     for p in prefixes:
-        test = test | F.startswith(F.col("term"), F.lit(p))
+        test = test | F.startswith(term, F.lit(p))
     return test
 
 
@@ -314,9 +324,7 @@ def keyword_hits(index: DataFrame, stats: DataFrame, match) -> DataFrame:
     scoring unit with its own frequency and document frequency."""
     units = phrases_of(match)
     tree, _ = _numbered(match)
-    exact = sorted({t for p in units for i, t in enumerate(p.terms) if not (p.prefix and i == len(p.terms) - 1)})
-    prefixes = sorted({p.terms[-1] for p in units if p.prefix})
-    per = index.where(_selector(exact, prefixes)).groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"), F.first("dl").alias("dl"))
+    per = index.where(_selector(F.col("term"), match)).groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"), F.first("dl").alias("dl"))
     per = per.select("chunk_id", "dl", *[_starts(p).alias(f"s{i}") for i, p in enumerate(units)])
     df = per.agg(*[F.sum((F.size(f"s{i}") > 0).cast("double")).alias(f"n{i}") for i in range(len(units))])
     for near in _nears(tree):
@@ -341,7 +349,7 @@ def search_keyword(chunks: DataFrame, query: str, limit: int = 10, strict: bool
     match = parse_match(query) if strict else plain_match(query)
     if match is None or not phrases_of(match):
         return chunks.withColumn("score", F.lit(0.0)).limit(0)
-    hits = keyword_hits(index if index is not None else postings(chunks), stats if stats is not None else corpus_stats(chunks), match)
+    hits = keyword_hits(index if index is not None else postings(chunks, wanted=lambda term: _selector(term, match)), stats if stats is not None else corpus_stats(chunks), match)
     if digits is not None:
         hits = hits.withColumn("score", F.round("score", digits))
     top = hits.orderBy(F.col("score").desc(), "chunk_id").limit(limit)

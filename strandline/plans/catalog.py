@@ -14,7 +14,7 @@ from ..operators import entities as E
 from ..operators import forget, graph, ingest, recall, search
 from ..sources import connectors
 from ..sources.store import KnowledgeStore
-from ..staging import shared_folder
+from ..staging import shared_folder, staged
 from . import fixtures as X
 from .fixtures import view, with_sql
 
@@ -117,7 +117,8 @@ def _edges_sql(depth: int, types: list[str]) -> str:
 
 
 def _walk(spark, d, depth, types=PLACES, **options):
-    return graph.traverse(view(spark, d, "entities"), view(spark, d, "relationships"), "customer:0", depth, types, **options)
+    # The fixtures' edges are joins and distincts over the star schema; a graph's own are a table.
+    return graph.traverse(view(spark, d, "entities"), staged(view(spark, d, "relationships"), "relationships"), "customer:0", depth, types, **options)
 
 
 @query("traverse_depth0", _reach_sql(0, PLACES) + "SELECT e.id, e.name, level FROM reach JOIN entities e ON e.id = reach.id")
@@ -334,8 +335,9 @@ def rrf_merge(spark, d):
     return recall.rrf_merge(ranked(rich, 0).unionByName(ranked(busy, 1))).withColumn("score", F.round("score", 9))
 
 
-def _sources(spark, d) -> recall.Sources:
-    return recall.Sources(spark, *[view(spark, d, n) for n in ("entities", "relationships", "chunks", "memories", "memory_entities")], X.embeddings(spark, d))
+def _sources(spark, d, edges: bool = False) -> recall.Sources:
+    relationships = staged(view(spark, d, "relationships"), "relationships") if edges else None
+    return recall.Sources(spark, view(spark, d, "entities"), relationships, *[view(spark, d, n) for n in ("chunks", "memories", "memory_entities")], X.embeddings(spark, d))
 
 
 
@@ -393,7 +395,7 @@ def recall_vector(spark, d):
 
 @query("recall_graph", _fused(with_sql("entities", "relationships"), [GRAPH_LIST.format(name="europe")]))
 def recall_graph(spark, d):
-    return _results(recall.recall(_sources(spark, d), "", subqueries=[{"type": "graph", "params": {"entity": "europe"}}]))
+    return _results(recall.recall(_sources(spark, d, True), "", subqueries=[{"type": "graph", "params": {"entity": "europe"}}]))
 
 
 @query("recall_fallback", _fused(f"{with_sql('chunks', 'memories', 'memory_entities')}, {IDIOT}", [_keyword_list(), _memory_list(["the", "idiot"])]))
@@ -408,7 +410,7 @@ def recall_fallback(spark, d):
 def recall_hybrid(spark, d):
     text = {"query": "the idiot"}
     subs = [{"type": "keyword", "params": text}, {"type": "memory", "params": text}, {"type": "vector", "params": {"query": "x", "vector": _vector(spark, d, 3)}}, {"type": "graph", "params": {"entity": "asia"}}]
-    return _results(recall.recall(_sources(spark, d), "", subqueries=subs))
+    return _results(recall.recall(_sources(spark, d, True), "", subqueries=subs))
 
 
 @query("recall_source_filter", _fused(f"{with_sql('chunks', 'memories', 'memory_entities')}, {IDIOT}", [_keyword_list(), _memory_list(["the", "idiot"])], where="source = 'user'"))
