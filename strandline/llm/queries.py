@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_extract, jaccard_join, langid, licenses, mixing, ppm, quality, sharding
+from . import decontaminate, exact_dedup, html_extract, jaccard_join, langid, licenses, mixing, oracles, ppm, quality, sharding
 from .staging import staged, table
 
 MIX_WEIGHTS = {"domain": {"web": 5, "books": 3, "code": 2}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}}
@@ -158,4 +158,11 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_licenses": op10_licenses,
 }
-ORACLES = {"op1_mixing": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op10_licenses": _op10_sql()}
+ORACLES = {
+    "op1_mixing": OP1_SQL,
+    "op3_exact_dedup": OP3_SQL,
+    "op5_jaccard_join": oracles.OP5_SQL,
+    "op8_decontaminate": oracles.OP8_SQL,
+    "op9_sharding": oracles.op9_sql(),
+    "op10_licenses": _op10_sql(),
+}

@@ -41,7 +41,8 @@ def rows_of(columns, data):
 @pytest.mark.parametrize("name", sorted(Q.ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     result = con.execute(Q.ORACLES[name])
     columns = [c[0] for c in result.description]
     df = Q.QUERIES[name](spark, SF)
