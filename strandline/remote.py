@@ -17,6 +17,8 @@ Transport = Callable[[str, dict, dict], dict]
 DECOMPOSE_PROMPT = 'Split the question into searches of a knowledge graph. Answer with one JSON object {"queries": [{"type": "keyword" | "memory" | "vector" | "graph", "params": {"query": "..."}}]} and nothing else.'
 SUMMARY_PROMPT = "Write one short summary of all the texts. Answer with the summary alone."
 SEPARATOR = "\n\n---\n\n"
+# Fixed value: the version that the messages interface asks every request to name.
+MESSAGES_VERSION = "2023-06-01"
 
 
 def post_json(url: str, headers: dict, body: dict) -> dict:
@@ -65,7 +67,7 @@ class MessagesModel(_Chat):
 
     def ask(self, system: str, text: str, as_json: bool) -> str:
         body = {"model": self.model, "max_tokens": self.max_tokens, "system": system, "messages": [{"role": "user", "content": text}]}
-        answer = self.transport(f"{self.base}/v1/messages", {"x-api-key": self.key}, body)
+        answer = self.transport(f"{self.base}/v1/messages", {"x-api-key": self.key, "anthropic-version": MESSAGES_VERSION}, body)
         return "".join(block["text"] for block in answer.get("content") or [] if block.get("type") == "text")
 
 
