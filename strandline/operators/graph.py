@@ -26,9 +26,9 @@ def levels(relationships: DataFrame, start: str, depth: int = 1, types: list[str
     for level in range(1, depth + 1):
         reached = edges.join(frontier.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
         frontier = staged(reached.join(seen, "id", "left_anti").withColumn("level", F.lit(level)), "frontier")
-        if frontier.isEmpty():
-            break
         seen = seen.union(frontier)
+        if level < depth and frontier.isEmpty():
+            break
     return seen
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..functions.text import search_tokens, tokens_of
+from ..staging import staged
 from .entities import check_limit
 
 K1, B = 1.2, 0.75
@@ -21,11 +22,10 @@ class MatchSyntaxError(ValueError):
     """The match expression can't be parsed."""
 
 
-def postings(chunks: DataFrame, id: str = "id", content: str = "content", wanted=None) -> DataFrame:
-    """The inverted index: (term, chunk_id, tf, dl, positions); of the ``wanted`` terms (a test), if given.
+def _indexed(content: Column, wanted=None) -> Column:
+    """A text's number of tokens ``dl`` and its ``entries`` (term, tf, dl, positions).
 
-    Everything is built inside each row: tokens are sorted with their positions, and every run of
-    equal terms is a slice of that array.  So the scan gives postings without a shuffle."""
+    Tokens are sorted with their positions, and every run of equal terms is a slice of that array."""
     def runs(toks: Column, dl: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(toks) - 1), lambda i: (i == 0) | (F.get(toks, i)["term"] != F.get(toks, i - 1)["term"]))
         return _once(starts, lambda at: F.transform(at, lambda s, k: entry(toks, dl, s, F.coalesce(F.get(at, k + 1), F.size(toks)) - s)))
@@ -36,10 +36,33 @@ def postings(chunks: DataFrame, id: str = "id", content: str = "content", wanted
 
     def sorted_words(tokens: Column) -> Column:
         words = F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
-        return F.array_sort(words if wanted is None else F.filter(words, lambda w: wanted(w["term"])))
+        return F.sort_array(words if wanted is None else F.filter(words, lambda w: wanted(w["term"])))
 
-    entries = _once(search_tokens(F.col(content)), lambda tokens: _once(sorted_words(tokens), lambda toks: F.when(F.size(toks) > 0, runs(toks, F.size(tokens)))))
-    return chunks.select(F.col(id).alias("chunk_id"), F.explode(entries).alias("p")).select("p.term", "chunk_id", "p.tf", "p.dl", "p.positions")
+    def both(tokens: Column) -> Column:
+        entries = _once(sorted_words(tokens), lambda toks: F.when(F.size(toks) > 0, runs(toks, F.size(tokens))))
+        return F.struct(F.greatest(F.size(tokens), F.lit(0)).alias("dl"), entries.alias("entries"))
+
+    return _once(search_tokens(content), both)
+
+
+def postings(chunks: DataFrame, id: str = "id", content: str = "content") -> DataFrame:
+    """The inverted index: (term, chunk_id, tf, dl, positions).
+
+    Everything is built inside each row, so the scan gives postings without a shuffle."""
+    return _exploded(chunks.select(F.col(id).alias("chunk_id"), _indexed(F.col(content))["entries"].alias("entries")))
+
+
+def _exploded(rows: DataFrame) -> DataFrame:
+    # The planner would put an inner explode behind a filter that computes the entries a second time.
+    return rows.select("chunk_id", F.explode_outer("entries").alias("p")).where(F.col("p").isNotNull()).select("p.term", "chunk_id", "p.tf", "p.dl", "p.positions")
+
+
+def query_index(chunks: DataFrame, match, id: str = "id", content: str = "content") -> tuple[DataFrame, DataFrame]:
+    """Postings of the expression's terms, and the statistics of all chunks, from one reading of
+    the texts: each chunk's length and its entries of those terms are written, and both read that."""
+    found = _indexed(F.col(content), lambda term: _selector(term, match))
+    rows = staged(chunks.select(F.col(id).alias("chunk_id"), found.alias("x")).select("chunk_id", "x.dl", "x.entries"), "found")
+    return _exploded(rows), stats_of(rows)
 
 
 def _once(value: Column, use) -> Column:
@@ -344,12 +367,15 @@ def search_keyword(chunks: DataFrame, query: str, limit: int = 10, strict: bool
     """The best ``limit`` chunks for a match expression, with ``score``.
 
     ``strict`` raises on bad syntax; otherwise the text's tokens are searched (all of them).
-    Pass a stored ``index`` and ``stats`` to avoid reading the texts."""
+    Without a stored ``index`` and ``stats`` the texts are read, once."""
     check_limit(limit)
     match = parse_match(query) if strict else plain_match(query)
     if match is None or not phrases_of(match):
         return chunks.withColumn("score", F.lit(0.0)).limit(0)
-    hits = keyword_hits(index if index is not None else postings(chunks, wanted=lambda term: _selector(term, match)), stats if stats is not None else corpus_stats(chunks), match)
+    if index is None or stats is None:
+        found, counted = query_index(chunks, match)
+        index, stats = found if index is None else index, counted if stats is None else stats
+    hits = keyword_hits(index, stats, match)
     if digits is not None:
         hits = hits.withColumn("score", F.round("score", digits))
     top = hits.orderBy(F.col("score").desc(), "chunk_id").limit(limit)

@@ -177,3 +177,8 @@ def test_bm25_by_hand(chunks):
     idf = math.log((len(docs) - n + 0.5) / (n + 0.5))
     want = idf * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * len(docs[2]) / avg))
     assert search.search_keyword(chunks, "rust").first()["score"] == pytest.approx(want)
+
+
+def test_index_is_computed_once_per_text(chunks):
+    plan = search.postings(chunks)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
