@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_extract, jaccard_join, langid, licenses, mixing, oracles, ppm, quality, sharding
+from . import decontaminate, exact_dedup, html_extract, jaccard_join, langid, licenses, mixing, oracles, ppm, quality, sharding, simhash
 from .staging import staged, table
 
 MIX_WEIGHTS = {"domain": {"web": 5, "books": 3, "code": 2}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}}
@@ -111,6 +111,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs)
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3)
+
+
 def _op10_sql() -> str:
     rows, idf, other = licenses.template_weights()
     weights = ", ".join(f"('{t}', '{name}', {i}, {w!r}::DOUBLE)" for t, name, i, w in rows)
@@ -157,6 +161,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_sharding": op9_sharding,
     "op10_licenses": op10_licenses,
+    "op11_simhash": op11_simhash,
 }
 ORACLES = {
     "op1_mixing": OP1_SQL,
