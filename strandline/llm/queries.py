@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_extract, jaccard_join, langid, licenses, mixing, oracles, ppm, quality, sharding, simhash
+from . import decontaminate, exact_dedup, html_extract, jaccard_join, langid, licenses, merkle, mixing, oracles, ppm, quality, sharding, simhash, throttle
 from .staging import staged, table
 
 MIX_WEIGHTS = {"domain": {"web": 5, "books": 3, "code": 2}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}}
@@ -115,6 +115,14 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3)
 
 
+def op12_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return throttle.throttle(table(spark, sf_dir, "clicks"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), changed=merkle.without_line_ends())
+
+
 def _op10_sql() -> str:
     rows, idf, other = licenses.template_weights()
     weights = ", ".join(f"('{t}', '{name}', {i}, {w!r}::DOUBLE)" for t, name, i, w in rows)
@@ -162,6 +170,8 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_licenses": op10_licenses,
     "op11_simhash": op11_simhash,
+    "op12_throttle": op12_throttle,
+    "op13_merkle": op13_merkle,
 }
 ORACLES = {
     "op1_mixing": OP1_SQL,
@@ -170,4 +180,6 @@ ORACLES = {
     "op8_decontaminate": oracles.OP8_SQL,
     "op9_sharding": oracles.op9_sql(),
     "op10_licenses": _op10_sql(),
+    "op12_throttle": oracles.op12_sql(),
+    "op13_merkle": oracles.op13_sql(),
 }
