@@ -14,6 +14,8 @@ the query is started anew for every batch on one checkpoint.
   of the segments of one client are applied one after another, which gives every segment its start.
 * Lockstep.  Inside a segment the due clicks are ranked per client, and every client's k-th click is settled
   simultaneously on the vector of credits; the few clients that are still left go on one by one.
+* Penalties.  The instant at which the credit reaches C follows from any throttled click, is the same for all
+  clicks of a penalty and later for each later penalty, so it is the penalty's key: its start is the least ts of the key.
 
 Batches, due clicks, credits and outcomes are tables in the checkpoint folder, one folder a batch that a
 repeated batch overwrites, so a query that dies is started again and nothing counts twice.
@@ -31,6 +33,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -52,14 +55,12 @@ SEGMENT_ROWS = 1 << 16
 SCALAR = 24  # so many clients are faster one by one
 
 NEVER = -(1 << 62)  # no watermark yet; no settled click yet
-NONE = -(1 << 62)  # no penalty
-INHERITED = NONE + 1  # the penalty at a segment's start goes on
 
 FEED = "bucket int, click_id long, has_id boolean, client_id long, ts long, batch int, mark boolean, watermark long, last boolean"
 DUE = "click_id long, has_id boolean, client_id long, ts long, batch int, late boolean"
 _FIELDS = ["click_id", "has_id", "client_id", "ts"]
 #: Rows of a settled batch: outcomes, and (``state``) the credit of each client with a click in it.
-SETTLED = "state boolean, click_id long, has_id boolean, client_id long, ts long, outcome string, credit long, penalty long, ends long"
+SETTLED = "state boolean, click_id long, has_id boolean, client_id long, ts long, outcome string, credit long, ends long"
 
 
 def micros(ts: str, kind: T.DataType) -> Column:
@@ -121,62 +122,55 @@ def _wait(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
 # Settling
 
 
-def _step(pieces: list[tuple], gain: int, ts: int) -> list[tuple]:
-    """A click after ``gain`` microseconds.  A piece (low, high, moves, value, penalty) says for starting credits in
-    [low, high) that the credit is start + value (``moves``) or value."""
+def _step(pieces: list[tuple], gain: int) -> list[tuple]:
+    """A click after ``gain`` microseconds.  A piece (low, high, moves, value) says for starting credits in [low, high)
+    that the credit is start + value (``moves``) or value."""
     out: list[tuple] = []
 
-    def add(low, high, moves, value, penalty):
+    def add(low, high, moves, value):
         if low < high:
-            if out and out[-1][2:] == (moves, value, penalty):
-                out[-1] = (out[-1][0], high, moves, value, penalty)
+            if out and out[-1][2:] == (moves, value):
+                out[-1] = (out[-1][0], high, moves, value)
             else:
-                out.append((low, high, moves, value, penalty))
+                out.append((low, high, moves, value))
 
-    for low, high, moves, value, penalty in pieces:
+    for low, high, moves, value in pieces:
         value += gain
-        throttled = ts if penalty == NONE else penalty
         if not moves:
             value = min(CAP, value)
-            add(low, high, False, *((value - COST, NONE) if value >= COST else (value, throttled)))
+            add(low, high, False, value - COST if value >= COST else value)
             continue
         one, two = min(max(low, COST - value), high), min(max(low, CAP - value), high)
-        add(low, one, True, value, throttled)
-        add(one, two, True, value - COST, NONE)
-        add(two, high, False, CAP - COST, NONE)
+        add(low, one, True, value)
+        add(one, two, True, value - COST)
+        add(two, high, False, CAP - COST)
     return out
 
 
 def summary(ts: list[int]) -> list[tuple]:
     """What a segment's clicks make of a credit, counted at its first click."""
-    pieces, before = [(0, CAP + 1, True, 0, INHERITED)], ts[0]
+    pieces, before = [(0, CAP + 1, True, 0)], ts[0]
     for t in ts:
-        pieces = _step(pieces, t - before, t)
+        pieces = _step(pieces, t - before)
         before = t
     return pieces
 
 
-def apply_summary(pieces: list[tuple], credit: int, penalty: int, first: int) -> tuple[int, int]:
-    """The credit and the penalty's start after a segment whose first click is at ``first``."""
-    for low, high, moves, value, own in pieces:
-        if low <= credit < high:
-            if own == INHERITED:
-                own = first if penalty == NONE else penalty
-            return (credit + value if moves else value), own
-    raise ValueError("a credit outside the pieces")
+def apply_summary(pieces: list[tuple], credit: int) -> int:
+    """The credit after a segment that begins with ``credit``."""
+    return next(credit + value if moves else value for low, high, moves, value in pieces if low <= credit < high)
 
 
 def gained(credit: int, settled: int, ts: int) -> int:
     return CAP if settled == NEVER else min(CAP, credit + ts - settled)
 
 
-def settle(starts: np.ndarray, ts: np.ndarray, credit: np.ndarray, settled: np.ndarray, penalty: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def settle(starts: np.ndarray, ts: np.ndarray, credit: np.ndarray, settled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Settle the clicks ``ts`` of many clients; client i has those from ``starts[i]`` to ``starts[i + 1]`` in order.
-    ``credit``, ``settled`` and ``penalty`` are changed in place.  Per click: admitted, credit after, penalty's start."""
+    ``credit`` and ``settled`` are changed in place.  Per click: whether it is admitted, and the credit after it."""
     n = np.diff(starts)
-    admitted, after, since = np.zeros(len(ts), bool), np.zeros(len(ts), np.int64), np.full(len(ts), NONE, np.int64)
-    order = np.argsort(-n, kind="stable")
-    active, k = order, 0
+    admitted, after = np.zeros(len(ts), bool), np.zeros(len(ts), np.int64)
+    active, k = np.argsort(-n, kind="stable"), 0
     while True:
         active = active[: int(np.searchsorted(-n[active], -k, side="left"))]  # those with more than k clicks
         if len(active) <= SCALAR:
@@ -186,38 +180,35 @@ def settle(starts: np.ndarray, ts: np.ndarray, credit: np.ndarray, settled: np.n
         c = np.where(settled[active] == NEVER, CAP, np.minimum(CAP, credit[active] + (t - settled[active])))
         ok = c >= COST
         c = np.where(ok, c - COST, c)
-        p = np.where(ok, NONE, np.where(penalty[active] == NONE, t, penalty[active]))
-        admitted[at], after[at], since[at] = ok, c, p
-        credit[active], settled[active], penalty[active] = c, t, p
+        admitted[at], after[at] = ok, c
+        credit[active], settled[active] = c, t
         k += 1
     for i in active.tolist():
-        c, last, p = int(credit[i]), int(settled[i]), int(penalty[i])
+        c, last = int(credit[i]), int(settled[i])
         a, b = int(starts[i]) + k, int(starts[i + 1])
-        oks, credits, sinces = [], [], []
+        oks, credits = [], []
         for t in ts[a:b].tolist():
             c = CAP if last == NEVER else min(CAP, c + t - last)
             ok = c >= COST
             if ok:
-                c, p = c - COST, NONE
-            elif p == NONE:
-                p = t
+                c -= COST
             last = t
             oks.append(ok)
             credits.append(c)
-            sinces.append(p)
-        admitted[a:b], after[a:b], since[a:b] = oks, credits, sinces
-        credit[i], settled[i], penalty[i] = c, last, p
-    return admitted, after, since
+        admitted[a:b], after[a:b] = oks, credits
+        credit[i], settled[i] = c, last
+    return admitted, after
 
 
 #: A segment: its rows, packed; ``client`` rows say what it makes of its first and its last client.
-SEGMENTS = "seg long, rows binary, client long, head boolean, credit long, settled long, penalty long, first long, final long, pieces array<struct<low:long,high:long,moves:boolean,value:long,penalty:long>>"
-_ROW = ["client_id", "is_click", "ts", "click_id", "has_id", "credit", "penalty"]
+SEGMENTS = "seg long, rows binary, client long, head boolean, credit long, settled long, first long, final long, pieces array<struct<low:long,high:long,moves:boolean,value:long>>"
+_ROW = ["client_id", "is_click", "ts", "click_id", "has_id", "credit"]
+_PIECE = ("low", "high", "moves", "value")
 
 
 def _segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cut a range, sorted by client and time, into segments."""
-    schema = pa.schema([("seg", pa.int64()), ("rows", pa.binary()), ("client", pa.int64()), ("head", pa.bool_()), ("credit", pa.int64()), ("settled", pa.int64()), ("penalty", pa.int64()), ("first", pa.int64()), ("final", pa.int64()), ("pieces", pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64()), ("moves", pa.bool_()), ("value", pa.int64()), ("penalty", pa.int64())])))])
+    schema = pa.schema([("seg", pa.int64()), ("rows", pa.binary()), ("client", pa.int64()), ("head", pa.bool_()), ("credit", pa.int64()), ("settled", pa.int64()), ("first", pa.int64()), ("final", pa.int64()), ("pieces", pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64()), ("moves", pa.bool_()), ("value", pa.int64())])))])
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId() << 32
@@ -231,11 +222,11 @@ def _segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = np.searchsorted(clients, client), np.searchsorted(clients, client, side="right")
             own = rows[:, a:b]
             head, ts = not own[1, 0], own[2, int(not own[1, 0]) :]
-            row = {"seg": number, "client": client, "head": head, "credit": None, "settled": None, "penalty": None, "first": None, "final": None, "pieces": None, "rows": None}
+            row = dict.fromkeys(schema.names) | {"seg": number, "client": client, "head": head}
             if head:
-                row |= {"credit": int(own[5, 0]), "settled": int(own[2, 0]), "penalty": int(own[6, 0])}
+                row |= {"credit": int(own[5, 0]), "settled": int(own[2, 0])}
             if len(ts):
-                pieces = [dict(zip(("low", "high", "moves", "value", "penalty"), p, strict=True)) for p in summary(ts.tolist())]
+                pieces = [dict(zip(_PIECE, p, strict=True)) for p in summary(ts.tolist())]
                 row |= {"first": int(ts[0]), "final": int(ts[-1]), "pieces": pieces}
             out.append(row)
         number += 1
@@ -252,23 +243,21 @@ def _segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(rows)
 
 
-STARTS = "seg long, client long, credit long, settled long, penalty long, ends boolean"
+STARTS = "seg long, client long, credit long, settled long, ends boolean"
 
 
 def _chain(table: pa.Table) -> pa.Table:
     """One client's segments, a row each: apply their functions one after another."""
     rows = sorted(table.to_pylist(), key=lambda r: r["seg"])
-    credit, settled, penalty = CAP, NEVER, NONE
-    out = []
+    credit, settled, out = CAP, NEVER, []
     for r in rows:
         if r["head"]:
-            credit, settled, penalty = r["credit"], r["settled"], r["penalty"]
-        out.append({"seg": r["seg"], "client": r["client"], "credit": credit, "settled": settled, "penalty": penalty, "ends": r is rows[-1]})
+            credit, settled = r["credit"], r["settled"]
+        out.append({"seg": r["seg"], "client": r["client"], "credit": credit, "settled": settled, "ends": r is rows[-1]})
         if r["pieces"]:
-            pieces = [tuple(p[k] for k in ("low", "high", "moves", "value", "penalty")) for p in r["pieces"]]
-            credit, penalty = apply_summary(pieces, gained(credit, settled, r["first"]), penalty, r["first"])
+            credit = apply_summary([tuple(p[k] for k in _PIECE) for p in r["pieces"]], gained(credit, settled, r["first"]))
             settled = r["final"]
-    return pa.Table.from_pylist(out, pa.schema([("seg", pa.int64()), ("client", pa.int64()), ("credit", pa.int64()), ("settled", pa.int64()), ("penalty", pa.int64()), ("ends", pa.bool_())]))
+    return pa.Table.from_pylist(out, pa.schema([("seg", pa.int64()), ("client", pa.int64()), ("credit", pa.int64()), ("settled", pa.int64()), ("ends", pa.bool_())]))
 
 
 def _settle_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,15 +266,15 @@ def _settle_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             rows = np.frombuffer(raw.as_buffer(), np.int64).reshape(len(_ROW), -1)
             click = rows[1] == 1
             clients, inverse = np.unique(rows[0], return_inverse=True)
-            credit, settled, penalty = np.full(len(clients), CAP), np.full(len(clients), NEVER), np.full(len(clients), NONE)
-            known, ends = inverse[~click], np.ones(len(clients), bool)
-            credit[known], settled[known], penalty[known] = rows[5][~click], rows[2][~click], rows[6][~click]
+            credit, settled, ends = np.full(len(clients), CAP), np.full(len(clients), NEVER), np.ones(len(clients), bool)
+            known = inverse[~click]
+            credit[known], settled[known] = rows[5][~click], rows[2][~click]
             for s in starts_:
                 i = int(np.searchsorted(clients, s["client"]))
-                credit[i], settled[i], penalty[i], ends[i] = s["credit"], s["settled"], s["penalty"], s["ends"]
+                credit[i], settled[i], ends[i] = s["credit"], s["settled"], s["ends"]
             ts = np.ascontiguousarray(rows[2][click])
             cut = np.searchsorted(rows[0][click], clients)
-            admitted, after, since = settle(np.append(cut, len(ts)), ts, credit, settled, penalty)
+            admitted, after = settle(np.append(cut, len(ts)), ts, credit, settled)
             n, m = len(ts), int(ends.sum())
             over = ts + (COST - after)  # when the credit reaches the cost
             nothing = lambda kind: pa.nulls(m, kind)  # noqa: B023, E731
@@ -297,7 +286,6 @@ def _settle_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 pa.array(np.concatenate([ts, settled[ends]])),
                 pa.concat_arrays([pa.array(np.where(admitted, "admitted", "throttled")).cast(pa.string()), nothing(pa.string())]),
                 pa.array(np.concatenate([after, credit[ends]])),
-                pa.array(np.concatenate([since, penalty[ends]])),
                 pa.concat_arrays([pa.array(over, mask=admitted), nothing(pa.int64())]),
             ]
             yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SETTLED.split(", ")])
@@ -306,17 +294,17 @@ def _settle_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def _settled(due: DataFrame, before: DataFrame | None) -> DataFrame:
     """Outcomes of the due clicks, and the clients' credits after them."""
     spark = due.sparkSession
-    clicks = due.where("NOT late").select("client_id", F.lit(1).cast("long").alias("is_click"), "ts", "click_id", F.col("has_id").cast("long").alias("has_id"), F.lit(0).cast("long").alias("credit"), F.lit(0).cast("long").alias("penalty"))
+    clicks = due.where("NOT late").select("client_id", F.lit(1).cast("long").alias("is_click"), "ts", "click_id", F.col("has_id").cast("long").alias("has_id"), F.lit(0).cast("long").alias("credit"))
     rows = clicks
     if before is not None:
-        rows = rows.unionByName(before.where("state").select("client_id", F.lit(0).cast("long").alias("is_click"), "ts", F.lit(0).cast("long").alias("click_id"), F.lit(0).cast("long").alias("has_id"), "credit", "penalty"))
+        rows = rows.unionByName(before.where("state").select("client_id", F.lit(0).cast("long").alias("is_click"), "ts", F.lit(0).cast("long").alias("click_id"), F.lit(0).cast("long").alias("has_id"), "credit"))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // SEGMENT_ROWS))
     keys = ["client_id", "is_click", "ts", "has_id", "click_id"]
     dealt = rows.select(*_ROW).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     found = staged(dealt.mapInArrow(textcore.tidy(_segment), SEGMENTS), "segments")
     ends = found.where("client IS NOT NULL").drop("rows")
     starts = staged(ends.groupBy("client").applyInArrow(_chain, STARTS), "starts")
-    by_segment = starts.groupBy("seg").agg(F.collect_list(F.struct("client", "credit", "settled", "penalty", "ends")).alias("starts"))  # two at most
+    by_segment = starts.groupBy("seg").agg(F.collect_list(F.struct("client", "credit", "settled", "ends")).alias("starts"))  # two at most
     whole = found.where("rows IS NOT NULL").select("seg", "rows").join(by_segment.hint("merge"), "seg")
     return whole.select("rows", "starts").mapInArrow(textcore.tidy(_settle_segments), SETTLED)
 
@@ -352,13 +340,11 @@ def throttle(clicks: DataFrame, batches: int = BATCHES) -> DataFrame:
         query.awaitTermination()
         latest = max(latest, sizes.get(k, (NEVER, 0))[0])
 
-    late, settled = [], []
-    for k in range(batches):
-        batch = F.lit(k).alias("batch")
-        late.append(spark.read.schema(due_schema).parquet(at("due", k)).where("late").select("click_id", "has_id", F.lit("late").alias("outcome"), batch, *[F.lit(None).cast("long").alias(c) for c in ("credit", "penalty", "ends")]))
-        settled.append(spark.read.schema(settled_schema).parquet(at("settled", k)).where("NOT state").select("click_id", "has_id", "outcome", batch, "credit", "penalty", "ends"))
-    out = late[0]
-    for more in [*late[1:], *settled]:
-        out = out.unionByName(more)
-    throttled = F.col("outcome") == "throttled"
-    return out.select(F.when(F.col("has_id"), F.col("click_id")).alias("click_id"), "outcome", "batch", F.col("credit").alias("credit_after"), F.when(throttled, F.col("penalty")).alias("penalty_start_us"), F.when(throttled, F.col("ends")).alias("penalty_end_us"))
+    known = lambda kind, schema, where: reduce(DataFrame.unionByName, [spark.read.schema(schema).parquet(at(kind, k)).where(where).withColumn("batch", F.lit(k)) for k in range(batches)])
+    settled = known("settled", settled_schema, "NOT state")
+    throttled = settled.where("outcome = 'throttled'")
+    since = throttled.groupBy("client_id", "ends").agg(F.min("ts").alias("since"))
+    id_, none = F.when(F.col("has_id"), F.col("click_id")).alias("click_id"), F.lit(None).cast("long")
+    out = throttled.join(since, ["client_id", "ends"]).select(id_, "outcome", "batch", F.col("credit").alias("credit_after"), F.col("since").alias("penalty_start_us"), F.col("ends").alias("penalty_end_us"))
+    out = out.union(settled.where("outcome = 'admitted'").select(id_, "outcome", "batch", "credit", none, none))
+    return out.union(known("due", due_schema, "late").select(id_, F.lit("late"), "batch", none, none, none))
