@@ -260,7 +260,7 @@ PAGE = """<!DOCTYPE html><html><head><title>No</title><script>var a="<p>no</p>";
 
 
 def test_html_blocks():
-    model = html_extract.train()
+    model = html_extract.default_model()
     assert model.extract([PAGE]) == ["Title & more\n\nFirst line goes on\n\nSecond\n\nThird link\n\nItem\n\nOther"]
     pages = [html_extract.Page(s) for s in html_extract.labelled_pages(80, seed=77)]
     truth = np.concatenate([html_extract.labels_of(p) for p in pages])
@@ -272,7 +272,7 @@ def test_html_blocks():
 
 @pytest.mark.parametrize("comment", ["<!-->", "<!--->", "<!-- x -->", "<!-- > -->"])
 def test_comments_end_where_html_says(comment):
-    model = html_extract.train()
+    model = html_extract.default_model()
     assert model.extract([f"<article><p>one two three</p>{comment}<p>kept text here</p></article>"]) == ["one two three\n\nkept text here"]
 
 
@@ -282,12 +282,28 @@ HAND = [
     ("<body><nav><a href=1>x</a></nav><main><h1>Rain</h1><p>It rained &eacute;very day &#8212; again.</p><table><tr><td>Mon</td><td>3 mm</td></tr></table><form><input><button>Send</button></form></main><aside class=related><p>More on snow</p></aside></body>", "Rain\n\nIt rained \u00e9very day \u2014 again.\n\nMon\n\n3 mm"),
     ("<body><header><h1>Daily</h1><p>since 1900</p></header><article class=post><p>First  thing.<br>Second\n thing.</p><div class=advert>Buy!</div><ul><li>a<li>b</ul></article><section id=comments><p>nice</p></section><footer><p>bye</p></footer></body>", "First thing. Second thing.\n\na\n\nb"),
     ("<div class=cookie-banner>We use cookies</div><div class='entry-content'><p>Kept <i>whole</i> and <a href=q>linked</a> text.</p><script>var x = '<p>no</p>'</script><style>p{}</style></div>", "Kept whole and linked text."),
+    # Asides, adverts and headers inside an article, other languages, plain elements, tables, grids, no container.
+    ('<html><body><nav><a href=/>Home</a></nav><main><h1>Otters</h1><p>Otters live along the river banks and hunt at dusk. They are playful animals. Their fur is thick.</p><p>Otters live along the river banks and hunt at dusk. They are playful animals. Their fur is thick.</p><p>Otters live along the river banks and hunt at dusk. They are playful animals. Their fur is thick.</p><p>Otters live along the river banks and hunt at dusk. They are playful animals. Their fur is thick.</p><aside>Related: x</aside></main><footer>Copyright 2020</footer></body></html>', 'Otters\n\nOtters live along the river banks and hunt at dusk. They are playful animals. Their fur is thick.\n\nOtters live along the river banks and hunt at dusk. They are playful animals. Their fur is thick.\n\nOtters live along the river banks and hunt at dusk. They are playful animals. Their fur is thick.\n\nOtters live along the river banks and hunt at dusk. They are playful animals. Their fur is thick.'),
+    ('<body><main><p>The harbour was quiet in the morning. Boats came in late, and nobody spoke of the storm that had passed.</p><p>The harbour was quiet in the morning. Boats came in late, and nobody spoke of the storm that had passed.</p><p>The harbour was quiet in the morning. Boats came in late, and nobody spoke of the storm that had passed.</p><p>The harbour was quiet in the morning. Boats came in late, and nobody spoke of the storm that had passed.</p><p>The harbour was quiet in the morning. Boats came in late, and nobody spoke of the storm that had passed.</p><div class=ad>Buy boots now</div></main></body>', 'The harbour was quiet in the morning. Boats came in late, and nobody spoke of the storm that had passed.\n\nThe harbour was quiet in the morning. Boats came in late, and nobody spoke of the storm that had passed.\n\nThe harbour was quiet in the morning. Boats came in late, and nobody spoke of the storm that had passed.\n\nThe harbour was quiet in the morning. Boats came in late, and nobody spoke of the storm that had passed.\n\nThe harbour was quiet in the morning. Boats came in late, and nobody spoke of the storm that had passed.'),
+    ('<body><article><header><h1>Long walk</h1><p class=byline>By A. Person</p></header><p>We walked for days across the moor. The wind never stopped, but the sky was clear and the maps were good.</p><p>We walked for days across the moor. The wind never stopped, but the sky was clear and the maps were good.</p><p>We walked for days across the moor. The wind never stopped, but the sky was clear and the maps were good.</p><p>We walked for days across the moor. The wind never stopped, but the sky was clear and the maps were good.</p><footer>Filed under walking</footer></article></body>', 'We walked for days across the moor. The wind never stopped, but the sky was clear and the maps were good.\n\nWe walked for days across the moor. The wind never stopped, but the sky was clear and the maps were good.\n\nWe walked for days across the moor. The wind never stopped, but the sky was clear and the maps were good.\n\nWe walked for days across the moor. The wind never stopped, but the sky was clear and the maps were good.'),
+    ('<body><div class=navigation><a href=/>Start</a> <a href=/b>Bilder</a></div><div class=inhalt><h1>Moos</h1><p>Das Moos wächst langsam auf dem Stein. Es braucht Schatten und Wasser, sonst nichts.</p><p>Das Moos wächst langsam auf dem Stein. Es braucht Schatten und Wasser, sonst nichts.</p><p>Das Moos wächst langsam auf dem Stein. Es braucht Schatten und Wasser, sonst nichts.</p><p>Das Moos wächst langsam auf dem Stein. Es braucht Schatten und Wasser, sonst nichts.</p></div><div class=fuss>Impressum</div></body>', 'Moos\n\nDas Moos wächst langsam auf dem Stein. Es braucht Schatten und Wasser, sonst nichts.\n\nDas Moos wächst langsam auf dem Stein. Es braucht Schatten und Wasser, sonst nichts.\n\nDas Moos wächst langsam auf dem Stein. Es braucht Schatten und Wasser, sonst nichts.\n\nDas Moos wächst langsam auf dem Stein. Es braucht Schatten und Wasser, sonst nichts.'),
+    ('<body><div><a href=/>Home</a> <a href=/n>News</a> <a href=/c>Contact</a></div><div><h1>Plain divs</h1><div>Nothing here has a class at all. The text is long enough to be an article, and it has several sentences.</div><div>Nothing here has a class at all. The text is long enough to be an article, and it has several sentences.</div><div>Nothing here has a class at all. The text is long enough to be an article, and it has several sentences.</div><div>Nothing here has a class at all. The text is long enough to be an article, and it has several sentences.</div><div>Nothing here has a class at all. The text is long enough to be an article, and it has several sentences.</div></div><div>© 2021 Some Company</div></body>', 'Plain divs\n\nNothing here has a class at all. The text is long enough to be an article, and it has several sentences.\n\nNothing here has a class at all. The text is long enough to be an article, and it has several sentences.\n\nNothing here has a class at all. The text is long enough to be an article, and it has several sentences.\n\nNothing here has a class at all. The text is long enough to be an article, and it has several sentences.\n\nNothing here has a class at all. The text is long enough to be an article, and it has several sentences.'),
+    ('<html><head><title>T</title></head><body><table><tr><td><a href=1>One</a><br><a href=2>Two</a><br><a href=3>Three</a></td><td><h2>Old table layout</h2><p>This page was made in the nineties. It has a table for its columns, as everyone did then.</p><p>The second paragraph says a little more about the time. It ends here.</p></td></tr></table></body></html>', 'Old table layout\n\nThis page was made in the nineties. It has a table for its columns, as everyone did then.\n\nThe second paragraph says a little more about the time. It ends here.'),
+    ("<body><header role=banner><a href=/>Site</a></header><div id=page><div class=row><div class=col-8><h1>Grid</h1><p>Frameworks wrap everything in rows and columns. The reader does not care about that.</p><ul><li>first point of the list</li><li>second point of the list</li></ul><p>After the list there is another paragraph with more words in it.</p></div><div class='col-4 sidebar'><h4>Popular</h4><ul><li><a href=1>a thing</a></li><li><a href=2>b thing</a></li></ul></div></div></div><footer role=contentinfo><p>Imprint</p></footer></body>", 'Grid\n\nFrameworks wrap everything in rows and columns. The reader does not care about that.\n\nfirst point of the list\n\nsecond point of the list\n\nAfter the list there is another paragraph with more words in it.'),
+    ('<body><nav><ul><li><a href=/>x</a></li></ul></nav><h1>No container</h1><p>The paragraphs stand in the body itself. There is neither a main nor an article element.</p><p>A second one follows, which is just as plain as the first one was.</p><footer><p>Bye now</p></footer></body>', 'No container\n\nThe paragraphs stand in the body itself. There is neither a main nor an article element.\n\nA second one follows, which is just as plain as the first one was.'),
+    ('<body><div class=cookie-consent><p>We use cookies to improve your experience. Accept?</p><button>OK</button></div><article><h1>Recipe</h1><p>Mix the flour with water and let it rest for an hour. Then knead it well.</p><figure><img src=a><figcaption>The dough after an hour</figcaption></figure><h2>Baking</h2><ol><li>Heat the oven.</li><li>Bake for forty minutes.</li></ol><section class=comments><h3>Comments</h3><div class=comment><p>I tried it and it was great, thank you so much!</p></div></section></article></body>', 'Recipe\n\nMix the flour with water and let it rest for an hour. Then knead it well.\n\nThe dough after an hour\n\nBaking\n\nHeat the oven.\n\nBake for forty minutes.'),
+    ("<body><div class=topbar>Welcome guest</div><div class=content><h1>News</h1><p>The council met on Monday and agreed on the budget. It was a long night for everyone.</p><div class='share-buttons social'><a href=#>Share</a></div><p>The mayor said that <a href=/m>the plan</a> would work, and that the <a href=/p>park</a> stays open.</p><form class=newsletter><p>Get our letter</p><input><button>Go</button></form></div><div class=related-posts><h3>More</h3><p>Other story teaser text</p></div></body>", 'News\n\nThe council met on Monday and agreed on the budget. It was a long night for everyone.\n\nThe mayor said that the plan would work, and that the park stays open.'),
+    ('<main><article><h1>Quote</h1><blockquote>To be or not to be, that is the question that he asked.</blockquote><p>He never got an answer, of course. The play goes on for hours.</p><pre>line one\n  line two</pre><hr><p>Final words are short.</p></article></main>', 'Quote\n\nTo be or not to be, that is the question that he asked.\n\nHe never got an answer, of course. The play goes on for hours.\n\nline one line two\n\nFinal words are short.'),
+    ("<body class='home page'><div class=wrapper><div class=masthead>The Paper</div><div class=story><p>Words in a story that is told in a single paragraph only. But it has two sentences.</p></div><div class=adslot>advert</div><div class=bottom>legal stuff</div></div></body>", 'Words in a story that is told in a single paragraph only. But it has two sentences.'),
+    ('<body><section><h2>Erster Teil</h2><p>Der Text beginnt hier und geht eine Weile weiter. Er hat mehrere Sätze.</p></section><section><h2>Zweiter Teil</h2><p>Und hier ist noch mehr davon, damit es ein Artikel ist.</p></section><aside><h3>Mehr</h3><ul><li><a href=a>eins</a></li></ul></aside></body>', 'Erster Teil\n\nDer Text beginnt hier und geht eine Weile weiter. Er hat mehrere Sätze.\n\nZweiter Teil\n\nUnd hier ist noch mehr davon, damit es ein Artikel ist.'),
+    ('<div id=outer><div id=menu><a href=1>a</a><a href=2>b</a></div><div id=body-text><div>First part of the text, in a div of its own. It is fairly long for a div.<br><br>After two breaks it goes on.</div><div>Second part.</div></div><div id=copyright>(c) 2001</div></div>', 'First part of the text, in a div of its own. It is fairly long for a div. After two breaks it goes on.\n\nSecond part.'),
+    ('<body><main id=content><h1>Table data</h1><p>The figures of the year are in this table. They were counted twice.</p><table><thead><tr><th>Month</th><th>Rain</th></tr></thead><tbody><tr><td>May</td><td>30</td></tr><tr><td>June</td><td>12</td></tr></tbody></table><p>Source: own count.</p></main><dialog>Log in please</dialog></body>', 'Table data\n\nThe figures of the year are in this table. They were counted twice.\n\nMonth\n\nRain\n\nMay\n\n30\n\nJune\n\n12\n\nSource: own count.'),
 ]
 
 
 @pytest.mark.parametrize(("page", "text"), HAND)
 def test_pages_written_by_hand(page, text):
-    assert html_extract.train().extract([page]) == [text]
+    assert html_extract.default_model().extract([page]) == [text]
 
 
 def test_end_tags_without_start_take_linear_time():
