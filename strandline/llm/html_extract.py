@@ -346,7 +346,7 @@ def labelled_pages(n: int = 600, seed: int = 5) -> list[str]:
             lambda: f"<aside{OFF}><p>{say(4, 20)}</p></aside>",
             lambda: f"<aside{OFF}>{say(1, 8)}</aside>",
             lambda: f"<aside{OFF}><a href=/r>{title(2, 6)}</a></aside>",
-            lambda: f"<div{OFF}>{''.join(f'<a href=/{i}>{title(1, 2)}</a> ' for i in range(r.randint(2, 7)))}</div>",
+            lambda: f"<{(t := r.choice(['div', 'div', 'span']))}{attr('top', odd()) if r.random() < 0.4 else ''}{OFF}>{r.choice([' ', ' ', ' | ', ' &middot; ', ' &gt; ', ' / ']).join(f'<a href=/{i}>{title(1, 2)}</a>' for i in range(r.randint(2, 7)))}</{t}>",
             lambda: f"<div{attr(odd())}{OFF}><ul>{links(r.randint(2, 7))}</ul></div>",
             lambda: f"<{(t := r.choice(['div', 'p', 'div', 'small']))}{OFF}>{r.choice(['© 2021 ', '&copy; 2019 ', 'Copyright (c) '])}{say(1, 8)}</{t}>",
             lambda: f"<p{attr('byline', 'meta', 'share', 'legal')}{OFF}>{say(1, 4)}</p>" if r.random() < 0.3 else f"<div{attr('ad', 'werbung', 'anzeige')}{OFF}><p>{say(3, 25)}</p></div>",
@@ -377,7 +377,7 @@ def labelled_pages(n: int = 600, seed: int = 5) -> list[str]:
         body = f"<h1>{title(3, 9)}</h1>" * (r.random() < 0.8) + "".join(piece() if r.random() < 0.85 else junk() for _ in range(r.randint(1, 14)))
         if r.random() < 0.15:  # an article of a few short or repeated lines
             line = say(1, 3)
-            body = f"<h1>{title(1, 3)}</h1>" + "".join(f"<p>{line if r.random() < 0.5 else say(1, 2)}</p>" for _ in range(r.randint(1, 7)))
+            body = f"<h1>{title(1, 3)}</h1>" + "".join(f"<p>{'<b>' * (r.random() < 0.1)}{line if r.random() < 0.7 else say(1, 2)}{'<br>' * (r.random() < 0.1)}</p>" for _ in range(r.choice([2, 4, 7, 60])))
         if r.random() < 0.25:
             body = f'<header{OFF}>{"<h1>" + title(2, 8) + "</h1>" if r.random() < 0.6 else ""}<p{attr("byline", "meta", "author") if r.random() < 0.5 else ""}>{say(2, 8)}</p></header>' + body
         if r.random() < 0.25:
