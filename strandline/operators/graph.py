@@ -49,3 +49,41 @@ def traverse(entities: DataFrame, relationships: DataFrame, start: str, depth: i
     if edge_multiplicity == "reference":
         edges = edges.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_n")
     return nodes, edges.drop("_s", "_t", "_times")
+
+
+#: Starts that travel together: the bits of a long.
+GROUP = 64
+
+
+def traverse_many(relationships: DataFrame, starts: DataFrame, depth: int = 1, types: list[str] | None = None) -> DataFrame:
+    """(start, id, level) of everything within ``depth`` hops of each of ``starts`` (column ``id``).
+
+    Starts are numbered, and 64 of them are the bits of a mask.  A level is one join for all starts: a node hands
+    its new bits to its neighbours, a bitwise OR gathers them, and the bits a node has had are taken away, so
+    paths of different starts over one edge are one row.  A start that repeats counts once; a null is none."""
+    if depth < 0:
+        raise ValueError("depth must not be negative")
+    # Numbers without a window over all starts: a task's own numbers are gapless, so its masks are full.
+    at = F.monotonically_increasing_id()
+    numbered = staged(starts.select("id").where("id IS NOT NULL").distinct().withColumn("_at", at), "starts")
+    numbered = numbered.select(F.col("id").alias("start"), F.shiftright("_at", 6).alias("grp"), F.col("_at").bitwiseAND(GROUP - 1).cast("int").alias("bit"))
+    rel = _typed(relationships, types).select("source_id", "target_id")
+    edges = rel.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).union(rel.select("target_id", "source_id")).where("a <> b").distinct()
+    edges = staged(edges, "edges")
+    bit = F.expr("shiftleft(1L, bit)")
+    seen = frontier = staged(numbered.select(F.col("start").alias("id"), "grp", bit.alias("mask")), "frontier")
+    found = [frontier.withColumn("level", F.lit(0))]
+    for level in range(1, depth + 1):
+        handed = frontier.select(F.col("id").alias("a"), "grp", "mask").join(edges, "a").groupBy(F.col("b").alias("id"), "grp").agg(F.bit_or("mask").alias("mask"))
+        known = seen.select("id", "grp", F.col("mask").alias("had"))
+        new = handed.join(known, ["id", "grp"], "left").select("id", "grp", F.expr("mask & ~coalesce(had, 0L)").alias("mask")).where("mask <> 0")
+        frontier = staged(new, "frontier")
+        found.append(frontier.withColumn("level", F.lit(level)))
+        if level == depth or frontier.isEmpty():
+            break
+        seen = staged(seen.unionByName(frontier).groupBy("id", "grp").agg(F.bit_or("mask").alias("mask")), "seen")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    bits = F.explode(F.filter(F.sequence(F.lit(0), F.lit(GROUP - 1)), lambda k: F.getbit("mask", k) == 1)).alias("bit")
+    return out.select("id", "grp", "level", bits).join(numbered, ["grp", "bit"]).select("start", "id", "level")

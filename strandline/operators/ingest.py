@@ -42,13 +42,13 @@ def ask_extractor(docs: DataFrame, extractor, content: str = "content", content_
     return found.withColumn("extraction", extract.model_json(F.col("answer"))).drop("answer")
 
 
-def extraction_of(docs: DataFrame, model=None, content: str = "content", extractor=None) -> DataFrame:
+def extraction_of(docs: DataFrame, model=None, content: str = "content", extractor=None, kept=None) -> DataFrame:
     """``docs`` with ``extraction``: deterministic, hybrid when there is a model or a column
-    ``answer``, or what an ``extractor`` finds."""
+    ``answer``, or what an ``extractor`` finds.  With ``kept`` answers each distinct text is asked once, ever."""
     if extractor is not None:
         return ask_extractor(docs, extractor, content)
     if model is not None:
-        docs = ask_model(docs, model, content)
+        docs = ask_model(docs, model, content) if kept is None else kept.answers(docs, model, content, EXTRACTION_PROMPT)
     if "answer" in docs.columns:
         # The answer is parsed once, in a projection of its own.
         parsed = docs.withColumn("_own", extract.deterministic(F.col(content))).withColumn("_model", extract.model_json(F.col("answer")))
@@ -95,7 +95,7 @@ def with_known_ids(found: DataFrame, known: DataFrame) -> DataFrame:
     return found.join(stored, ["type", "name"], "left").withColumn("id", F.coalesce("_stored", "id")).drop("_stored")
 
 
-def remember(docs: DataFrame, key: str = "doc_id", content: str = "content", source: str | None = None, max_chunk_bytes: int = 0, model=None, embed=None, link_wikilinks: bool = False, extractor=None, known: DataFrame | None = None) -> dict[str, DataFrame]:
+def remember(docs: DataFrame, key: str = "doc_id", content: str = "content", source: str | None = None, max_chunk_bytes: int = 0, model=None, embed=None, link_wikilinks: bool = False, extractor=None, known: DataFrame | None = None, kept=None) -> dict[str, DataFrame]:
     """The rows that a batch of documents adds to each relation.
 
     The extraction is written once, so a model is asked once per document and all relations
@@ -103,11 +103,12 @@ def remember(docs: DataFrame, key: str = "doc_id", content: str = "content", sou
     None or False: no vectors).  Names resolve to the ids of ``known`` entities where there are any.
     Wikilinks become entities; with ``link_wikilinks`` the frontmatter entity also gets a
     ``mentions`` edge to each.  Memories are linked to all entities of their document.
-    ``documents`` (doc) and ``origins`` (doc, relation, id) say which document a row came from."""
+    ``documents`` (doc) and ``origins`` (doc, relation, id) say which document a row came from.
+    ``kept`` (see ``operators.kept``) keeps the answers and vectors of a model and an embedder."""
     now = F.current_timestamp()
     own = F.lit(source or "")
     rows = docs.select(F.col(key), F.col(content), *(["answer"] if "answer" in docs.columns else []))
-    done = staged(extraction_of(rows, model, content, extractor).select(key, F.col(content), "extraction"), "extraction")
+    done = staged(extraction_of(rows, model, content, extractor, kept).select(key, F.col(content), "extraction"), "extraction")
     found = extracted_entities(done, key, source)
     found = found if known is None else staged(with_known_ids(found, known), "found")
     names = names_of(found, key)
@@ -137,7 +138,10 @@ def remember(docs: DataFrame, key: str = "doc_id", content: str = "content", sou
     out["documents"] = done.select(doc).distinct()
     out["origins"] = came(pieces, "chunks").unionByName(came(facts, "memories")).unionByName(came(rel, "relationships"))
     if embed:
-        vector = vectors.embed if embed is True else vectors.embed_with(embed)
         refs = chunks.select(F.col("id").alias("ref_id"), F.lit("chunk").alias("ref_type"), "content").union(memories.select("id", F.lit("memory"), "content"))
-        out["embeddings"] = refs.select(stable_id("emb", F.col("ref_type"), F.col("ref_id")).alias("id"), "ref_id", "ref_type", vector(F.col("content")).alias("vector"), now.alias("created_at"))
+        if kept is not None and embed is not True:
+            placed = kept.vectors(refs, embed)
+        else:
+            placed = refs.withColumn("vector", (vectors.embed if embed is True else vectors.embed_with(embed))(F.col("content")))
+        out["embeddings"] = placed.select(stable_id("emb", F.col("ref_type"), F.col("ref_id")).alias("id"), "ref_id", "ref_type", "vector", now.alias("created_at"))
     return out

@@ -13,6 +13,7 @@ from ..functions import vectors
 from ..functions.text import search_tokens, tokens_of
 from ..staging import staged
 from .entities import check_limit
+from .lookup import join_top
 
 K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
@@ -378,8 +379,7 @@ def search_keyword(chunks: DataFrame, query: str, limit: int = 10, strict: bool
     hits = keyword_hits(index, stats, match)
     if digits is not None:
         hits = hits.withColumn("score", F.round("score", digits))
-    top = hits.orderBy(F.col("score").desc(), "chunk_id").limit(limit)
-    return chunks.join(F.broadcast(top), chunks["id"] == top["chunk_id"]).drop("chunk_id")
+    return join_top(chunks, hits.orderBy(F.col("score").desc(), "chunk_id").limit(limit), "chunk_id", limit)
 
 
 def vector_topk(embeddings: DataFrame, vector, limit: int = 10, ref_type: str | None = "chunk", digits: int | None = None) -> DataFrame:
@@ -403,5 +403,4 @@ def search_vector(embeddings: DataFrame, chunks: DataFrame, query, limit: int =
         vector = query
     if len(vector) == 0:
         raise ValueError("empty vector")
-    top = vector_topk(embeddings, vector, limit, ref_type, digits)
-    return chunks.join(F.broadcast(top), chunks["id"] == top["ref_id"]).drop("ref_id")
+    return join_top(chunks, vector_topk(embeddings, vector, limit, ref_type, digits), "ref_id", limit)

@@ -586,11 +586,14 @@ def store_forget(spark, d):
     return store.table("relationships").select("id")
 
 
-@query("store_sync_state", "SELECT 'dir' AS connector, 'third' AS state")
+@query("store_sync_state", "SELECT event_type AS connector, arg_max(props, (ts, props)) AS state FROM events GROUP BY event_type")
 def store_sync_state(spark, d):
+    """Each kind of event is a connector and its events are states, put in two halves, the later one first."""
     store = _store(spark)
-    for mark in ("first", "second", "third"):
-        store.set_sync_state("dir", mark)
+    states = X.load(spark, d, "events").select(F.col("event_type").alias("connector"), F.col("props").alias("state"), F.col("ts").cast("timestamp").alias("updated_at"))
+    middle = states.agg(F.expr("percentile_approx(updated_at, 0.5)")).first()[0]
+    store.put_sync_states(states.where(F.col("updated_at") > F.lit(middle)))
+    store.put_sync_states(states.where(F.col("updated_at") <= F.lit(middle)))
     return store.table("sync_state").select("connector", "state")
 
 

@@ -21,7 +21,10 @@ TABLES: dict[str, T.StructType] = {
     "sync_state": _schema("connector state", updated_at=_TIME),
     # The search index, and which document (of which source) a row came from.
     "postings": _schema("term chunk_id", tf=T.LongType(), dl=T.IntegerType(), positions=T.ArrayType(T.IntegerType())),
-    "lengths": _schema("chunk_id", dl=T.IntegerType()),
+    # The term dictionary and the totals, as increments; and the trigrams of names and memories.
+    "terms": _schema("term", df=T.LongType(), occurrences=T.LongType()),
+    "totals": _schema("", n_chunks=T.LongType(), n_tokens=T.LongType()),
+    "grams": _schema("relation gram bucket", ids=_TEXTS),
     "origins": _schema("doc relation id"),
 }
 

@@ -7,7 +7,10 @@ against the version it read, so of two concurrent writers one fails and can retr
 always see a whole snapshot.  A relation of many operations is written as one segment again.
 
 The search index is stored with the chunks: ``postings`` (each segment sorted by term, so a
-search reads the row groups of its terms) and ``lengths``."""
+search reads the row groups of its terms), the term dictionary ``terms`` and the one row ``totals``, both
+kept by increments: a put or a forget adds what its own chunks change, so no search counts the corpus.
+``grams`` has the trigrams of names and memories; it is only added to, for the exact test drops what is stale.
+Segments are sorted by identifier, and the best few rows of a search are read by identifiers that reach the scan."""
 
 from __future__ import annotations
 
@@ -15,6 +18,7 @@ import json
 import os
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..operators import entities as E
 from ..operators import forget as forgetting
-from ..operators import graph, ingest, recall, search
+from ..operators import graph, ingest, kept, lookup, ranked, recall, search, trigrams
 from ..staging import staged
 
 #: Rows with the same key: the later one replaces the earlier.
@@ -55,7 +59,17 @@ class Snapshot:
             else:
                 rows = spark.read.schema(schema).parquet(at)
                 out = rows if out is None else out.unionByName(rows)
-        return spark.createDataFrame([], schema) if out is None else out
+        out = spark.createDataFrame([], schema) if out is None else out
+        if name == "terms":  # increments add up; a term's increments are found by its name
+            out = out.groupBy("term").agg(F.sum("df").alias("df"), F.sum("occurrences").alias("occurrences")).where("df > 0")
+        return out.agg(F.sum("n_chunks").alias("n_chunks"), F.sum("n_tokens").alias("n_tokens")) if name == "totals" else out
+
+    def stats(self) -> DataFrame:
+        """What a search needs to know of all chunks: one row a commit is read, not the chunks' lengths."""
+        return self.table("totals").withColumn("avgdl", F.col("n_tokens") / F.col("n_chunks"))
+
+    def grams(self, relation: str) -> DataFrame:
+        return self.table("grams").where(F.col("relation") == relation)
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: self.table(name) for name in schemas.TABLES}
@@ -101,8 +115,9 @@ class KnowledgeStore:
     def _segment(self, name: str, df: DataFrame) -> str | None:
         """Where the rows were written; None without rows."""
         at = f"{name}/{uuid.uuid4().hex}"
-        if name == "postings" and "term" in df.columns:
-            df = df.repartitionByRange("term").sortWithinPartitions("term", "chunk_id")
+        order = {"postings": ["term", "chunk_id"], "terms": ["term"], "grams": ["relation", "gram"], "chunks": ["id"], "memories": ["id"], "entities": ["id"]}.get(name)
+        if order and set(order) <= set(df.columns) and len(df.columns) > len(order):
+            df = lookup.clustered(df, *order)
         writer = df.write.partitionBy("ref_type") if name == "embeddings" and "vector" in df.columns else df.write
         writer.parquet(f"{self.path}/{at}")
         return None if self.spark.read.schema(df.schema).parquet(f"{self.path}/{at}").isEmpty() else at
@@ -166,19 +181,45 @@ class KnowledgeStore:
         """``new`` rows (staged: they are read several times) in place of old ones of the same key."""
         keys = KEYS[name]
         latest = new.withColumn("_at", F.monotonically_increasing_id()).groupBy(*keys).agg(F.max_by(F.struct(*new.columns), "_at").alias("_r")).select("_r.*")
+        latest = staged(latest, "latest") if name in ("chunks", "memories") else latest  # the index reads it too
         old = base.table(name).select(*keys).join(latest.select(*keys), keys, "left_semi").distinct()
         changes = [("del", name, old), ("add", name, latest)]
         if name == "chunks":
-            gone = old.withColumnRenamed("id", "chunk_id")
-            changes += [("del", "postings", gone), ("add", "postings", search.postings(latest)), ("del", "lengths", gone), ("add", "lengths", search.lengths(latest))]
+            changes += self._index_changes(base, old, latest)
+        if name == "memories":
+            changes.append(("add", "grams", self._grams("memories", latest, "content")))
+        return changes
+
+    def _index_changes(self, base: Snapshot, gone: DataFrame | None, new: DataFrame | None) -> Changes:
+        """The search index without the chunks ``gone`` (column ``id``) and with ``new`` ones."""
+        changes: Changes = []
+        terms, totals = [], []
+        if gone is not None and base.operations.get("chunks"):
+            before = lookup.semi(base.table("chunks"), gone.distinct())
+            changes.append(("del", "postings", gone.withColumnRenamed("id", "chunk_id")))
+            terms.append(search.postings(before).select("term", F.lit(-1).cast("long").alias("df"), (-F.col("tf")).alias("occurrences")))
+            totals.append(search.lengths(before).select(F.lit(-1).cast("long").alias("n_chunks"), (-F.col("dl")).cast("long").alias("n_tokens")))
+        if new is not None:
+            added = staged(search.postings(new), "postings")
+            changes.append(("add", "postings", added))
+            terms.append(added.select("term", F.lit(1).cast("long").alias("df"), F.col("tf").alias("occurrences")))
+            totals.append(search.lengths(new).select(F.lit(1).cast("long").alias("n_chunks"), F.col("dl").cast("long").alias("n_tokens")))
+        if terms:
+            change = reduce(DataFrame.unionByName, terms).groupBy("term").agg(F.sum("df").alias("df"), F.sum("occurrences").alias("occurrences"))
+            changes.append(("add", "terms", change.where("df <> 0 OR occurrences <> 0")))
+            changes.append(("add", "totals", reduce(DataFrame.unionByName, totals).agg(F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("n_chunks"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"))))
         return changes
 
+    def _grams(self, relation: str, rows: DataFrame, text: str) -> DataFrame:
+        return trigrams.grams(rows, text, tag=f"{uuid.uuid4().hex}-").withColumn("relation", F.lit(relation))
+
     def _put_entities(self, base: Snapshot, new: DataFrame) -> Changes:
         """Upsert by (name, type): a known entity keeps its id and created_at."""
         names = schemas.TABLES["entities"].names
         known = base.table("entities").join(new.select("name", "type").distinct(), ["name", "type"], "left_semi").withColumn("seq", F.lit(-1).cast("long"))
         merged = E.upsert_entities(known.unionByName(new.select(*names).withColumn("seq", F.monotonically_increasing_id()))).select(*names)
-        return [("del", "entities", known.select("id")), ("add", "entities", merged)]
+        merged = staged(merged, "merged")
+        return [("del", "entities", known.select("id")), ("add", "entities", merged), ("add", "grams", self._grams("entities", merged, "name"))]
 
     def put_entities(self, rows: DataFrame) -> int:
         base = self.snapshot()
@@ -204,14 +245,27 @@ class KnowledgeStore:
         base = self.snapshot()
         return self.commit(base, self._put(base, "embeddings", staged(rows, "put")))
 
-    def remember(self, docs: DataFrame | str, source: str | None = None, max_chunk_bytes: int = 0, model=None, **options) -> int:
+    def kept_answers(self) -> kept.KeptAnswers:
+        """Answers and vectors that this store's models have given."""
+        return kept.KeptAnswers(self.spark, f"{self.path}/answers")
+
+    def remember(self, docs: DataFrame | str, source: str | None = None, max_chunk_bytes: int = 0, model=None, stream: tuple[str, int] | None = None, **options) -> int:
         """Ingest documents (doc_id, content) in one commit.
 
+        ``stream`` is the name of a stream and the number of its batch.  The number is stored with the batch's rows, and a
+        batch whose number was already committed changes nothing, before any model is asked.
+
         What the same document of the same source had before (chunks, memories, links, vectors,
         relationships) is replaced.  Entities stay, for other documents may speak of them."""
         if isinstance(docs, str):
             docs = self.spark.createDataFrame([(uuid.uuid5(uuid.NAMESPACE_OID, docs).hex, docs)], "doc_id string, content string")
         base = self.snapshot()
+        if stream is not None:
+            done = base.table("sync_state").where(F.col("connector") == f"stream:{stream[0]}").first()
+            if done is not None and int(done["state"]) >= stream[1]:
+                return base.version
+        if "kept" not in options and (model or self.model or self.embedder):
+            options["kept"] = self.kept_answers()
         new = ingest.remember(docs, source=source, max_chunk_bytes=max_chunk_bytes, model=model or self.model, extractor=self.extractor, embed=self.embedder, known=base.table("entities"), **options)
         origins = new.pop("origins")
         before = staged(base.table("origins").join(new.pop("documents"), "doc", "left_semi"), "before")
@@ -220,11 +274,13 @@ class KnowledgeStore:
         changes: Changes = []
         if not before.isEmpty():
             changes += [("del", r, gone(r)) for r in ("relationships", "chunks", "memories")]
-            changes += [("del", r, gone("chunks", "chunk_id")) for r in ("postings", "lengths")]
             changes += [("del", "memory_entities", gone("memories", "memory_id")), ("del", "embeddings", refs), ("del", "origins", before.select("doc").distinct())]
         changes += self._put_entities(base, new.pop("entities"))
-        changes += [("add", "postings", search.postings(new["chunks"])), ("add", "lengths", search.lengths(new["chunks"])), ("add", "origins", origins)]
+        changes += self._index_changes(base, gone("chunks"), new["chunks"])
+        changes += [("add", "grams", self._grams("memories", new["memories"], "content")), ("add", "origins", origins)]
         changes += [("add", name, rows) for name, rows in new.items()]
+        if stream is not None:
+            changes += self._sync_state(f"stream:{stream[0]}", str(stream[1]))
         return self.commit(base, changes)
 
     def forget(self, entity_id: str | None = None, source: str | None = None, strict_source: bool = False) -> int:
@@ -237,7 +293,7 @@ class KnowledgeStore:
             gone = rows.select(*keys).distinct().join(after[name].select(*keys), keys, "left_anti")
             if name == "chunks":
                 gone = staged(gone, "forgotten")
-                changes += [("del", r, gone.withColumnRenamed("id", "chunk_id")) for r in ("postings", "lengths")]
+                changes += self._index_changes(base, gone, None)
             changes.append(("del", name, gone))
         return self.commit(base, changes)
 
@@ -247,10 +303,19 @@ class KnowledgeStore:
         row = self.table("sync_state").where(F.col("connector") == connector).first()
         return row["state"] if row else ""
 
+    def _sync_state(self, connector: str, state: str) -> Changes:
+        row = self.spark.range(1).select(F.lit(connector).alias("connector"), F.lit(state).alias("state"), F.current_timestamp().alias("updated_at"))
+        return [("del", "sync_state", row.select("connector")), ("add", "sync_state", row)]
+
     def set_sync_state(self, connector: str, state: str) -> int:
+        return self.commit(self.snapshot(), self._sync_state(connector, state))
+
+    def put_sync_states(self, rows: DataFrame) -> int:
+        """The latest of ``rows`` (connector, state, updated_at) per connector, in place of what was stored, unless that is later."""
         base = self.snapshot()
-        row = self.spark.range(1).select(F.lit(connector).alias("connector"), F.lit(state).alias("state"), F.current_timestamp().alias("updated_at"))
-        return self.commit(base, [("del", "sync_state", row.select("connector")), ("add", "sync_state", row)])
+        both = staged(rows, "put").unionByName(base.table("sync_state").join(rows.select("connector").distinct(), "connector", "left_semi"))
+        latest = staged(both.groupBy("connector").agg(F.max_by("state", F.struct("updated_at", "state")).alias("state"), F.max("updated_at").alias("updated_at")), "states")
+        return self.commit(base, [("del", "sync_state", latest.select("connector")), ("add", "sync_state", latest)])
 
     # Reads
 
@@ -260,8 +325,11 @@ class KnowledgeStore:
             raise LookupError(f"no entity {id!r}")
         return row
 
-    def find_entities(self, **filters) -> DataFrame:
-        return E.find_entities(self.table("entities"), **filters)
+    def find_entities(self, name_like: str | None = None, **filters) -> DataFrame:
+        at = self.snapshot()
+        if name_like:
+            return trigrams.find_entities_indexed(at.table("entities"), at.grams("entities"), name_like, **filters)
+        return E.find_entities(at.table("entities"), **filters)
 
     def get_relationships(self, entity_id: str, types: list[str] | None = None) -> DataFrame:
         return E.relationships_of(self.table("relationships"), entity_id, types)
@@ -272,7 +340,11 @@ class KnowledgeStore:
 
     def search_keyword(self, query: str, limit: int = 10, strict: bool = True) -> DataFrame:
         at = self.snapshot()
-        return search.search_keyword(at.table("chunks"), query, limit, strict, at.table("postings"), search.stats_of(at.table("lengths")))
+        return search.search_keyword(at.table("chunks"), query, limit, strict, at.table("postings"), at.stats())
+
+    def term_dictionary(self, prefix: str = "") -> DataFrame:
+        """(term, df, occurrences) of all terms, or of those that begin with ``prefix``."""
+        return ranked.terms_with_prefix(self.table("terms"), prefix)
 
     def search_vector(self, query, limit: int = 10, ref_type: str = "chunk") -> DataFrame:
         at = self.snapshot()
@@ -280,13 +352,14 @@ class KnowledgeStore:
 
     def search_memories(self, query: str, limit: int = 10) -> DataFrame:
         at = self.snapshot()
-        return E.with_links(E.search_memories(at.table("memories"), query, limit), at.table("memory_entities"))
+        return E.with_links(trigrams.search_memories_indexed(at.table("memories"), at.grams("memories"), query, limit), at.table("memory_entities"))
 
     def memories_by_entity(self, entity_id: str) -> DataFrame:
         at = self.snapshot()
         return E.memories_by_entity(at.table("memories"), at.table("memory_entities"), entity_id)
 
     def recall(self, query: str, limit: int = recall.LIMIT, **options) -> DataFrame:
-        t = self.tables()
-        sources = recall.Sources(self.spark, t["entities"], t["relationships"], t["chunks"], t["memories"], t["memory_entities"], t["embeddings"], t["postings"], search.stats_of(t["lengths"]))
+        at = self.snapshot()
+        t = at.tables()
+        sources = recall.Sources(self.spark, t["entities"], t["relationships"], t["chunks"], t["memories"], t["memory_entities"], t["embeddings"], t["postings"], at.stats())
         return recall.recall(sources, query, limit, self.model, self.embedder, **options)

@@ -1,25 +1,89 @@
-"""Directory sync as a stream: new files of a directory go through the ingest pipeline.
+"""Streams into the store: a directory of files, and conversations whose turns arrive in any order.
 
-An extension of the batch connector; the checkpoint takes the place of the mark."""
+A micro-batch is one commit, and its number is part of that commit.  A batch that comes again after its commit (the
+process died before the checkpoint knew) is skipped before any model is asked, so what the stream does to the store
+happens exactly once."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+from ..sources import files_source
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-from ..sources.connectors import content_type
 
-BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
+def _started(rows: DataFrame, store, source: str, checkpoint: str, max_chunk_bytes: int, once: bool, mode: str = "append") -> StreamingQuery:
+    def ingest_batch(batch: DataFrame, epoch: int) -> None:
+        store.remember(batch, source=source, max_chunk_bytes=max_chunk_bytes, stream=(checkpoint, epoch))
+
+    writer = rows.writeStream.outputMode(mode).foreachBatch(ingest_batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def stream_directory(store, directory: str, checkpoint: str, max_chunk_bytes: int = 0, once: bool = True) -> StreamingQuery:
-    """Ingest each file once; identifiers are stable, so a repeated micro-batch changes nothing."""
-    files = store.spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", "true").load(directory)
-    docs = files.where(content_type(F.col("path")) != "").select(F.col("path").alias("doc_id"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    """Ingest the files of a directory, each again when it has changed."""
+    files_source.register(store.spark)
+    files = store.spark.readStream.format(files_source.NAME).load(directory)
+    return _started(files.select(F.col("path").alias("doc_id"), "content"), store, f"file:{directory}", checkpoint, max_chunk_bytes, once)
 
-    def ingest_batch(batch, _epoch: int) -> None:
-        if not batch.isEmpty():
-            store.remember(batch, source=f"file:{directory}", max_chunk_bytes=max_chunk_bytes)
 
-    writer = docs.writeStream.foreachBatch(ingest_batch).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+class _Thread(StatefulProcessor):
+    """A conversation's turns; every change gives the whole thread again."""
+
+    def init(self, handle) -> None:
+        # Turns are a map, so a batch writes only its own; equal turns are counted.
+        self.turns = handle.getMapState("turns", "has boolean, turn long, line string", "n int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            for has, turn, line in zip(frame["has"].tolist(), frame["turn"].tolist(), frame["line"].tolist(), strict=True):
+                at = (bool(has), int(turn), line)
+                n = self.turns.getValue(at)[0] if self.turns.containsKey(at) else 0
+                self.turns.updateValue(at, (n + 1,))
+        turns = sorted((has, turn, line.encode(), line, n) for (has, turn, line), (n,) in self.turns.iterator())
+        yield pd.DataFrame({"conv_id": [key[0]], "content": ["\n\n".join(line for *_, line, n in turns for _ in range(n))]})
+
+    def close(self) -> None:
+        pass
+
+
+def thread_changes(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """(conv_id, content) of each conversation that a micro-batch has changed: its whole thread, as the batch
+    operator ``connectors.threads`` gives it for all turns so far.  Needs the state store of ``state_store``."""
+    line = F.concat(F.coalesce(F.col(role), F.lit("")), F.lit(": "), F.coalesce(F.col(text), F.lit("")))
+    kind = messages.select(conversation).schema[0].dataType.simpleString()
+    rows = messages.select(F.col(conversation).alias("conv_id"), F.col(turn).isNotNull().alias("has"), F.coalesce(F.col(turn), F.lit(0)).cast("long").alias("turn"), line.alias("line"))
+    return rows.groupBy("conv_id").transformWithStateInPandas(_Thread(), f"conv_id {kind}, content string", "Update", "None")
+
+
+class state_store:  # noqa: N801 (used as ``with state_store(spark):``)
+    """The state store that map states need, for queries started inside; the session's setting comes back after."""
+
+    def __init__(self, spark):
+        self.spark = spark
+
+    def __enter__(self):
+        self.before = self.spark.conf.get(STATE_STORE, None)
+        self.spark.conf.set(STATE_STORE, ROCKS)
+
+    def __exit__(self, *_):
+        if self.before is None:
+            self.spark.conf.unset(STATE_STORE)
+        else:
+            self.spark.conf.set(STATE_STORE, self.before)
+
+
+def stream_conversations(store, messages: DataFrame, checkpoint: str, max_chunk_bytes: int = 6000, once: bool = True, **columns) -> StreamingQuery:
+    """Keep the threads of a stream of turns in the store: only changed threads are cut and indexed again."""
+    threads = thread_changes(messages, **columns)
+    docs = threads.select(F.concat(F.lit("conversation-"), F.col("conv_id").cast("string")).alias("doc_id"), "content")
+    with state_store(store.spark):
+        return _started(docs, store, "conversation", checkpoint, max_chunk_bytes, once, "update")

@@ -191,7 +191,7 @@ def test_reingesting_replaces(spark, store):
     assert count("chunks") == 4 and count("memories") == 2 and count("embeddings") == 6 and store.search_keyword("second").count() == 2
     store.remember(doc("first part here."), source="s", max_chunk_bytes=20)
     assert count("chunks") == 2 and count("memories") == 1 and count("memory_entities") == 1 and count("embeddings") == 3
-    assert [r["content"] for r in store.search_keyword("second").collect()] == ["another second"] and count("lengths") == 2
+    assert [r["content"] for r in store.search_keyword("second").collect()] == ["another second"] and store.table("totals").first()["n_chunks"] == 2
 
 
 class CountingModel(ScriptedModel):
