@@ -369,17 +369,23 @@ def search_keyword(chunks: DataFrame, query: str, limit: int = 10, strict: bool
 
     ``strict`` raises on bad syntax; otherwise the text's tokens are searched (all of them).
     Without a stored ``index`` and ``stats`` the texts are read, once."""
+    top = rank_keyword(chunks, query, limit, strict, index, stats, digits)
+    return chunks.withColumn("score", F.lit(0.0)).limit(0) if top is None else join_top(chunks, top, "chunk_id", limit)
+
+
+def rank_keyword(chunks: DataFrame, query: str, limit: int = 10, strict: bool = True, index: DataFrame | None = None, stats: DataFrame | None = None, digits: int | None = None) -> DataFrame | None:
+    """(chunk_id, score) of the best ``limit`` chunks, from the index alone; None if the expression has no term."""
     check_limit(limit)
     match = parse_match(query) if strict else plain_match(query)
     if match is None or not phrases_of(match):
-        return chunks.withColumn("score", F.lit(0.0)).limit(0)
+        return None
     if index is None or stats is None:
         found, counted = query_index(chunks, match)
         index, stats = found if index is None else index, counted if stats is None else stats
     hits = keyword_hits(index, stats, match)
     if digits is not None:
         hits = hits.withColumn("score", F.round("score", digits))
-    return join_top(chunks, hits.orderBy(F.col("score").desc(), "chunk_id").limit(limit), "chunk_id", limit)
+    return hits.orderBy(F.col("score").desc(), "chunk_id").limit(limit)
 
 
 def vector_topk(embeddings: DataFrame, vector, limit: int = 10, ref_type: str | None = "chunk", digits: int | None = None) -> DataFrame:

@@ -187,7 +187,7 @@ class KnowledgeStore:
         if name == "chunks":
             changes += self._index_changes(base, old, latest)
         if name == "memories":
-            changes.append(("add", "grams", self._grams("memories", latest, "content")))
+            changes.append(("add", "grams", self._grams(base, "memories", latest, "content")))
         return changes
 
     def _index_changes(self, base: Snapshot, gone: DataFrame | None, new: DataFrame | None) -> Changes:
@@ -210,8 +210,10 @@ class KnowledgeStore:
             changes.append(("add", "totals", reduce(DataFrame.unionByName, totals).agg(F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("n_chunks"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"))))
         return changes
 
-    def _grams(self, relation: str, rows: DataFrame, text: str) -> DataFrame:
-        return trigrams.grams(rows, text, tag=f"{uuid.uuid4().hex}-").withColumn("relation", F.lit(relation))
+    def _grams(self, base: Snapshot, relation: str, rows: DataFrame, text: str) -> DataFrame:
+        """Trigrams of the rows whose text is new: those of the same text are stored already."""
+        new = rows.select("id", text).join(base.table(relation).select("id", text), ["id", text], "left_anti") if base.operations.get(relation) else rows
+        return trigrams.grams(staged(new.select("id", text), "texts"), text, tag=f"{uuid.uuid4().hex}-").withColumn("relation", F.lit(relation))
 
     def _put_entities(self, base: Snapshot, new: DataFrame) -> Changes:
         """Upsert by (name, type): a known entity keeps its id and created_at."""
@@ -219,7 +221,7 @@ class KnowledgeStore:
         known = base.table("entities").join(new.select("name", "type").distinct(), ["name", "type"], "left_semi").withColumn("seq", F.lit(-1).cast("long"))
         merged = E.upsert_entities(known.unionByName(new.select(*names).withColumn("seq", F.monotonically_increasing_id()))).select(*names)
         merged = staged(merged, "merged")
-        return [("del", "entities", known.select("id")), ("add", "entities", merged), ("add", "grams", self._grams("entities", merged, "name"))]
+        return [("del", "entities", known.select("id")), ("add", "entities", merged), ("add", "grams", self._grams(base, "entities", merged, "name"))]
 
     def put_entities(self, rows: DataFrame) -> int:
         base = self.snapshot()
@@ -277,7 +279,7 @@ class KnowledgeStore:
             changes += [("del", "memory_entities", gone("memories", "memory_id")), ("del", "embeddings", refs), ("del", "origins", before.select("doc").distinct())]
         changes += self._put_entities(base, new.pop("entities"))
         changes += self._index_changes(base, gone("chunks"), new["chunks"])
-        changes += [("add", "grams", self._grams("memories", new["memories"], "content")), ("add", "origins", origins)]
+        changes += [("add", "grams", self._grams(base, "memories", new["memories"], "content")), ("add", "origins", origins)]
         changes += [("add", name, rows) for name, rows in new.items()]
         if stream is not None:
             changes += self._sync_state(f"stream:{stream[0]}", str(stream[1]))
@@ -342,6 +344,11 @@ class KnowledgeStore:
         at = self.snapshot()
         return search.search_keyword(at.table("chunks"), query, limit, strict, at.table("postings"), at.stats())
 
+    def rank_keyword(self, query: str, limit: int = 10, strict: bool = True) -> DataFrame | None:
+        """(chunk_id, score) of the best chunks, without their texts."""
+        at = self.snapshot()
+        return search.rank_keyword(at.table("chunks"), query, limit, strict, at.table("postings"), at.stats())
+
     def term_dictionary(self, prefix: str = "") -> DataFrame:
         """(term, df, occurrences) of all terms, or of those that begin with ``prefix``."""
         return ranked.terms_with_prefix(self.table("terms"), prefix)

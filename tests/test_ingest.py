@@ -245,7 +245,7 @@ def test_puts_write_segments_and_compaction_keeps_rows(spark, store):
     store.compact()
     assert [sorted(o) for o in store.manifest()["chunks"]] == [["at"]]
     assert {r["id"]: r["score"] for r in store.search_keyword("shared").collect()} == want
-    plan = store.search_keyword("shared")._jdf.queryExecution().executedPlan().toString()
+    plan = store.rank_keyword("shared")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(term,shared)" in plan and "regexp_extract_all" not in plan  # only the term's postings, no text
 
 
