@@ -6,12 +6,17 @@ so the table of their weights has a fixed size.
 
 Texts are cut into segments at line and sentence ends.  A segment that holds a gate word
 becomes a sparse TF-IDF vector, and so does a header: the run of segments with a gate word that
-is no everyday word, with up to ``GAP`` others between two of them.  They are compared by cosine
+is no everyday word, with up to ``GAP`` others between two of them, and so does a title: the first such
+segment with the next one that has words (a licence's name and its version stand on two lines).  They are compared by cosine
 with the templates.  Gate words are derived from the templates (:func:`gate_words`): what is left of
 any template without them is shorter than ``LEAST``, so no segment that reaches it is missed.
 A unit is only taken apart into tokens if a bound of its cosine, from the numbers of its
 distinct words inside and outside of all templates, reaches ``least`` (:func:`could_reach`).
-A document's own licence is the template of its best unit, if the cosine reaches ``least``.
+Each unit that reaches ``least`` speaks for its best template's licence with its cosine times the words
+that the two can share (the shorter's number), ``TITLE`` times that if it begins in the text's first lines, and a
+document's own licence is the one that most speaks for.  A file as a whole speaks only for a template of its size.
+So a notice or a title with its version decides against a single line on rights, and against a text that only
+resembles another licence's notice; the cosine of the result is the licence's best.
 
 A licence file covers its directory and everything below.  Licence files are
 documents named like one (LICENSE, COPYING, ...), compared as a whole as well,
@@ -23,7 +28,7 @@ their directory, a join whose hot side Spark's skew join can split.
 
 Defined results: null or empty texts have no licence of their own; a null path is
 in no directory and inherits nothing; equal cosines go to the first licence in
-alphabetical order, in a directory as in a document; repeated rows give repeated
+alphabetical order, in a directory, and equal voices in a document; repeated rows give repeated
 results; texts of any length are read whole; other columns don't pass; an empty table gives
 an empty result.
 """
@@ -44,8 +49,11 @@ _BSD = "Redistribution and use in source and binary forms, with or without modif
 _BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
 _BSD_AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 _GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name}General Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name}General Public License for more details."
+_LIBRARY = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU {name} General Public License as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version.\n\nThis library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} General Public License for more details."
+_CC = {"CC-BY": "Attribution", "CC-BY-NC": "Attribution-NonCommercial", "CC-BY-SA": "Attribution-ShareAlike"}
+_GFDL = "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version {version} or any later version published by the Free Software Foundation; with no Invariant Sections, no Front-Cover Texts, and no Back-Cover Texts."
 TEMPLATES = {
-    "AGPL-3.0": [_GNU.format(name="Affero ", version=3), "This program is licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0."],
+    "AGPL-3.0": [_GNU.format(name="Affero ", version=3), "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "This program is licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0."],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http www.apache.org licenses LICENSE-2.0.\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
         "Licensed under the Apache License, Version 2.0.", "You may obtain a copy of the License at http www.apache.org licenses LICENSE-2.0.", "Apache License Version 2.0, January 2004 TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION", "SPDX-License-Identifier: Apache-2.0.",
@@ -53,21 +61,29 @@ TEMPLATES = {
     "BSD-2-Clause": [_BSD + _BSD_AS_IS, "SPDX-License-Identifier: BSD-2-Clause."],
     "BSD-3-Clause": [_BSD + _BSD_THIRD + _BSD_AS_IS, "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "SPDX-License-Identifier: BSD-3-Clause."],
     "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0.", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:", "SPDX-License-Identifier: BSL-1.0."],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "CC0-1.0": ["Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights to this work."],
+    "Artistic-1.0": ["The \"Artistic License\"", "The intent of this document is to state the conditions under which a Package may be copied, such that the Copyright Holder maintains some semblance of artistic control over the development of the package, while giving the users of the package the right to use and distribute the Package in a more-or-less customary fashion, plus the right to make reasonable modifications.", "SPDX-License-Identifier: Artistic-1.0."],
+    **{f"{k}-4.0": [f"Licensed under {k.replace('CC-', 'CC ')} 4.0.", f"This work is licensed under a Creative Commons {name} 4.0 International License."] for k, name in _CC.items()},
+    **{f"{k}-3.0": [f"Licensed under {k.replace('CC-', 'CC ')} 3.0.", f"This work is licensed under a Creative Commons {name} 3.0 Unported License."] for k, name in _CC.items()},
+    "CC0-1.0": ["Released under CC0 1.0.", "Creative Commons Legal Code CC0 1.0 Universal", "SPDX-License-Identifier: CC0-1.0.", "To the extent possible under law, the author has waived all copyright and related rights to this work."],
     "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https www.eclipse.org legal epl-2.0", "THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE (\"AGREEMENT\"). ANY USE, REPRODUCTION OR DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT.", "SPDX-License-Identifier: EPL-2.0."],
-    "GPL-2.0": [_GNU.format(name="", version=2), "This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0."],
-    "GPL-3.0": [_GNU.format(name="", version=3), "This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0."],
+    "GFDL-1.2": [_GFDL.format(version="1.2"), "GNU Free Documentation License Version 1.2, November 2002"],
+    "GFDL-1.3": [_GFDL.format(version="1.3"), "GNU Free Documentation License Version 1.3, 3 November 2008"],
+    "GPL-1.0": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 1, or (at your option) any later version.", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989"],
+    "GPL-2.0": [_GNU.format(name="", version=2), "GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0."],
+    "GPL-3.0": [_GNU.format(name="", version=3), "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0."],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.", "SPDX-License-Identifier: ISC."],
-    "LGPL-3.0": [_GNU.format(name="Lesser ", version=3), "This library is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0."],
+    "LGPL-2.0": [_LIBRARY.format(name="Library", version="2"), "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "LGPL-2.1": [_LIBRARY.format(name="Lesser", version="2.1"), "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "LGPL-3.0": [_GNU.format(name="Lesser ", version=3), "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "This library is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0."],
     "MIT": [_GRANT + "\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n" + _AS_IS, "Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.", "SPDX-License-Identifier: MIT."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https mozilla.org MPL 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0."],
+    "MPL-1.1": ["The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http www.mozilla.org MPL", "MOZILLA PUBLIC LICENSE Version 1.1", "SPDX-License-Identifier: MPL-1.1."],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https mozilla.org MPL 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License Version 2.0", "SPDX-License-Identifier: MPL-2.0."],
     "Proprietary": ["Copyright. All rights reserved."],
     "Unlicense": ["This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", "SPDX-License-Identifier: Unlicense."],
     "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n\n3. This notice may not be removed or altered from any source distribution.", "SPDX-License-Identifier: Zlib."],
 }
+for _name in ("AGPL-3.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0"):
+    TEMPLATES[_name] += [f"SPDX-License-Identifier: {_name}{suffix}" for suffix in ("-only", "-or-later")]
 # Everyday words, the last to become gate words.
 COMMON = frozenset("a all an and any are as at be by can do for from has i if in is it its may more must no not of on one or out so such that the them then this to under use was which will with without you your http https www 1 2 3".split())
 
@@ -76,6 +92,10 @@ FILE_NAME = r"(?i)(^|/)(licen[sc]e|copying|notice|unlicense)([._-][^/]*)?$"
 LEAST = 0.6
 FILE_SHARE = 0.25
 GAP = 1
+#: Units that begin in so many first segments are a title, and count so often.
+TITLE_LINES, TITLE = 8, 8
+#: Units are numbered by their first segment: segments from 0, headers from -2 and titles from -TITLES down.
+TITLES = 1 << 30
 #: Words that most templates have keep this little of a weight.
 SMOOTH = 0.1
 
@@ -132,9 +152,10 @@ def words_of(c: Column) -> Column:
 
 
 def best_template(units: DataFrame, keys: list[str], tokens: str, least: float) -> DataFrame:
-    """(keys, licence, cosine) of the best template of each unit that reaches ``least``."""
+    """(keys, licence, cosine, words) of the best template of each unit that reaches ``least``; words is the template's number."""
     spark = units.sparkSession
     rows, idf, other = template_weights()
+    sizes = spark.createDataFrame([(name, i, len(words)) for name, i, words in template_texts()], "licence string, template int, words int")
     weights = spark.createDataFrame(rows, "token string, licence string, template int, weight double")
     known = spark.createDataFrame(list(idf.items()), "token string, idf double")
     tf = units.select(*keys, F.explode(tokens).alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("tf"))
@@ -142,7 +163,9 @@ def best_template(units: DataFrame, keys: list[str], tokens: str, least: float)
     norms = tf.groupBy(*keys).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dots = tf.join(F.broadcast(weights), "token").groupBy(*keys, "licence", "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
     scored = dots.join(norms, keys).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= least)
-    return scored.groupBy(*keys).agg(F.min(F.struct(-F.col("cosine"), F.col("licence"))).alias("best")).select(*keys, F.col("best.licence").alias("licence"), (-F.col("best.col1")).alias("cosine"))
+    best = scored.groupBy(*keys).agg(F.min(F.struct(-F.col("cosine"), F.col("licence"), F.col("template"))).alias("best"))
+    best = best.select(*keys, F.col("best.licence").alias("licence"), F.col("best.template").alias("template"), (-F.col("best.col1")).alias("cosine"))
+    return best.join(F.broadcast(sizes), ["licence", "template"]).drop("template")
 
 
 def _once(value: Column, use) -> Column:
@@ -159,10 +182,11 @@ def could_reach(tokens: Column, least: float) -> Column:
     words are bounded by the largest idf of their class (frequent in templates, or not)."""
     _, idf, other = template_weights()
     many = sorted(w for w, x in idf.items() if x <= other / 2)
-    words = lambda some: F.array(*[F.lit(w) for w in some])
-    strangers = F.size(F.array_except(tokens, words(sorted(idf))))
-    common = F.size(F.array_intersect(tokens, words(many)))
-    rare = F.size(F.array_intersect(tokens, words(sorted(set(idf) - set(many)))))
+    # Words of a unit are looked up in a hash set each; set operations on arrays would build theirs anew for each unit.
+    distinct = F.array_distinct(tokens)
+    within = lambda some: F.size(F.filter(distinct, lambda t: t.isin(some)))
+    common, rare = within(many), within(sorted(set(idf) - set(many)))
+    strangers = F.size(distinct) - common - rare
     seen = (F.size(tokens) - strangers).cast("double")
     part = lambda distinct, top: F.when(distinct > 0, top * top * distinct * F.pow(1 + F.log(seen / distinct), F.lit(2.0))).otherwise(0.0)
     known = part(common, max((idf[w] for w in many), default=0.0)) + part(rare, max(idf.values()))
@@ -171,8 +195,7 @@ def could_reach(tokens: Column, least: float) -> Column:
 
 def units_of(text: str, gate: list[str], least: float) -> Column:
     """(unit, tokens) of the gated segments (numbered from 0) and headers (from -2 downwards) of a text."""
-    words = F.array(*[F.lit(w) for w in gate])
-    strong = F.array(*[F.lit(w) for w in gate if w not in COMMON])
+    strong = [w for w in gate if w not in COMMON]
 
     def headers(toks: Column, at: Column) -> Column:
         heads = F.filter(F.sequence(F.lit(0), F.size(at) - 1), lambda k: (k == 0) | (F.get(at, k) - F.get(at, k - 1) > GAP + 1))
@@ -181,11 +204,16 @@ def units_of(text: str, gate: list[str], least: float) -> Column:
         long = F.filter(runs, lambda r: r["a"] < r["b"])
         return F.transform(long, lambda r: F.struct((-r["a"] - 2).alias("unit"), F.flatten(F.slice(toks, r["a"] + 1, r["b"] - r["a"] + 1)).alias("tokens")))
 
+    def title(toks: Column, a: Column) -> Column:
+        after = F.get(F.filter(F.sequence(F.lit(0), F.size(toks) - 1), lambda i: (i > a) & (F.size(F.get(toks, i)) > 0)), 0)
+        both = F.concat(F.get(toks, a), F.coalesce(F.get(toks, after), F.array().cast("array<string>")))
+        return F.array(F.struct((-a - TITLES).cast("int").alias("unit"), both.alias("tokens")))
+
     def gated(toks: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(0), F.size(toks) - 1), lambda i: F.arrays_overlap(F.get(toks, i), words))
+        at = F.filter(F.sequence(F.lit(0), F.size(toks) - 1), lambda i: F.exists(F.get(toks, i), lambda t: t.isin(gate)))
         lines = F.transform(at, lambda i: F.struct(i.alias("unit"), F.get(toks, i).alias("tokens")))
-        leads = F.filter(F.sequence(F.lit(0), F.size(toks) - 1), lambda i: F.arrays_overlap(F.get(toks, i), strong))
-        found = F.concat(lines, _once(leads, lambda x: F.when(F.size(x) > 0, headers(toks, x)).otherwise(F.array().cast("array<struct<unit: int, tokens: array<string>>>"))))
+        leads = F.filter(F.sequence(F.lit(0), F.size(toks) - 1), lambda i: F.exists(F.get(toks, i), lambda t: t.isin(strong)))
+        found = F.concat(lines, _once(leads, lambda x: F.when(F.size(x) > 0, F.concat(headers(toks, x), title(toks, F.get(x, 0)))).otherwise(F.array().cast("array<struct<unit: int, tokens: array<string>>>"))))
         close = F.filter(found, lambda u: could_reach(u["tokens"], least))
         return _once(close, lambda x: F.when(F.size(x) > 0, x))
 
@@ -206,15 +234,19 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "
     whole = held.where("named").select("row", "path", "named", "n_words", F.lit(-1).alias("unit"), F.col("whole").alias("tokens"))
     units = parts.unionByName(whole).withColumn("size", F.size("tokens"))
     found = best_template(units.select("row", "unit", "tokens"), ["row", "unit"], "tokens", least)
-    hits = found.join(units.select("row", "unit", "path", "named", "n_words", "size"), ["row", "unit"])
+    hits = found.join(units.select("row", "unit", "path", "named", "n_words", "size"), ["row", "unit"]).where((F.col("unit") != -1) | (2 * F.col("words") >= F.col("size")))
+    begins = F.when(F.col("unit") <= -TITLES, -F.col("unit") - TITLES).when(F.col("unit") < -1, -F.col("unit") - 2).when(F.col("unit") >= 0, F.col("unit"))
+    times = F.when(begins < TITLE_LINES, TITLE).otherwise(1)
+    # Whole numbers, so that the order of a sum doesn't matter.
+    voices = hits.groupBy("row", "licence").agg(F.sum(F.round(F.col("cosine") * 1_000_000).cast("long") * F.least("size", "words") * times).alias("voice"), F.max("cosine").alias("cosine"))
+    chosen = voices.groupBy("row").agg(F.min(F.struct(-F.col("voice"), F.col("licence"), F.col("cosine"))).alias("best"))
     own = hits.groupBy("row").agg(
-        F.min(F.struct(-F.col("cosine"), F.col("licence"))).alias("best"),
         F.first("path").alias("file"),
         F.first("named").alias("is_named"),
-        F.first("n_words").alias("words"),
+        F.first("n_words").alias("n_words"),
         F.greatest(F.sum(F.when(F.col("unit") >= 0, F.col("size")).otherwise(0)), F.max(F.when(F.col("unit") < -1, F.col("size")).otherwise(0))).alias("covered"),
     )
-    own = staged(own.select("row", F.col("best.licence").alias("own"), (-F.col("best.col1")).alias("own_cosine"), "file", (F.col("is_named") | (F.col("covered") >= file_share * F.col("words"))).alias("is_file")), "own")
+    own = staged(own.join(chosen, "row").select("row", F.col("best.licence").alias("own"), F.col("best.cosine").alias("own_cosine"), "file", (F.col("is_named") | (F.col("covered") >= file_share * F.col("n_words"))).alias("is_file")), "own")
 
     parent = lambda c: F.when(F.col(c).contains("/"), F.regexp_replace(c, "/[^/]*$", "")).otherwise(F.when(F.col(c).isNotNull(), F.lit("")))
     licensed = own.where("is_file AND file IS NOT NULL").groupBy(parent("file").alias("licence_dir")).agg(F.min(F.struct(-F.col("own_cosine"), F.col("own"))).alias("best"))

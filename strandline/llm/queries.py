@@ -130,23 +130,27 @@ def _op10_sql() -> str:
     token = licenses.TOKEN
     gate = ", ".join(f"'{w}'" for w in licenses.gate_words())
     strong = ", ".join(f"'{w}'" for w in licenses.gate_words() if w not in licenses.COMMON)
-    return f"""WITH tw(token, licence, template, weight) AS (VALUES {weights}), ti(token, idf) AS (VALUES {known}),
+    sizes = ", ".join(f"('{name}', {i}, {len(words)})" for name, i, words in licenses.template_texts())
+    return f"""WITH tw(token, licence, template, weight) AS (VALUES {weights}), ti(token, idf) AS (VALUES {known}), tz(licence, template, words) AS (VALUES {sizes}),
 d AS (SELECT doc_id, coalesce(text, '') AS t, {PATH_SQL.format(string="VARCHAR")} AS path FROM documents),
 sp AS (SELECT doc_id, string_split(regexp_replace(t, '([.;!?]) +', '\\1' || chr(10), 'g'), chr(10)) AS s FROM d),
 sg AS (SELECT doc_id, i, regexp_extract_all(lower(seg), '{token}') AS toks FROM (SELECT doc_id, unnest(range(len(s))) AS i, unnest(s) AS seg FROM sp)),
 h AS (SELECT doc_id, sum(len(toks)) AS n_words FROM sg GROUP BY doc_id),
 cu AS (SELECT * FROM sg WHERE list_has_any(toks, [{gate}])),
 rn AS (SELECT *, sum(CASE WHEN i - prev <= {licenses.GAP + 1} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM sg WHERE list_has_any(toks, [{strong}]))),
+le AS (SELECT doc_id, min(i) AS a FROM rn GROUP BY doc_id),
 rr AS (SELECT doc_id, min(i) AS a, max(i) AS b FROM rn GROUP BY doc_id, r HAVING min(i) < max(i)),
-k AS (SELECT doc_id, i AS unit, toks FROM cu UNION ALL SELECT rr.doc_id, -(a + 2), flatten(list(toks ORDER BY i)) FROM rr JOIN sg ON sg.doc_id = rr.doc_id AND i BETWEEN a AND b GROUP BY rr.doc_id, a),
+k AS (SELECT doc_id, i AS unit, toks FROM cu UNION ALL SELECT rr.doc_id, -(a + 2), flatten(list(toks ORDER BY i)) FROM rr JOIN sg ON sg.doc_id = rr.doc_id AND i BETWEEN a AND b GROUP BY rr.doc_id, a
+  UNION ALL SELECT le.doc_id, -a - {licenses.TITLES}, flatten(list(toks ORDER BY i)) FROM (SELECT le.doc_id, a, min(i) AS b FROM le LEFT JOIN sg ON sg.doc_id = le.doc_id AND i > a AND len(toks) > 0 GROUP BY ALL) le JOIN sg ON sg.doc_id = le.doc_id AND i IN (a, b) GROUP BY le.doc_id, a),
 tf AS (SELECT doc_id, unit, token, count(*) AS tf FROM (SELECT doc_id, unit, unnest(toks) AS token FROM k) GROUP BY ALL),
 x AS (SELECT tf.*, (1 + ln(tf::DOUBLE)) * coalesce(idf, {other!r}::DOUBLE) AS x FROM tf LEFT JOIN ti USING (token)),
 nm AS (SELECT doc_id, unit, sqrt(sum(x * x)) AS norm FROM x GROUP BY ALL),
 dt AS (SELECT doc_id, unit, licence, template, sum(x * weight) AS dot FROM x JOIN tw USING (token) GROUP BY ALL),
-sc AS (SELECT doc_id, unit, licence, round(dot / norm, 6) AS cosine FROM dt JOIN nm USING (doc_id, unit) WHERE round(dot / norm, 6) >= {licenses.LEAST}),
-bu AS (SELECT doc_id, unit, cosine, licence FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY cosine DESC, licence) = 1),
+sc AS (SELECT doc_id, unit, licence, template, round(dot / norm, 6) AS cosine FROM dt JOIN nm USING (doc_id, unit) WHERE round(dot / norm, 6) >= {licenses.LEAST}),
+bu AS (SELECT doc_id, unit, cosine, licence, words FROM (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY cosine DESC, licence, template) = 1) JOIN tz USING (licence, template)),
+vo AS (SELECT doc_id, licence, sum(CAST(round(cosine * 1000000) AS BIGINT) * least(len(toks), words) * CASE WHEN CASE WHEN unit <= -{licenses.TITLES} THEN -unit - {licenses.TITLES} WHEN unit < 0 THEN -unit - 2 ELSE unit END < {licenses.TITLE_LINES} THEN {licenses.TITLE} ELSE 1 END) AS voice, max(cosine) AS cosine FROM bu JOIN k USING (doc_id, unit) GROUP BY doc_id, licence),
 cv AS (SELECT doc_id, greatest(sum(CASE WHEN unit >= 0 THEN len(toks) ELSE 0 END), max(CASE WHEN unit < 0 THEN len(toks) ELSE 0 END)) AS covered FROM bu JOIN k USING (doc_id, unit) GROUP BY doc_id),
-ow AS (SELECT doc_id, licence, cosine FROM bu QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, licence) = 1),
+ow AS (SELECT doc_id, licence, cosine FROM vo QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY voice DESC, licence) = 1),
 fi AS (SELECT h.doc_id, regexp_replace(d.path, '/[^/]*$', '') AS dir, licence, cosine FROM ow JOIN h USING (doc_id) JOIN d USING (doc_id) JOIN cv USING (doc_id) WHERE covered >= {licenses.FILE_SHARE} * n_words),
 ld AS (SELECT dir AS licence_dir, licence, cosine FROM fi QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, licence) = 1),
 ds AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS dir FROM d),
