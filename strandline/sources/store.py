@@ -287,16 +287,10 @@ class KnowledgeStore:
 
     def forget(self, entity_id: str | None = None, source: str | None = None, strict_source: bool = False) -> int:
         base = self.snapshot()
-        before = {name: base.table(name) for name in forgetting.RELATIONS}
-        after = forgetting.forget(before, entity_id, source, strict_source)
-        changes: Changes = []
-        for name, rows in before.items():
-            keys = KEYS[name]
-            gone = rows.select(*keys).distinct().join(after[name].select(*keys), keys, "left_anti")
-            if name == "chunks":
-                gone = staged(gone, "forgotten")
-                changes += self._index_changes(base, gone, None)
-            changes.append(("del", name, gone))
+        relations = {name: base.table(name) for name in forgetting.RELATIONS}
+        keys = forgetting.doomed_keys(relations, entity_id, source, strict_source, staged)
+        changes: Changes = self._index_changes(base, keys["chunks"], None)
+        changes += [("del", name, rows.select(*KEYS[name])) for name, rows in keys.items()]
         return self.commit(base, changes)
 
     # Sync state

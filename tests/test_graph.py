@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +138,27 @@ def test_recall_ranks_whole_neighbourhood(spark):
     both = {r["key"]: r["score"] for r in recall.recall(sources, "", limit=200, subqueries=[one, two]).collect()}
     assert both["entity:c100"] == round(1 / (60 + 101 + 1) + 1 / (60 + 1 + 1), 9)
     assert recall.recall(sources, "", limit=1, subqueries=[one, two]).first()["key"] == "entity:c100"
+
+
+def test_doomed_keys_equal_the_comparison(spark):
+    """The keys that a forget finds from the entities outwards are those that a whole comparison finds."""
+    r = random.Random(11)
+    name = lambda kind, n: f"{kind}{r.randrange(n)}"
+    make = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    sources = ["s0", "s1", None]
+    t = {
+        "entities": make([(f"e{i}", r.choice(sources)) for i in range(12)], "id string, source string"),
+        "relationships": make([(f"r{i}", name("e", 14), name("e", 14), r.choice(sources)) for i in range(30)], "id string, source_id string, target_id string, source string"),
+        "chunks": make([(f"c{i}", r.choice([name("e", 12), None]), r.choice(['{"source":"s0"}', "{}", None])) for i in range(20)], "id string, entity_id string, metadata string"),
+        "memories": make([(f"m{i}", r.choice(sources)) for i in range(15)], "id string, source string"),
+        "memory_entities": make(sorted({(name("m", 14), name("e", 12)) for _ in range(25)}), "memory_id string, entity_id string"),
+        "embeddings": make([(f"v{i}", name(k, 20), {"c": "chunk", "m": "memory"}[k]) for i, k in enumerate("cm" * 15)], "id string, ref_id string, ref_type string"),
+    }
+    keys = {n: ["memory_id", "entity_id"] if n == "memory_entities" else ["id"] for n in t}
+    for options in ({"entity_id": "e3"}, {"source": "s0"}, {"source": "s0", "strict_source": True}, {"source": "nobody"}, {"entity_id": "e1", "source": "s0", "strict_source": True}):
+        after, gone = forget.forget(t, **options), forget.doomed_keys(t, **options)
+        for n in t:
+            want = {tuple(x) for x in t[n].select(*keys[n]).collect()} - {tuple(x) for x in after[n].select(*keys[n]).collect()}
+            assert {tuple(x) for x in gone[n].select(*keys[n]).collect()} == want, (n, options)
+    with pytest.raises(ValueError):
+        forget.doomed_keys(t)
