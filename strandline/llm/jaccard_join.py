@@ -582,9 +582,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each component: the one of smallest key (of rows that
     repeat key and text, one)."""
-    kept = classes(docs, key, text, **options).where(_self() == F.col("first")).select(F.col("id").alias("_key"), F.col("hash").alias("_kept")).distinct()
-    mark, nth = fresh(docs.columns, "_hash"), fresh(docs.columns, "_nth")
+    mark, nth, id_, hash_ = (fresh(docs.columns, name) for name in ("_hash", "_nth", "_key", "_kept"))
+    kept = classes(docs, key, text, **options).where(_self() == F.col("first")).select(F.col("id").alias(id_), F.col("hash").alias(hash_)).distinct()
     rows = docs.withColumn(mark, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    rows = rows.join(kept, F.col(key).eqNullSafe(F.col("_key")) & (F.col(mark) == F.col("_kept")), "left_semi")
+    rows = rows.join(kept, F.col(key).eqNullSafe(F.col(id_)) & (F.col(mark) == F.col(hash_)), "left_semi")
     numbered = rows.withColumn(nth, F.row_number().over(Window.partitionBy(key, mark).orderBy(F.lit(0))))
     return numbered.where(F.col(nth) == 1).drop(nth, mark)

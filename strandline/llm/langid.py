@@ -17,8 +17,8 @@ Only the dictionaries are learned.  They come from a bounded sample: at most
 ``sample_docs`` documents per language, chosen by a hash of their identifiers
 among all labelled rows, of each of them a span at a place that its hash chooses, as
 long as the dictionary has room for.  What reaches the driver and is broadcast is bounded by
-``sample_docs``, ``dictionary_bytes`` and ``MAX_LANGS``; more distinct labels are an error, for
-such a column doesn't name languages.  A language with little text has a small dictionary, and
+``sample_docs``, ``dictionary_bytes`` and ``ALL_BYTES``: so many languages that their dictionaries would be more
+in all have shorter ones, and none is left out.  A language with little text has a small dictionary, and
 the others keep theirs whole: it wins the texts that its few bytes do encode best.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore
-from .staging import with_fields
+from .staging import staged, with_fields
 
 UNDETERMINED = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -54,7 +54,9 @@ LEVEL = 3
 FINE_LEVEL = 6
 PRELUDE_BYTES = 64
 MIN_MARGIN = 0.001
-MAX_LANGS = 512
+#: All dictionaries, and all preludes, at most.
+ALL_BYTES = 48 << 20
+ALL_PRELUDES = 32 << 10
 #: Nats of score per byte saved.
 SCALE = 1.0
 
@@ -66,16 +68,17 @@ def letters(text: str) -> str:
 
 def sample_by_language(docs: DataFrame, key: str, text: str, lang: str, sample_docs: int, span: int = DICTIONARY_BYTES) -> dict[str, list[str]]:
     """Of each language a span of at most ``sample_docs`` texts, those of smallest key hash."""
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
-    counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().limit(MAX_LANGS + 1).collect()}
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"{lang} has more than {MAX_LANGS} values")
-    if not counts:
+    labelled = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(F.col("lang").isNotNull() & (F.length("text") > 0))
+    counts = staged(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "langs")
+    n_langs = counts.count()
+    if not n_langs:
         return {}
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit("langid"), F.col(key)), 11) / float(1 << 53)
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 2.0 * sample_docs / n)))])
-    begin = F.pmod(F.xxhash64(F.lit("span"), F.col(text)), F.greatest(F.lit(1), F.length(text) - span + 1)).cast("int") + 1
-    rows = labelled.where(draw < share[F.col(lang)]).select(F.col(lang), draw.alias("draw"), F.substring(F.col(text), begin, F.lit(span)).alias("text")).collect()
+    span = min(span, max(1, ALL_BYTES // n_langs))
+    sample_docs = max(1, min(sample_docs, ALL_BYTES // (64 * n_langs)))
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit("langid"), F.col("key")), 11) / float(1 << 53)
+    begin = F.pmod(F.xxhash64(F.lit("span"), F.col("text")), F.greatest(F.lit(1), F.length("text") - span + 1)).cast("int") + 1
+    drawn = labelled.join(counts, "lang").where(draw < 2.0 * sample_docs / F.col("n"))
+    rows = drawn.select("lang", draw.alias("draw"), F.substring(F.col("text"), begin, F.lit(span)).alias("text")).collect()
     found: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r[0], r["draw"], r["text"])):
         if len(found.setdefault(r[0], [])) < sample_docs:
@@ -86,6 +89,7 @@ def sample_by_language(docs: DataFrame, key: str, text: str, lang: str, sample_d
 def build_dictionaries(samples: Mapping[str, list[str]], dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """Equal shares of each sampled text, joined; each language has as much as its own texts give."""
     pools = {}
+    dictionary_bytes = min(dictionary_bytes, max(8, ALL_BYTES // max(1, len(samples))))
     for lang, texts in sorted(samples.items()):
         raw = sorted((letters(t).encode() for t in texts), key=len)
         room, part = dictionary_bytes, []
@@ -106,7 +110,7 @@ class Coder:
     def __init__(self, dictionaries: Mapping[str, bytes], level: int = LEVEL, block_bytes: int = BLOCK_BYTES):
         self.langs, self.block_bytes = sorted(dictionaries), block_bytes
         raw = [dictionaries[lang] for lang in self.langs]
-        given = [min(PRELUDE_BYTES, len(x) // 2) for x in raw]  # something stays in a small dictionary
+        given = [min(PRELUDE_BYTES, len(x) // 2, ALL_PRELUDES // len(raw)) for x in raw]  # something stays in a small dictionary
         self.prelude = b" ".join(x[:n] for n, x in zip(given, raw, strict=True)) + b" "
         self.plain = [self._coder(x, level, block_bytes, 4) for x in raw]
         self.fine = [self._coder(x[n:], FINE_LEVEL, block_bytes + len(self.prelude), 3) for n, x in zip(given, raw, strict=True)]

@@ -138,8 +138,11 @@ def mix(
     is put in order."""
     levels, weights = list(levels), weights or {}
     path = [f"_level_{c}" for c in levels]
-    named = {v: F.coalesce(F.col(c).cast("string"), F.lit(NONE)) for c, v in zip(levels, path, strict=True)}
-    base = docs.drop("epoch", "n_tokens", "take_tokens") if tokens is None else docs.withColumn("n_tokens", tokens).drop("epoch", "take_tokens")
+    # The documents' own columns go by numbers, so that none is named like an inner one.
+    own = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    named = {v: F.coalesce(F.col(own[c]).cast("string"), F.lit(NONE)) for c, v in zip(levels, path, strict=True)}
+    base = docs.select(*[F.col(f"`{c}`").alias(v) for c, v in own.items()], *([] if tokens is None else [tokens.alias("n_tokens")]))
+    key, text = own[key], own.get(text)
     base = base.withColumns(named)
     if tokens is None:
         plain = base.select(*path, F.col(key).alias("_id"), F.col(text).alias("_n"))
@@ -187,5 +190,5 @@ def mix(
     nth = F.row_number().over(Window.partitionBy(*path).orderBy(F.lit(0))) - 1
     part = x.where(at_end).withColumn("_begin", F.col("_first") + nth * F.col("n_tokens")).where(F.col("_begin") < F.col("_rest"))
     part = part.withColumn("take_tokens", F.least(F.col("n_tokens"), F.col("_rest") - F.col("_begin")))
-    out = [*[c for c in docs.columns if c not in ("epoch", "n_tokens", "take_tokens")], "epoch", "n_tokens", "take_tokens"]
+    out = [*[F.col(v).alias(c) for c, v in own.items() if c not in ("epoch", "n_tokens", "take_tokens")], "epoch", "n_tokens", "take_tokens"]
     return done.select(*out).unionByName(part.select(*out))

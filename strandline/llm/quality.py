@@ -1,11 +1,11 @@
 """Quality classification: random-indexing word vectors, a two-layer network, temperature.
 
 Words are runs of letters, of digits or of other marks; runs of capitals are
-words of their own.  Random indexing: every word has a sparse ternary index vector of its own,
-made from its hash, and its word vector is the sum, over all its occurrences in all documents,
+words of their own.  Random indexing: every word has a sparse ternary index vector made from its hash (two
+signs among 32 places: one of some 2,000 vectors, so words can have the same one), and its word vector is the sum, over all its occurrences in all documents,
 of the index vectors of the words up to ``WINDOW`` places away.  The sums are kept in ``BUCKETS``
 hash buckets, which bounds the table that is broadcast (16 MB): words that fall into one bucket
-share a word vector, though not an index vector.  Tasks add up in integers and send the buckets
+share a word vector.  Tasks add up in integers and send the buckets
 that they met, compressed, by key range, so the sums do not depend on the order of tasks.
 
 A document is the mean and the spread of its unit word vectors and the mean cosine
@@ -231,9 +231,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         known = known.where(learn_from)
     n = known.count()
     draw = F.shiftrightunsigned(F.xxhash64(F.lit("quality"), F.col(key)), 11) / float(1 << 53)
-    sample = known.where(draw < min(1.0, 0.95 * sample_docs / max(1, n))).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"))
+    id_, mark = fresh(docs.columns, "_key"), fresh(docs.columns, "_label")
+    sample = known.where(draw < min(1.0, 0.95 * sample_docs / max(1, n))).select(F.col(key).alias(id_), F.col(label).cast("int").alias(mark))
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
-    rows = docs.join(F.broadcast(sample), F.col(key) == F.col("_key")).select("_label", F.col(text)).mapInArrow(_features(shared), "label int, x binary").collect()
+    rows = docs.join(F.broadcast(sample), F.col(key) == F.col(id_)).select(mark, F.col(text)).mapInArrow(_features(shared), "label int, x binary").collect()
     rows = sorted((r["x"], r["label"]) for r in rows)
     x = np.array([np.frombuffer(r[0]) for r in rows]) if rows else np.zeros((0, FEATURES))
     return vectors, Network().fit(x, np.array([r[1] for r in rows], float))

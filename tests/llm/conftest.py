@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-CLASHES = "score string, epoch int, n_tokens string, take_tokens int, shard string, slot int, lang_pred int, lang_margin int, n_words string, spans int, _text int, _html string, id int, hash string, sig int, n int, sha string, keep_id string, component_id int, domain string, path string"
+CLASHES = "score string, epoch int, n_tokens string, take_tokens int, shard string, slot int, lang_pred int, lang_margin int, n_words string, spans int, _text int, _html string, id int, hash string, sig int, n int, sha string, keep_id string, component_id int, domain string, path string, _whole string, _rest int, _take string, _last int, _begin string, _level_domain string, _here int, _key string, _kept int, _label string, _nth string, _leaf int, _cut string, _salt string, _c1 string, lang_n int, draw string, key string, text_n int"
 
 
 def rows():

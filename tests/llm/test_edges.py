@@ -61,6 +61,9 @@ def test_langid(edge_docs, no_docs):
     assert {r["lang_pred"] for r in langid.classify(edge_docs, {}).collect()} == {"und"}
     tie = _by_id(langid.classify(edge_docs, {"b": b"xx", "a": b"xx"}))[3][0]
     assert tie["lang_pred"] == "a" and tie["lang_margin"] == 0 and tie["lang_rejected"]
+    many = edge_docs.sparkSession.createDataFrame([(i, f"word{i} " + "abcdefgh"[i % 8] * 30, f"l{i}") for i in range(700)], "doc_id int, text string, lang string")
+    learned = langid.train(many)
+    assert len(learned) == 700 and all(learned.values()) and langid.Coder(learned).classify("hello there")[0] in learned
     one = _by_id(langid.classify(edge_docs, {"b": b"xx"}))[3][0]
     assert one["lang_pred"] == "b" and one["lang_margin"] == 1 and not one["lang_rejected"]
 
