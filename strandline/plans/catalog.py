@@ -17,6 +17,7 @@ from ..sources.store import KnowledgeStore
 from ..staging import shared_folder, staged
 from . import fixtures as X
 from .fixtures import view, with_sql
+from .splitting import split_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -608,7 +609,10 @@ def conversation_threads(spark, d):
     return connectors.threads(X.load(spark, d, "conversations"))
 
 
-@query("chunk_split")
+THREADS = "SELECT conv_id, string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn, text) AS content FROM conversations GROUP BY conv_id"
+
+
+@query("chunk_split", split_sql(THREADS, "conv_id", 1000))
 def chunk_split(spark, d):
     return ingest.split_chunks(connectors.threads(X.load(spark, d, "conversations")), 1000, "conv_id")
 

@@ -3,6 +3,9 @@
 Intermediate tables go to the shared folder the cluster names in
 ``spark.checkpoint.dir``.  Only a local session without that setting (tests on one
 machine) gets a temporary folder; anywhere else it is an error.
+
+What is written stays, since lazy results read it.  A run that has written its result can
+clear up after itself: everything staged inside ``with scratch(spark):`` is deleted at its end.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
+_runs: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,7 +25,26 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = _local.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="strandline-"))
-    return folder.rstrip("/")
+    return _runs[-1] if _runs else folder.rstrip("/")
+
+
+class scratch:  # noqa: N801 (used as ``with scratch(spark):``)
+    """A folder for all that is staged inside, deleted at the end, also after an error.
+
+    The result must have been written before that.  One run at a time in a process; runs may be nested."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> str:
+        self.path = f"{shared_folder(self.spark)}/strandline/run-{uuid.uuid4().hex}"
+        _runs.append(self.path)
+        return self.path
+
+    def __exit__(self, *_) -> None:
+        _runs.remove(self.path)
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:

@@ -152,3 +152,21 @@ def test_vectors_are_kept(spark, tmp_path):
     store.remember("two words")
     store.remember(spark.createDataFrame([("x", "two words"), ("y", "two words")], "doc_id string, content string"), source="other")
     assert store.table("embeddings").count() == 3 and os.path.getsize(embedder.at) == 5
+
+
+def test_a_run_clears_up_after_itself(spark, tmp_path):
+    from strandline.staging import scratch, shared_folder, staged
+
+    with scratch(spark) as folder:
+        rows = staged(spark.range(5), "rows")
+        with scratch(spark) as inner:
+            staged(rows, "again")
+            assert inner.startswith(folder) and os.path.isdir(inner.removeprefix("file://"))
+        assert not os.path.exists(inner.removeprefix("file://"))
+        rows.write.parquet(f"{tmp_path}/out")
+    assert not os.path.exists(folder.removeprefix("file://")) and not shared_folder(spark).startswith(folder)
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 5
+    with pytest.raises(KeyError), scratch(spark) as folder:
+        staged(spark.range(1), "rows")
+        raise KeyError
+    assert not os.path.exists(folder.removeprefix("file://"))

@@ -81,3 +81,20 @@ def test_chunk_udf_equals_splitter(spark):
 def test_stable_id_separates_null_and_empty(spark):
     row = spark.createDataFrame([(None, "")], "a string, b string").select(T.stable_id("x", F.col("a")), T.stable_id("x", F.col("b"))).first()
     assert row[0] != row[1] and row[0].startswith("x:")
+
+
+@pytest.mark.parametrize("limit", [7, 20, 40])
+def test_splitter_equals_its_sql(limit):
+    """Random texts of paragraphs, sentences, long words and letters of several bytes."""
+    import duckdb
+
+    from strandline.plans.splitting import split_sql
+
+    r = random.Random(limit)
+    texts = ["".join(r.choice(["a", "bc", "é", "漢", " ", ". ", "! ", ".\n", "\n\n", "\n\n\n", "long" * 5, "x y z. "]) for _ in range(r.randrange(1, 40))) for _ in range(150)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE texts(id INTEGER, content VARCHAR)")
+    con.executemany("INSERT INTO texts VALUES (?, ?)", list(enumerate(texts)))
+    got = sorted(con.execute(split_sql("SELECT id, content FROM texts", "id", limit)).fetchall())
+    want = [(i, k + 1, len(parts), p) for i, parts in ((i, T.split_text(t, limit)) for i, t in enumerate(texts)) for k, p in enumerate(parts)]
+    assert got == sorted(want)
