@@ -170,3 +170,16 @@ def test_many_starts_equal_one_by_one(spark):
     assert {tuple(x) for x in graph.traverse_many(edges, spark.createDataFrame([("n1",)], "id string"), 0).collect()} == {("n1", "n1", 0)}
     with pytest.raises(ValueError):
         graph.traverse_many(edges, edges.selectExpr("source_id AS id"), -1)
+
+
+def test_many_starts_of_one_hub_share_masks(spark, monkeypatch):
+    """Leaves of few hubs, all of them starts: a node has few groups, and the pairs of starts and nodes are not written."""
+    leaves = [(f"leaf{i:04}", f"hub{i % 4}", "a") for i in range(1024)]
+    edges = spark.createDataFrame(leaves, "source_id string, target_id string, type string")
+    written = []
+    monkeypatch.setattr(graph, "staged", lambda df, tag, of=graph.staged: written.append((tag, of(df, tag))) or written[-1][1])
+    found = graph.traverse_many(edges, edges.selectExpr("source_id AS id"), 2)
+    got = found.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("start", "id").alias("pairs")).collect()
+    assert {r["level"]: (r["n"], r["pairs"]) for r in got} == {0: (1024, 1024), 1: (1024, 1024), 2: (1024 * 255, 1024 * 255)}
+    assert found.where("substring(start, 8, 1) = '0' AND level = 2 AND id = 'leaf0004'").count() == sum(i % 4 == 0 and i % 10 == 0 for i in range(1024))
+    assert sum(df.count() for tag, df in written if tag in ("frontier", "seen")) < 1024 + 4 * 16
