@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,11 +50,49 @@ def _indexed(content: Column, wanted=None) -> Column:
     return _once(search_tokens(content), both)
 
 
+#: So many tokens are sorted at once; a longer text is a slice of its own.
+SORTED_TOKENS = 1 << 18
+
+
+def token_slices(batch: pa.RecordBatch, rows: int | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.DictionaryArray]]:
+    """A batch whose last column are tokens, in slices of some ``SORTED_TOKENS`` tokens (or of ``rows`` rows): the slice,
+    each row's number of tokens and all its tokens as codes."""
+    tokens = batch.column(batch.num_columns - 1)
+    sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    before, at = np.concatenate([[0], np.cumsum(sizes)]), 0
+    while at < len(sizes):
+        end = at + rows if rows else max(at + 1, int(np.searchsorted(before, before[at] + SORTED_TOKENS, "right")) - 1)
+        part = batch.slice(at, end - at)
+        yield part, sizes[at:end], part.column(batch.num_columns - 1).flatten().dictionary_encode()
+        at = end
+
+
+def _postings_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens in the order of (row, term), positions ascending; every run of equal ones is a posting."""
+    for batch in batches:
+        for part, sizes, coded in token_slices(batch):
+            if not len(coded):
+                continue
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            key = row * len(coded.dictionary) + coded.indices.to_numpy()
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            ends = np.append(first, len(key))
+            head, of = order[first], row[order[first]]
+            positions = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(place[order].astype(np.int32)))
+            columns = [coded.dictionary.take(coded.indices.take(pa.array(head))), part.column(0).take(pa.array(of)), pa.array(np.diff(ends)), pa.array(sizes[of].astype(np.int32)), positions]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "chunk_id", "tf", "dl", "positions"])
+
+
 def postings(chunks: DataFrame, id: str = "id", content: str = "content") -> DataFrame:
     """The inverted index: (term, chunk_id, tf, dl, positions).
 
-    Everything is built inside each row, so the scan gives postings without a shuffle."""
-    return _exploded(chunks.select(F.col(id).alias("chunk_id"), _indexed(F.col(content))["entries"].alias("entries")))
+    Everything is built where a row is read (its tokens are sorted in Arrow batches), so the scan gives postings without a shuffle."""
+    tokens = chunks.select(F.col(id).alias("chunk_id"), search_tokens(F.col(content)).alias("tokens"))
+    kind = tokens.schema["chunk_id"].dataType.simpleString()
+    return tokens.mapInArrow(_postings_of, f"term string, chunk_id {kind}, tf bigint, dl int, positions array<int>")
 
 
 def _exploded(rows: DataFrame) -> DataFrame:
