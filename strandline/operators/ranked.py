@@ -12,15 +12,18 @@ that of scoring everything."""
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import search_tokens
 from ..staging import staged
 from . import lookup
 from .entities import check_limit
-from .search import IDF_FLOOR, K1, B, Match, Phrase, parse_match
+from .search import IDF_FLOOR, K1, B, Match, Phrase, parse_match, token_slices
 
 BLOCK_CHUNKS = 256
 #: Blocks that are scored first.
@@ -47,6 +50,54 @@ def blocks(postings: DataFrame, lengths: DataFrame, block_chunks: int = BLOCK_CH
     return rows.groupBy("term", "block").agg(F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.sort_array(F.collect_list(entry)).alias("entries"))
 
 
+def _blocks_of(block_chunks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, sizes, coded in token_slices(batch, block_chunks):
+                if not len(coded):
+                    continue
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                key, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * len(sizes) + row, return_counts=True)
+                term, of = key // len(sizes), key % len(sizes)
+                first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+                ends, dl = np.append(first, len(key)), sizes[of].astype(np.int32)
+                entry = pa.StructArray.from_arrays([part.column(1).take(pa.array(of)), pa.array(tf), pa.array(dl)], ["chunk_id", "tf", "dl"])
+                columns = [
+                    coded.dictionary.take(pa.array(term[first])),
+                    pa.array([str(part.column(0)[0])] * len(first)),
+                    pa.array(np.maximum.reduceat(tf, first)),
+                    pa.array(np.minimum.reduceat(dl, first)),
+                    pa.array(np.diff(ends)),
+                    pa.array(np.add.reduceat(tf, first)),
+                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), entry),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["term", "block", "max_tf", "min_dl", "df", "occurrences", "entries"])
+
+    return run
+
+
+def block_index(chunks: DataFrame, id: str = "id", content: str = "content", block_chunks: int = BLOCK_CHUNKS) -> DataFrame:
+    """(term, block, max_tf, min_dl, df, occurrences, entries) from texts: what ``blocks`` gives for their postings.
+
+    Texts are shuffled once, by their length in bytes, and a block's postings are made where its texts lie, so no
+    single posting is shuffled or joined."""
+    near = chunks.select(F.col(id).alias("chunk_id"), F.col(content).alias("content"), F.octet_length(content).alias("size"))
+    near = lookup.clustered(near, "size", "chunk_id").withColumn("at", F.monotonically_increasing_id())
+    rows = near.select("at", "chunk_id", search_tokens(F.col("content")).alias("tokens"))
+    kind = rows.schema["chunk_id"].dataType.simpleString()
+    return rows.mapInArrow(_blocks_of(block_chunks), f"term string, block string, max_tf bigint, min_dl int, df bigint, occurrences bigint, entries array<struct<chunk_id: {kind}, tf: bigint, dl: int>>")
+
+
+def dictionary_of(index: DataFrame) -> DataFrame:
+    """(term, df, occurrences) from a block index, without its entries."""
+    return index.groupBy("term").agg(F.sum("df").alias("df"), F.sum("occurrences").alias("occurrences"))
+
+
+def totals_of(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+    """One row: n_chunks, n_tokens.  Tokens are counted in the dictionary, not in the texts."""
+    return chunks.agg(F.count(F.lit(1)).alias("n_chunks")).crossJoin(terms.agg(F.sum("occurrences").alias("n_tokens")))
+
+
 def plain_terms(query: str) -> tuple[list[str], bool]:
     """The terms of an expression that only joins single words, and whether all are required."""
     tree = parse_match(query)

@@ -137,6 +137,24 @@ def test_early_stop_is_exact_and_reads_less(store):
             found.topk(query)
 
 
+def test_block_index_of_texts_shuffles_no_posting(spark, store):
+    small = plan(ranked.block_index(spark.createDataFrame([("a", "b")], "id string, content string")))
+    assert small.count("Exchange") == small.count("Exchange rangepartitioning") == 1 and "Join" not in small  # texts by length
+    chunks = store.table("chunks").unionByName(store.table("chunks").limit(1).withColumns({"id": F.lit("none"), "content": F.lit(None).cast("string")}))
+    postings, stats = search.postings(chunks).cache(), search.corpus_stats(chunks)
+    made = ranked.block_index(chunks, block_chunks=7).cache()
+    terms = ranked.dictionary_of(made).cache()
+    entries = made.select("term", F.explode("entries").alias("e")).select("term", "e.*")
+    assert sorted(map(tuple, entries.collect())) == sorted(map(tuple, postings.select("term", "chunk_id", "tf", "dl").collect()))
+    assert made.where("df <> size(entries) OR df > 7 OR max_tf <> array_max(entries.tf) OR min_dl <> array_min(entries.dl)").isEmpty()
+    assert made.select("term", "block").distinct().count() == made.count()
+    assert sorted(map(tuple, terms.collect())) == sorted(map(tuple, ranked.dictionary(postings).collect()))
+    found = ranked.BlockSearch(made, terms, ranked.totals_of(chunks, terms))
+    for query in ("w1 OR w2 OR w3", "w1 w2"):
+        whole = search.keyword_hits(postings, stats, search.parse_match(query)).withColumn("score", F.round("score", 6)).orderBy(F.col("score").desc(), "chunk_id").limit(9)
+        assert found.topk(query, 9, digits=6).collect() == whole.collect()
+
+
 def test_pivots_are_exact(spark, tmp_path):
     r = np.random.default_rng(4)
     centres = r.normal(size=(12, 6))
