@@ -180,9 +180,13 @@ class KnowledgeStore:
     def _put(self, base: Snapshot, name: str, new: DataFrame) -> Changes:
         """``new`` rows (staged: they are read several times) in place of old ones of the same key."""
         keys = KEYS[name]
-        latest = new.withColumn("_at", F.monotonically_increasing_id()).groupBy(*keys).agg(F.max_by(F.struct(*new.columns), "_at").alias("_r")).select("_r.*")
-        latest = staged(latest, "latest") if name in ("chunks", "memories") else latest  # the index reads it too
-        old = base.table(name).select(*keys).join(latest.select(*keys), keys, "left_semi").distinct()
+        latest = new
+        if not new.groupBy(*keys).count().where("count > 1").isEmpty():  # only then are whole rows shuffled by key
+            latest = new.withColumn("_at", F.monotonically_increasing_id()).groupBy(*keys).agg(F.max_by(F.struct(*new.columns), "_at").alias("_r")).select("_r.*")
+            latest = staged(latest, "latest") if name in ("chunks", "memories") else latest  # the index reads it too
+        old = base.table(name).select(*keys)
+        if base.operations.get(name):
+            old = staged(old.join(latest.select(*keys), keys, "left_semi").distinct(), "old")
         changes = [("del", name, old), ("add", name, latest)]
         if name == "chunks":
             changes += self._index_changes(base, old, latest)
@@ -191,19 +195,22 @@ class KnowledgeStore:
         return changes
 
     def _index_changes(self, base: Snapshot, gone: DataFrame | None, new: DataFrame | None) -> Changes:
-        """The search index without the chunks ``gone`` (column ``id``) and with ``new`` ones."""
+        """The search index without the chunks ``gone`` (column ``id``) and with ``new`` ones.
+
+        Texts are cut into tokens once: the totals count the tokens of the postings."""
         changes: Changes = []
         terms, totals = [], []
         if gone is not None and base.operations.get("chunks"):
             before = lookup.semi(base.table("chunks"), gone.distinct())
             changes.append(("del", "postings", gone.withColumnRenamed("id", "chunk_id")))
-            terms.append(search.postings(before).select("term", F.lit(-1).cast("long").alias("df"), (-F.col("tf")).alias("occurrences")))
-            totals.append(search.lengths(before).select(F.lit(-1).cast("long").alias("n_chunks"), (-F.col("dl")).cast("long").alias("n_tokens")))
+            lost = staged(search.postings(before).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences")), "lost")
+            terms.append(lost.select("term", (-F.col("df")).alias("df"), (-F.col("occurrences")).alias("occurrences")))
+            totals += [before.select(F.lit(-1).cast("long").alias("n_chunks"), F.lit(0).cast("long").alias("n_tokens")), lost.select(F.lit(0).cast("long").alias("n_chunks"), (-F.col("occurrences")).alias("n_tokens"))]
         if new is not None:
             added = staged(search.postings(new), "postings")
             changes.append(("add", "postings", added))
             terms.append(added.select("term", F.lit(1).cast("long").alias("df"), F.col("tf").alias("occurrences")))
-            totals.append(search.lengths(new).select(F.lit(1).cast("long").alias("n_chunks"), F.col("dl").cast("long").alias("n_tokens")))
+            totals += [new.select(F.lit(1).cast("long").alias("n_chunks"), F.lit(0).cast("long").alias("n_tokens")), added.select(F.lit(0).cast("long").alias("n_chunks"), F.col("tf").alias("n_tokens"))]
         if terms:
             change = reduce(DataFrame.unionByName, terms).groupBy("term").agg(F.sum("df").alias("df"), F.sum("occurrences").alias("occurrences"))
             changes.append(("add", "terms", change.where("df <> 0 OR occurrences <> 0")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline import api, cli, owner, remote
 from strandline.functions import extract
-from strandline.operators import ingest
+from strandline.operators import ingest, search
 from strandline.providers import OfflineEmbedder, ScriptedModel
 from strandline.sources import connectors
 from strandline.sources.store import ConcurrentCommit, KnowledgeStore
@@ -303,3 +303,19 @@ def test_remote_providers_over_a_given_transport():
             remote.providers_from(bad, transport)
     with pytest.raises(ValueError):
         remote.CompletionsModel("k", "http://x", "m", lambda *a: {}).extract("t")
+
+
+def test_a_put_cuts_its_texts_once(spark, tmp_path, monkeypatch):
+    """Totals and dictionary come from the postings, also of texts that are replaced; a put that repeats a key keeps the later row."""
+    store = KnowledgeStore(spark, f"file://{tmp_path}/once")
+    rows = lambda *texts: spark.createDataFrame([(i, None, t, "{}") for i, t in texts], "id string, entity_id string, content string, metadata string").coalesce(1).withColumn("created_at", F.timestamp_seconds(F.lit(0)))
+
+    def never(*_, **__):
+        raise AssertionError("texts are cut again")
+
+    monkeypatch.setattr(search, "lengths", never)
+    store.put_chunks(rows(("a", "one two two"), ("b", "two"), ("c", None), ("d", "?")))
+    store.put_chunks(rows(("a", "one"), ("b", "old"), ("b", "three three")))
+    assert tuple(store.snapshot().stats().first())[:2] == (4, 3)
+    assert sorted(map(tuple, store.term_dictionary().collect())) == [("one", 1, 1), ("three", 1, 2)]
+    assert [r["id"] for r in store.search_keyword("three").collect()] == ["b"]
