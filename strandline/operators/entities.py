@@ -55,10 +55,10 @@ def relationships_of(relationships: DataFrame, ids: DataFrame | str, types: list
 
 
 def dangling_relationships(relationships: DataFrame, entities: DataFrame) -> DataFrame:
-    """Relationships with an end that is no entity."""
-    ids = entities.select("id")
-    lost = lambda end: relationships.join(ids, F.col(end) == ids["id"], "left_anti")
-    return lost("source_id").unionByName(lost("target_id")).dropDuplicates(["id"])
+    """Relationships with an end that is no entity.  They are read once: their ends, not the relationships, are two rows each."""
+    ends = relationships.withColumn("_end", F.explode(F.array_distinct(F.array("source_id", "target_id"))))
+    ids = entities.select(F.col("id").alias("_end"))
+    return ends.join(ids, "_end", "left_anti").select(*relationships.columns).dropDuplicates(["id"])
 
 
 def with_links(memories: DataFrame, links: DataFrame) -> DataFrame:

@@ -48,6 +48,13 @@ def test_dangling(spark, people):
     assert _ids(E.dangling_relationships(rels, people)) == ["r0", "r1"]
 
 
+def test_dangling_reads_relationships_once(spark, people):
+    rels = _rels(spark, ("a", "knows", None), ("x", "knows", "x"), (None, "knows", None), ("a", "knows", "b"))
+    lost = E.dangling_relationships(rels.repartition(2, "type"), people)
+    assert _ids(lost) == ["r0", "r1", "r2"] and lost.columns == rels.columns
+    assert lost._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+
+
 def test_traverse_depths(people, ring):
     nodes, edges = graph.traverse(people, ring, "a", 0)
     assert _ids(nodes) == ["a"] and _ids(edges) == []
