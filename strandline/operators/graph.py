@@ -8,30 +8,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import staged
+from .lookup import PUSHED
 
 
 def _typed(relationships: DataFrame, types: list[str] | None) -> DataFrame:
     return relationships.where(F.col("type").isin(types)) if types else relationships
 
 
-def levels(relationships: DataFrame, start: str, depth: int = 1, types: list[str] | None = None) -> DataFrame:
-    """(id, level) of everything within ``depth`` hops of ``start``.
+def _touching(rel: DataFrame, frontier: DataFrame, few: list[str] | None) -> DataFrame:
+    """The relationships with an end in ``frontier`` (distinct ids), and which ends are: ``_s``, ``_t``.
+
+    The ids ``few`` go into the scan by value, so relationships are read once and neither written nor shuffled; without them the ends are joined."""
+    if few is not None:
+        marked = rel.withColumns({"_s": F.coalesce(F.col("source_id").isin(few), F.lit(False)), "_t": F.coalesce(F.col("target_id").isin(few), F.lit(False))})
+        return marked.where(F.col("source_id").isin(few) | F.col("target_id").isin(few))
+    ids = frontier.select(F.col("id").alias("_id"), F.lit(True).alias("_in"))
+    for end, flag in (("source_id", "_s"), ("target_id", "_t")):
+        rel = rel.join(ids, F.col(end) == F.col("_id"), "left").withColumn(flag, F.coalesce("_in", F.lit(False))).drop("_id", "_in")
+    return rel.where("_s OR _t")
+
+
+def _walk(rel: DataFrame, start: str, depth: int, keep: bool) -> tuple[DataFrame, list[tuple[DataFrame, DataFrame]]]:
+    """(id, level) of everything within ``depth`` hops; and, to ``keep`` them, each explored level's nodes and the relationships at them.
 
-    Each level joins the frontier to the edges and drops what was seen.  A frontier is written
-    before it is used again, so plans don't grow with the depth and its size is known to the planner."""
+    A level reads the relationships once.  A frontier is written before it is used again, so plans don't
+    grow with the depth and its size is known to the planner.  A null end is no node."""
     if depth < 0:
         raise ValueError("depth must not be negative")
-    spark = relationships.sparkSession
-    rel = _typed(relationships, types).select("source_id", "target_id")
-    edges = rel.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).union(rel.select("target_id", "source_id"))
-    seen = frontier = spark.createDataFrame([(start, 0)], "id string, level int")
+    seen = frontier = rel.sparkSession.createDataFrame([(start, 0)], "id string, level int")
+    few, explored = [start], []
     for level in range(1, depth + 1):
-        reached = edges.join(frontier.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+        at = _touching(rel, frontier, few)
+        if keep:
+            at = staged(at, "explored")
+            explored.append((frontier, at))
+        ends = F.array(F.when(F.col("_s"), F.col("target_id")), F.when(F.col("_t"), F.col("source_id")))
+        reached = at.select(F.explode(ends).alias("id")).where("id IS NOT NULL").distinct()
         frontier = staged(reached.join(seen, "id", "left_anti").withColumn("level", F.lit(level)), "frontier")
         seen = seen.union(frontier)
-        if level < depth and frontier.isEmpty():
-            break
-    return seen
+        if level < depth:
+            found = [r["id"] for r in frontier.select("id").limit(PUSHED + 1).collect()]
+            if not found:
+                break
+            few = found if len(found) <= PUSHED else None
+    return seen, explored
+
+
+def levels(relationships: DataFrame, start: str, depth: int = 1, types: list[str] | None = None) -> DataFrame:
+    """(id, level) of everything within ``depth`` hops of ``start``."""
+    return _walk(_typed(relationships, types).select("source_id", "target_id"), start, depth, False)[0]
 
 
 def traverse(entities: DataFrame, relationships: DataFrame, start: str, depth: int = 1, types: list[str] | None = None, edge_multiplicity: str = "set") -> tuple[DataFrame, DataFrame]:
@@ -40,17 +65,21 @@ def traverse(entities: DataFrame, relationships: DataFrame, start: str, depth: i
     explored end.  An unknown start is an error."""
     if entities.where(F.col("id") == start).isEmpty():
         raise LookupError(f"no entity {start!r}")
-    reach = levels(relationships, start, depth, types)
-    nodes = entities.join(reach, "id")
-    explored = reach.where(F.col("level") < depth).select("id")
     rel = _typed(relationships, types)
-    ends = rel.join(explored.withColumnRenamed("id", "_s"), F.col("source_id") == F.col("_s"), "left").join(explored.withColumnRenamed("id", "_t"), F.col("target_id") == F.col("_t"), "left")
-    loop = F.col("source_id") == F.col("target_id")
-    times = F.col("_s").isNotNull().cast("int") + (F.col("_t").isNotNull() & ~loop).cast("int")
-    edges = ends.withColumn("_times", times).where("_times > 0")
-    if edge_multiplicity == "reference":
-        edges = edges.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_n")
-    return nodes, edges.drop("_s", "_t", "_times")
+    reach, explored = _walk(rel, start, depth, True)
+    nodes = entities.join(reach, "id")
+    given, before = [rel.limit(0)], None
+    for frontier, at in explored:
+        if edge_multiplicity == "reference":
+            times = F.col("_s").cast("int") + (F.col("_t") & ~F.col("source_id").eqNullSafe(F.col("target_id"))).cast("int")
+            at = at.withColumn("_n", F.explode(F.sequence(F.lit(1), times))).drop("_n")
+        elif before is not None:
+            # An edge from the level before was given there.
+            other = F.when(~F.col("_t"), F.col("target_id")).when(~F.col("_s"), F.col("source_id"))
+            at = at.withColumn("_other", other).join(before.select(F.col("id").alias("_other")), "_other", "left_anti").drop("_other")
+        given.append(at.drop("_s", "_t"))
+        before = frontier
+    return nodes, reduce(DataFrame.unionByName, given[1:] or given)
 
 
 #: Starts that travel together: the bits of a long.

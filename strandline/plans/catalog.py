@@ -337,7 +337,7 @@ def rrf_merge(spark, d):
 
 
 def _sources(spark, d, edges: bool = False) -> recall.Sources:
-    relationships = staged(view(spark, d, "relationships"), "relationships") if edges else None
+    relationships = view(spark, d, "relationships") if edges else None
     return recall.Sources(spark, view(spark, d, "entities"), relationships, *[view(spark, d, n) for n in ("chunks", "memories", "memory_entities")], X.embeddings(spark, d))
 
 

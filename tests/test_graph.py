@@ -77,6 +77,29 @@ def test_levels_grow_by_one_and_stop(spark, people):
     assert got == {"2": 0, "1": 1, "3": 1, "0": 2, "4": 2, "5": 3, "6": 4}
 
 
+@pytest.mark.parametrize("pushed", [1000, 1])
+def test_traverse_reads_relationships_once_a_level(spark, monkeypatch, pushed):
+    """Against a plain walk, with frontiers sought by value and joined; ends that are null, loops, repeated rows."""
+    written = {}
+    monkeypatch.setattr(graph, "PUSHED", pushed)
+    monkeypatch.setattr(graph, "staged", lambda df, tag, of=graph.staged: written.setdefault(tag, []).append(df) or of(df, tag))
+    rng = random.Random(5)
+    rows = [(rng.choice("abcdefgh"), "n", rng.choice("abcdefgh")) for _ in range(9)] + [(None, "n", "a"), ("a", "n", None), ("a", "n", "a"), (None, "n", None)]
+    rels = _rels(spark, *rows).repartition(2, "type")
+    level, at = {"a": 0}, ["a"]
+    for n in (1, 2):
+        at = {y for s, _, t in rows for x, y in ((s, t), (t, s)) if x in at and y and y not in level}
+        level |= dict.fromkeys(at, n)
+    ends = {f"r{i}": len({x for x in (s, t) if level.get(x, 2) < 2}) for i, (s, _, t) in enumerate(rows)}
+    people = _entities(spark, *[(x, "person", x, "test") for x in "abcdefgh"])
+    for kind in ("set", "reference"):
+        nodes, edges = graph.traverse(people, rels, "a", 2, edge_multiplicity=kind)
+        assert {r["id"]: r["level"] for r in nodes.collect()} == level and edges.columns == rels.columns
+        assert _ids(edges) == sorted(i for i, n in ends.items() for _ in range(min(n, 1) if kind == "set" else n))
+    plan = written["explored"][0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Join" not in plan
+
+
 def test_traverse_unknown_start(people, ring):
     with pytest.raises(LookupError):
         graph.traverse(people, ring, "zz")
