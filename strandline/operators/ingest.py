@@ -88,6 +88,17 @@ def split_chunks(docs: DataFrame, limit: int, key: str = "doc_id", content: str
     return rows.select(key, (F.col("i") + 1).alias("part"), "parts", "content")
 
 
+#: So many extracted entities, relationships and memories a task groups and joins at once (some 100 MB).
+SLICE = 400_000
+
+
+def by_key(done: DataFrame, key: str) -> DataFrame:
+    """Extractions dealt by document, in as many slices as their number asks for: what a task sorts doesn't grow with the input."""
+    sizes = [F.greatest(F.size(f"extraction.{part}"), F.lit(0)) for part in ("entities", "relationships", "memories")]
+    items = done.agg(F.sum((sizes[0] + sizes[1] + sizes[2]).cast("long"))).first()[0] or 0
+    return done.select(key, "extraction").repartition(max(1, -(-items // SLICE)), F.col(key))
+
+
 def with_known_ids(found: DataFrame, known: DataFrame) -> DataFrame:
     """Extracted entities with the identifiers that the store already has for their (type, name)."""
     wanted = found.select("type", "name").distinct()
@@ -99,7 +110,8 @@ def remember(docs: DataFrame, key: str = "doc_id", content: str = "content", sou
     """The rows that a batch of documents adds to each relation.
 
     The extraction is written once, so a model is asked once per document and all relations
-    come from the same answer; the rest is lazy.  ``embed`` is an embedder (True: the offline one;
+    come from the same answer; the rest is lazy.  Documents are dealt by key first, so that a table of one row group
+    isn't one task's work.  ``embed`` is an embedder (True: the offline one;
     None or False: no vectors).  Names resolve to the ids of ``known`` entities where there are any.
     Wikilinks become entities; with ``link_wikilinks`` the frontmatter entity also gets a
     ``mentions`` edge to each.  Memories are linked to all entities of their document.
@@ -107,15 +119,16 @@ def remember(docs: DataFrame, key: str = "doc_id", content: str = "content", sou
     ``kept`` (see ``operators.kept``) keeps the answers and vectors of a model and an embedder."""
     now = F.current_timestamp()
     own = F.lit(source or "")
-    rows = docs.select(F.col(key), F.col(content), *(["answer"] if "answer" in docs.columns else []))
+    rows = docs.select(F.col(key), F.col(content), *(["answer"] if "answer" in docs.columns else [])).repartition(F.col(key))
     done = staged(extraction_of(rows, model, content, extractor, kept).select(key, F.col(content), "extraction"), "extraction")
-    found = extracted_entities(done, key, source)
+    dealt = by_key(done, key)
+    found = extracted_entities(dealt, key, source)
     found = found if known is None else staged(with_known_ids(found, known), "found")
     names = names_of(found, key)
     entities = found.groupBy("name", "type").agg(F.first("id").alias("id"), F.max_by("attributes", F.struct(key, "pos")).alias("attributes"), F.max_by("source", F.struct(key, "pos")).alias("source"))
     entities = entities.select("id", "type", "name", "attributes", "source", now.alias("created_at"), now.alias("updated_at"))
 
-    rel = resolve_relationships(done, names, key)
+    rel = resolve_relationships(dealt, names, key)
     if link_wikilinks:
         fm = found.where("source = 'frontmatter'").select(key, F.col("id").alias("source_id"))
         links = found.where("source = 'markdown'").select(key, F.col("id").alias("target_id"))
@@ -129,7 +142,7 @@ def remember(docs: DataFrame, key: str = "doc_id", content: str = "content", sou
     pieces = parts.select(doc, stable_id("chunk", F.col(key), own, F.col("part")).alias("id"), F.lit(None).cast("string").alias("entity_id"), "content", meta.alias("metadata"), now.alias("created_at"))
     chunks = pieces.drop("doc")
 
-    facts = done.select(key, F.posexplode("extraction.memories").alias("pos", "m")).select(key, doc, F.col("m.content").alias("content"), stable_id("memory", F.col(key), own, F.col("pos")).alias("id"))
+    facts = dealt.select(key, F.posexplode("extraction.memories").alias("pos", "m")).select(key, doc, F.col("m.content").alias("content"), stable_id("memory", F.col(key), own, F.col("pos")).alias("id"))
     memories = facts.select("id", "content", own.alias("source"), now.alias("created_at"), now.alias("updated_at"))
     memory_entities = facts.select(key, F.col("id").alias("memory_id")).join(names.select(key, F.col("id").alias("entity_id")), key).select("memory_id", "entity_id").distinct()
 

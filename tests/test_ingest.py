@@ -1,4 +1,5 @@
 import json
+import re
 import os
 import time
 
@@ -319,3 +320,14 @@ def test_a_put_cuts_its_texts_once(spark, tmp_path, monkeypatch):
     assert tuple(store.snapshot().stats().first())[:2] == (4, 3)
     assert sorted(map(tuple, store.term_dictionary().collect())) == [("one", 1, 1), ("three", 1, 2)]
     assert [r["id"] for r in store.search_keyword("three").collect()] == ["b"]
+
+
+def test_extractions_are_dealt_by_document(spark, monkeypatch):
+    """As many slices as there are extracted rows to group, whatever files they are written to; a key that repeats stays whole."""
+    answer = F.format_string('{"entities":[{"type":"t","name":"n%d"},{"type":"t","name":"both"}],"memories":["m%d"]}', "id", "id")
+    docs = spark.range(40).select((F.col("id") % 30).alias("doc_id"), F.lit("text").alias("content"), answer.alias("answer")).coalesce(1)
+    monkeypatch.setattr(ingest, "SLICE", 8)
+    links = ingest.remember(docs, source="s")["memory_entities"]
+    assert links.count() == 20 * 2 + 10 * 3  # ten keys come twice, with the same memory
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert re.findall(r"RepartitionByExpression \[doc_id#\d+L?\], (\d+)", plan) == ["15", "15"]
