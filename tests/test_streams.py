@@ -117,6 +117,20 @@ def test_threads_of_a_stream_equal_the_batch(spark, tmp_path):
     assert spark.conf.get(sync.STATE_STORE, "").rpartition(".")[2] != "RocksDBStateStoreProvider"
 
 
+def test_threads_are_a_streaming_aggregation(spark, tmp_path):
+    """No Python state: any state store will do, and threads of two batches equal the batch operator, equal turns and a null id too."""
+    schema = "conv_id long, turn int, role string, text string"
+    rows = [(1, 2, "user", "b"), (1, None, "user", "z"), (None, 1, "user", "of none"), (2, 1, None, "é"), (1, 2, "user", "b"), (1, 1, None, None), (2, 1, None, "z"), (None, 0, "a", "")]
+    got = {}
+    for half in (rows[:4], rows[4:]):
+        spark.createDataFrame(half, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        changes = sync.thread_changes(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+        writer = changes.writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True)
+        writer.foreachBatch(lambda batch, _: got.update({r["conv_id"]: r["content"] for r in batch.collect()})).start().awaitTermination()
+    whole = connectors.threads(spark.createDataFrame(rows, schema)).collect()
+    assert got == {r["conv_id"]: r["content"] for r in whole} and len(got) == 3
+
+
 def test_each_text_is_asked_once_and_failures_are_repeated(spark, tmp_path):
     (tmp_path / "calls").mkdir()
     model = Counting(tmp_path / "calls", fails=2)
