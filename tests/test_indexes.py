@@ -201,3 +201,33 @@ def test_many_starts_of_one_hub_share_masks(spark, monkeypatch):
     assert {r["level"]: (r["n"], r["pairs"]) for r in got} == {0: (1024, 1024), 1: (1024, 1024), 2: (1024 * 255, 1024 * 255)}
     assert found.where("substring(start, 8, 1) = '0' AND level = 2 AND id = 'leaf0004'").count() == sum(i % 4 == 0 and i % 10 == 0 for i in range(1024))
     assert sum(df.count() for tag, df in written if tag in ("frontier", "seen")) < 1024 + 4 * 16
+
+
+def test_leaves_are_kept_beside_the_traversal(spark, monkeypatch):
+    """No mask is written for the leaves of large hubs, whatever the depth."""
+    edges = spark.createDataFrame([(f"leaf{i:04}", f"hub{i % 2}", "a") for i in range(800)] + [("hub0", "hub1", "a")], "source_id string, target_id string, type string")
+    written = []
+    monkeypatch.setattr(graph, "staged", lambda df, tag, of=graph.staged: written.append((tag, of(df, tag))) or written[-1][1])
+    found = graph.traverse_many(edges, edges.selectExpr("source_id AS id").where("id < 'leaf0100'"), 3)
+    assert {r["level"]: r["n"] for r in found.groupBy("level").agg(F.count_distinct("start", "id").alias("n")).collect()} == {0: 101, 1: 100 + 401, 2: 100 + 100 * 399 + 400, 3: 100 * 400}
+    assert sum(df.count() for tag, df in written if tag == "frontier") < 20
+
+
+def test_many_starts_with_leaves_of_any_hub(spark, monkeypatch):
+    """Short lists and slices; leaves at nodes of any number of them, pairs that only have each other, starts among all kinds."""
+    for name, value in (("LEAVES", 1), ("NAMES", 2), ("RECEIVERS", 2), ("ROWS", 8)):
+        monkeypatch.setattr(graph, name, value)
+    r = random.Random(7)
+    pairs = [(f"n{r.randrange(12)}", f"n{r.randrange(12)}") for _ in range(11)] + [(f"n{r.randrange(12)}", f"x{i}") for i in range(30)] + [("p", "q"), ("v", "u"), ("n1", "n1"), ("x1", None)]
+    edges = spark.createDataFrame([(*p, "a") for p in pairs], "source_id string, target_id string, type string")
+    starts = ["q", "u", "v", "lost", "n0", "n3"] + [f"x{i}" for i in range(0, 30, 2)]
+    both = {x for a, b in pairs if b for x in ((a, b), (b, a))}
+    for depth in (1, 2, 4):
+        got = [tuple(x) for x in graph.traverse_many(edges, spark.createDataFrame([(s,) for s in starts], "id string"), depth).collect()]
+        want = set()
+        for s in starts:
+            level = {s: 0}
+            for k in range(1, depth + 1):
+                level = {**{b: k for a, b in both if level.get(a) == k - 1 and b not in level}, **level}
+            want |= {(s, n, k) for n, k in level.items()}
+        assert len(got) == len(want) and set(got) == want, depth
