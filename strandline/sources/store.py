@@ -6,10 +6,12 @@ with the longer lists; manifests are numbered and created exclusively, and a wri
 against the version it read, so of two concurrent writers one fails and can retry and readers
 always see a whole snapshot.  A relation of many operations is written as one segment again.
 
-The search index is stored with the chunks: ``postings`` (each segment sorted by term, so a
-search reads the row groups of its terms), the term dictionary ``terms`` and the one row ``totals``, both
+The search index is stored with the chunks: ``postings`` (each file sorted by term, so a
+search reads the pages of its terms), the term dictionary ``terms`` and the one row ``totals``, both
 kept by increments: a put or a forget adds what its own chunks change, so no search counts the corpus.
 ``grams`` has the trigrams of names and memories; it is only added to, for the exact test drops what is stale.
+Texts and postings are large, so they are written once, as the segments they become, and postings are not shuffled; what a
+write stages, and its shuffle files, are deleted when it is done.
 Segments are sorted by identifier, and the best few rows of a search are read by identifiers that reach the scan."""
 
 from __future__ import annotations
@@ -18,16 +20,17 @@ import json
 import os
 import uuid
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .. import schemas
 from ..operators import entities as E
 from ..operators import forget as forgetting
 from ..operators import graph, ingest, kept, lookup, ranked, recall, search, trigrams
-from ..staging import staged
+from ..staging import own_scratch, staged
 
 #: Rows with the same key: the later one replaces the earlier.
 KEYS = {"relationships": ["id"], "chunks": ["id"], "memories": ["id"], "memory_entities": ["memory_id", "entity_id"], "embeddings": ["id"], "sync_state": ["connector"], "entities": ["id"], "origins": ["doc", "relation", "id"]}
@@ -35,7 +38,19 @@ KEYS = {"relationships": ["id"], "chunks": ["id"], "memories": ["id"], "memory_e
 COMPACT_AT = 24
 WRITERS = 8
 
-Changes = list[tuple[str, str, DataFrame]]
+#: Rows or keys, or the segment that has them already.
+Changes = list[tuple[str, str, DataFrame | str]]
+
+
+def _write(method):
+    """A write's staged tables are deleted at its end: its result is a number."""
+
+    @wraps(method)
+    def run(self, *args, **options):
+        with own_scratch(self.spark):
+            return method(self, *args, **options)
+
+    return run
 
 
 class ConcurrentCommit(RuntimeError):
@@ -112,26 +127,36 @@ class KnowledgeStore:
     def tables(self) -> dict[str, DataFrame]:
         return self.snapshot().tables()
 
-    def _segment(self, name: str, df: DataFrame) -> str | None:
+    def _typed(self, name: str, df: DataFrame, *more: str) -> DataFrame:
+        return df.select(*[F.col(f.name).cast(f.dataType) for f in schemas.TABLES[name].fields], *more)
+
+    def _segment(self, name: str, df: DataFrame, sort=lookup.clustered) -> str | None:
         """Where the rows were written; None without rows."""
         at = f"{name}/{uuid.uuid4().hex}"
         order = {"postings": ["term", "chunk_id"], "terms": ["term"], "grams": ["relation", "gram"], "chunks": ["id"], "memories": ["id"], "entities": ["id"]}.get(name)
         if order and set(order) <= set(df.columns) and len(df.columns) > len(order):
-            df = lookup.clustered(df, *order)
+            df = sort(df, *order)
         writer = df.write.partitionBy("ref_type") if name == "embeddings" and "vector" in df.columns else df.write
-        writer.parquet(f"{self.path}/{at}")
+        writer.option("compression", "zstd").parquet(f"{self.path}/{at}")
         return None if self.spark.read.schema(df.schema).parquet(f"{self.path}/{at}").isEmpty() else at
 
+    def _rows(self, name: str, at: str | None, *more: StructField) -> DataFrame:
+        """What a segment has, with columns that only its writer knows."""
+        schema = StructType([*schemas.TABLES[name].fields, *more])
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{at}") if at else self.spark.createDataFrame([], schema)
+
     def commit(self, base: Snapshot, changes: Changes) -> int:
         """Write ``changes`` to ``base``, a list of ("add" or "del", relation, rows or keys); all of
         them become visible at once, if no other commit followed ``base``."""
         operations = {name: list(ops) for name, ops in base.operations.items()}
 
-        def write(change: tuple[str, str, DataFrame]) -> str | None:
+        def write(change: tuple[str, str, DataFrame | str]) -> str | None:
             kind, name, df = change
+            if isinstance(df, str):
+                return df
             if kind == "del":
                 return self._segment(name, df) if base.operations.get(name) else None
-            return self._segment(name, df.select(*[F.col(f.name).cast(f.dataType) for f in schemas.TABLES[name].fields]))
+            return self._segment(name, self._typed(name, df))
 
         with ThreadPoolExecutor(WRITERS) as pool:  # segments don't depend on each other
             written = list(pool.map(write, changes))
@@ -148,6 +173,7 @@ class KnowledgeStore:
         at = self._segment(name, whole.table(name))
         return [{"at": at}] if at else []
 
+    @_write
     def compact(self) -> int:
         """Write every relation as one segment."""
         base = self.snapshot()
@@ -183,17 +209,32 @@ class KnowledgeStore:
         latest = new
         if not new.groupBy(*keys).count().where("count > 1").isEmpty():  # only then are whole rows shuffled by key
             latest = new.withColumn("_at", F.monotonically_increasing_id()).groupBy(*keys).agg(F.max_by(F.struct(*new.columns), "_at").alias("_r")).select("_r.*")
-            latest = staged(latest, "latest") if name in ("chunks", "memories") else latest  # the index reads it too
+            latest = staged(latest, "latest") if name == "memories" else latest  # the index reads it too
         old = base.table(name).select(*keys)
         if base.operations.get(name):
             old = staged(old.join(latest.select(*keys), keys, "left_semi").distinct(), "old")
         changes = [("del", name, old), ("add", name, latest)]
-        if name == "chunks":
-            changes += self._index_changes(base, old, latest)
         if name == "memories":
             changes.append(("add", "grams", self._grams(base, "memories", latest, "content")))
         return changes
 
+    def _put_chunks(self, base: Snapshot, rows: DataFrame) -> Changes:
+        """``rows`` are written once, as the segment, and all else is read from there."""
+        numbered = rows.withColumn("_at", F.monotonically_increasing_id())
+        at = self._segment("chunks", self._typed("chunks", numbered, "_at"))
+        new = self._rows("chunks", at)
+        if not new.groupBy("id").count().where("count > 1").isEmpty():
+            several = self._rows("chunks", at, StructField("_at", LongType()))
+            latest = several.groupBy("id").agg(F.max_by(F.struct(*new.columns), "_at").alias("_r")).select("_r.*")
+            first, at = at, self._segment("chunks", latest)
+            new = self._rows("chunks", at)
+            self._fs.delete(self._at(first), True)
+        old = base.table("chunks").select("id")
+        if base.operations.get("chunks"):
+            old = staged(old.join(new.select("id"), "id", "left_semi").distinct(), "old")
+        changes: Changes = [("del", "chunks", old)] + ([("add", "chunks", at)] if at else [])
+        return changes + self._index_changes(base, old, new)
+
     def _index_changes(self, base: Snapshot, gone: DataFrame | None, new: DataFrame | None) -> Changes:
         """The search index without the chunks ``gone`` (column ``id``) and with ``new`` ones.
 
@@ -207,8 +248,9 @@ class KnowledgeStore:
             terms.append(lost.select("term", (-F.col("df")).alias("df"), (-F.col("occurrences")).alias("occurrences")))
             totals += [before.select(F.lit(-1).cast("long").alias("n_chunks"), F.lit(0).cast("long").alias("n_tokens")), lost.select(F.lit(0).cast("long").alias("n_chunks"), (-F.col("occurrences")).alias("n_tokens"))]
         if new is not None:
-            added = staged(search.postings(new), "postings")
-            changes.append(("add", "postings", added))
+            at = self._segment("postings", self._typed("postings", search.postings(new)), DataFrame.sortWithinPartitions)
+            added = self._rows("postings", at)
+            changes += [("add", "postings", at)] if at else []
             terms.append(added.select("term", F.lit(1).cast("long").alias("df"), F.col("tf").alias("occurrences")))
             totals += [new.select(F.lit(1).cast("long").alias("n_chunks"), F.lit(0).cast("long").alias("n_tokens")), added.select(F.lit(0).cast("long").alias("n_chunks"), F.col("tf").alias("n_tokens"))]
         if terms:
@@ -230,26 +272,31 @@ class KnowledgeStore:
         merged = staged(merged, "merged")
         return [("del", "entities", known.select("id")), ("add", "entities", merged), ("add", "grams", self._grams(base, "entities", merged, "name"))]
 
+    @_write
     def put_entities(self, rows: DataFrame) -> int:
         base = self.snapshot()
         return self.commit(base, self._put_entities(base, staged(rows, "put")))
 
+    @_write
     def put_relationships(self, rows: DataFrame) -> int:
         base, rows = self.snapshot(), staged(rows, "put")
         if not E.dangling_relationships(rows, base.table("entities")).isEmpty():
             raise ValueError("a relationship refers to no entity")
         return self.commit(base, self._put(base, "relationships", rows))
 
+    @_write
     def put_chunks(self, rows: DataFrame) -> int:
         base = self.snapshot()
-        return self.commit(base, self._put(base, "chunks", staged(rows, "put")))
+        return self.commit(base, self._put_chunks(base, rows))
 
+    @_write
     def put_memories(self, rows: DataFrame) -> int:
         """``rows`` carry ``entity_ids``; memories and links are committed together."""
         base, rows = self.snapshot(), staged(rows, "put")
         links = rows.select(F.col("id").alias("memory_id"), F.explode("entity_ids").alias("entity_id")).distinct()
         return self.commit(base, self._put(base, "memories", rows.drop("entity_ids")) + self._put(base, "memory_entities", links))
 
+    @_write
     def put_embeddings(self, rows: DataFrame) -> int:
         base = self.snapshot()
         return self.commit(base, self._put(base, "embeddings", staged(rows, "put")))
@@ -258,6 +305,7 @@ class KnowledgeStore:
         """Answers and vectors that this store's models have given."""
         return kept.KeptAnswers(self.spark, f"{self.path}/answers")
 
+    @_write
     def remember(self, docs: DataFrame | str, source: str | None = None, max_chunk_bytes: int = 0, model=None, stream: tuple[str, int] | None = None, **options) -> int:
         """Ingest documents (doc_id, content) in one commit.
 
@@ -292,6 +340,7 @@ class KnowledgeStore:
             changes += self._sync_state(f"stream:{stream[0]}", str(stream[1]))
         return self.commit(base, changes)
 
+    @_write
     def forget(self, entity_id: str | None = None, source: str | None = None, strict_source: bool = False) -> int:
         base = self.snapshot()
         relations = {name: base.table(name) for name in forgetting.RELATIONS}
@@ -313,6 +362,7 @@ class KnowledgeStore:
     def set_sync_state(self, connector: str, state: str) -> int:
         return self.commit(self.snapshot(), self._sync_state(connector, state))
 
+    @_write
     def put_sync_states(self, rows: DataFrame) -> int:
         """The latest of ``rows`` (connector, state, updated_at) per connector, in place of what was stored, unless that is later."""
         base = self.snapshot()

@@ -322,6 +322,37 @@ def test_a_put_cuts_its_texts_once(spark, tmp_path, monkeypatch):
     assert [r["id"] for r in store.search_keyword("three").collect()] == ["b"]
 
 
+def test_a_put_writes_texts_and_postings_once(spark, tmp_path, monkeypatch):
+    """Nothing of a text's size is staged, postings are not shuffled, and what is staged is gone after the put, also after a failed one."""
+    from strandline import staging
+    from strandline.sources import store as module
+
+    tags, made = [], []
+    monkeypatch.setattr(module, "staged", lambda df, tag, of=module.staged: tags.append(tag) or of(df, tag))
+    monkeypatch.setattr(search, "postings", lambda *a, of=search.postings: made.append(of(*a)) or made[-1])
+    store = KnowledgeStore(spark, f"file://{tmp_path}/once")
+    row = lambda r, text: r.select(F.format_string("c%03d", "id").alias("id"), F.lit(None).cast("string").alias("entity_id"), F.concat(F.lit(text), F.col("id")).alias("content"), F.lit("{}").alias("metadata"), F.timestamp_seconds(F.lit(0)).alias("created_at"))
+    folder, before = staging.shared_folder(spark).removeprefix("file://"), spark.conf.get(staging.SWEEP, None)
+    left = lambda: {x for x in os.listdir(f"{folder}/strandline") if not x.startswith("store")} if os.path.isdir(f"{folder}/strandline") else set()
+    found = left()
+    store.put_chunks(row(spark.range(40), "first "))
+    assert tags == [] and "Exchange" not in made[0].sortWithinPartitions("term")._jdf.queryExecution().executedPlan().toString()
+    store.put_chunks(row(spark.range(20).union(spark.range(5)), "second "))  # keys that repeat
+    assert set(tags) <= {"old", "lost"}
+    with pytest.raises(Exception, match="no such row"):
+        store.put_chunks(row(spark.range(3), "third ").withColumn("content", F.expr("CAST(raise_error('no such row') AS STRING)")))
+    with pytest.raises(ValueError):
+        store.forget()
+    assert left() == found and spark.conf.get(staging.SWEEP, None) == before
+    kept = {o["at"].partition("/")[2] for o in store.manifest()["chunks"]}
+    assert not [x for x in (tmp_path / "once" / "chunks").iterdir() if x.name not in kept and list(x.glob("*.parquet"))]
+    assert store.search_keyword("second", 50).count() == 20 and store.search_keyword("first", 50).count() == 20 and store.table("chunks").count() == 40
+    files = [f for at in store.manifest()["postings"] if "del" not in at for f in (tmp_path / "once" / at["at"]).glob("*.parquet")]
+    for f in files:
+        terms = [r["term"] for r in spark.read.parquet(f"file://{f}").collect()]
+        assert terms == sorted(terms)
+
+
 def test_extractions_are_dealt_by_document(spark, monkeypatch):
     """As many slices as there are extracted rows to group, whatever files they are written to; a key that repeats stays whole."""
     answer = F.format_string('{"entities":[{"type":"t","name":"n%d"},{"type":"t","name":"both"}],"memories":["m%d"]}', "id", "id")
