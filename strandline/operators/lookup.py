@@ -48,3 +48,23 @@ def semi(rows: DataFrame, ids: DataFrame, id: str = "id") -> DataFrame:
     if len(few) <= PUSHED:
         return rows.where(one_of(id, [r[0] for r in few]))
     return rows.join(ids.toDF(id), id, "left_semi")
+
+
+#: So many identifiers at most are broadcast at once.
+SLICE = 1 << 18
+
+
+def slices(ids: DataFrame, id: str = "id") -> list[tuple]:
+    """Ranges (first, last) of ``ids`` (one column, distinct) with some ``SLICE`` of them each."""
+    n = ids.count() // SLICE + 1
+    ends = ids.repartitionByRange(n, id).groupBy(F.spark_partition_id().alias("_p")).agg(F.min(id).alias("first"), F.max(id).alias("last"))
+    return [(r["first"], r["last"]) for r in ends.collect()]
+
+
+def sliced(rows: DataFrame, ids: DataFrame, id: str = "id") -> list[DataFrame]:
+    """``rows`` whose identifier is in ``ids`` (one column, distinct), by ranges of it.
+
+    ``rows`` are large and sorted by ``id``: a range reads its own row groups, and what is broadcast is the range's ids, so
+    no row is shuffled and nothing broadcast grows with the number of ids."""
+    within = lambda df, a, b: df.where(F.col(id).between(a, b))
+    return [within(rows, a, b).join(F.broadcast(within(ids, a, b)), id, "left_semi") for a, b in slices(ids, id)]

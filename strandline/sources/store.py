@@ -242,13 +242,17 @@ class KnowledgeStore:
         changes: Changes = []
         terms, totals = [], []
         if gone is not None and base.operations.get("chunks"):
-            before = lookup.semi(base.table("chunks"), gone.distinct())
             changes.append(("del", "postings", gone.withColumnRenamed("id", "chunk_id")))
-            lost = staged(search.postings(before).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences")), "lost")
-            terms.append(lost.select("term", (-F.col("df")).alias("df"), (-F.col("occurrences")).alias("occurrences")))
-            totals += [before.select(F.lit(-1).cast("long").alias("n_chunks"), F.lit(0).cast("long").alias("n_tokens")), lost.select(F.lit(0).cast("long").alias("n_chunks"), (-F.col("occurrences")).alias("n_tokens"))]
+            gone = staged(gone.distinct(), "gone")
+            few = len(gone.limit(lookup.PUSHED + 1).collect()) <= lookup.PUSHED
+            before = [lookup.semi(base.table("chunks"), gone)] if few else lookup.sliced(base.table("chunks"), gone)
+            counted = lambda texts: search.postings(texts).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences"))
+            for texts in before:
+                lost = staged(counted(texts), "lost")
+                terms.append(lost.select("term", (-F.col("df")).alias("df"), (-F.col("occurrences")).alias("occurrences")))
+                totals += [texts.select(F.lit(-1).cast("long").alias("n_chunks"), F.lit(0).cast("long").alias("n_tokens")), lost.select(F.lit(0).cast("long").alias("n_chunks"), (-F.col("occurrences")).alias("n_tokens"))]
         if new is not None:
-            at = self._segment("postings", self._typed("postings", search.postings(new)), DataFrame.sortWithinPartitions)
+            at = self._segment("postings", self._typed("postings", search.postings(new)), lambda df, term, _: df.sortWithinPartitions(term))
             added = self._rows("postings", at)
             changes += [("add", "postings", at)] if at else []
             terms.append(added.select("term", F.lit(1).cast("long").alias("df"), F.col("tf").alias("occurrences")))
